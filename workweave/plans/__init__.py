@@ -8,11 +8,12 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-_MODULES = ("absences",)
+from workweave.plans.registry import QUERIES
+
+_MODULES = ("absences", "edits", "calls")
 
 
 def registry() -> dict[str, Callable]:
-    found: dict[str, Callable] = {}
     for name in _MODULES:
-        found.update(importlib.import_module(f"workweave.plans.{name}").QUERIES)
-    return found
+        importlib.import_module(f"workweave.plans.{name}")
+    return dict(QUERIES)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workweave.functions import dates as D
@@ -13,31 +11,11 @@ from workweave.operators import calendar as C
 from workweave.operators import hierarchy as H
 from workweave.operators import lanes as L
 from workweave.operators import occupancy as O
+from workweave.plans.registry import query
 from workweave.sinks import reports
 from workweave.sources import reference as R
 from workweave.sources.fixtures import Plan
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-
-def query(name: str, regions: list[str] | None = None):
-    """Register a function of a ``Plan``; dates leave as ISO text."""
-
-    def register(build: Callable[[Plan], DataFrame]):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return _iso_dates(build(Plan(spark, sf_dir, regions)))
-
-        QUERIES[name] = run
-        return build
-
-    return register
-
-
-def _iso_dates(df: DataFrame) -> DataFrame:
-    dates = {c: F.col(f"`{c}`").cast("string") for c, t in df.dtypes if t == "date"}
-    return df.withColumns(dates) if dates else df
-
-
 # -- reference tables and row filters -------------------------------------------
 @query("a7_holiday_rules", R.REGIONS)
 def _(p: Plan) -> DataFrame:

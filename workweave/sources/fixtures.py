@@ -215,3 +215,61 @@ class Plan:
         )
 
 
+
+    # -- documents -----------------------------------------------------------
+    @cached_property
+    def documents(self) -> DataFrame:
+        """(plan_id, data): one small, untidy plan document per order, as JSON text.
+
+        The four shapes of the department tree are: an unknown parent, two departments
+        pointing at each other, a department ahead of such a pair, and a ring of three.
+        """
+        key = F.col("o_orderkey")
+        text = F.lit(None).cast("string")
+        shape = key % 4
+
+        def dept(id_: str, parents: list[str | None], name=None, limit=None):
+            parent = F.element_at(
+                F.array(*[F.lit(p) for p in parents]).cast("array<string>"),
+                (shape + 1).cast("int"))
+            return F.struct(
+                F.lit(id_).alias("id"), (text if name is None else F.lit(name)).alias("name"),
+                parent.alias("parentId"),
+                (F.lit(None).cast("int") if limit is None else F.lit(limit)).alias("maxAbsent"),
+                F.lit(True).alias("collapsed"))
+
+        a = dept("A", ["B", "B", "B", "B"], name="Werk", limit=3)
+        b = dept("B", [None, "A", "A", "C"])
+        c = dept("C", ["Z", "A", "A", "A"], name="Lager")
+        departments = F.when(shape == 2, F.array(c, a, b)).otherwise(F.array(a, b, c))
+        person = F.struct(
+            F.concat(F.lit("P"), "o_custkey").alias("id"),
+            F.when(key % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("Kunde "), "o_custkey"))
+            .alias("name"),
+            F.when(key % 5 != 0, F.array(F.lit("A"), F.lit("X"), F.lit("C"), F.lit("A")))
+            .alias("deptIds"),
+            F.when(key % 10 == 0, "B").when(key % 5 == 0, "Y").alias("deptId"),
+            F.when(key % 2 == 0, (key % 9 + 24).cast("double")).alias("entitlement"))
+        start = F.col("o_orderdate").cast("date")
+        types = F.array(*[F.lit(t) for t, *_ in ABSENCE_TYPES], F.lit("urlaub2"))
+        entry = F.struct(
+            F.col("o_orderkey").cast("string").alias("id"),
+            F.concat(F.lit("P"), "o_custkey").alias("personId"),
+            F.element_at(types, (key % 9 + 1).cast("int")).alias("type"),
+            F.when(F.col("o_orderstatus") == "F", "beantragt").when(
+                F.col("o_orderstatus") == "P", "abgelehnt").alias("status"),
+            start.cast("string").alias("start"),
+            F.when(key % 7 != 0, F.date_add(start, (key % 14).cast("int")).cast("string"))
+            .alias("end"),
+            F.when(key % 3 == 0, True).alias("halfStart"), F.lit("x").alias("unknownField"))
+        closure = F.struct(
+            F.lit("").alias("id"), start.cast("string").alias("start"),
+            F.when(key % 2 == 0, start.cast("string")).alias("end"))
+        year = F.struct(
+            departments.alias("departments"), F.array(person).alias("people"),
+            F.array(entry).alias("absences"), F.array(closure).alias("closures"))
+        doc = F.struct(
+            F.lit(1).alias("v"), F.struct(F.lit("DE-NW").alias("region")).alias("settings"),
+            F.create_map(F.year(start).cast("string"), year).alias("years"))
+        return self.table("orders").select(
+            key.cast("string").alias("plan_id"), F.to_json(doc).alias("data"))
