@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from workweave.plans.registry import QUERIES
 
-_MODULES = ("absences", "edits", "calls")
+_MODULES = ("absences", "edits", "calls", "web")
 
 
 def registry() -> dict[str, Callable]:

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from workweave.functions.text import host
 from workweave.operators import calendar as C
 from workweave.operators import hierarchy as H
 from workweave.session import broadcast_if_small, settle
@@ -273,3 +274,80 @@ class Plan:
             F.create_map(F.year(start).cast("string"), year).alias("years"))
         return self.table("orders").select(
             key.cast("string").alias("plan_id"), F.to_json(doc).alias("data"))
+
+    # -- pages ---------------------------------------------------------------
+    @cached_property
+    def shop_page(self) -> DataFrame:
+        """One catalogue page per part: cards, a table, images, metadata and JSON-LD.
+
+        Hosts are brands. Brands ending in 1 put empty separators between their cards.
+        """
+        def text(*parts):
+            return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+
+        key, name, size = F.col("p_partkey"), F.col("p_name"), F.col("p_size")
+        site = text(F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), ".example.com")
+        price = F.col("p_retailprice").cast("decimal(12,2)")
+
+        def card(i: int):
+            amount = F.replace((price * F.lit(i)).cast("decimal(14,2)").cast("string"),
+                               F.lit("."), F.lit(","))
+            return text(
+                '<article class="karte gross" data-x="', key, '"><h2 class="name">Teil ', size + i,
+                '</h2><span class="preis">', amount, ' €</span><a class="mehr" href="details/', key,
+                f'-{i}?v=1">mehr</a><img src="/img/', key, f'-{i}.png" alt="Bild  {i}"></article>')
+
+        rule = '<div class="sep"><span class="x"> </span></div>'
+        separators = F.when(F.col("p_brand").endswith("1"), rule * 5).otherwise("")
+        html = text(
+            "<!DOCTYPE html><html><head><title>", name, '</title><meta name="description" content="',
+            F.col("p_type"), '"><meta property="og:title" content="', name,
+            '"><meta name="leer" content=""><style>p{margin:0}</style>'
+            '<script>var x="<h2>no</h2>";</script><script type="application/ld+json">'
+            '{"@type":"Product","name":"', name, '","size":', size,
+            ',"sale":true,"offer":{"price":1}}</script></head><body data-page="', key,
+            '"><h1 id="top">', name, "</h1>", card(1), separators, card(2), card(3),
+            "<table><tr><th>Merkmal</th><th></th></tr><tr><td>Marke</td><td>", F.col("p_brand"),
+            '</td></tr><tr><td></td><td> </td></tr></table><p class="kontakt">Mail verkauf', key,
+            "@firma.example, Tel. +49 221 ", key + 1_000_000, "</p></body></html>")
+        return self.table("part").select(
+            (key + 1_000_000_000).alias("page_id"),
+            text("https://", site, "/katalog/", key).alias("url"), html.alias("html"))
+
+    @cached_property
+    def web_page(self) -> DataFrame:
+        """Captured and catalogue pages together."""
+        return self.page.unionByName(self.shop_page)
+
+    @cached_property
+    def edge(self) -> DataFrame:
+        """Three links per page, by arithmetic on its id."""
+        n = self.table("pages").agg(F.max("page_id") + 1).scalar()
+        hop = F.explode(F.sequence(F.lit(1), F.lit(3)))
+        return self.table("pages").select(
+            F.col("page_id").alias("src"), hop.alias("link_pos"), n.alias("n")).select(
+            "src", ((F.col("src") * 7 + F.col("link_pos")) % F.col("n")).alias("dst"), "link_pos")
+
+    @cached_property
+    def robots_rule(self) -> DataFrame:
+        """Mobile hosts forbid ``/de/``, all others ``/fr/`` except ``/fr/7``."""
+        mobile = F.col("host").startswith("m.")
+        no = F.struct(F.lit(1).alias("rule_ord"), F.lit("/de/").alias("prefix"),
+                      F.lit(False).alias("allow"))
+        yes = F.struct(F.lit(1).alias("rule_ord"), F.lit("/fr/7").alias("prefix"),
+                       F.lit(True).alias("allow"))
+        rest = F.struct(F.lit(2).alias("rule_ord"), F.lit("/fr/").alias("prefix"),
+                        F.lit(False).alias("allow"))
+        hosts = self.table("pages").select(host(F.col("url")).alias("host")).distinct()
+        return hosts.select("host", F.explode(
+            F.when(mobile, F.array(no)).otherwise(F.array(yes, rest))).alias("r")).select("host", "r.*")
+
+    @cached_property
+    def stored_job(self) -> DataFrame:
+        """One stored job per event with its rows as JSON text."""
+        row = F.concat(
+            F.lit('[{"typ":"link","n":'), F.col("event_id").cast("string"),
+            F.lit(',"art":"'), F.col("event_type"), F.lit('"},{"typ":"meta","props":'),
+            F.col("props"), F.lit("}]"))
+        return self.table("events").select(F.col("event_id").alias("job_id"),
+                                           F.col("ts").alias("started_at"), row.alias("rows_json"))
