@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("absences", "edits", "calls", "web")
+_MODULES = ("absences", "edits", "calls", "web", "streams", "files")
 
 
 def all_statements() -> dict[str, str]:

@@ -20,6 +20,10 @@ def _n(x: str) -> str:
     return _NUM.format(x)
 
 
+def _e(day: str) -> str:
+    return f"(SELECT count(*) FROM cnt a WHERE {day} BETWEEN a.s AND a.e) AS entries"
+
+
 def _ymd(x: str) -> str:
     return f"strftime({x}, '%Y%m%d')"
 
@@ -90,12 +94,13 @@ STATEMENTS: dict[str, str] = {
       FROM tree t JOIN clo c ON c.dept_id = t.dept_id
       WHERE t.dept_id NOT IN (SELECT dept_id FROM gone) GROUP BY t.dept_id""",
         gone="""SELECT dept_id FROM tree WHERE name IN ('NATION_7', 'AFRICA', 'ASIA') OR dept_id = 'R1'"""),
-    "d1_easter": _("SELECT y AS year, CAST(easter AS VARCHAR) AS easter FROM easter"),
-    "d2_wednesday_rule": _("""SELECT y AS year, CAST((SELECT max(d) FROM (SELECT make_date(y, 11, 22) - CAST(k AS INTEGER) AS d
-        FROM range(7) t(k)) WHERE isodow(d) = 3) AS VARCHAR) AS day FROM years"""),
-    "d3_holidays": _("SELECT region, y AS year, CAST(day AS VARCHAR) AS day, holiday_name FROM holiday"),
-    "d4_calendar": _("""SELECT region, y AS year, CAST(day AS VARCHAR) AS day, i, dow, month, dom, iso_week, weekend,
-        coalesce(holiday_name, '') AS holiday_name, workday FROM calr
+    "d1_easter": _(f"SELECT y AS year, CAST(easter AS VARCHAR) AS easter, {_e('easter')} FROM easter"),
+    "d2_wednesday_rule": _(f"""SELECT y AS year, CAST(day AS VARCHAR) AS day, {_e('day')} FROM wed""",
+        wed="""SELECT y, (SELECT max(d) FROM (SELECT make_date(y, 11, 22) - CAST(k AS INTEGER) AS d
+          FROM range(7) t(k)) WHERE isodow(d) = 3) AS day FROM years"""),
+    "d3_holidays": _(f"SELECT region, y AS year, CAST(day AS VARCHAR) AS day, holiday_name, {_e('day')} FROM holiday"),
+    "d4_calendar": _(f"""SELECT region, y AS year, CAST(day AS VARCHAR) AS day, i, dow, month, dom, iso_week, weekend,
+        coalesce(holiday_name, '') AS holiday_name, workday, {_e('day')} FROM calr
       WHERE region IN ('DE-NW', 'DE-BY', 'AT', 'NONE')"""),
     "d5_iso_week": _("SELECT isoyear(s) AS iso_year, week(s) AS iso_week, count(*) AS starts FROM absence GROUP BY ALL"),
     "d6_day_offsets": _("""SELECT absence_id, s - make_date(year(s),1,1) AS i, e - make_date(year(s),1,1) AS end_offset,
@@ -114,7 +119,7 @@ STATEMENTS: dict[str, str] = {
           ELSE {_d('a.s')} || ' – ' || {_d('a.e')} END AS span,
         {_n('w.workdays')} || CASE WHEN w.workdays = 1 THEN ' Arbeitstag' ELSE ' Arbeitstage' END AS length
       FROM allwd w JOIN absence a ON a.absence_id = w.absence_id""", allwd=_ALLWD),
-    "d11_holiday_list": _("""SELECT region, y AS year, CAST(day AS VARCHAR) AS day, dow, holiday_name, weekend
+    "d11_holiday_list": _(f"""SELECT region, y AS year, CAST(day AS VARCHAR) AS day, dow, holiday_name, weekend, {_e('day')}
       FROM calr WHERE holiday_name IS NOT NULL"""),
     "e1_workdays_of_entries": _("""SELECT d.absence_id, d.person_id, CAST(d.day AS VARCHAR) AS day
       FROM cntday d JOIN cal c ON c.day = d.day AND c.workday"""),
@@ -209,13 +214,14 @@ STATEMENTS: dict[str, str] = {
     "g2_tight_periods": _("""SELECT dept_id, CAST(f AS VARCHAR) AS "from", CAST(t AS VARCHAR) AS "to", workdays, max_absent
       FROM tight""", tight=_TIGHT),
     "g3_bridges": _("""SELECT region, y AS year, CAST(f AS VARCHAR) AS "from", CAST(t AS VARCHAR) AS "to", cost, free,
-        round(ratio, 9) AS ratio, cause, CAST(free_from AS VARCHAR) AS free_from, CAST(free_to AS VARCHAR) AS free_to
+        round(ratio, 9) AS ratio, cause, CAST(free_from AS VARCHAR) AS free_from, CAST(free_to AS VARCHAR) AS free_to,
+        (SELECT count(*) FROM cnt a WHERE a.s <= br.f AND a.e >= br.t) AS takers
       FROM br""", runs=_RUNS, br=_BRIDGE),
     "g4_load_runs": _("""SELECT dept_id, y AS year, CAST(min(day) AS VARCHAR) AS "from", CAST(max(day) AS VARCHAR) AS "to",
         n, count(*) AS days
       FROM (SELECT *, i - row_number() OVER (PARTITION BY dept_id, y, n ORDER BY i) AS run FROM occ)
       GROUP BY dept_id, y, n, run"""),
-    "g5_week_buckets": _("""SELECT y AS year, CAST(day AS VARCHAR) AS day, iso_week, bucket, bucket_week
+    "g5_week_buckets": _(f"""SELECT y AS year, CAST(day AS VARCHAR) AS day, iso_week, bucket, bucket_week, {_e('day')}
       FROM bkw""", bk=_BUCKET, bkw=_BUCKETW),
     "g6_lanes": _("SELECT absence_id, person_id, lane - 1 AS lane FROM lanes", lanes=_LANES),
     "g6_lane_counts": _("SELECT person_id, least(3, max(lane)) AS lanes FROM lanes GROUP BY person_id", lanes=_LANES),
@@ -231,7 +237,8 @@ STATEMENTS: dict[str, str] = {
       FROM (SELECT y AS year, dept_id, f, t, workdays, count(*) OVER (PARTITION BY y) AS total,
           row_number() OVER (PARTITION BY y ORDER BY workdays DESC, fi, ord) AS rank FROM tight)
       WHERE rank <= 12""", tight=_TIGHT),
-    "h3_best_bridges": _("""SELECT region, year, rank, CAST(f AS VARCHAR) AS "from", CAST(t AS VARCHAR) AS "to", cost, free, cause
+    "h3_best_bridges": _("""SELECT region, year, rank, CAST(f AS VARCHAR) AS "from", CAST(t AS VARCHAR) AS "to", cost, free, cause,
+        (SELECT count(*) FROM cnt a WHERE a.s <= f AND a.e >= t) AS takers
       FROM (SELECT *, y AS year, row_number() OVER (PARTITION BY region, y ORDER BY ratio DESC, f) AS rank FROM br)
       WHERE rank <= 10""", runs=_RUNS, br=_BRIDGE),
     "h6_sorted_accounts": _("""SELECT a.person_id, a.y AS year, coalesce(n.names, 'Ohne Abteilung') AS department, a.total,

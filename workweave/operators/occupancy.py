@@ -132,6 +132,37 @@ def total_absent(absence: DataFrame, person: DataFrame, cal: DataFrame) -> DataF
     ).select("year", "day", "i", "n")
 
 
+def entries_per_day(absence: DataFrame, cal: DataFrame) -> DataFrame:
+    """(day, entries): countable entries covering each day of the year, free days included."""
+    return _steps(_by_year(countable(absence).select("start", "end")), []).join(
+        F.broadcast(cal.select("year", "i", "day").distinct()), ["year", "i"]
+    ).select("day", F.col("n").alias("entries"))
+
+
+def with_entries(days: DataFrame, absence: DataFrame, cal: DataFrame, day: str = "day"
+                 ) -> DataFrame:
+    """Adds ``entries`` to a table of calendar days."""
+    per_day = entries_per_day(absence, cal).withColumnRenamed("day", day)
+    return days.join(per_day, day, "left").withColumn(
+        "entries", F.coalesce("entries", F.lit(0)))
+
+
+def bridge_takers(bridges: DataFrame, absence: DataFrame) -> DataFrame:
+    """Adds ``takers``: countable entries that cover a whole bridge.
+
+    Entries meet bridges on the bridge's first day, an equi join on generated days; the
+    counts are combined before the shuffle.
+    """
+    spans = bridges.select("region", F.col("from").alias("day"), "to").distinct()
+    covering = (
+        days_of(countable(absence).select("start", "end"))
+        .join(F.broadcast(spans), "day").filter(F.col("end") >= F.col("to"))
+        .groupBy("region", F.col("day").alias("from")).agg(F.count("*").alias("takers"))
+    )
+    return bridges.join(covering, ["region", "from"], "left").withColumn(
+        "takers", F.coalesce("takers", F.lit(0)))
+
+
 # -- periods -----------------------------------------------------------------
 def _periods(days: DataFrame, extra: list[Column]) -> DataFrame:
     """Runs of adjacent calendar days per department and year."""

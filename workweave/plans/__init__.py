@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from workweave.plans.registry import QUERIES
 
-_MODULES = ("absences", "edits", "calls", "web")
+_MODULES = ("absences", "edits", "calls", "web", "streams", "files")
 
 
 def registry() -> dict[str, Callable]:

@@ -80,23 +80,26 @@ def _(p: Plan) -> DataFrame:
 # -- calendar ------------------------------------------------------------------
 @query("d1_easter")
 def _(p: Plan) -> DataFrame:
-    return p.years.select("year", D.easter_sunday(F.col("year")).alias("easter"))
+    days = p.years.select("year", D.easter_sunday(F.col("year")).alias("easter"))
+    return O.with_entries(days, p.absence, p.calendar, "easter")
 
 
 @query("d2_wednesday_rule")
 def _(p: Plan) -> DataFrame:
-    return p.years.select("year", D.wednesday_before_nov_23(F.col("year")).alias("day"))
+    days = p.years.select("year", D.wednesday_before_nov_23(F.col("year")).alias("day"))
+    return O.with_entries(days, p.absence, p.calendar)
 
 
 @query("d3_holidays")
 def _(p: Plan) -> DataFrame:
-    return C.holidays(p.years, R.REGIONS)
+    return O.with_entries(C.holidays(p.years, R.REGIONS), p.absence, p.calendar)
 
 
 @query("d4_calendar")
 def _(p: Plan) -> DataFrame:
-    return C.calendar(p.years, ["DE-NW", "DE-BY", "AT", "NONE"]).withColumn(
+    days = C.calendar(p.years, ["DE-NW", "DE-BY", "AT", "NONE"]).withColumn(
         "holiday_name", F.coalesce("holiday_name", F.lit("")))
+    return O.with_entries(days, p.absence, p.calendar)
 
 
 @query("d5_iso_week")
@@ -151,7 +154,7 @@ def _(p: Plan) -> DataFrame:
 
 @query("d11_holiday_list", R.REGIONS)
 def _(p: Plan) -> DataFrame:
-    return C.holiday_list(p.calendar)
+    return O.with_entries(C.holiday_list(p.calendar), p.absence, p.calendar)
 
 
 # -- joins -----------------------------------------------------------------------
@@ -345,7 +348,8 @@ def _(p: Plan) -> DataFrame:
 
 @query("g3_bridges", R.REGIONS)
 def _(p: Plan) -> DataFrame:
-    return C.bridges(p.calendar).withColumn("ratio", F.round("ratio", 9))
+    return O.bridge_takers(C.bridges(p.calendar), p.absence).withColumn(
+        "ratio", F.round("ratio", 9))
 
 
 @query("g4_load_runs")
@@ -355,7 +359,8 @@ def _(p: Plan) -> DataFrame:
 
 @query("g5_week_buckets", ["DE-NW"])
 def _(p: Plan) -> DataFrame:
-    return C.week_buckets(p.calendar).select("year", "day", "iso_week", "bucket", "bucket_week")
+    return O.with_entries(C.week_buckets(p.calendar), p.absence, p.calendar).select(
+        "year", "day", "iso_week", "bucket", "bucket_week", "entries")
 
 
 @query("g6_lanes")
@@ -392,8 +397,8 @@ def _(p: Plan) -> DataFrame:
 
 @query("h3_best_bridges", R.REGIONS)
 def _(p: Plan) -> DataFrame:
-    return C.best_bridges(C.bridges(p.calendar)).select(
-        "region", "year", "rank", "from", "to", "cost", "free", "cause")
+    return C.best_bridges(O.bridge_takers(C.bridges(p.calendar), p.absence)).select(
+        "region", "year", "rank", "from", "to", "cost", "free", "cause", "takers")
 
 
 @query("h6_sorted_accounts")
