@@ -131,6 +131,7 @@ STATEMENTS: dict[str, str] = {
         coalesce(user_id <> lag(user_id) OVER w, FALSE) AS other_client FROM events WINDOW w AS (ORDER BY event_id)"""),
     "h9_newest_revisions": _("""SELECT event_id AS rev, strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at, user_id AS client,
         length(props) AS bytes FROM events ORDER BY event_id DESC LIMIT 60"""),
+    "h9_newest_jobs": _("SELECT event_id AS job_id FROM events ORDER BY ts DESC LIMIT 100"),
     "j6_job_ages": _("""SELECT CASE WHEN age < 60 THEN 'just now' WHEN age < 3600 THEN 'minutes' WHEN age < 86400 THEN 'hours'
         WHEN age < 604800 THEN 'days' ELSE 'older' END AS bucket, count(*) AS jobs
       FROM (SELECT epoch(TIMESTAMP '2024-01-31') - floor(epoch(ts)) AS age FROM events) GROUP BY ALL"""),

@@ -265,6 +265,9 @@ STATEMENTS: dict[str, str] = {
     "k11_metadata": flat(meta("web"), **W),
     "k12_json_ld": _("""SELECT k + 1000000000 AS page_id, 'jsonld' AS kind, 0 AS pos, '@type=Product' || chr(10) || 'name=' || p_name
         || chr(10) || 'sale=true' || chr(10) || 'size=' || p_size AS fields FROM prt""", prt=PART),
+    "j9_scalar_fields": _("""SELECT field, count(*) AS objects, count(DISTINCT value) AS "values" FROM (
+        SELECT unnest(['@type', 'name', 'sale', 'size']) AS field, unnest(['Product', p_name, 'true', CAST(p_size AS VARCHAR)]) AS value
+        FROM part) GROUP BY field"""),
     "k14_reduction_profile": _(f"""SELECT host, count(*) AS pages, CAST(sum(b) AS BIGINT) AS before, CAST(sum(a) AS BIGINT) AS after,
         round(1 - sum(a) / sum(b), 9) AS saved
       FROM (SELECT host, b, CASE WHEN a > 12000 THEN 12000 + length('..<!-- ... ' || (a - 12000) || ' Zeichen gekürzt ... -->') ELSE a END AS a

@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space
+# Unicode white space, as a pattern and as characters
 SPACE = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
          r"\x{205f}\x{3000}]")
+SPACE_CHARS = ("\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b)))
+               + "\u2028\u2029\u202f\u205f\u3000")
 _WORD = r"\p{L}\p{N}_"
 
 # Contact data and prices
@@ -41,7 +43,7 @@ def squeeze(text: Column) -> Column:
 
 
 def strip_space(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(text, F.lit(SPACE_CHARS))
 
 
 def decode(text: Column) -> Column:
@@ -77,9 +79,8 @@ def visible_text(html: Column) -> Column:
 def readable_text(html: Column, max_chars: int | None = None) -> Column:
     """Text nodes on lines of their own, without junk and page furniture."""
     marked = F.regexp_replace(without(html, JUNK + FURNITURE), "<[^>]*>", "\u0001")
-    edge = rf"(?:{SPACE}|\x01)*\x01(?:{SPACE}|\x01)*"
-    lines = F.regexp_replace(decode(marked), edge, "\n")
-    text = strip_space(lines)
+    nodes = F.transform(F.split(decode(marked), "\u0001"), strip_space)
+    text = F.array_join(F.filter(nodes, lambda x: x != ""), "\n")
     return text if max_chars is None else F.substring(text, 1, max_chars)
 
 

@@ -21,7 +21,7 @@ def seeds(lines: DataFrame) -> DataFrame:
 def followable(pages: DataFrame, same_host: bool = True, containing: str = "") -> DataFrame:
     """(page_id, pos, target, text): links a crawl would follow, once per page."""
     href = X.strip_space(F.col("href"))
-    found = P._anchors(pages).filter(
+    found = P.anchors(pages).filter(
         ~href.rlike("^(?:mailto:|tel:|javascript:|#)")
     ).select("page_id", "url", "pos", "text",
              X.normalise_url(X.resolve_url(F.col("url"), href)).alias("target"))

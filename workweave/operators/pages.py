@@ -1,12 +1,14 @@
 """Record tables from captured pages.
 
 Input is a page table ``(page_id, url, html)``. Every preset gives records
-``(page_id, url, kind, pos, fields)`` with ``fields`` as an ordered-key map of text. All work
-is regular expressions inside Catalyst; only the page table's three columns are read.
+``(page_id, url, kind, preset, pos, fields)`` with ``fields`` as a map of text. All work is
+regular expressions inside Catalyst, and any number of presets reads the pages once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,206 +22,237 @@ KEPT_CLASSES = 4
 KEPT_VALUE_CHARS = 120
 
 
-def _records(pages: DataFrame, kind: str, items: Column, fields: dict[str, Column],
-             keep: Column | None = None) -> DataFrame:
-    """Explode ``items`` (structs in column ``r``) into records."""
-    rows = pages.select("page_id", "url", F.posexplode(items).alias("pos", "r"))
-    if keep is not None:
-        rows = rows.filter(keep)
-    entries = [x for name, value in fields.items() for x in (F.lit(name), value)]
-    return rows.select("page_id", "url", F.lit(kind).alias("kind"), "pos",
-                       F.create_map(*entries).alias("fields"))
-
-
-def _elements(html: Column, tag: str) -> Column:
-    """Structs (attrs, body) of all elements of a tag, in order."""
-    pattern = F.lit(X.element_pattern(tag))
-    return F.arrays_zip(
-        F.regexp_extract_all(html, pattern, F.lit(1)).alias("attrs"),
-        F.regexp_extract_all(html, pattern, F.lit(2)).alias("body"))
-
-
-def _clean_html() -> Column:
-    return X.without(F.col("html"), X.UNSEEN)
-
-
-def body_text(pages: DataFrame) -> DataFrame:
-    t = X.visible_text(F.col("html"))
-    return pages.select("page_id", "url", F.array(F.struct(t.alias("text"))).alias("i")).transform(
-        lambda d: _records(d, "text", F.col("i"), {
-            "text": F.col("r.text"), "laenge": F.length("r.text").cast("string")},
-            F.col("r.text") != ""))
-
-
-def paragraphs(pages: DataFrame) -> DataFrame:
-    """A paragraph ends at its end tag, the next paragraph or the end of the article."""
-    marked = F.regexp_replace(_clean_html(), r"(?is)<p(?:\s[^>]*)?>", "\u0001")
-    split = F.split(marked, "\u0001")
-    parts = F.slice(split, 2, F.size(split))
-    bodies = F.transform(parts, lambda x: F.struct(X.inner_text(
-        F.regexp_extract(x, r"(?is)^(.*?)(?:</p|</article|\z)", 1)).alias("text")))
-    return _records(pages, "absatz", bodies, {"text": F.col("r.text")}, F.col("r.text") != "")
-
-
-def headings(pages: DataFrame) -> DataFrame:
-    """By level, then position."""
-    def of_level(tag: str) -> Column:
-        return F.transform(_elements(_clean_html(), tag), lambda e: F.struct(
-            F.lit(tag).alias("level"), X.inner_text(e.body).alias("text")))
-
-    levels = F.concat(*[of_level(f"h{n}") for n in range(1, 7)])
-    return _records(pages, "ueberschrift", levels, {
-        "ebene": F.col("r.level"), "text": F.col("r.text")}, F.col("r.text") != "")
-
-
-def _anchors(pages: DataFrame) -> DataFrame:
-    """(page_id, url, pos, text, href) of all anchors with a target."""
-    rows = pages.select("page_id", "url", F.posexplode(_elements(_clean_html(), "a"))
-                        .alias("pos", "r"))
-    return rows.filter(X.has_attribute(F.col("r.attrs"), "href")).select(
-        "page_id", "url", "pos", X.inner_text(F.col("r.body")).alias("text"),
-        X.attribute(F.col("r.attrs"), "href").alias("href"))
-
-
-def links(pages: DataFrame) -> DataFrame:
-    return _anchors(pages).select(
-        "page_id", "url", F.lit("link").alias("kind"), "pos",
-        F.create_map(F.lit("text"), F.col("text"), F.lit("url"),
-                     X.resolve_url(F.col("url"), F.col("href"))).alias("fields"))
-
-
-def images(pages: DataFrame) -> DataFrame:
-    tags = F.regexp_extract_all(_clean_html(), F.lit(r"(?is)<img(\s[^>]*)>"), F.lit(1))
-    rows = pages.select("page_id", "url", F.posexplode(tags).alias("pos", "attrs"))
-    source = F.coalesce(F.nullif(X.attribute(F.col("attrs"), "src"), F.lit("")),
-                        X.attribute(F.col("attrs"), "data-src"))
-    return rows.withColumn("src", source).filter("src <> ''").select(
-        "page_id", "url", F.lit("bild").alias("kind"), "pos",
-        F.create_map(
-            F.lit("url"), X.resolve_url(F.col("url"), F.col("src")),
-            F.lit("alt"), X.squeeze(X.attribute(F.col("attrs"), "alt")),
-            F.lit("titel"), X.squeeze(X.attribute(F.col("attrs"), "title"))).alias("fields"))
+# -- presets as expressions ------------------------------------------------------------
+# Each gives an array of structs (pos, fields) for one page. ``PREPARED`` names the columns
+# they read; a projection computes those once per page, whatever the number of presets.
+PREPARED = {
+    "clean": lambda: X.without(F.col("html"), X.UNSEEN),
+    "seen": lambda: X.inner_text(F.col("clean")),
+    "head": lambda: X.without(F.col("html"), ["script", "style"]),
+    "uncommented": lambda: F.regexp_replace("html", "(?s)<!--.*?-->", " "),
+}
 
 
 def _parts(markup: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(markup, F.lit(pattern), F.lit(group))
 
 
-def tables(pages: DataFrame) -> DataFrame:
-    """Table rows keyed by header or ``spalte_n``; header rows come out as rows too."""
-    found = pages.select("page_id", "url", F.posexplode(
-        _parts(_clean_html(), r"(?is)<table(?:\s[^>]*)?>(.*?)</table\s*>")).alias("t", "table"))
-    heads = F.transform(_parts(F.col("table"), r"(?is)<th(?:\s[^>]*)?>(.*?)</th\s*>"), X.inner_text)
-    rows = found.select("page_id", "url", "t", heads.alias("heads"), F.posexplode(
-        _parts(F.col("table"), r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr\s*>")).alias("n", "row"))
-    cells = F.transform(_parts(F.col("row"), r"(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]\s*>"),
-                        X.inner_text)
-    keyed = rows.withColumn("cells", cells).filter(F.exists("cells", lambda c: c != ""))
-    head = lambda i: F.coalesce(F.get("heads", i), F.lit(""))
-    names = F.transform("cells", lambda c, i: F.when(head(i) != "", head(i)).otherwise(
-        F.concat(F.lit("spalte_"), (i + 1).cast("string"))))
-    # a repeated heading keeps the last cell, as assignment by name does
-    pairs = F.transform(F.arrays_zip(names.alias("k"), F.col("cells").alias("v")),
-                        lambda e: F.struct(e.k, e.v))
-    latest = F.filter(pairs, lambda e, i: ~F.array_contains(
-        F.transform(F.slice(pairs, i + 2, F.size(pairs)), lambda o: o.k), e.k))
-    number = F.create_map(F.lit("tabelle"), (F.col("t") + 1).cast("string"))
-    w = F.col("t").cast("long") * 1_000_000 + F.col("n")
-    return keyed.select("page_id", "url", F.lit("tabellenzeile").alias("kind"), w.alias("pos"),
-                        F.map_concat(number, F.map_from_entries(latest)).alias("fields"))
-
-
-def list_items(pages: DataFrame) -> DataFrame:
-    items = F.transform(_elements(_clean_html(), "li"),
-                        lambda e: F.struct(X.inner_text(e.body).alias("text")))
-    return _records(pages, "listeneintrag", items, {"text": F.col("r.text")},
-                    F.col("r.text") != "")
-
-
-def matches(pages: DataFrame, kind: str, text: Column, pattern: str, min_digits: int = 0
-            ) -> DataFrame:
-    """Distinct matches of a pattern per page, in order of first appearance."""
-    found = F.array_distinct(_parts(text, pattern, 0))
-    items = F.transform(found, lambda m: F.struct(X.strip_space(m).alias("text")))
-    digits = F.length(F.regexp_replace("r.text", r"\P{Nd}", ""))
-    return _records(pages, kind, items, {"wert": F.col("r.text")},
-                    digits >= min_digits if min_digits else None)
+def _numbered(items: Column, make: Callable[[Column], dict[str, Column]]) -> Column:
+    """Structs of ``make`` with their position in the list."""
+    return F.transform(items, lambda e, i: F.struct(
+        i.cast("long").alias("pos"), *[v.alias(n) for n, v in make(e).items()]))
 
 
-def emails(pages: DataFrame, text: Column | None = None) -> DataFrame:
-    return matches(pages, "email", _seen(text), X.EMAIL)
+def _fields(items: Column, names: dict[str, str]) -> Column:
+    """Struct fields as a map: ``names`` maps field names to struct fields."""
+    return F.transform(items, lambda e: F.struct(e["pos"].alias("pos"), F.create_map(*[
+        x for name, at in names.items() for x in (F.lit(name), e[at])]).alias("fields")))
 
 
-def phones(pages: DataFrame, text: Column | None = None) -> DataFrame:
-    return matches(pages, "telefon", _seen(text), X.PHONE, min_digits=7)
+def _texts(markup: Column, pattern: str) -> Column:
+    """Non-empty inner texts of a pattern's first group, as field ``text``."""
+    found = _numbered(_parts(markup, pattern), lambda e: {"text": X.inner_text(e)})
+    return _fields(F.filter(found, lambda e: e.text != ""), {"text": "text"})
 
 
-def prices(pages: DataFrame, text: Column | None = None) -> DataFrame:
-    return matches(pages, "preis", _seen(text), X.PRICE)
+def _text_items() -> Column:
+    t = F.col("seen")
+    one = F.struct(F.lit(0).cast("long").alias("pos"), F.create_map(
+        F.lit("text"), t, F.lit("laenge"), F.length(t).cast("string")).alias("fields"))
+    return F.filter(F.array(one), lambda e: F.length(t) > 0)
 
 
-def _seen(text: Column | None) -> Column:
-    return X.visible_text(F.col("html")) if text is None else text
-
-
-def metadata(pages: DataFrame) -> DataFrame:
+def _paragraph_items() -> Column:
+    """A paragraph ends at its end tag, the next paragraph or the end of the article."""
+    marked = F.regexp_replace("clean", r"(?is)<p(?:\s[^>]*)?>", "\u0001")
+    split = F.split(marked, "\u0001")
+    found = _numbered(F.slice(split, 2, F.size(split)), lambda e: {"text": X.inner_text(
+        F.regexp_extract(e, r"(?is)^(.*?)(?:</p|</article|\z)", 1))})
+    return _fields(F.filter(found, lambda e: e.text != ""), {"text": "text"})
+
+
+def _heading_items() -> Column:
+    """By level, then position; one pass finds all levels."""
+    pattern = r"(?is)<(h[1-6])(?:\s[^>]*)?>(.*?)</\1\s*>"
+    found = F.transform(_parts(F.col("clean"), pattern, 0), lambda e, i: F.struct(
+        F.lower(F.regexp_extract(e, pattern, 1)).alias("level"), i.alias("i"),
+        F.regexp_extract(e, pattern, 2).alias("body")))
+    listed = _numbered(F.array_sort(found), lambda e: {
+        "level": e.level, "text": X.inner_text(e.body)})
+    return _fields(F.filter(listed, lambda e: e.text != ""), {"ebene": "level", "text": "text"})
+
+
+def _anchor_items() -> Column:
+    """Structs (pos, text, href) of all anchors with a target."""
+    pattern = X.element_pattern("a")
+    found = F.transform(_parts(F.col("clean"), pattern, 0), lambda e, i: F.struct(
+        i.cast("long").alias("pos"), F.regexp_extract(e, pattern, 1).alias("attrs"),
+        F.regexp_extract(e, pattern, 2).alias("body")))
+    linked = F.filter(found, lambda e: X.has_attribute(e.attrs, "href"))
+    return F.transform(linked, lambda e: F.struct(
+        e.pos.alias("pos"), X.inner_text(e.body).alias("text"),
+        X.attribute(e.attrs, "href").alias("href")))
+
+
+def _link_items() -> Column:
+    resolved = F.transform(_anchor_items(), lambda e: F.struct(
+        e.pos.alias("pos"), e.text.alias("text"),
+        X.resolve_url(F.col("url"), e.href).alias("target")))
+    return _fields(resolved, {"text": "text", "url": "target"})
+
+
+def _image_items() -> Column:
+    tags = _numbered(_parts(F.col("clean"), r"(?is)<img(\s[^>]*)>"), lambda a: {
+        "attrs": a, "src": F.coalesce(F.nullif(X.attribute(a, "src"), F.lit("")),
+                                      X.attribute(a, "data-src"))})
+    shown = F.transform(F.filter(tags, lambda e: e.src != ""), lambda e: F.struct(
+        e.pos.alias("pos"), X.resolve_url(F.col("url"), e.src).alias("target"),
+        X.squeeze(X.attribute(e.attrs, "alt")).alias("alt"),
+        X.squeeze(X.attribute(e.attrs, "title")).alias("title")))
+    return _fields(shown, {"url": "target", "alt": "alt", "titel": "title"})
+
+
+def _table_items() -> Column:
+    """Rows keyed by header or ``spalte_n``; header rows come out as rows too."""
+    def cells(row: Column) -> Column:
+        return F.transform(_parts(row, r"(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]\s*>"), X.inner_text)
+
+    def rows(table: Column, t: Column) -> Column:
+        heads = F.transform(_parts(table, r"(?is)<th(?:\s[^>]*)?>(.*?)</th\s*>"), X.inner_text)
+        return F.transform(
+            _parts(table, r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr\s*>"), lambda row, n: F.struct(
+                (t.cast("long") * 1_000_000 + n).alias("pos"), t.alias("t"), heads.alias("heads"),
+                cells(row).alias("cells")))
+
+    def fields(e: Column) -> Column:
+        head = lambda i: F.coalesce(F.get(e.heads, i), F.lit(""))
+        named = F.transform(e.cells, lambda c, i: F.struct(
+            F.when(head(i) != "", head(i)).otherwise(
+                F.concat(F.lit("spalte_"), (i + 1).cast("string"))).alias("k"), c.alias("v")))
+        # a repeated heading keeps the last cell, as assignment by name does
+        latest = F.filter(named, lambda x, i: ~F.exists(
+            F.slice(named, i + 2, F.size(named)), lambda o: o.k == x.k))
+        number = F.create_map(F.lit("tabelle"), (e.t + 1).cast("string"))
+        return F.map_concat(number, F.map_from_entries(latest))
+
+    tables = _parts(F.col("clean"), r"(?is)<table(?:\s[^>]*)?>(.*?)</table\s*>")
+    found = F.flatten(F.transform(tables, rows))
+    filled = F.filter(found, lambda e: F.exists(e.cells, lambda c: c != ""))
+    return F.transform(filled, lambda e: F.struct(e.pos.alias("pos"), fields(e).alias("fields")))
+
+
+def _list_items() -> Column:
+    return _texts(F.col("clean"), r"(?is)<li(?:\s[^>]*)?>(.*?)</li\s*>")
+
+
+def _match_items(text: Column, pattern: str, min_digits: int = 0) -> Column:
+    """Distinct matches of a pattern, in order of first appearance."""
+    found = _numbered(F.array_distinct(_parts(text, pattern, 0)), lambda m: {
+        "text": X.strip_space(m)})
+    if min_digits:
+        found = F.filter(found, lambda e: F.length(
+            F.regexp_replace(e.text, r"\P{Nd}", "")) >= min_digits)
+    return _fields(found, {"wert": "text"})
+
+
+def _meta_items() -> Column:
     """The title, then meta tags with a name (or property) and a content."""
-    html = X.without(F.col("html"), ["script", "style"])
-    title = F.regexp_extract(html, X.element_pattern("title"), 2)
-    has_title = F.regexp_like(html, F.lit(r"(?is)<title(?:\s[^>]*)?>"))
-    head = F.when(has_title, F.array(F.struct(
-        F.lit("title").alias("k"), X.squeeze(X.decode(title)).alias("v")))).otherwise(
-        F.array().cast("array<struct<k:string,v:string>>"))
-    name = lambda a: F.coalesce(F.nullif(X.attribute(a, "name"), F.lit("")),
-                                X.attribute(a, "property"))
+    html = F.col("head")
+    title = X.squeeze(X.decode(F.regexp_extract(html, X.element_pattern("title"), 2)))
+    first = F.filter(F.array(F.struct(F.lit("title").alias("k"), title.alias("v"))),
+                     lambda _: F.regexp_like(html, F.lit(r"(?is)<title(?:\s[^>]*)?>")))
     tags = F.transform(_parts(html, r"(?is)<meta(\s[^>]*)>"), lambda a: F.struct(
-        name(a).alias("k"), X.squeeze(X.attribute(a, "content")).alias("v")))
+        F.coalesce(F.nullif(X.attribute(a, "name"), F.lit("")), X.attribute(a, "property"))
+        .alias("k"), X.squeeze(X.attribute(a, "content")).alias("v")))
     named = F.filter(tags, lambda e: (e.k != "") & (e.v != ""))
-    return _records(pages, "meta", F.concat(head, named), {
-        "feld": F.col("r.k"), "wert": F.col("r.v")})
+    rows = _numbered(F.concat(first, named), lambda e: {"k": e.k, "v": e.v})
+    return _fields(rows, {"feld": "k", "wert": "v"})
 
 
-def json_ld(pages: DataFrame) -> DataFrame:
+def _json_ld_items() -> Column:
     """Objects of JSON-LD scripts, scalar fields only; unreadable scripts are passed over."""
-    html = F.regexp_replace("html", "(?s)<!--.*?-->", " ")
-    scripts = F.filter(_elements(html, "script"), lambda e: X.attribute(e.attrs, "type")
-                       == "application/ld+json")
-    bodies = pages.select("page_id", "url", F.posexplode(scripts).alias("n", "r")).select(
-        "page_id", "url", "n", F.try_parse_json("r.body").alias("v")).filter("v is not null")
-    kind = F.schema_of_variant("v")
-    as_list = F.when(kind.startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>"))
-    as_one = F.when(kind.startswith("OBJECT"), F.array("v"))
-    items = bodies.select("page_id", "url", "n", F.posexplode(F.coalesce(as_list, as_one))
-                          .alias("i", "item"))
-    fields = F.try_variant_get("item", "$", "map<string,variant>")
-    scalar = F.map_filter(fields, lambda _, v: F.schema_of_variant(v).rlike(
-        "^(STRING|BIGINT|DOUBLE|DECIMAL|BOOLEAN)"))
-    texts = F.transform_values(scalar, lambda _, v: F.try_variant_get(v, "$", "string"))
-    return items.filter(F.schema_of_variant("item").startswith("OBJECT")).select(
-        "page_id", "url", F.lit("jsonld").alias("kind"),
-        (F.col("n").cast("long") * 1_000_000 + F.col("i")).alias("pos"), texts.alias("fields"))
-
-
-PRESETS = {
-    "text": body_text, "headings": headings, "links": links, "images": images, "tables": tables,
-    "lists": list_items, "emails": emails, "phones": phones, "prices": prices,
-    "meta": metadata, "jsonld": json_ld, "paragraphs": paragraphs,
+    pattern = X.element_pattern("script")
+    scripts = F.filter(_parts(F.col("uncommented"), pattern, 0), lambda e: X.attribute(
+        F.regexp_extract(e, pattern, 1), "type") == "application/ld+json")
+    parsed = _numbered(scripts, lambda e: {
+        "v": F.try_parse_json(F.regexp_extract(e, pattern, 2))})
+
+    def objects(s: Column) -> Column:
+        kind = F.coalesce(F.schema_of_variant(s.v), F.lit(""))
+        items = F.when(kind.startswith("ARRAY"), F.try_variant_get(s.v, "$", "array<variant>")
+                       ).when(kind.startswith("OBJECT"), F.array(s.v)
+                              ).otherwise(F.array().cast("array<variant>"))
+        return F.transform(items, lambda v, i: F.struct(
+            (s.pos * 1_000_000 + i).alias("pos"), v.alias("item")))
+
+    def scalars(item: Column) -> Column:
+        whole = F.try_variant_get(item, "$", "map<string,variant>")
+        plain = F.map_filter(whole, lambda _, v: F.schema_of_variant(v).rlike(
+            "^(STRING|BIGINT|DOUBLE|DECIMAL|BOOLEAN)"))
+        return F.transform_values(plain, lambda _, v: F.try_variant_get(v, "$", "string"))
+
+    found = F.filter(F.flatten(F.transform(parsed, objects)),
+                     lambda e: F.schema_of_variant(e["item"]).startswith("OBJECT"))
+    return F.transform(found, lambda e: F.struct(
+        e["pos"].alias("pos"), scalars(e["item"]).alias("fields")))
+
+
+# preset: (kind of record, columns it reads, items)
+PRESETS: dict[str, tuple[str, list[str], Callable[[], Column]]] = {
+    "text": ("text", ["clean", "seen"], _text_items),
+    "headings": ("ueberschrift", ["clean"], _heading_items),
+    "links": ("link", ["clean"], _link_items),
+    "images": ("bild", ["clean"], _image_items),
+    "tables": ("tabellenzeile", ["clean"], _table_items),
+    "lists": ("listeneintrag", ["clean"], _list_items),
+    "emails": ("email", ["clean", "seen"], lambda: _match_items(F.col("seen"), X.EMAIL)),
+    "phones": ("telefon", ["clean", "seen"], lambda: _match_items(F.col("seen"), X.PHONE, 7)),
+    "prices": ("preis", ["clean", "seen"], lambda: _match_items(F.col("seen"), X.PRICE)),
+    "meta": ("meta", ["head"], _meta_items),
+    "jsonld": ("jsonld", ["uncommented"], _json_ld_items),
+    "paragraphs": ("absatz", ["clean"], _paragraph_items),
 }
 
 
+def _prepared(pages: DataFrame, needed: list[str]) -> DataFrame:
+    """The columns presets read, each computed once; ``html`` itself is left behind."""
+    ready = pages
+    for name, build in PREPARED.items():
+        if name in needed:
+            ready = ready.withColumn(name, build())
+    return ready.drop("html")
+
+
 def extract(pages: DataFrame, presets: list[str], min_length: int = 0) -> DataFrame:
-    """Records of several presets; ``preset`` keeps their order within a page."""
-    parts = [
-        PRESETS[name](pages).withColumn("preset", F.lit(n)).withColumn(
-            "pos", F.col("pos").cast("long"))
-        for n, name in enumerate(presets)
-    ]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    """Records of several presets in one pass; ``preset`` keeps their order within a page."""
+    def tagged(n: int, name: str) -> Column:
+        kind, _reads, items = PRESETS[name]
+        return F.transform(items(), lambda e: F.struct(
+            F.lit(kind).alias("kind"), F.lit(n).alias("preset"), e["pos"].alias("pos"),
+            e["fields"].alias("fields")))
+
+    needed = [c for name in presets for c in PRESETS[name][1]]
+    lists = [tagged(n, name) for n, name in enumerate(presets)]
+    found = _prepared(pages, needed).select(
+        "page_id", "url", F.explode(F.concat(*lists)).alias("r")
+    ).select("page_id", "url", "r.kind", "r.preset", "r.pos", "r.fields")
     return long_enough(found, min_length) if min_length else found
 
 
+def matches(texts: DataFrame, kind: str, text: Column, pattern: str, min_digits: int = 0
+            ) -> DataFrame:
+    """Distinct matches of any pattern in a text column, as records."""
+    return texts.select("page_id", "url", F.explode(_match_items(text, pattern, min_digits))
+                        .alias("r")).select(
+        "page_id", "url", F.lit(kind).alias("kind"), F.lit(0).alias("preset"), "r.pos", "r.fields")
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """(page_id, url, pos, text, href) of all anchors with a target."""
+    return _prepared(pages, ["clean"]).select(
+        "page_id", "url", F.explode(_anchor_items()).alias("r")).select("page_id", "url", "r.*")
+
+
 def long_enough(records: DataFrame, n: int) -> DataFrame:
     """Minimum length of ``text``, or of ``wert`` where there is no text."""
     text = F.coalesce(F.nullif(F.element_at("fields", F.lit("text")), F.lit("")),
@@ -241,9 +274,12 @@ def reduced_html(html: Column, max_chars: int = REDUCED_CHARS, keep_links: bool
     kept = "|".join(KEPT_ATTRIBUTES if keep_links else
                     [a for a in KEPT_ATTRIBUTES if a != "href"])
     value = r"""(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+    keep = rf"(?:{kept})(?=[\s=/>])"
+    # from each tag name (or the place of the last removal) over kept attributes to one
+    # that goes; the scan stays inside start tags
     text = F.regexp_replace(
-        text, rf"(?is)(?<=[a-z0-9\"'])\s+(?!(?:{kept})[\s=>])[a-z_:@][a-z0-9_:.@-]*{value}"
-              r"(?=[^<>]*>)", "")
+        text, rf"(?is)((?:<[a-z][a-z0-9]*|(?!\A)\G)(?:\s+{keep}{value})*)"
+              rf"\s+(?!{keep})[a-z_:@][a-z0-9_:.@-]*{value}", "$1")
     text = F.regexp_replace(
         text, rf"""(?is)(\sclass\s*=\s*["'])((?:[^\s"']+\s+){{{KEPT_CLASSES - 1}}}[^\s"']+)"""
               r"""\s[^"'<>]*(["'])""", "$1$2$3")
@@ -273,12 +309,13 @@ def signatures(pages: DataFrame) -> DataFrame:
     """(page_id, url, pos, signature): ``tag.class1.class2`` of start tags with classes."""
     html = F.regexp_replace("html", X.block_pattern(X.JUNK), " ")
     pattern = r"(?is)<([a-z][a-z0-9]*)(\s[^>]*)>"
-    tags = F.arrays_zip(_parts(html, pattern, 1).alias("tag"), _parts(html, pattern, 2).alias("attrs"))
-    rows = pages.select("page_id", "url", F.posexplode(tags).alias("pos", "r"))
-    names = F.slice(F.split(X.squeeze(X.attribute(F.col("r.attrs"), "class")), " "), 1, KEPT_CLASSES)
-    return rows.withColumn("classes", names).filter(F.get("classes", 0) != "").select(
-        "page_id", "url", "pos",
-        F.concat_ws(".", F.lower("r.tag"), "classes").alias("signature"))
+    tags = F.transform(_parts(html, pattern, 0), lambda e, i: F.struct(
+        i.alias("pos"), F.lower(F.regexp_extract(e, pattern, 1)).alias("tag"),
+        F.slice(F.split(X.squeeze(X.attribute(F.regexp_extract(e, pattern, 2), "class")), " "),
+                1, KEPT_CLASSES).alias("classes")))
+    marked = F.filter(tags, lambda e: F.get(e.classes, F.lit(0)) != "")
+    return pages.select("page_id", "url", F.explode(marked).alias("r")).select(
+        "page_id", "url", "r.pos", F.concat_ws(".", "r.tag", "r.classes").alias("signature"))
 
 
 def repeated_signatures(found: DataFrame, keys: list[str]) -> DataFrame:

@@ -72,50 +72,76 @@ def _start_tag(node: Column) -> Column:
                     F.array_join(demand, ""), F.lit(r"((?:\s[^>]*)?)>"))
 
 
-def _read(block: Column, selector: Column, base: Column) -> Column:
+def _compiled(templates: DataFrame, extra: list[str]) -> DataFrame:
+    """Templates with their selectors as patterns, computed once per template."""
+    def reads(f: Column) -> Column:
+        node, wanted = _node(f.value), _wanted_attribute(f.value)
+        tag, start = _tag(node), _start_tag(node)
+        close = F.when(tag == "", "</").otherwise(F.concat(F.lit("</"), tag, F.lit(r"\s*>")))
+        return F.struct(
+            f.key.alias("key"), (node == "").alias("whole"), wanted.alias("wanted"),
+            F.concat(F.lit("(?is)"), start).alias("start"),
+            F.concat(F.lit("(?is)"), start, F.lit("(.*?)(?:"), close, F.lit(r"|\z)")).alias("body"),
+            F.concat(F.lit(r"(?is)\s"), wanted, F.lit(r"""\s*=\s*["']?([^"'>]*)""")).alias("attr"))
+
+    container = F.col("container")
+    return templates.select(
+        "host", *extra, (container == "").alias("whole_page"),
+        F.concat(F.lit("(?is)"), _start_tag(container)).alias("opens"),
+        F.concat(F.lit(r"(?is)^(.*?)(?:</"), _tag(container), F.lit(r"\s*>|\z)")).alias("closes"),
+        F.transform(F.map_entries("fields"), reads).alias("reads"))
+
+
+def _read(block: Column, r: Column, base: Column) -> Column:
     """Text or attribute of the first match within a block."""
-    node, wanted = _node(selector), _wanted_attribute(selector)
-    tag = _tag(node)
-    start = _start_tag(node)
-    close = F.when(tag == "", r"</").otherwise(F.concat(F.lit("</"), tag, F.lit(r"\s*>")))
-    body = _extract(
-        block, F.concat(F.lit("(?is)"), start, F.lit("(.*?)(?:"), close, F.lit(r"|\z)")), F.lit(2))
-    own = F.when(node == "", block).otherwise(body)
-    attrs = _extract(block, F.concat(F.lit("(?is)"), start), F.lit(1))
-    pattern = F.concat(F.lit(r"(?is)\s"), wanted, F.lit(r"""\s*=\s*["']?([^"'>]*)"""))
-    value = X.decode(_extract(attrs, pattern, F.lit(1)))
-    target = F.when(wanted.isin("href", "src") & (value != ""), X.resolve_url(base, value)
+    body = F.when(r.whole, block).otherwise(_extract(block, r.body, F.lit(2)))
+    value = X.decode(_extract(_extract(block, r.start, F.lit(1)), r.attr, F.lit(1)))
+    target = F.when(r.wanted.isin("href", "src") & (value != ""), X.resolve_url(base, value)
                     ).otherwise(value)
-    return F.when(wanted.isNotNull(), X.squeeze(target)).otherwise(X.inner_text(own))
+    return F.when(r.wanted.isNotNull(), X.squeeze(target)).otherwise(X.inner_text(body))
 
 
-def _blocks(html: Column, container: Column) -> Column:
+def _blocks(html: Column, opens: Column, closes: Column, whole_page: Column) -> Column:
     """Content of every container, up to its first end tag; the whole page without one."""
-    start = F.concat(F.lit("(?is)"), _start_tag(container))
-    parts = _after_first(F.split(F.regexp_replace(html, start, F.lit("\u0001")), "\u0001"))
-    end = F.concat(F.lit(r"(?is)^(.*?)(?:</"), _tag(container), F.lit(r"\s*>|\z)"))
-    inner = F.transform(parts, lambda b: _extract(b, end, F.lit(1)))
-    return F.when(container == "", F.array(html)).otherwise(inner)
+    parts = _after_first(F.split(F.regexp_replace(html, opens, F.lit("\u0001")), "\u0001"))
+    inner = F.transform(parts, lambda b: _extract(b, closes, F.lit(1)))
+    return F.when(whole_page, F.array(html)).otherwise(inner)
+
+
+def _cut_pages(pages: DataFrame, templates: DataFrame, extra: list[str]) -> DataFrame:
+    """Pages joined to their host's templates, with ``blocks``.
+
+    The template table is broadcast while it is small, so a site with very many pages
+    stays spread over the cluster.
+    """
+    table = broadcast_if_small(settle(_compiled(templates, extra)))
+    html = X.without(F.col("html"), X.UNSEEN)
+    return pages.select("page_id", "url", html.alias("html"), X.host(F.col("url")).alias("host")
+                        ).join(table, "host").select(
+        "page_id", "url", "host", *extra, "reads",
+        _blocks(F.col("html"), F.col("opens"), F.col("closes"), F.col("whole_page"))
+        .alias("blocks"))
 
 
 def apply_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
     """Records of every page by its host's template; all-empty records are dropped.
 
-    ``templates`` has ``host, container, fields`` and may carry ``rank``. The template
-    table is broadcast while it is small, so a site with very many pages stays spread.
+    ``templates`` has ``host, container, fields`` and may carry ``rank``. A field is read
+    from all blocks of a page before the next, so its pattern is prepared once per page.
     """
     extra = [c for c in templates.columns if c not in ("host", "container", "fields")]
-    table = broadcast_if_small(settle(templates))
-    html = X.without(F.col("html"), X.UNSEEN)
-    joined = pages.select("page_id", "url", html.alias("html"),
-                          X.host(F.col("url")).alias("host")).join(table, "host")
-    cut = joined.select("page_id", "url", "host", *extra, "fields", F.posexplode(
-        _blocks(F.col("html"), F.col("container"))).alias("pos", "block"))
-    values = F.map_from_entries(F.transform(F.map_entries("fields"), lambda f: F.struct(
-        f.key, _read(F.col("block"), f.value, F.col("url")))))
-    found = cut.select("page_id", "url", F.lit("datensatz").alias("kind"),
-                       F.lit(0).alias("preset"), F.col("pos").cast("long").alias("pos"), "host",
-                       *extra, values.alias("fields"))
+    columns = F.transform("reads", lambda r: F.struct(r.key.alias("key"), F.transform(
+        "blocks", lambda b: _read(b, r, F.col("url"))).alias("values")))
+    read = _cut_pages(pages, templates, extra).select(
+        "page_id", "url", "host", *extra, columns.alias("columns"),
+        F.sequence(F.lit(0), F.size("blocks") - 1).alias("places"), F.size("blocks").alias("n")
+    ).filter("n > 0")
+    rows = read.select("page_id", "url", "host", *extra, "columns", F.explode("places").alias("pos"))
+    fields = F.map_from_entries(F.transform("columns", lambda c: F.struct(
+        c.key, F.get(c.values, F.col("pos")))))
+    found = rows.select("page_id", "url", F.lit("datensatz").alias("kind"),
+                        F.lit(0).alias("preset"), F.col("pos").cast("long").alias("pos"), "host",
+                        *extra, fields.alias("fields"))
     return R.non_empty(found)
 
 
@@ -145,12 +171,12 @@ def learn_templates(pages: DataFrame, ranks: int = 1) -> DataFrame:
         .join(hosts, "page_id")
         .select("page_id", "host", "rank", F.col("signature").alias("container"))
     )
-    html = X.without(F.col("html"), X.UNSEEN)
-    blocks = (
-        sample.select("page_id", "url", html.alias("html")).join(ranked, "page_id")
-        .select("page_id", "host", "rank", "container", "url", F.posexplode(
-            _blocks(F.col("html"), F.col("container"))).alias("block_no", "html"))
-    )
+    candidates = ranked.select("host", "rank", "container", F.create_map().cast(
+        "map<string,string>").alias("fields"))
+    cut = _cut_pages(sample.select("page_id", "url", "html"), candidates.withColumn(
+        "name", F.col("container")), ["rank", "name"])
+    blocks = cut.select("page_id", "url", "host", "rank", F.col("name").alias("container"),
+                        F.posexplode("blocks").alias("block_no", "html"))
     total = blocks.groupBy("host", "rank", "container").agg(F.count("*").alias("blocks"))
     inner = P.signatures(blocks.select(
         F.struct("host", "rank", "container", "block_no").alias("page_id"), "url", "html"))

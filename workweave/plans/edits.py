@@ -198,6 +198,11 @@ def _(p: Plan) -> DataFrame:
         "created_at", _stamp("created_at"))
 
 
+@query("h9_newest_jobs")
+def _(p: Plan) -> DataFrame:
+    return V.newest(p.stored_job.select("started_at", "job_id"), "started_at", 100).select("job_id")
+
+
 @query("j6_job_ages")
 def _(p: Plan) -> DataFrame:
     return V.age_buckets(p.task_event, "ts", datetime(2024, 1, 31))

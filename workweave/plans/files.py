@@ -30,7 +30,7 @@ def _(p: Plan) -> DataFrame:
 @query("b5_json_lines")
 def _(p: Plan) -> DataFrame:
     path = scratch_path(p.spark, "jsonl")
-    T.write_json_lines(P.links(p.web_page).withColumn("preset", F.lit(0)), path)
+    T.write_json_lines(P.extract(p.web_page, ["links"]), path)
     row = F.from_json("value", "typ string, quelle string, text string, url string").alias("r")
     return p.spark.read.text(path).select(row).select("r.*")
 

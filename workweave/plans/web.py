@@ -67,7 +67,7 @@ def _(p: Plan) -> DataFrame:
 # -- URLs and text --------------------------------------------------------------------
 @query("j1_squeezed_text")
 def _(p: Plan) -> DataFrame:
-    return p.table("documents").select("doc_id", X.squeeze(F.col("text")).alias("text"))
+    return p.document.select("doc_id", X.squeeze(F.col("text")).alias("text"))
 
 
 @query("j2_normalised_urls")
@@ -101,67 +101,76 @@ def _(p: Plan) -> DataFrame:
 # -- presets ------------------------------------------------------------------------------
 @query("k1_body_text")
 def _(p: Plan) -> DataFrame:
-    return _flat(P.body_text(p.page))
+    return _flat(P.extract(p.page, ["text"]))
 
 
 @query("k2_paragraphs")
 def _(p: Plan) -> DataFrame:
-    return _flat(P.paragraphs(p.page))
+    return _flat(P.extract(p.page, ["paragraphs"]))
 
 
 @query("k3_headings")
 def _(p: Plan) -> DataFrame:
-    return _flat(P.headings(p.web_page))
+    return _flat(P.extract(p.web_page, ["headings"]))
 
 
 @query("k4_links")
 def _(p: Plan) -> DataFrame:
-    return _flat(P.links(p.web_page))
+    return _flat(P.extract(p.web_page, ["links"]))
 
 
 @query("k5_images")
 def _(p: Plan) -> DataFrame:
-    return _flat(P.images(p.shop_page))
+    return _flat(P.extract(p.shop_page, ["images"]))
 
 
 @query("k6_tables")
 def _(p: Plan) -> DataFrame:
-    return _flat(P.tables(p.shop_page))
+    return _flat(P.extract(p.shop_page, ["tables"]))
 
 
 @query("k7_list_items")
 def _(p: Plan) -> DataFrame:
-    return _flat(P.list_items(p.page))
+    return _flat(P.extract(p.page, ["lists"]))
 
 
 def _documents(p: Plan) -> DataFrame:
-    return p.table("documents").select(F.col("doc_id").alias("page_id"),
+    return p.document.select(F.col("doc_id").alias("page_id"),
                                        F.col("source").alias("url"), "text")
 
 
 @query("k8_emails")
 def _(p: Plan) -> DataFrame:
-    return _flat(P.emails(p.web_page).unionByName(P.emails(_documents(p), F.col("text"))))
+    return _flat(P.extract(p.web_page, ["emails"]).unionByName(
+        P.matches(_documents(p), "email", F.col("text"), X.EMAIL)))
 
 
 @query("k9_phones")
 def _(p: Plan) -> DataFrame:
-    return _flat(P.phones(p.web_page).unionByName(P.phones(_documents(p), F.col("text"))))
+    return _flat(P.extract(p.web_page, ["phones"]).unionByName(
+        P.matches(_documents(p), "telefon", F.col("text"), X.PHONE, min_digits=7)))
 
 
 @query("k10_prices")
 def _(p: Plan) -> DataFrame:
-    return _flat(P.prices(p.web_page).unionByName(P.prices(_documents(p), F.col("text"))))
+    return _flat(P.extract(p.web_page, ["prices"]).unionByName(
+        P.matches(_documents(p), "preis", F.col("text"), X.PRICE)))
 
 
 @query("k11_metadata")
 def _(p: Plan) -> DataFrame:
-    return _flat(P.metadata(p.web_page))
+    return _flat(P.extract(p.web_page, ["meta"]))
 
 
 @query("k12_json_ld")
 def _(p: Plan) -> DataFrame:
-    return _flat(P.json_ld(p.web_page))
+    return _flat(P.extract(p.web_page, ["jsonld"]))
+
+
+@query("j9_scalar_fields")
+def _(p: Plan) -> DataFrame:
+    return P.extract(p.web_page, ["jsonld"]).select(F.explode("fields").alias("field", "value")).groupBy(
+        "field").agg(F.count("*").alias("objects"), F.count_distinct("value").alias("values"))
 
 
 @query("k14_reduction_profile")
@@ -243,14 +252,14 @@ def _(p: Plan) -> DataFrame:
 
 @query("c10_non_empty_records")
 def _(p: Plan) -> DataFrame:
-    blanked = P.list_items(p.page).withColumn("fields", F.when(
+    blanked = P.extract(p.page, ["lists"]).withColumn("fields", F.when(
         F.col("pos") % 3 == 0, F.create_map(F.lit("text"), F.lit(""))).otherwise(F.col("fields")))
     return _flat(R.non_empty(blanked))
 
 
 @query("c14_remove_records")
 def _(p: Plan) -> DataFrame:
-    items = P.list_items(p.page)
+    items = P.extract(p.page, ["lists"])
     chosen = items.filter(F.length(F.element_at("fields", F.lit("text"))) < 4).select("page_id", "pos")
     return _flat(items.join(chosen, ["page_id", "pos"], "left_anti"))
 
@@ -265,7 +274,7 @@ def _(p: Plan) -> DataFrame:
 
 @query("h5_german_alphabet")
 def _(p: Plan) -> DataFrame:
-    named = P.list_items(p.page).select("page_id", F.element_at("fields", F.lit("text")).alias("name"))
+    named = P.extract(p.page, ["lists"]).select("page_id", F.element_at("fields", F.lit("text")).alias("name"))
     words = named.filter(F.col("name").rlike(r"^\p{L}+$")).distinct()
     order = W.partitionBy("page_id").orderBy(F.collate("name", "de_CI_AI"), "name")
     return words.withColumn("rank", F.row_number().over(order))
@@ -285,7 +294,7 @@ def _(p: Plan) -> DataFrame:
 
 @query("e14_records_to_pages")
 def _(p: Plan) -> DataFrame:
-    items = P.list_items(p.page).withColumn("url", F.when(
+    items = P.extract(p.page, ["lists"]).withColumn("url", F.when(
         F.col("pos") == 0, F.concat("url", F.lit("/lost"))).otherwise(F.col("url")))
     attached = R.attach_to_pages(p.page, items)
     return attached.groupBy("page_id").agg(F.count("*").alias("rows"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from workweave.functions.text import host
 from workweave.operators import calendar as C
 from workweave.operators import hierarchy as H
-from workweave.session import broadcast_if_small, settle
+from workweave.session import broadcast_if_small, settle, spread
 from workweave.sources.reference import ABSENCE_TYPES, STATUSES, TASK_STATES
 
 
@@ -193,7 +193,7 @@ class Plan:
             .otherwise("advisor")
         )
         tokens = F.greatest(F.lit(1), F.floor(F.length("text") / 4).cast("int"))
-        return self.table("conversations").select(
+        return spread(self.table("conversations"), "conv_id").select(
             F.col("conv_id").alias("run_id"), F.col("turn").alias("seq"),
             tier.alias("tier"), tokens.alias("input_tokens"),
             F.floor(tokens / 4).cast("int").alias("output_tokens"), "text",
@@ -201,7 +201,11 @@ class Plan:
 
     @cached_property
     def page(self) -> DataFrame:
-        return self.table("pages").select("page_id", "url", "html")
+        return spread(self.table("pages").select("page_id", "url", "html"), "page_id")
+
+    @cached_property
+    def document(self) -> DataFrame:
+        return spread(self.table("documents"), "doc_id")
 
     @cached_property
     def job_page(self) -> DataFrame:
@@ -272,7 +276,7 @@ class Plan:
         doc = F.struct(
             F.lit(1).alias("v"), F.struct(F.lit("DE-NW").alias("region")).alias("settings"),
             F.create_map(F.year(start).cast("string"), year).alias("years"))
-        return self.table("orders").select(
+        return spread(self.table("orders"), "o_orderkey").select(
             key.cast("string").alias("plan_id"), F.to_json(doc).alias("data"))
 
     # -- pages ---------------------------------------------------------------
@@ -310,7 +314,7 @@ class Plan:
             "<table><tr><th>Merkmal</th><th></th></tr><tr><td>Marke</td><td>", F.col("p_brand"),
             '</td></tr><tr><td></td><td> </td></tr></table><p class="kontakt">Mail verkauf', key,
             "@firma.example, Tel. +49 221 ", key + 1_000_000, "</p></body></html>")
-        return self.table("part").select(
+        return spread(self.table("part"), "p_partkey").select(
             (key + 1_000_000_000).alias("page_id"),
             text("https://", site, "/katalog/", key).alias("url"), html.alias("html"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workweave.operators import hierarchy as H
+from workweave.session import settle
 from workweave.sources.reference import (
     ABSENCE_TYPES, APPROVED, DEFAULT_ENTITLEMENT, DEFAULT_LIMIT, STATUSES,
 )
@@ -81,7 +82,7 @@ def clean_departments(year: DataFrame) -> DataFrame:
         scoped("parentId").alias("parent_id"),
         _filled(F.col("name"), UNNAMED["department"]).alias("name"),
         F.coalesce("maxAbsent", F.lit(DEFAULT_LIMIT)).alias("max_absent"))
-    fixed = H.repair_parents(keyed)
+    fixed = H.repair_parents(settle(keyed))  # parsed once, read several times
     return fixed.withColumns({
         c: F.element_at(F.split(c, "\u0001"), 3) for c in ("dept_id", "parent_id")})
 
