@@ -166,3 +166,20 @@ def test_plan_files_are_read_and_cleaned(spark, tmp_path):
     absences = P.clean_absences(years).collect()
     assert [(r.absence_id, r.type, r.status) for r in absences] == [("1", "urlaub", "beantragt")]
     assert P.clean_closures(years).first().name == "Betriebsruhe"
+
+
+def test_two_levels_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCKS_OF_BLOCKS", 3)
+    rnd = random.Random(8)
+    rows = [(rnd.choice("aab"), i, rnd.randrange(9)) for i in rnd.sample(range(2000), 200)]
+    df = spark.createDataFrame(rows, "k string, seq int, x int")
+    got = S.running_sums(df, ["k"], ["seq"], S.block_of("seq", 8), {"s": F.col("x")}, levels=2)
+    total, want = {}, {}
+    for k, seq, x in sorted(rows, key=lambda r: r[1]):
+        total[k] = total.get(k, 0) + x
+        want[seq] = total[k]
+    assert {r.seq: r.s for r in got.collect()} == want
+    prev = S.previous(df, [], "seq", S.block_of("seq", 8), ["x"]).collect()
+    ordered = sorted(r[1] for r in rows)
+    before = dict(zip(ordered, [None, *ordered]))
+    assert {r.seq: (r.prev.seq if r.prev else None) for r in prev} == before

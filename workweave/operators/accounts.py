@@ -112,7 +112,7 @@ def month_distribution(absence: DataFrame, cal: DataFrame) -> DataFrame:
     per_day = O._steps(O._by_year(O.uses_allowance(absence).select("start", "end")), [])
     days = cal.select("year", "month", "i", "workday")
     return (
-        F.broadcast(days).join(per_day, ["year", "i"], "left")
+        days.join(per_day, ["year", "i"], "left")
         .groupBy("year", "month")
         .agg(F.coalesce(F.sum(F.when(F.col("workday"), F.col("n"))), F.lit(0)).alias("days"))
     )

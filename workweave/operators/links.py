@@ -59,6 +59,20 @@ def unseen(links: DataFrame, pages: DataFrame) -> DataFrame:
     return first.join(known, "target", "left_anti").select("target", "m.page_id", "m.pos")
 
 
+def _first_rows(ordered: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows by rising ``id``, whose upper bits are the sort partition.
+
+    Ranks follow from the partition sizes, so no task holds the ``n`` rows.
+    """
+    part = F.shiftright("id", 33)
+    sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("size"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    rank = F.col("start") + F.col("id").bitwiseAND(F.lit(2**33 - 1))
+    return ordered.withColumn("part", part).join(F.broadcast(starts), "part").filter(
+        rank < n).select("page", "id")
+
+
 def expand(start: DataFrame, edges: DataFrame, max_depth: int, max_pages: int) -> DataFrame:
     """(page, depth, ord): breadth-first from the seeds in discovery order.
 
@@ -67,17 +81,22 @@ def expand(start: DataFrame, edges: DataFrame, max_depth: int, max_pages: int) -
     everywhere does not gather its links in one task. Every level is checkpointed, and the
     page limit takes the prefix of the discovery order.
     """
-    def in_order(df: DataFrame, depth: int, room: int) -> DataFrame:
-        cut = df.orderBy("key").limit(room)
-        # ids rise with the sort order; the checkpoint fixes them
-        return settle(cut.select("page", F.lit(depth).alias("depth"), (
-            F.lit(depth).cast("long") * 2**56 + F.monotonically_increasing_id()).alias("ord")))
+    def in_order(df: DataFrame, depth: int, room: int) -> tuple[DataFrame, int]:
+        # ids rise with the global sort order; the checkpoint fixes them
+        ordered = settle(df.orderBy("key").select(
+            "page", F.monotonically_increasing_id().alias("id")))
+        found = ordered.count()
+        if found > room:
+            ordered, found = _first_rows(ordered, room), room
+        level = F.lit(depth).cast("long") * 2**56
+        return settle(ordered.select("page", F.lit(depth).alias("depth"),
+                                     (level + F.col("id")).alias("ord"))), found
 
     first = start.groupBy("page").agg(F.min(F.struct(F.col("ord"), F.lit(0))).alias("key"))
-    frontier = in_order(first, 0, max_pages)
-    seen, room = frontier, max_pages - frontier.count()
+    frontier, found = in_order(first, 0, max_pages)
+    seen, room = frontier, max_pages - found
     for depth in range(1, max_depth + 1):
-        if room <= 0 or frontier.isEmpty():
+        if room <= 0 or not found:
             break
         step = frontier.select(F.col("page").alias("src"), "ord")
         targets = (
@@ -86,9 +105,9 @@ def expand(start: DataFrame, edges: DataFrame, max_depth: int, max_pages: int) -
             .agg(F.min(F.struct("ord", "link_pos")).alias("key"))
             .join(seen.select("page"), "page", "left_anti")
         )
-        frontier = in_order(targets, depth, room)
-        room -= frontier.count()
-        seen = settle(seen.unionByName(frontier))
+        frontier, found = in_order(targets, depth, room)
+        room -= found
+        seen = seen.unionByName(frontier)
     return seen
 
 

@@ -22,6 +22,8 @@ _ANY_TAG = "[a-z][a-z0-9]*"
 EMPTY_LIMIT = 1.0
 # How many repeated structures are considered
 LISTED_STRUCTURES = 40
+# A template with its patterns takes a few kilobytes
+BROADCAST_TEMPLATES = 20_000
 
 
 def template_lines(lines: DataFrame) -> DataFrame:
@@ -114,7 +116,7 @@ def _cut_pages(pages: DataFrame, templates: DataFrame, extra: list[str]) -> Data
     The template table is broadcast while it is small, so a site with very many pages
     stays spread over the cluster.
     """
-    table = broadcast_if_small(settle(_compiled(templates, extra)))
+    table = broadcast_if_small(settle(_compiled(templates, extra)), limit=BROADCAST_TEMPLATES)
     html = X.without(F.col("html"), X.UNSEEN)
     return pages.select("page_id", "url", html.alias("html"), X.host(F.col("url")).alias("host")
                         ).join(table, "host").select(
@@ -230,15 +232,17 @@ def boundary_sample(records: DataFrame, key: str, size: int = 3) -> DataFrame:
     Ranks are found in blocks of pages, so that one large group is never sorted by a
     single task.
     """
-    total = records.groupBy(key).agg(F.count("*").alias("n"))
-    ranked = S.running_sums(records, [key], ["page_id", "preset", "pos"],
-                            F.floor(F.col("page_id") / 256), {"rn": F.lit(1)})
+    place = ["page_id", "preset", "pos"]
+    slim = settle(records.select(key, *place))
+    total = broadcast_if_small(settle(slim.groupBy(key).agg(F.count("*").alias("n"))))
+    ranked = S.running_sums(slim, [key], place, F.floor(F.col("page_id") / 256), {"rn": F.lit(1)},
+                            levels=2)
     at = F.col("rn") - 1
-    joined = ranked.join(broadcast_if_small(total), key)
     wanted = F.array_sort(F.array_distinct(F.array(
         F.lit(0).cast("long"), F.floor(F.col("n") / 2), F.col("n") - 1)))
-    return joined.filter(F.array_contains(F.slice(wanted, 1, size), at)).withColumn(
-        "at", at).drop("rn", "n")
+    chosen = ranked.join(total, key).filter(
+        F.array_contains(F.slice(wanted, 1, size), at)).select(*place, at.alias("at"))
+    return records.join(broadcast_if_small(settle(chosen)), place)
 
 
 # -- fallback ------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from workweave.operators import hierarchy as H
 from workweave.operators import lanes as L
 from workweave.operators import occupancy as O
 from workweave.plans.registry import query
+from workweave.session import broadcast_if_small, settle
 from workweave.sinks import reports
 from workweave.sources import reference as R
 from workweave.sources.fixtures import Plan
@@ -28,7 +29,7 @@ def _(p: Plan) -> DataFrame:
 @query("a8_absence_types")
 def _(p: Plan) -> DataFrame:
     used = p.absence.groupBy("type").agg(F.count("*").alias("entries"))
-    return F.broadcast(R.absence_types(p.spark)).join(used, "type", "left").select(
+    return R.absence_types(p.spark).join(used, "type", "left").select(
         "type", "type_ord", "counts", "quota", F.coalesce("entries", F.lit(0)).alias("entries"))
 
 
@@ -390,7 +391,7 @@ def _(p: Plan) -> DataFrame:
 @query("h2_longest_tight_periods")
 def _(p: Plan) -> DataFrame:
     ords = p.dept.select("dept_id", F.col("ord").alias("dept_ord"))
-    found = _tight(p).join(F.broadcast(ords), "dept_id")
+    found = _tight(p).join(broadcast_if_small(ords), "dept_id")
     return O.longest_tight(found).select("year", "rank", "dept_id", "from", "to", "workdays",
                                          "left_out")
 
@@ -452,7 +453,7 @@ def _(p: Plan) -> DataFrame:
 
 @query("b3_conflict_report")
 def _(p: Plan) -> DataFrame:
-    found = _conflicts(p)
+    found = settle(_conflicts(p))
     return reports.conflict_rows(
         found, O.conflict_people(found, p.absence, p.person_dept), p.person)
 

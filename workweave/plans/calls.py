@@ -19,7 +19,7 @@ def _ledger(p: Plan) -> DataFrame:
 def _(p: Plan) -> DataFrame:
     used = _ledger(p).groupBy("tier").agg(
         F.count("*").alias("calls"), F.round(F.sum("cost"), 6).alias("cost"))
-    return F.broadcast(R.tier_prices(p.spark)).join(used, "tier", "left").fillna(0)
+    return R.tier_prices(p.spark).join(used, "tier", "left").fillna(0)
 
 
 @query("e13_priced_calls")
