@@ -382,8 +382,7 @@ def _(p: Plan) -> DataFrame:
 # -- orders ------------------------------------------------------------------------
 @query("h1_conflicts_by_severity")
 def _(p: Plan) -> DataFrame:
-    tree = H.tree_order(p.tree, p.closure)
-    return O.by_severity(_conflicts(p), tree).select(
+    return O.by_severity(_conflicts(p), p.tree_order).select(
         "dept_id", "dept_name", "year", "from", "to", "workdays", "peak", "max_absent", "over",
         "severity")
 

@@ -101,6 +101,10 @@ class Plan:
             )
         ))
 
+    @cached_property
+    def tree_order(self) -> DataFrame:
+        return self._shared("tree_order", lambda: settle(H.tree_order(self.tree, self.closure)))
+
     @cached_property
     def limits(self) -> DataFrame:
         return broadcast_if_small(H.limits(self.dept))
