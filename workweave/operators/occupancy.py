@@ -217,10 +217,9 @@ def conflict_people(found: DataFrame, absence: DataFrame, person_dept: DataFrame
     that a period with very many people stays spread over many tasks.
     """
     hot = broadcast_if_small(settle(conflict_days(found)))
-    away = days_of(countable(absence).select("person_id", "absence_id", "ord", "start", "end"))
-    # only days that are a conflict day anywhere can matter: prune before the fan-out
-    away = away.join(F.broadcast(hot.select("day").distinct()), "day", "left_semi")
-    placed = away.join(person_dept, "person_id").withColumn("dept_id", F.explode("dept_ids"))
+    # one row per person and day first: a person with very many entries stays small
+    first = _first_entries(absence, hot)
+    placed = first.join(person_dept, "person_id").withColumn("dept_id", F.explode("dept_ids"))
     return (
         placed.join(hot, ["dept_id", "day"])
         .groupBy("dept_id", "period", "person_id")
@@ -260,13 +259,22 @@ def load_runs(occ: DataFrame, cal: DataFrame) -> DataFrame:
 # -- questions about single days and entries ----------------------------------
 def absent_on(absence: DataFrame, person: DataFrame, days: DataFrame | None = None) -> DataFrame:
     """(day, person_id, absence_id): who is away, weekends included, first entry wins."""
+    return _first_entries(absence, days).select("day", "person_id", "absence_id").join(
+        person.select("person_id"), "person_id", "left_semi")
+
+
+def _first_entries(absence: DataFrame, days: DataFrame | None) -> DataFrame:
+    """(person_id, day, ord, absence_id): the first countable entry of a person's day.
+
+    ``days`` keeps certain days only; there is at most one per calendar day, so they are
+    broadcast. Entries are combined before the shuffle.
+    """
     away = days_of(countable(absence).select("person_id", "absence_id", "ord", "start", "end"))
     if days is not None:
-        away = away.join(days.select("day").distinct(), "day", "left_semi")
-    first = away.groupBy("day", "person_id").agg(
-        F.min(F.struct("ord", "absence_id")).alias("m"))
-    return first.select("day", "person_id", F.col("m.absence_id").alias("absence_id")).join(
-        person.select("person_id"), "person_id", "left_semi")
+        away = away.join(F.broadcast(days.select("day").distinct()), "day", "left_semi")
+    return away.groupBy("person_id", "day").agg(
+        F.min(F.struct("ord", "absence_id")).alias("m")
+    ).select("person_id", "day", "m.ord", "m.absence_id")
 
 
 def day_detail(occ_all_days: DataFrame, limits: DataFrame) -> DataFrame:
@@ -318,6 +326,8 @@ def screen(proposal: DataFrame, absence: DataFrame, person_dept: DataFrame, limi
     The count of other people equals the branch occupancy less the person's own presence,
     so occupancy is computed once and no list of people is formed. The person's own days
     come from one merged set; a replaced entry only ever belongs to the same person.
+    Grouping leaves out the person on purpose: the join on a person with very many
+    proposals may then be split at run time.
     """
     occ = broadcast_if_small(
         settle(occupancy(absence, person_dept, cal).select("dept_id", "day", "n")))
@@ -341,8 +351,9 @@ def screen(proposal: DataFrame, absence: DataFrame, person_dept: DataFrame, limi
     over = F.col("count") > F.col("max_absent")
     return (
         counted.join(limits, "dept_id")
-        .groupBy("proposal_id", "person_id", "dept_id")
-        .agg(F.first("max_absent").alias("max_absent"), F.max("count").alias("worst"),
+        .groupBy("proposal_id", "dept_id")
+        .agg(F.first("person_id").alias("person_id"),
+             F.first("max_absent").alias("max_absent"), F.max("count").alias("worst"),
              F.count_if(over).alias("over_days"),
              F.min(F.when(over, F.col("day"))).alias("first_over"))
         .withColumn("margin", F.col("worst") - F.col("max_absent"))

@@ -69,22 +69,43 @@ def _own_id(prefix: str) -> Column:
                       F.concat(F.lit(prefix), F.col("ord").cast("string")))
 
 
-def clean_departments(year: DataFrame) -> DataFrame:
-    """Defaults filled; unknown parents and cycles removed."""
-    raw = rows_of(year, "departments").withColumn("dept_id", _own_id("d"))
-    scope = F.concat_ws("\u0001", "plan_id", F.col("plan_year").cast("string"))
+def _department_ids() -> Column:
+    """Ids of a year's departments in stored order, missing ones made up from the place."""
+    return F.transform("d.departments", lambda d, i: F.coalesce(
+        F.nullif(d["id"], F.lit("")), F.concat(F.lit("d"), i.cast("string"))))
 
-    def scoped(c: str) -> Column:
-        return F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.concat_ws("\u0001", scope, c))
 
-    keyed = raw.select(
-        "plan_id", "plan_year", "ord", scoped("dept_id").alias("dept_id"),
-        scoped("parentId").alias("parent_id"),
+def clean_departments(year: DataFrame) -> DataFrame:
+    """Defaults filled; unknown parents and cycles removed.
+
+    Where every parent is stored before its children there can be no cycle, and a look at
+    the own document row is enough. Only the other documents go through the repair.
+    """
+    listed = year.withColumn("known", _department_ids())
+    tangled = F.exists(
+        F.transform("d.departments", lambda d, i: F.array_position(
+            F.col("known"), F.coalesce(d["parentId"], F.lit(""))) > i),
+        lambda x: x)
+    marked = listed.withColumn("tangled", F.coalesce(tangled, F.lit(False)))
+    rows = marked.select("plan_id", "plan_year", "known", "tangled", F.posexplode("d.departments")
+                         .alias("ord", "r")).select(
+        "plan_id", "plan_year", "known", "tangled", "ord", "r.*")
+    named = rows.select(
+        "plan_id", "plan_year", "ord", _own_id("d").alias("dept_id"),
+        F.when(F.array_contains("known", F.coalesce("parentId", F.lit(""))), F.col("parentId"))
+        .alias("parent_id"),
         _filled(F.col("name"), UNNAMED["department"]).alias("name"),
-        F.coalesce("maxAbsent", F.lit(DEFAULT_LIMIT)).alias("max_absent"))
-    fixed = H.repair_parents(settle(keyed))  # parsed once, read several times
-    return fixed.withColumns({
+        F.coalesce("maxAbsent", F.lit(DEFAULT_LIMIT)).alias("max_absent"), "tangled")
+    named = settle(named)  # parsed once, read several times
+    sound = named.filter(~F.col("tangled")).drop("tangled")
+
+    scope = F.concat_ws("\u0001", "plan_id", F.col("plan_year").cast("string"))
+    keyed = named.filter("tangled").drop("tangled").withColumns({
+        c: F.when(F.col(c).isNotNull(), F.concat_ws("\u0001", scope, F.col(c)))
+        for c in ("dept_id", "parent_id")})
+    repaired = H.repair_parents(keyed).withColumns({
         c: F.element_at(F.split(c, "\u0001"), 3) for c in ("dept_id", "parent_id")})
+    return sound.unionByName(repaired)
 
 
 def clean_people(year: DataFrame) -> DataFrame:
@@ -92,9 +113,7 @@ def clean_people(year: DataFrame) -> DataFrame:
 
     The known ids are taken from the same document row, so nothing is joined.
     """
-    known = F.transform("d.departments", lambda d, i: F.coalesce(
-        F.nullif(d["id"], F.lit("")), F.concat(F.lit("d"), i.cast("string"))))
-    people = year.select("plan_id", "plan_year", known.alias("known"),
+    people = year.select("plan_id", "plan_year", _department_ids().alias("known"),
                          F.posexplode("d.people").alias("ord", "r")).select(
         "plan_id", "plan_year", "ord", "known", "r.*")
     single = F.when(F.col("deptId").isNotNull() & (F.col("deptId") != ""), F.array("deptId"))
