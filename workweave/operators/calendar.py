@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,54 +22,56 @@ def years_spanned(intervals: DataFrame) -> DataFrame:
     return span.select(F.explode(F.sequence("lo", "hi")).alias("year"))
 
 
+def _with_holidays(years: DataFrame, regions: list[str]) -> DataFrame:
+    """(region, year, found): the year's holidays as structs (day, name) in rule order."""
+    year = F.col("year")
+
+    def day(rule: Column) -> Column:
+        return (
+            F.when(rule.kind == "fixed", F.make_date(year, rule.a, rule.b))
+            .when(rule.kind == "easter", F.date_add(F.col("easter"), rule.a))
+            .otherwise(F.col("penance"))
+        )
+
+    per_region = years.select(
+        "year", F.explode(F.array(*map(F.lit, regions))).alias("region"),
+        D.easter_sunday(year).alias("easter"), D.wednesday_before_nov_23(year).alias("penance"))
+    valid = F.filter(holiday_rules(), lambda r: F.array_contains(r.regions, F.col("region")) & (
+        (r.only_year == 0) | (r.only_year == year)))
+    return per_region.select("region", "year", F.transform(valid, lambda r: F.struct(
+        day(r).alias("day"), r["name"].alias("name"))).alias("found"))
+
+
 def holidays(years: DataFrame, regions: list[str]) -> DataFrame:
     """(region, year, day, holiday_name); the later rule names a shared day."""
-    rule = F.col("rule")
-    year = F.col("year")
-    day = (
-        F.when(rule.kind == "fixed", F.make_date(year, rule.a, rule.b))
-        .when(rule.kind == "easter", F.date_add(D.easter_sunday(year), rule.a))
-        .otherwise(D.wednesday_before_nov_23(year))
-    )
-    # an impossible date cannot arise: make_date is only reached for fixed rules
-    expanded = (
-        years.select("year", F.explode(F.array(*map(F.lit, regions))).alias("region"))
-        .select("year", "region", F.explode(holiday_rules()).alias("rule"))
-        .filter(F.array_contains(rule.regions, F.col("region")))
-        .filter((rule.only_year == 0) | (rule.only_year == year))
-    )
-    return (
-        expanded.select("region", "year", day.alias("day"), rule.rule_ord.alias("o"),
-                        rule["name"].alias("name"))
-        .groupBy("region", "year", "day")
-        .agg(F.max_by("name", "o").alias("holiday_name"))
-    )
+    named = F.filter("found", lambda h, i: ~F.exists(
+        F.slice("found", i + 2, F.size("found")), lambda later: later.day == h.day))
+    return _with_holidays(years, regions).select(
+        "region", "year", F.explode(named).alias("h")
+    ).select("region", "year", "h.day", F.col("h.name").alias("holiday_name"))
 
 
 def calendar(years: DataFrame, regions: list[str] | None = None) -> DataFrame:
-    """One row per region and day. Rows are bounded by years x regions x 366."""
-    regions = regions or [DEFAULT_REGION]
-    day = F.col("day")
-    days = (
-        years.select("year", F.explode(F.array(*map(F.lit, regions))).alias("region"))
-        .select("region", "year",
-                F.explode(F.sequence(D.year_start(F.col("year")), D.year_end(F.col("year"))))
-                .alias("day"))
-    )
+    """One row per region and day. Rows are bounded by years x regions x 366.
+
+    Holidays travel with their year as a short list, so nothing is shuffled.
+    """
+    year, day = F.col("year"), F.col("day")
+    days = _with_holidays(years, regions or [DEFAULT_REGION]).select(
+        "region", "year", "found",
+        F.explode(F.sequence(D.year_start(year), D.year_end(year))).alias("day"))
+    on_day = F.try_element_at(F.filter("found", lambda h: h.day == day), F.lit(-1))
     weekend = F.weekday(day) >= 5
-    return (
-        days.join(holidays(years, regions), ["region", "year", "day"], "left")
-        .select(
-            "region", "year", "day",
-            (F.dayofyear(day) - 1).alias("i"),
-            (F.dayofweek(day) - 1).alias("dow"),
-            F.month(day).alias("month"),
-            F.dayofmonth(day).alias("dom"),
-            F.weekofyear(day).alias("iso_week"),
-            weekend.alias("weekend"),
-            "holiday_name",
-            (~weekend & F.col("holiday_name").isNull()).alias("workday"),
-        )
+    return days.withColumn("holiday_name", on_day["name"]).select(
+        "region", "year", "day",
+        (F.dayofyear(day) - 1).alias("i"),
+        (F.dayofweek(day) - 1).alias("dow"),
+        F.month(day).alias("month"),
+        F.dayofmonth(day).alias("dom"),
+        F.weekofyear(day).alias("iso_week"),
+        weekend.alias("weekend"),
+        "holiday_name",
+        (~weekend & F.col("holiday_name").isNull()).alias("workday"),
     )
 
 

@@ -7,10 +7,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from workweave.functions import dates as D
+from workweave.operators.calendar import year_index
 from workweave.session import broadcast_if_small, settle
 from workweave.sources.reference import REJECTED, counting_types, quota_types
 
 
+# A row with an array over the days of a year takes a few kilobytes
+BROADCAST_ARRAYS = 20_000
+
+
 # -- entries -----------------------------------------------------------------
 def ordered_ends(absence: DataFrame) -> DataFrame:
     """Swap reversed intervals."""
@@ -302,7 +307,7 @@ def flag_conflicted(absence: DataFrame, found: DataFrame, person_dept: DataFrame
             F.element_at(acc, -1) + F.array_contains("hit", x).cast("int"))),
     )
     table = broadcast_if_small(
-        settle(marked.select("dept_id", "year", running.alias("before"))), limit=20_000)
+        settle(marked.select("dept_id", "year", running.alias("before"))), limit=BROADCAST_ARRAYS)
     parts = _by_year(absence.select("absence_id", "person_id", "start", "end"))
     tested = (
         parts.join(person_dept, "person_id")
@@ -316,6 +321,34 @@ def flag_conflicted(absence: DataFrame, found: DataFrame, person_dept: DataFrame
         "conflicted", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
+def _in_workdays(intervals: DataFrame, cal: DataFrame) -> DataFrame:
+    """Split by year and add ``a`` and ``b``: first and last workday of the part, numbered
+    from 0 within the year; ``b`` lies before ``a`` where the part has no workday.
+    """
+    index = F.broadcast(year_index(cal).select("year", "worked"))
+    return _by_year(intervals).join(index, "year").withColumns({
+        "a": F.get("worked", F.col("s")), "b": F.get("worked", F.col("e") + 1) - 1,
+    }).drop("worked", "s", "e")
+
+
+def load_index(occ: DataFrame, dept: DataFrame, cal: DataFrame) -> DataFrame:
+    """(dept_id, year, load): people away on the year's workdays, one array per branch.
+
+    Every branch and year is listed, so a missing array cannot mean a missing branch.
+    """
+    lo, hi = (cal.agg(f("year")).scalar() for f in (F.min, F.max))
+    empty = dept.select("dept_id", F.explode(F.sequence(lo, hi)).alias("year")).join(
+        F.broadcast(cal.filter("workday").select("year", "i")), "year")
+    filled = (
+        occ.select("dept_id", "year", "i", "n")
+        .unionByName(empty.select("dept_id", "year", "i", F.lit(0).cast("long").alias("n")))
+        .groupBy("dept_id", "year", "i").agg(F.sum("n").alias("n"))
+    )
+    lists = filled.groupBy("dept_id", "year").agg(
+        F.array_sort(F.collect_list(F.struct("i", "n"))).alias("l"))
+    return lists.select("dept_id", "year", F.transform("l", lambda x: x.n).alias("load"))
+
+
 def screen(proposal: DataFrame, absence: DataFrame, person_dept: DataFrame, limits: DataFrame,
            cal: DataFrame) -> DataFrame:
     """What-if check of proposed intervals, per department of the person.
@@ -324,38 +357,51 @@ def screen(proposal: DataFrame, absence: DataFrame, person_dept: DataFrame, limi
     the number of workdays above the limit, ``first_over`` the first of them.
 
     The count of other people equals the branch occupancy less the person's own presence,
-    so occupancy is computed once and no list of people is formed. The person's own days
-    come from one merged set; a replaced entry only ever belongs to the same person.
-    Grouping leaves out the person on purpose: the join on a person with very many
-    proposals may then be split at run time.
+    so no list of people is formed; a replaced entry only ever belongs to the same person.
+    Days are never rows: a proposal takes its slice of its branches' load arrays and looks
+    at its person's merged intervals, all numbered in workdays. The grouping leaves out the
+    person on purpose, so that the join on a person with very many proposals may be split
+    at run time.
     """
-    occ = broadcast_if_small(
-        settle(occupancy(absence, person_dept, cal).select("dept_id", "day", "n")))
-    asked = (
-        days_of(proposal.select("proposal_id", "person_id", "start", "end"))
-        .join(workdays(cal), "day", "left")
-        .select("proposal_id", "person_id", "day", F.col("i").isNotNull().alias("works"))
+    index = broadcast_if_small(
+        settle(load_index(occupancy(absence, person_dept, cal), limits, cal)
+               .join(limits.select("dept_id", "max_absent"), "dept_id")),
+        limit=BROADCAST_ARRAYS)
+    own = (
+        _in_workdays(merged_absences(countable(absence)), cal).filter("b >= a")
+        .groupBy("person_id").agg(F.collect_list(F.struct("year", "a", "b")).alias("own"))
     )
-    own = days_of(merged_absences(countable(absence))).select(
-        "person_id", "day", F.lit(1).alias("own"))
+    people = person_dept.join(own, "person_id", "left")
+    meets = F.filter("own", lambda x: (x.year == F.col("year")) & (x.a <= F.col("b"))
+                     & (x.b >= F.col("a")))
     placed = (
-        asked.join(own, ["person_id", "day"], "left")
-        .join(person_dept, "person_id")
-        .select("proposal_id", "person_id", "day", "works", "own",
+        _in_workdays(proposal.select("proposal_id", "person_id", "start", "end"), cal)
+        .join(people, "person_id")
+        .select("proposal_id", "person_id", "year", "a", "b",
+                F.coalesce(meets, F.array().cast(own.schema["own"].dataType)).alias("own"),
                 F.explode("dept_ids").alias("dept_id"))
+        .join(index, ["dept_id", "year"])
     )
-    counted = placed.join(occ, ["dept_id", "day"], "left").select(
-        "proposal_id", "person_id", "dept_id", "day",
-        F.when(F.col("works"), F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0)) + 1)
-        .otherwise(0).alias("count"))
-    over = F.col("count") > F.col("max_absent")
+    asked = F.slice("load", F.col("a") + 1, F.col("b") - F.col("a") + 1)
+    counts = F.transform(asked, lambda n, j: n + 1 - F.exists(
+        "own", lambda x: (x.a <= F.col("a") + j) & (x.b >= F.col("a") + j)).cast("int"))
+    counted = placed.select("proposal_id", "person_id", "dept_id", "year", "a", "max_absent",
+                            counts.alias("counts"))
+    over = F.filter(F.transform("counts", lambda n, j: F.when(
+        n > F.col("max_absent"), F.col("a") + j)), lambda k: k.isNotNull())
+    judged = counted.select(
+        "proposal_id", "person_id", "dept_id", "max_absent",
+        F.coalesce(F.array_max("counts"), F.lit(0)).alias("worst"), F.size(over).alias("n"),
+        F.when(F.size(over) > 0, F.struct("year", F.array_min(over).alias("k"))).alias("first"))
+    found = judged.groupBy("proposal_id", "dept_id").agg(
+        F.first("person_id").alias("person_id"), F.first("max_absent").alias("max_absent"),
+        F.max("worst").alias("worst"), F.sum("n").alias("over_days"), F.min("first").alias("f"))
+    numbered = F.broadcast(cal.filter("workday").join(
+        year_index(cal).select("year", "worked"), "year"
+    ).select("year", F.get("worked", F.col("i")).alias("k"), F.col("day").alias("first_over")))
     return (
-        counted.join(limits, "dept_id")
-        .groupBy("proposal_id", "dept_id")
-        .agg(F.first("person_id").alias("person_id"),
-             F.first("max_absent").alias("max_absent"), F.max("count").alias("worst"),
-             F.count_if(over).alias("over_days"),
-             F.min(F.when(over, F.col("day"))).alias("first_over"))
+        found.select("*", F.col("f.year").alias("year"), F.col("f.k").alias("k"))
+        .join(numbered, ["year", "k"], "left").drop("year", "k", "f")
         .withColumn("margin", F.col("worst") - F.col("max_absent"))
     )
 
