@@ -37,8 +37,9 @@ _THROTTLE = _("SELECT user_id, seq, outcome FROM run WHERE rn > 0", tries=_TRY,
 _CACHE = _("SELECT user_id, event_type, seq, outcome FROM hits", ask=_ASK, hits=_HIT)
 
 STATEMENTS: dict[str, str] = {
-    "s1_revision_feed": _("""SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'local' ELSE arg_max(props, event_id) END AS props
-      FROM events WHERE user_id % 10 <> 0 GROUP BY user_id"""),
+    "s1_revision_feed": _("""SELECT user_id, CASE WHEN arg_min(event_type, event_id) = 'view' THEN 'local'
+        ELSE arg_max(props, event_id) END AS props
+      FROM events GROUP BY user_id HAVING arg_min(event_type, event_id) <> 'error'"""),
     "s2_bursts": _(_BURST, sess=_SESS),
     "s2_closed_bursts": _(_BURST + """ WHERE z + INTERVAL 45 MINUTE <= (SELECT to_timestamp(
         floor(epoch_us(max(ts)) / 1000) / 1000)::TIMESTAMP - INTERVAL 10 MINUTE FROM events)""", sess=_SESS),

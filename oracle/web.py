@@ -210,7 +210,7 @@ TARGETS = f"""SELECT page_id, target, min(pos) AS pos, arg_min(text, pos) AS tex
 
 _EDGE = """SELECT page_id AS src, k AS link_pos, (page_id * 7 + k) % (SELECT max(page_id) + 1 FROM pages) AS dst
   FROM pages, range(1, 4) t(k)"""
-_WALK = """SELECT page_id AS page, 0 AS depth, CAST([] AS BIGINT[]) AS path FROM pages WHERE page_id = 0
+_WALK = f"""SELECT min(page_id) AS page, 0 AS depth, [CAST(min(page_id) AS BIGINT)] AS path FROM pages GROUP BY {host('url')}
   UNION ALL SELECT e.dst, w.depth + 1, list_append(w.path, e.link_pos) FROM walk w JOIN edge e ON e.src = w.page WHERE w.depth < 4"""
 _FOUND = """SELECT page, m.depth AS depth, row_number() OVER (ORDER BY m) AS rn
   FROM (SELECT page, min({'depth': depth, 'path': path}) AS m FROM walk GROUP BY page)"""
@@ -368,7 +368,7 @@ STATEMENTS: dict[str, str] = {
         SELECT target, min({{'page_id': page_id, 'pos': pos}}) AS f FROM targets
         WHERE target NOT IN (SELECT {norm('url')} FROM web) GROUP BY target)""", **W, anc=anchors("web"), targets=TARGETS),
     "k19_link_expansion": _("SELECT page, depth FROM reached", edge=_EDGE, walk=_WALK, reached=_FOUND),
-    "h12_page_limit": _("SELECT page, depth FROM reached WHERE rn <= 25", edge=_EDGE, walk=_WALK, reached=_FOUND),
+    "h12_page_limit": _("SELECT page, depth FROM reached WHERE rn <= 100", edge=_EDGE, walk=_WALK, reached=_FOUND),
     "k23_relevant_links": _(f"""SELECT host, rank, page_id, pos, target, score FROM (
         SELECT *, row_number() OVER (PARTITION BY host ORDER BY score DESC, page_id, pos) AS rank FROM (
           SELECT page_id, pos, target, {host('target')} AS host,

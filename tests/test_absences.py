@@ -3,7 +3,6 @@ from collections import defaultdict
 from datetime import date, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from workweave.operators import calendar as C
 from workweave.operators import hierarchy as H

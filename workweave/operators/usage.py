@@ -9,6 +9,10 @@ from workweave.operators import sequences as S
 from workweave.sources import reference as R
 
 
+# Token prices have two decimals per million tokens, so nine decimals are exact
+MONEY = "decimal(18,9)"
+
+
 def estimated_tokens(text: Column) -> Column:
     """One token per four characters, at least one."""
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4).cast("int"))
@@ -38,12 +42,13 @@ def admitted(calls: DataFrame, max_usd: float = R.MAX_RUN_USD,
 
     The check looks at what was spent before, so the call that crosses the money limit
     still runs. Limits of 0 mean unlimited. A refused call stays refused and adds nothing,
-    hence sums over all earlier calls decide exactly.
+    hence sums over all earlier calls decide exactly. Money is added as decimals, so the
+    verdict at the very limit does not depend on how the sum was split up.
     """
     before = S.running_sums(
         calls, ["run_id"], ["seq"], S.block_of("seq"),
-        {"spent": F.col("cost"), "made": F.lit(1)}, current=False)
-    money = (F.lit(max_usd) == 0) | (F.col("spent") < max_usd)
+        {"spent": F.col("cost").cast(MONEY), "made": F.lit(1)}, current=False)
+    money = (F.lit(max_usd) == 0) | (F.col("spent") < F.lit(max_usd).cast(MONEY))
     number = (F.lit(max_calls) == 0) | (F.col("made") < max_calls)
     return before.withColumn("allowed", money & number)
 

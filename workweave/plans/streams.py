@@ -37,11 +37,12 @@ def _asked(events: DataFrame) -> DataFrame:
 
 @query("s1_revision_feed")
 def _(p: Plan) -> DataFrame:
-    rows = p.table("events")
-    first = rows.groupBy("user_id").agg(F.min_by("props", "event_id").alias("props"))
-    kept = first.filter(F.col("user_id") % 10 != 0)
-    mine = kept.withColumn("props", F.when(F.col("user_id") % 3 == 0, "local").otherwise(
-        F.col("props")))
+    first = p.table("events").groupBy("user_id").agg(
+        F.min_by("props", "event_id").alias("props"),
+        F.min_by("event_type", "event_id").alias("kind"))
+    edited = F.when(F.col("kind") == "view", "local").otherwise(F.col("props"))
+    mine = first.filter("kind <> 'error'").withColumn("props", edited).drop("kind")
+    first = first.drop("kind")
     feed = _events(p).select("user_id", "props", "event_id")
     return S.follow_revisions(feed, first, mine, ["user_id"], "event_id", "revision-feed")
 
