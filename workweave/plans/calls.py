@@ -43,7 +43,7 @@ def _(p: Plan) -> DataFrame:
         F.count_if(~hit & (F.col("tier") == "worker")).alias("learn_attempts"),
         F.count_if(hit).alias("cache_hits"))
     return U.avoided(runs).select("run_id", "calls", "saved",
-                                  F.round("without_reuse", 7).alias("without_reuse"))
+                                  F.round("without_reuse", 10).alias("without_reuse"))
 
 
 @query("f17_budget_left")
