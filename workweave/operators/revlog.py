@@ -52,11 +52,12 @@ def daily_backups(log: DataFrame, keep: int = KEPT_BACKUPS) -> DataFrame:
     return first.orderBy(F.desc("day")).limit(keep).select("day", "m.rev", "m.data")
 
 
-def restore(log: DataFrame, rev: int, stamp) -> DataFrame:
+def restore(log: DataFrame, rev: int, stamp: str) -> DataFrame:
     """Append an old revision as the newest one."""
     top = log.agg(F.max("rev")).scalar()
     again = log.filter(F.col("rev") == rev).select(
-        (top + 1).alias("rev"), top.alias("base_rev"), F.lit(stamp).alias("created_at"),
+        (top + 1).alias("rev"), top.alias("base_rev"), F.lit(stamp).cast(log.schema["created_at"].dataType)
+        .alias("created_at"),
         F.lit(None).cast(log.schema["client"].dataType).alias("client"), "data",
         F.lit(f"wiederhergestellt aus {rev}").alias("note"))
     return log.withColumn("note", F.lit("")).unionByName(again)
@@ -74,7 +75,7 @@ def attempts(events: DataFrame, keys: list[str], order: str) -> DataFrame:
     return counted.withColumn("retries", F.col("attempt") - 1)
 
 
-def age_buckets(jobs: DataFrame, at: str, now) -> DataFrame:
+def age_buckets(jobs: DataFrame, at: str, now: str) -> DataFrame:
     """Jobs per age: just now, minutes, hours, days, older."""
     age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(
         F.col(at).cast("timestamp"))

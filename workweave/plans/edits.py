@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,10 +203,10 @@ def _(p: Plan) -> DataFrame:
 
 @query("j6_job_ages")
 def _(p: Plan) -> DataFrame:
-    return V.age_buckets(p.task_event, "ts", datetime(2024, 1, 31))
+    return V.age_buckets(p.task_event, "ts", "2024-01-31 00:00:00")
 
 
 @query("j18_restore")
 def _(p: Plan) -> DataFrame:
-    done = V.restore(p.revision, 123, datetime(2024, 2, 1))
+    done = V.restore(p.revision, 123, "2024-02-01 00:00:00")
     return done.select("rev", "base_rev", "data", "note")
