@@ -86,26 +86,29 @@ def clean_departments(year: DataFrame) -> DataFrame:
         F.transform("d.departments", lambda d, i: F.array_position(
             F.col("known"), F.coalesce(d["parentId"], F.lit(""))) > i),
         lambda x: x)
-    marked = listed.withColumn("tangled", F.coalesce(tangled, F.lit(False)))
-    rows = marked.select("plan_id", "plan_year", "known", "tangled", F.posexplode("d.departments")
-                         .alias("ord", "r")).select(
-        "plan_id", "plan_year", "known", "tangled", "ord", "r.*")
+    marked = listed.withColumns({"tangled": F.coalesce(tangled, F.lit(False)),
+                                 "doc": F.monotonically_increasing_id()})
+    rows = marked.select("plan_id", "plan_year", "known", "tangled", "doc",
+                         F.posexplode("d.departments").alias("ord", "r")).select(
+        "plan_id", "plan_year", "known", "tangled", "doc", "ord", "r.*")
+    place = F.array_position("known", F.coalesce("parentId", F.lit("")))
     named = rows.select(
         "plan_id", "plan_year", "ord", _own_id("d").alias("dept_id"),
-        F.when(F.array_contains("known", F.coalesce("parentId", F.lit(""))), F.col("parentId"))
-        .alias("parent_id"),
+        F.when(place > 0, F.col("parentId")).alias("parent_id"),
         _filled(F.col("name"), UNNAMED["department"]).alias("name"),
-        F.coalesce("maxAbsent", F.lit(DEFAULT_LIMIT)).alias("max_absent"), "tangled")
-    named = settle(named)  # parsed once, read several times
-    sound = named.filter(~F.col("tangled")).drop("tangled")
-
-    scope = F.concat_ws("\u0001", "plan_id", F.col("plan_year").cast("string"))
-    keyed = named.filter("tangled").drop("tangled").withColumns({
-        c: F.when(F.col(c).isNotNull(), F.concat_ws("\u0001", scope, F.col(c)))
-        for c in ("dept_id", "parent_id")})
-    repaired = H.repair_parents(keyed).withColumns({
-        c: F.element_at(F.split(c, "\u0001"), 3) for c in ("dept_id", "parent_id")})
-    return sound.unionByName(repaired)
+        F.coalesce("maxAbsent", F.lit(DEFAULT_LIMIT)).alias("max_absent"), "tangled",
+        F.struct("doc", F.col("ord").cast("long").alias("place")).alias("node"),
+        F.when(place > 0, F.struct("doc", (place - 1).alias("place"))).alias("above"))
+    named = settle(named)  # parsed once, read several times; fixes the document numbers
+
+    edges = named.filter("tangled").select("ord", F.col("node").alias("dept_id"),
+                                           F.col("above").alias("parent_id"))
+    cut = H.repair_parents(edges).filter("parent_id is null").select(
+        F.col("dept_id").alias("node"), F.lit(True).alias("cut"))
+    parent = F.when(F.col("cut").isNull(), F.col("parent_id"))
+    repaired = named.filter("tangled").join(cut, "node", "left").withColumn("parent_id", parent)
+    columns = ["plan_id", "plan_year", "ord", "dept_id", "parent_id", "name", "max_absent"]
+    return named.filter(~F.col("tangled")).select(columns).unionByName(repaired.select(columns))
 
 
 def clean_people(year: DataFrame) -> DataFrame:
