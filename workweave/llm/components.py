@@ -12,8 +12,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from workweave.llm.tables import save
+from workweave.llm import trie
+from workweave.llm.tables import batches_of, save
+
+#: Nodes in a block of the last comparison, on average.
+BLOCK = 256
 
 
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,19 +66,64 @@ def connected(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def resolve(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame],
-            ratio: float = 0.0) -> DataFrame:
+def _pairs(sets: Callable, part: int, whole: int) -> Callable:
+    """Of pairs with both items, those that link; pairs with the same ``a`` are joined together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a = batch.column("a").to_numpy(zero_copy_only=False)
+            _, first, group = np.unique(a, return_index=True, return_inverse=True)
+            queries = sets(batch.column("item_a").take(pa.array(first)))
+            stored = sets(batch.column("item_b"))
+            keep: list[int] = []
+            for g, rows in enumerate(np.split(np.argsort(group, kind="stable"),
+                                              np.cumsum(np.bincount(group))[:-1])):
+                hits = trie.join([stored[r] for r in rows], [queries[g]], part, whole)
+                keep += [int(rows[s]) for _, s in hits]
+            yield batch.select(["label_a", "label_b"]).take(pa.array(sorted(keep), pa.int64()))
+
+    return run
+
+
+def _blocks(sets: Callable, part: int, whole: int) -> Callable:
+    """Links between the queries and the stored items of one pair of blocks."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        asks = block.column("query").to_numpy(zero_copy_only=False).astype(bool)
+        label = block.column("label").to_numpy(zero_copy_only=False)
+        every = sets(block.column("item"))
+        q, s = np.flatnonzero(asks), np.flatnonzero(~asks)
+        hits = trie.join([every[r] for r in s], [every[r] for r in q], part, whole)
+        pairs = np.array(hits, dtype=np.int64).reshape(-1, 2)
+        a, b = label[q[pairs[:, 0]]], label[s[pairs[:, 1]]]
+        return pa.table({"label_a": a[a != b], "label_b": b[a != b]})
+
+    return run
+
+
+def _relabel(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    moved = save(connected(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
+                 .select(F.col("node").alias("old"), F.col("root").alias("new")), "moved")
+    return moved, save(labels.join(moved, labels.root == moved.old, "left")
+                       .select("node", F.coalesce("new", "root").alias("root")), "labels")
+
+
+def resolve(buckets: DataFrame, items: DataFrame, sets: Callable, part: int, whole: int
+            ) -> DataFrame:
     """``node, root`` of the nodes in ``buckets(bucket, node, size)``.
 
-    ``linked`` takes pairs ``a, b`` with their labels ``label_a, label_b`` and returns the label
-    pairs of those that hold. Two nodes of a bucket are compared unless links already put them
-    into one component or the smaller size is below ``ratio`` times the larger, so the components
-    are those of all links inside buckets, while a bucket of like nodes costs a multiple of its
-    size and not its square: each round compares some pivots with the rest of their bucket, then
-    takes them out of it, with four times as many pivots in each further round. The first pivots
-    are nodes that stand in most buckets. A bucket ends when its nodes carry one label. Grouped
-    sides are written before a join: both sides of it are then plain shuffles, of which Spark can
-    split a hot key.
+    ``items(node, item)`` holds texts, of which ``sets`` makes a list of sorted distinct tokens.
+    Two nodes link when ``whole * intersection >= part * union``; those that share a bucket are
+    compared unless links already put them into one component (or ``size``, where it is not null,
+    rules it out), so the components are those of all links inside buckets.
+
+    A bucket of like nodes costs a multiple of its size and not its square. First each node meets
+    the pivot that stands in most buckets, then four others. What then still carries different
+    labels within a bucket is compared in blocks: a bucket is told by its largest component; all
+    nodes beside that component are queries against it and against each other, and a query block
+    meets a stored block in one task of bounded size. Grouped sides are written before a join:
+    both sides of it are then plain shuffles, of which Spark can split a hot key.
     """
     named = buckets.select("bucket", "node", "size")
     sign = named.groupBy("bucket").agg(
@@ -87,35 +137,61 @@ def resolve(buckets: DataFrame, linked: Callable[[DataFrame], DataFrame],
     # spreads ties, and tells nodes of equal weight apart
     rank = F.col("weight") * F.lit(1 << 31) + F.pmod(F.xxhash64("node"), F.lit(1 << 31))
     rows = save(rows.join(weight, "node").select(
-        "bucket", "node", "size", F.col("node").alias("label"), rank.alias("rank")), "buckets")
-    labels = save(rows.select("node", F.col("node").alias("root")).distinct(), "labels")
-    pivots, turn = 1, 0
-    while True:
-        mixed = save(rows.groupBy("bucket")
-                     .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-                     .where("low < high").select("bucket"), "mixed")
-        rows = save(rows.join(mixed, "bucket", "left_semi"), "buckets")
-        if rows.isEmpty():
-            return labels
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(pivots))
-        slots = rows.withColumn("slot", slot)
+        "bucket", "node", "size", F.col("node").alias("label"), rank.alias("rank")), "rows")
+    labels = weight.select("node", F.col("node").alias("root"))
+
+    for turn, pivots in enumerate((1, 4)):
+        slots = rows.withColumn("slot", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(pivots)))
         best = save(slots.groupBy("bucket", "slot").agg(F.max("rank").alias("rank")), "best")
         chosen = save(slots.join(best, ["bucket", "slot", "rank"], "left_semi").select(
             "bucket", F.col("node").alias("a"), F.col("size").alias("size_a"),
-            F.col("label").alias("label_a")), "pivots")
-        close = F.least("size", "size_a") >= F.lit(ratio) * F.greatest("size", "size_a")
-        pairs = (rows.join(chosen, "bucket")
-                 .where((F.col("label") != F.col("label_a")) & close)
-                 .select("a", F.col("node").alias("b"), "label_a", F.col("label").alias("label_b"))
-                 .distinct())
-        edges = linked(save(pairs, "pairs")).select(F.col("label_a").alias("a"),
-                                                    F.col("label_b").alias("b"))
-        moved = save(connected(edges).select(F.col("node").alias("old"), F.col("root").alias("new")),
-                     "moved")
-        labels = save(labels.join(moved, labels.root == moved.old, "left")
-                      .select("node", F.coalesce("new", "root").alias("root")), "labels")
-        used = chosen.select("bucket", F.col("a").alias("node"))
-        rows = (rows.join(used, ["bucket", "node"], "left_anti")
-                .join(moved, rows.label == moved.old, "left")
-                .select("bucket", "node", "size", F.coalesce("new", "label").alias("label"), "rank"))
-        pivots, turn = pivots * 4, turn + 1
+            F.col("label").alias("label_a"), F.col("rank").alias("rank_a")), "pivots")
+        close = F.coalesce(whole * F.least("size", "size_a") >= part * F.greatest("size", "size_a"),
+                           F.lit(True))
+        order = F.desc("rank_a") if turn == 0 else F.xxhash64("a", F.lit(turn))
+        pairs = save(rows.join(chosen, "bucket")
+                     .where((F.col("label") != F.col("label_a")) & close)
+                     .select("a", F.col("node").alias("b"), "label_a",
+                             F.col("label").alias("label_b"), "rank_a").distinct()
+                     .withColumn("place", F.row_number().over(
+                         Window.partitionBy("b").orderBy(order)))
+                     .where(F.col("place") <= pivots).drop("place", "rank_a"), "pairs")
+        a = items.select(F.col("node").alias("a"), F.col("item").alias("item_a"))
+        b = items.select(F.col("node").alias("b"), F.col("item").alias("item_b"))
+        with batches_of(items, 512):
+            links = save(pairs.join(b, "b").join(a, "a").mapInArrow(
+                _pairs(sets, part, whole), "label_a long, label_b long"), "links")
+        moved, labels = _relabel(labels, links)
+        rows = save(rows.join(moved, rows.label == moved.old, "left").select(
+            "bucket", "node", "size", F.coalesce("new", "label").alias("label"), "rank"), "rows")
+        mixed = save(rows.groupBy("bucket")
+                     .agg(F.min("label").alias("low"), F.max("label").alias("high"))
+                     .where("low < high").select("bucket"), "mixed")
+        rows = save(rows.join(mixed, "bucket", "left_semi"), "live")
+        # what is settled needs no text any more
+        items = save(items.join(save(rows.select("node").distinct(), "open"), "node", "left_semi"),
+                     "items")
+
+    held = save(labels.groupBy("root").agg(F.count("*").alias("held"))
+                .select(F.col("root").alias("label"), "held"), "held")
+    largest = save(rows.join(held, "label").groupBy("bucket")
+                   .agg(F.max_by("label", "held").alias("group")), "largest")
+    asks = F.col("label") != F.col("group")
+    members = save(rows.join(largest, "bucket").select("group", "node", "label",
+                                                       asks.alias("query")).distinct(), "members")
+    sizes = save(members.groupBy("group").agg(
+        F.ceil(F.count_if("query") / BLOCK).cast("int").alias("asked"),
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("kept")), "sizes")
+    dealt = members.join(sizes, "group")
+    own = F.xxhash64("node")
+    queries = dealt.where("query").select(
+        "group", "node", "label", "query", F.pmod(own, F.col("asked")).cast("int").alias("x"),
+        F.explode(F.sequence(F.lit(0), F.col("kept") - 1)).alias("y"))
+    stored = dealt.select(
+        "group", "node", "label", F.lit(False).alias("query"),
+        F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("x"),
+        F.pmod(own, F.col("kept")).cast("int").alias("y"))
+    blocks = save(queries.union(stored), "blocks").join(items, "node")
+    links = save(blocks.groupBy("group", "x", "y").applyInArrow(
+        _blocks(sets, part, whole), "label_a long, label_b long"), "links")
+    return _relabel(labels, links)[1]

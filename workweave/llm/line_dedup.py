@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 from workweave.llm.components import resolve
 from workweave.llm.minhash import bands, colliding, tune_bands
 from workweave.llm.tables import batches_of, documents, save
-from workweave.llm.words import mix, pieces, run_hash, signed
+from workweave.llm.words import pieces, run_hash, signed
 
 SHINGLE = 9
-THRESHOLD = 0.8
+#: Lines link from a Jaccard similarity of PART / WHOLE on.
+PART, WHOLE = 80, 100
 RECALL, ROWS = 0.995, 4
 
 
@@ -112,55 +113,29 @@ def _banded(count: int, rows: int) -> Callable:
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for nodes, texts in _distinct(batches):
         yield pa.RecordBatch.from_arrays([pa.array(signed(nodes)), pa.array(texts, pa.string())],
-                                         names=["node", "line"])
+                                         names=["node", "item"])
 
 
-def _sets(texts: list[str]) -> list[np.ndarray]:
+def _sets(lines: pa.Array) -> list[np.ndarray]:
+    texts = lines.to_pylist()
     values, starts = shingles(texts)
     return [np.unique(x) for x in np.split(values, starts[1:])] if texts else []
 
 
-def _similar(threshold: float) -> Callable:
-    """Of pairs of lines, those with the exact Jaccard similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a = batch.column("a").to_numpy(zero_copy_only=False)
-            _, firsts, group = np.unique(a, return_index=True, return_inverse=True)
-            left = _sets(batch.column("line_a").take(pa.array(firsts)).to_pylist())
-            right = _sets(batch.column("line_b").to_pylist())
-            keep = []
-            for i, y in enumerate(right):
-                x = left[group[i]]
-                common = np.intersect1d(x, y, assume_unique=True).size
-                if common >= threshold * (x.size + y.size - common):
-                    keep.append(i)
-            yield batch.select(["label_a", "label_b"]).take(pa.array(keep, pa.int64()))
-
-    return run
-
-
-def components(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def components(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """``doc_id, text_hash, line, node, root, kept`` for every line that holds text."""
     keyed = documents(docs).withColumn("text_hash", F.xxhash64("text"))
     with batches_of(keyed, 2000):
         lines = save(keyed.mapInArrow(
             _occurrences, "doc_id long, text_hash long, line int, node long"), "lines")
-        count = tune_bands(threshold, recall, ROWS)
+        count = tune_bands(PART / WHOLE, recall, ROWS)
         buckets = save(colliding(keyed.mapInArrow(_banded(count, ROWS), "bucket long, node long")),
                        "bands")
-        forms = save(keyed.mapInArrow(_forms, "node long, line string")
+        forms = save(keyed.mapInArrow(_forms, "node long, item string")
                      .join(save(buckets.select("node").distinct(), "needed"), "node", "left_semi")
                      .dropDuplicates(["node"]), "forms")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        a = forms.select(F.col("node").alias("a"), F.col("line").alias("line_a"))
-        b = forms.select(F.col("node").alias("b"), F.col("line").alias("line_b"))
-        both = pairs.join(b, "b").join(a, "a").select("a", "label_a", "label_b", "line_a", "line_b")
-        with batches_of(pairs, 2000):
-            return save(both.mapInArrow(_similar(threshold), "label_a long, label_b long"), "links")
-
-    labels = resolve(buckets, linked)
+    labels = resolve(buckets, forms, _sets, PART, WHOLE)
     rooted = save(lines.join(labels, "node", "left")
                   .withColumn("root", F.coalesce("root", "node")), "rooted")
     first = save(rooted.groupBy("root").agg(F.min(F.struct("doc_id", "line")).alias("first")),
@@ -170,12 +145,12 @@ def components(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
         F.struct("doc_id", "line").eqNullSafe(F.col("first")).alias("kept"))
 
 
-def dedup(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def dedup(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """``docs`` with ``text`` less the lines that another one stands for.
 
     Adds ``n_lines`` and ``n_removed`` (long): the lines that hold text, and those taken out.
     """
-    found = components(docs, threshold, recall)
+    found = components(docs, recall)
     removed = save(found.groupBy("doc_id", "text_hash").agg(
         F.collect_set(F.when(~F.col("kept"), F.col("line"))).alias("__lines"),
         F.countDistinct("line").alias("__n")), "removed").withColumnsRenamed(

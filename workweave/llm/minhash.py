@@ -46,4 +46,4 @@ def colliding(rows: DataFrame) -> DataFrame:
     return (rows.withColumn("low", F.min("node").over(one))
             .withColumn("high", F.max("node").over(one))
             .where("low < high").dropDuplicates(["bucket", "node"])
-            .select("bucket", "node", F.lit(1).alias("size")))
+            .select("bucket", "node", F.lit(None).cast("long").alias("size")))

@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from workweave.llm.components import resolve
 from workweave.llm.tables import batches_of, documents, save
-from workweave.llm.words import Words, pieces, signed, unsigned
+from workweave.llm.words import Words, mix, pieces, signed, unsigned
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -73,7 +73,8 @@ def _profile(width: int, share: int) -> Callable:
 
 def _prefixes(width: int, frequent: np.ndarray, counted: int) -> Callable:
     """Shingles by which a document may be found: all in the counted part and, where these are too
-    few for its prefix, the next ones of the order, marked by ``counted = -1``."""
+    few for its prefix, the next ones of the order, marked by ``counted = -1``. A frequent one
+    stands in ``hot``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,15 +100,15 @@ def _prefixes(width: int, frequent: np.ndarray, counted: int) -> Callable:
                     mark = np.full(n, -1, dtype=np.int32)
                     mark[:cut] = cut
                     part.append(mark)
-                    warm = np.zeros(n, dtype=bool)
-                    warm[take:] = True
-                    hot.append(warm)
+                    hot.append(np.arange(n) >= take)
                 if owner:
+                    token, node = np.concatenate(tokens), np.concatenate(owner)
+                    warm = np.concatenate(hot)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(signed(np.concatenate(tokens))),
-                        pa.array(signed(np.concatenate(owner))), pa.array(np.concatenate(sizes)),
-                        pa.array(np.concatenate(part)), pa.array(np.concatenate(hot))],
-                        names=["bucket", "node", "size", "counted", "hot"])
+                        pa.array(signed(np.where(warm, mix(token ^ mix(node)), token))),
+                        pa.array(signed(node)), pa.array(np.concatenate(sizes)),
+                        pa.array(np.concatenate(part)), pa.array(signed(token), mask=~warm)],
+                        names=["key", "node", "size", "counted", "hot"])
 
     return run
 
@@ -117,87 +118,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batch, "text"):
             nodes = signed(Words(piece.column("text")).text_hash())
             yield pa.RecordBatch.from_arrays([pa.array(nodes), piece.column("text")],
-                                             names=["node", "text"])
+                                             names=["node", "item"])
 
 
-class Trie:
-    """Sets as paths of a compressed trie.
+def shingle_sets(width: int) -> Callable[[pa.Array], list[np.ndarray]]:
+    def sets(texts: pa.Array) -> list[np.ndarray]:
+        return list(Words(texts).shingles(width))
 
-    The order is one for all sets of the trie: tokens that more of them hold come first, so that
-    like sets share long paths. ``ends[i]`` is the depth up to which set ``i`` shares the path of
-    set ``i - 1``; only what lies below it is stored.
-    """
-
-    def __init__(self, sets: list[np.ndarray]):
-        every = np.concatenate([*sets, np.zeros(0, np.uint64)])
-        self.tokens, index, count = np.unique(every, return_inverse=True, return_counts=True)
-        rank = np.empty(self.tokens.size, dtype=np.int64)
-        rank[np.argsort(-count, kind="stable")] = np.arange(self.tokens.size)
-        self.rank = rank
-        ends = np.cumsum([s.size for s in sets])
-        paths = [np.sort(x) for x in np.split(rank[index], ends[:-1])] if sets else []
-        self.order = sorted(range(len(sets)), key=lambda i: paths[i].astype(">u8").tobytes())
-        self.paths = [paths[i] for i in self.order]
-        self.sizes = np.array([p.size for p in self.paths], dtype=np.int64)
-        self.shared = np.zeros(len(sets), dtype=np.int64)
-        for i, (a, b) in enumerate(zip(self.paths, self.paths[1:], strict=False), 1):
-            m = min(a.size, b.size)
-            differ = np.flatnonzero(a[:m] != b[:m])
-            self.shared[i] = differ[0] if differ.size else m
-
-    def partners(self, query: np.ndarray) -> list[int]:
-        """Sets with 100 * intersection >= 75 * union, by one walk over the trie.
-
-        The overlap of a shared path is counted once. A subtree is left when the overlap so far
-        and the tokens that remain, in the query and in its longest set, can't reach what its
-        shortest set needs.
-        """
-        known = query[np.isin(query, self.tokens, assume_unique=True)]
-        held = np.zeros(self.tokens.size, dtype=bool)
-        held[self.rank[np.searchsorted(self.tokens, known)]] = True
-        after = known.size - np.cumsum(held)  # tokens of the query beyond each rank
-        need = -(-NUMERATOR * (query.size + self.sizes) // (NUMERATOR + DENOMINATOR))
-        found: list[int] = []
-        overlaps = np.zeros(1, dtype=np.int64)  # at each depth of the current path
-        i = 0
-        while i < len(self.paths):
-            depth = min(int(self.shared[i]), overlaps.size - 1)
-            step = self.paths[i][depth:]
-            counted = overlaps[depth] + np.cumsum(held[step])
-            rest = self.sizes[i] - depth - 1 - np.arange(step.size)
-            low = np.flatnonzero(counted + np.minimum(after[step], rest) < need[i])
-            stop = int(low[0]) + 1 if low.size else step.size
-            overlaps = np.concatenate([overlaps[: depth + 1], counted[:stop]])
-            if not low.size and overlaps[-1] >= need[i]:
-                found.append(self.order[i])
-            i += 1
-            if low.size:
-                depth += stop
-                beyond = np.flatnonzero(self.shared[i:] < depth)
-                end = i + int(beyond[0]) if beyond.size else len(self.paths)
-                if end > i:
-                    most = min(int(after[step[stop - 1]]), int(self.sizes[i:end].max()) - depth)
-                    if overlaps[-1] + most < need[i:end].min():
-                        i = end
-        return found
-
-
-def _verify(width: int) -> Callable:
-    """Of pairs with both texts, those that link; the rows of a batch that share ``a`` make a trie."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a = batch.column("a").to_numpy(zero_copy_only=False)
-            _, firsts, group = np.unique(a, return_index=True, return_inverse=True)
-            queries = list(Words(batch.column("text_a").take(pa.array(firsts))).shingles(width))
-            stored = list(Words(batch.column("text_b")).shingles(width))
-            keep: list[int] = []
-            for g, query in enumerate(queries):
-                rows = np.flatnonzero(group == g)
-                keep += [int(rows[i]) for i in Trie([stored[r] for r in rows]).partners(query)]
-            yield batch.select(["label_a", "label_b"]).take(pa.array(sorted(keep), pa.int64()))
-
-    return run
+    return sets
 
 
 def components(docs: DataFrame, width: int = WORDS) -> DataFrame:
@@ -220,24 +148,17 @@ def components(docs: DataFrame, width: int = WORDS) -> DataFrame:
     with batches_of(docs, 2000):
         found = docs.mapInArrow(
             _prefixes(width, frequent, int(COUNTED * (1 << 64))),
-            "bucket long, node long, size int, counted int, hot boolean")
+            "key long, node long, size int, counted int, hot long")
         found = save(_candidates(found), "shared")
     needed = save(found.select("node").distinct().join(
         rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node"), "needed")
     with batches_of(docs, 2000):
         texts = save(docs.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
-                     .select("doc_id", "text").mapInArrow(_texts, "node long, text string")
+                     .select("doc_id", "text").mapInArrow(_texts, "node long, item string")
                      .join(needed.select("node"), "node", "left_semi")
                      .dropDuplicates(["node"]), "texts")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.join(b, "b").join(a, "a").select("a", "label_a", "label_b", "text_a", "text_b")
-        with batches_of(pairs, 512):
-            return save(both.mapInArrow(_verify(width), "label_a long, label_b long"), "links")
-
-    labels = resolve(found, linked, NUMERATOR / DENOMINATOR)
+    labels = resolve(found, texts, shingle_sets(width), NUMERATOR, DENOMINATOR)
     rooted = save(rows.join(labels, "node", "left").select(
         "doc_id", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
     least = save(rooted.where("n > 0").groupBy("root")
@@ -253,17 +174,16 @@ def _candidates(found: DataFrame) -> DataFrame:
 
     The rows of a token meet in one place, and those of one node only are dropped; a node then
     keeps the rarest tokens that its prefix still lacks. Frequent tokens, which only documents
-    made of such have in their prefix, need no counting, so no hot key is gathered: their rows are
-    dealt by token and node.
+    made of such have in their prefix, need no counting, so no hot key is gathered: the key of
+    their rows is made from token and node.
     """
-    key = F.when(F.col("hot"), F.xxhash64("bucket", "node")).otherwise(F.col("bucket"))
     token = Window.partitionBy("key")
-    shared = (found.withColumn("key", key)
-              .withColumn("df", F.count("*").over(token))
+    shared = (found.withColumn("df", F.count("*").over(token))
               .withColumn("low", F.min("node").over(token))
               .withColumn("high", F.max("node").over(token))
-              .where("hot or low < high")
-              .dropDuplicates(["key", "node"]))
+              .where("hot is not null or low < high")
+              .dropDuplicates(["key", "node"])
+              .withColumn("bucket", F.coalesce("hot", "key")))
     size = F.col("size").cast("long")
     prefix = size - F.ceil(size * F.lit(NUMERATOR) / F.lit(DENOMINATOR)) + 1
     # tokens marked -1 are in the prefix whatever the others are; they sort apart
