@@ -8,7 +8,7 @@ least ``doc_id``, then the least line number; blank lines are left alone.
 
 Lines are parted by ``\\n``. A null text has no lines and stays null, an empty one stays empty; a
 null ``doc_id`` counts as the least. Rows that repeat with the same id and text are one document
-and keep the same lines. Other columns are passed through, whatever their names.
+and keep the same lines. ``rewritten`` passes other columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -145,15 +145,13 @@ def components(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         F.struct("doc_id", "line").eqNullSafe(F.col("first")).alias("kept"))
 
 
-def dedup(docs: DataFrame, recall: float = RECALL) -> DataFrame:
-    """``docs`` with ``text`` less the lines that another one stands for.
-
-    Adds ``n_lines`` and ``n_removed`` (long): the lines that hold text, and those taken out.
-    """
+def rewritten(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """``docs`` with ``text`` less the lines that another one stands for, ``__n_lines`` (that hold
+    text) and ``__n_removed``."""
     found = components(docs, recall)
     removed = save(found.groupBy("doc_id", "text_hash").agg(
         F.collect_set(F.when(~F.col("kept"), F.col("line"))).alias("__lines"),
-        F.countDistinct("line").alias("__n")), "removed").withColumnsRenamed(
+        F.countDistinct("line").alias("__n_lines")), "removed").withColumnsRenamed(
         {"doc_id": "__doc", "text_hash": "__hash"})
     text = F.col("text").cast("string")
     joined = docs.join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc"))
@@ -161,9 +159,16 @@ def dedup(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     parts = F.split(text, "\n")
     rest = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__lines")),
                        lambda i: F.get(parts, i))
-    cut = F.coalesce(F.size("__lines"), F.lit(0)).cast("long")
-    return (joined.withColumn("n_lines", F.coalesce("__n", F.lit(0)).cast("long"))
-            .withColumn("n_removed", F.greatest(cut, F.lit(0)))
-            .withColumn("text", F.when(F.col("n_removed") > 0, F.array_join(rest, "\n"))
+    return (joined.withColumn("__n_lines", F.coalesce("__n_lines", F.lit(0)).cast("long"))
+            .withColumn("__n_removed", F.greatest(
+                F.coalesce(F.size("__lines"), F.lit(0)), F.lit(0)).cast("long"))
+            .withColumn("text", F.when(F.col("__n_removed") > 0, F.array_join(rest, "\n"))
                         .otherwise(text))
-            .drop("__lines", "__n", "__doc", "__hash"))
+            .drop("__lines", "__doc", "__hash"))
+
+
+def dedup(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """``doc_id, n_lines, n_removed, text``: every document with the lines that stay."""
+    return rewritten(documents(docs), recall).select(
+        "doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"),
+        "text")

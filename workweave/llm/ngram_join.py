@@ -52,21 +52,23 @@ def _profile(width: int, share: int) -> Callable:
                 words = Words(piece.column("text"))
                 sets = list(words.shingles(width))
                 yield pa.RecordBatch.from_arrays([
-                    piece.column("doc_id"), pa.array(signed(words.text_hash())),
+                    piece.column("doc_id"), piece.column("text_hash"),
+                    pa.array(signed(words.text_hash())),
                     pa.array(np.array([s.size for s in sets], dtype=np.int64)),
                     pa.array(np.zeros(len(sets), dtype=bool))],
-                    names=["doc_id", "node", "n", "frequent"])
+                    names=["doc_id", "text_hash", "node", "n", "frequent"])
                 rows += len(sets)
                 local.extend(sets)
             values, count = np.unique(np.concatenate([*local, np.zeros(0, np.uint64)]),
                                       return_counts=True)
             often = count >= max(3, 2 * rows // share)
             if often.any():
+                none = pa.nulls(int(often.sum()), pa.int64())
                 yield pa.RecordBatch.from_arrays([
-                    pa.nulls(int(often.sum()), pa.int64()), pa.array(signed(values[often])),
+                    none, none, pa.array(signed(values[often])),
                     pa.array(count[often].astype(np.int64)),
                     pa.array(np.ones(int(often.sum()), dtype=bool))],
-                    names=["doc_id", "node", "n", "frequent"])
+                    names=["doc_id", "text_hash", "node", "n", "frequent"])
 
     return run
 
@@ -129,16 +131,16 @@ def shingle_sets(width: int) -> Callable[[pa.Array], list[np.ndarray]]:
 
 
 def components(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """``doc_id, node, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
+    """``doc_id, text_hash, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
 
     ``component_id`` is the least ``doc_id`` that links reach, the row's own included.
     """
     docs = documents(docs)
     with batches_of(docs, 2000):
-        profile = save(docs.mapInArrow(_profile(width, FREQUENT),
-                                       "doc_id long, node long, n long, frequent boolean"),
-                       "profile")
-    rows = profile.where("not frequent").select("doc_id", "node", "n")
+        profile = save(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+            _profile(width, FREQUENT),
+            "doc_id long, text_hash long, node long, n long, frequent boolean"), "profile")
+    rows = profile.where("not frequent").select("doc_id", "text_hash", "node", "n")
     total = rows.count()
     # any set serves as the frequent one, so cutting it at a size for all tasks changes no link
     often = (profile.where("frequent").groupBy("node").agg(F.sum("n").alias("n"))
@@ -160,11 +162,11 @@ def components(docs: DataFrame, width: int = WORDS) -> DataFrame:
 
     labels = resolve(found, texts, shingle_sets(width), NUMERATOR, DENOMINATOR)
     rooted = save(rows.join(labels, "node", "left").select(
-        "doc_id", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
+        "doc_id", "text_hash", "n", F.coalesce("root", "node").alias("root")), "rooted")
     least = save(rooted.where("n > 0").groupBy("root")
                  .agg(F.min("doc_id").alias("component_id")), "least")
     return rooted.join(least, "root", "left").select(
-        "doc_id", "node", F.col("n").alias("n_shingles"),
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
         .alias("component_id"))
 
@@ -194,3 +196,11 @@ def _candidates(found: DataFrame) -> DataFrame:
             .where((F.col("counted") < 0)
                    | (F.col("place") <= F.least(prefix, F.col("counted")) - F.col("alone")))
             .select("bucket", "node", "size"))
+
+
+def one_each(docs: DataFrame, width: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` less those whose component has a member of lower ``doc_id``."""
+    late = components(docs, width).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(save(late, "late"), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc"))
+                     & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash")), "left_anti")

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from workweave.llm import line_dedup, ngram_join
+from workweave.llm import (decontaminate, html_text, license_scan, line_dedup, ngram_join, packing,
+                           passage_dedup, quality_model, quality_rules, url_filter)
+from workweave.llm.sql import STATEMENTS
 from workweave.llm.tables import table
 
+__all__ = ["QUERIES", "STATEMENTS"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-STATEMENTS: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -32,28 +36,63 @@ def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id")
 
 
-#: Shingle sets, pairs by shared shingles, and the least id by walking the links.
-STATEMENTS["op2_ngram_jaccard"] = """
-WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
-s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []
-    WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_transform(range(1, len(words) - 3),
-      lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
-  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
-links AS MATERIALIZED (
-  SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b
-  WHERE 100 * p.c >= 75 * (x.n + y.n - p.c)),
-walk(doc_id, reach) AS (
-  SELECT DISTINCT a, a FROM links
-  UNION
-  SELECT walk.doc_id, links.b FROM walk JOIN links ON links.a = walk.reach),
-least AS (SELECT doc_id, min(reach) AS component_id FROM walk GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id
-FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least l USING (doc_id)
-"""
+@query
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its license phrases and templates."""
+    return license_scan.scan(table(spark, folder, "documents")).drop("blocks")
+
+
+@query
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its counts and the verdict of the rules."""
+    return quality_rules.judge(table(spark, folder, "documents"),
+                               table(spark, folder, "labels")).drop("failed")
+
+
+@query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item that a document holds."""
+    return decontaminate.contamination(table(spark, folder, "documents"),
+                                       table(spark, folder, "benchmark"))
+
+
+@query
+def op6_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every passage that repeats across documents, in each of them."""
+    return passage_dedup.passages(table(spark, folder, "documents"))
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence."""
+    return packing.pack(table(spark, folder, "documents"), tokenizer())
+
+
+@query
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page with its host, path and verdict."""
+    return url_filter.judge(table(spark, folder, "pages"))
+
+
+@query
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page with its main text."""
+    return html_text.extract(table(spark, folder, "pages"))
+
+
+def held_out() -> Column:
+    """Documents that no classifier learns from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its quality score."""
+    return quality_model.classify(table(spark, folder, "documents"),
+                                  table(spark, folder, "labels"), held_out())
