@@ -85,19 +85,38 @@ def _pairs(sets: Callable, part: int, whole: int) -> Callable:
     return run
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each ``group, x, y`` of a sorted partition, whole; one such block at a time is
+    held beside the batch."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if rest is None else pa.concat_tables([rest, rows])
+        key = np.stack([rows.column(k).to_numpy() for k in ("group", "x", "y")], axis=1)
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        edges = [0, *cuts.tolist()]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield rows.slice(a, b - a)
+        rest = rows.slice(edges[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
 def _blocks(sets: Callable, part: int, whole: int) -> Callable:
-    """Links between the queries and the stored items of one pair of blocks."""
-
-    def run(block: pa.Table) -> pa.Table:
-        block = block.combine_chunks()
-        asks = block.column("query").to_numpy(zero_copy_only=False).astype(bool)
-        label = block.column("label").to_numpy(zero_copy_only=False)
-        every = sets(block.column("item"))
-        q, s = np.flatnonzero(asks), np.flatnonzero(~asks)
-        hits = trie.join([every[r] for r in s], [every[r] for r in q], part, whole)
-        pairs = np.array(hits, dtype=np.int64).reshape(-1, 2)
-        a, b = label[q[pairs[:, 0]]], label[s[pairs[:, 1]]]
-        return pa.table({"label_a": a[a != b], "label_b": b[a != b]})
+    """Links between the queries and the stored items of each pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _runs(batches):
+            block = block.combine_chunks()
+            asks = block.column("query").to_numpy().astype(bool)
+            label = block.column("label").to_numpy()
+            every = sets(block.column("item").combine_chunks())
+            q, s = np.flatnonzero(asks), np.flatnonzero(~asks)
+            hits = trie.join([every[r] for r in s], [every[r] for r in q], part, whole)
+            pairs = np.array(hits, dtype=np.int64).reshape(-1, 2)
+            a, b = label[q[pairs[:, 0]]], label[s[pairs[:, 1]]]
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])],
+                                             names=["label_a", "label_b"])
 
     return run
 
@@ -191,7 +210,9 @@ def resolve(buckets: DataFrame, items: DataFrame, sets: Callable, part: int, who
         "group", "node", "label", F.lit(False).alias("query"),
         F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("x"),
         F.pmod(own, F.col("kept")).cast("int").alias("y"))
-    blocks = save(queries.union(stored), "blocks").join(items, "node")
-    links = save(blocks.groupBy("group", "x", "y").applyInArrow(
-        _blocks(sets, part, whole), "label_a long, label_b long"), "links")
+    blocks = (save(queries.union(stored), "blocks").join(items, "node")
+              .repartition("group", "x", "y").sortWithinPartitions("group", "x", "y"))
+    with batches_of(items, 2000):
+        links = save(blocks.mapInArrow(_blocks(sets, part, whole), "label_a long, label_b long"),
+                     "links")
     return _relabel(labels, links)[1]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from workweave.llm.components import resolve
 from workweave.llm.minhash import bands, colliding, tune_bands
 from workweave.llm.tables import batches_of, documents, save
-from workweave.llm.words import pieces, run_hash, signed
+from workweave.llm.words import pieces, run_hash, signed, window_hash
 
 SHINGLE = 9
 #: Lines link from a Jaccard similarity of PART / WHOLE on.
@@ -65,14 +65,15 @@ def hashes(texts: list[str]) -> np.ndarray:
 
 
 def shingles(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of texts (none empty) end to end, repeats included, and where each begins."""
-    codes, at = _codes(texts)
+    """Shingle hashes of texts (none empty) end to end, repeats included, and where each begins.
+
+    A shorter text is filled up with zeros, which no line holds, and so is one shingle.
+    """
+    codes, at = _codes([t if len(t) >= width else t.ljust(width, "\0") for t in texts])
     size = np.diff(at)
-    count = np.maximum(size - width + 1, 1)
-    starts = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
-    begin = np.arange(int(count.sum())) - np.repeat(starts - at[:-1], count)
-    end = begin + np.repeat(np.minimum(size, width), count)
-    return run_hash(codes.astype(np.uint64) + np.uint64(1), begin, end), starts
+    every = window_hash(codes, width)
+    inside = np.repeat(at[1:], size)[: every.size] - np.arange(every.size) >= width
+    return every[inside], np.cumsum(size - width + 1) - (size - width + 1)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +130,8 @@ def components(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         lines = save(keyed.mapInArrow(
             _occurrences, "doc_id long, text_hash long, line int, node long"), "lines")
         count = tune_bands(PART / WHOLE, recall, ROWS)
-        buckets = save(colliding(keyed.mapInArrow(_banded(count, ROWS), "bucket long, node long")),
-                       "bands")
+        buckets = save(colliding(keyed.mapInArrow(_banded(count, ROWS), "bucket long, node long")
+                                 .withColumn("origin", F.col("node"))), "bands")
         forms = save(keyed.mapInArrow(_forms, "node long, item string")
                      .join(save(buckets.select("node").distinct(), "needed"), "node", "left_semi")
                      .dropDuplicates(["node"]), "forms")

@@ -28,9 +28,8 @@ def bands(values: np.ndarray, starts: np.ndarray, count: int, rows: int) -> np.n
         key = np.full(starts.size, band + 1, dtype=np.uint64)
         for _ in range(rows):
             factor, shift = rng.integers(1, 1 << 32, 2, dtype=np.uint32)
-            image = low * np.uint32(factor | 1)
-            image ^= np.uint32(shift)
-            image *= np.uint32(0x85EBCA6B)
+            image = low ^ np.uint32(shift)
+            image *= np.uint32(factor | 1)
             least = np.minimum.reduceat(image, starts) if starts.size else image[:0]
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least)
         keys[:, band] = key
@@ -38,12 +37,12 @@ def bands(values: np.ndarray, starts: np.ndarray, count: int, rows: int) -> np.n
 
 
 def colliding(rows: DataFrame) -> DataFrame:
-    """Of ``bucket, node`` the buckets with two nodes or more, each node once.
+    """Of ``bucket, node, origin`` the buckets with nodes of two origins or more, each node once.
 
     Rows come with a node at most once per batch, so a text copied everywhere adds few rows.
     """
     one = Window.partitionBy("bucket")
-    return (rows.withColumn("low", F.min("node").over(one))
-            .withColumn("high", F.max("node").over(one))
-            .where("low < high").dropDuplicates(["bucket", "node"])
+    spread = [F.min(c).over(one) < F.max(c).over(one) for c in ("node", "origin")]
+    return (rows.withColumn("spread", spread[0] & spread[1])
+            .where("spread").dropDuplicates(["bucket", "node"])
             .select("bucket", "node", F.lit(None).cast("long").alias("size")))

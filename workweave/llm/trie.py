@@ -6,6 +6,17 @@ import numpy as np
 
 #: Cells of the table that tells which query holds which token; larger query lists are halved.
 CELLS = 1 << 26
+#: Up to so many comparisons a tree costs more than it saves.
+FEW = 8
+
+
+def _link(a: np.ndarray, b: np.ndarray, part: int, whole: int) -> bool:
+    if whole * min(a.size, b.size) < part * max(a.size, b.size) or not a.size or not b.size:
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return whole * common >= part * (a.size + b.size - common)
 
 
 def _known(sets: list[np.ndarray], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -30,6 +41,9 @@ def join(stored: list[np.ndarray], queries: list[np.ndarray], part: int, whole:
     """
     if not stored or not queries:
         return []
+    if len(stored) * len(queries) <= FEW:  # no paths to share: a merge of each pair
+        return [(i, j) for i, q in enumerate(queries) for j, s in enumerate(stored)
+                if _link(q, s, part, whole)]
     held = np.unique(np.concatenate(queries))
     vocabulary = np.intersect1d(np.unique(np.concatenate(stored)), held, assume_unique=True)
     if vocabulary.size * len(queries) > CELLS and len(queries) > 1:

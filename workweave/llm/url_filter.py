@@ -96,9 +96,10 @@ def tokens(url: Column) -> Column:
 
 def index(pages: DataFrame, rules: tuple[PatternRule, ...] = PATTERN_RULES) -> DataFrame:
     """``token, name, pattern``: every rule by the token of its own that the fewest urls hold."""
-    spark = pages.sparkSession
-    needed = spark.createDataFrame([(r.name, r.pattern, t) for r in rules for t in r.tokens],
-                                   "name string, pattern string, token string")
+    literal = [F.struct(F.lit(r.name).alias("name"), F.lit(r.pattern).alias("pattern"),
+                        F.lit(t).alias("token")) for r in rules for t in r.tokens]
+    needed = (pages.sparkSession.range(1)
+              .select(F.explode(F.array(*literal)).alias("rule")).select("rule.*"))
     asked = F.array(*[F.lit(t) for t in sorted({t for r in rules for t in r.tokens})])
     counts = (pages.select(F.explode(F.array_intersect(tokens(F.col("url")), asked)).alias("token"))
               .groupBy("token").agg(F.count("*").alias("n")))

@@ -53,6 +53,16 @@ def run_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def window_hash(values: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` values from each one on, as far as they reach."""
+    if values.size < width:
+        return np.zeros(0, dtype=np.uint64)
+    up, down = _power_tables(values.size + 1)
+    sums = np.zeros(values.size + 1, dtype=np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: values.size], out=sums[1:])
+    return mix((sums[width:] - sums[:-width]) * down[: values.size - width + 1])
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts end to end, and where each begins (and the last ends)."""
     if isinstance(texts, pa.ChunkedArray):
