@@ -48,7 +48,7 @@ _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[0x30:0x3A] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[0x0A, 0x21, 0x2E, 0x3A, 0x3F]] = True
-_NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (11, 13, 17))
+_NUMBER, _UNIT, _NAME = mix(np.array([11, 13, 17], dtype=np.uint64))
 
 
 def _hashes(words: list[str]) -> np.ndarray:
@@ -82,7 +82,7 @@ class Canonical:
         self.slot = number | unit | name
         self.code = words.hash.copy()
         for kind, code in ((number, _NUMBER), (unit, _UNIT), (name, _NAME)):
-            self.code[kind] = mix(code)
+            self.code[kind] = code
         self.literal = np.concatenate([[0], np.cumsum(~self.slot)])
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
