@@ -15,8 +15,13 @@ def sub(x: str, pattern: str, by: str = "' '") -> str:
     return f"regexp_replace({x}, {q(pattern)}, {by}, 'g')"
 
 
+# the references that the captured pages hold, the ampersand last
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+            ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&euro;", "€"), ("&amp;", "&")]
+
+
 def decode(x: str) -> str:
-    for entity, char in X.ENTITIES:
+    for entity, char in ENTITIES:
         x = f"replace({x}, {q(entity)}, {q(char)})"
     return x
 
@@ -274,7 +279,6 @@ STATEMENTS: dict[str, str] = {
         FROM (SELECT {host('url')} AS host, length(html) AS b, length({_RED}) AS a
           FROM (SELECT *, {sub('html', X.block_pattern(X.JUNK), "''")} AS w FROM pages))) GROUP BY host"""),
     "k15_readable_text": _(f"SELECT page_id, {_READ} AS text FROM pages"),
-    "k15_readable_text_cut": _(f"SELECT page_id, least(12000, length({_READ})) AS chars FROM pages"),
     "k16_structure_per_page": _("""SELECT page_id, signature, count(*) AS n, min(pos) AS pos FROM sig GROUP BY ALL HAVING count(*) > 1""",
         **W, sig=SIG),
     "h10_top_structures": _(f"""SELECT host, rank, signature, n FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY n DESC, f) AS rank

@@ -183,3 +183,15 @@ def test_two_levels_of_blocks(spark, monkeypatch):
     ordered = sorted(r[1] for r in rows)
     before = dict(zip(ordered, [None, *ordered]))
     assert {r.seq: (r.prev.seq if r.prev else None) for r in prev} == before
+
+
+def test_a_year_without_rows_is_not_a_deleted_year(spark):
+    from workweave.operators import merge as M
+    rows = lambda *r: spark.createDataFrame(list(r), "year int, id int, v string")
+    held = spark.createDataFrame([(2024,)], "year int")
+    base, mine = rows((2024, 1, "a")), rows()
+    theirs = rows((2024, 1, "a"), (2024, 2, "b"))
+    merged = M.merge_years(base, mine, theirs, "year", ["id"], years=(held, held, held))
+    assert [(r.id, r.v) for r in merged.collect()] == [(2, "b")]
+    gone = M.merge_years(base, mine, theirs, "year", ["id"], years=(held, held.limit(0), held))
+    assert gone.count() == 0

@@ -184,3 +184,19 @@ def test_template_lines(spark):
     lines = ["# Kommentar", "", "a = .x", " b=p@href ", "ohne", "a = .y = z", "= q", "c ="]
     df = spark.createDataFrame([("o", n, t) for n, t in enumerate(lines)], "owner string, line_no int, line string")
     assert {r.name: r.selector for r in T.template_lines(df).collect()} == {"a": ".y = z", "b": "p@href"}
+
+
+def test_references_are_decoded_once(spark):
+    from workweave.functions import text as X
+    rows = [("Gr&ouml;&szlig;e &ndash; x", "Größe – x"), ("&amp;lt; &#8364;&#x41;", "&lt; €A"),
+            ("&amp &nope; a&b; &#0;", "&amp &nope; a&b; &#0;"), (None, None), ("&amp;", "&")]
+    df = spark.createDataFrame(rows, "given string, wanted string")
+    assert all(r.got == r.wanted for r in df.withColumn("got", X.decode(df.given)).collect())
+
+
+def test_request_words_ignore_punctuation(spark):
+    from workweave.operators import links as L
+    found = spark.createDataFrame([(1, 0, "Unsere Preise", "https://a.de/x")],
+                                  "page_id long, pos int, text string, target string")
+    for request in ("Preise, bitte", "Preise bitte"):
+        assert L.relevant(found, request, limit=5).count() == 1

@@ -5,6 +5,8 @@ Patterns avoid look-around wherever possible, so that they mean the same in othe
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,9 +31,9 @@ VOID = ["link", "meta", "source", "track", "embed"]
 FURNITURE = ["nav", "header", "footer", "aside", "form"]
 UNSEEN = ["script", "style", "noscript"]
 
-# Decoded entities, the ampersand last
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-            ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&euro;", "€"), ("&amp;", "&")]
+# Named character references that end in a semicolon; a no-break space is read as a blank.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"nbsp": " ", "apos": "'"}
+_REFERENCE = "&(?=(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);)"
 
 URL_PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)"
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
@@ -47,9 +49,25 @@ def strip_space(text: Column) -> Column:
 
 
 def decode(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Named, decimal and hexadecimal character references, each once and in one pass."""
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def resolved(part: Column) -> Column:
+        name = F.substring_index(part, ";", 1)
+        code = F.when(F.lower(F.substring(name, 1, 2)) == "#x",
+                      F.conv(F.substr(name, F.lit(3)), 16, 10)).when(
+            F.startswith(name, F.lit("#")), F.substr(name, F.lit(2))).cast("long")
+        # a code point as UTF-32, read back as text
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        known = F.coalesce(F.when(valid, char), F.try_element_at(named, name))
+        rest = F.substr(part, F.length(name) + 2)
+        return F.when(known.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(known, rest))
+
+    parts = F.split(text, _REFERENCE)
+    joined = F.concat(F.get(parts, F.lit(0)), F.array_join(
+        F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), resolved), ""))
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def block_pattern(tags: list[str]) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -119,10 +121,12 @@ def _words(text):
 def relevant(links: DataFrame, request: str, limit: int = 20) -> DataFrame:
     """The best links of each host for a request, by shared words in URL and text.
 
+    Request and links are cut into words alike, at everything but letters and digits.
+
     Only the best ``limit`` rows of a host leave a task, so a large host is cut down
     before the shuffle.
     """
-    words = F.array(*[F.lit(w) for w in sorted(set(request.lower().split()))])
+    words = F.array(*[F.lit(w) for w in sorted(set(re.findall(r"[^\W_]+", request.lower())))])
     score = F.size(F.array_intersect(words, _words(F.concat_ws(" ", "text", "target"))))
     w = W.partitionBy("host").orderBy(F.desc("score"), "page_id", "pos")
     return (

@@ -100,14 +100,22 @@ def merge_settings(base: DataFrame, mine: DataFrame, theirs: DataFrame, key: str
 
 
 def merge_years(base: DataFrame, mine: DataFrame, theirs: DataFrame, year: str,
-                keys: list[str], order: str | None = None) -> DataFrame:
+                keys: list[str], order: str | None = None,
+                years: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """Merge with year-level rules first: a year deleted here goes; one deleted there goes
     if unchanged here; one known to a single side is taken whole; else rows are merged.
+
+    ``years`` lists the years that base, mine and theirs hold. A year that is held but has no
+    rows is not deleted: its rows are merged. Without it a year is held where it has rows.
     """
     rows = aligned(base, mine, theirs, [year, *keys], order)
     verdicts = rows.groupBy(year).agg(
         F.count("b").alias("nb"), F.count("m").alias("nm"), F.count("t").alias("nt"),
         F.bool_and(_same("m", "b")).alias("unchanged"))
+    for side, held in zip(("nb", "nm", "nt"), years or (), strict=False):
+        marked = held.select(year).distinct().withColumn("held", F.lit(1))
+        verdicts = verdicts.join(marked, year, "left").withColumn(
+            side, F.greatest(side, F.coalesce("held", F.lit(0)))).drop("held")
     in_b, in_m, in_t = F.col("nb") > 0, F.col("nm") > 0, F.col("nt") > 0
     verdict = (
         F.when(in_b & ~in_m, "drop").when(in_b & ~in_t & F.col("unchanged"), "drop")

@@ -183,12 +183,6 @@ def _(p: Plan) -> DataFrame:
     return P.readable(p.page).select("page_id", "text")
 
 
-@query("k15_readable_text_cut")
-def _(p: Plan) -> DataFrame:
-    return P.readable(p.page, max_chars=P.REDUCED_CHARS).select(
-        "page_id", F.length("text").alias("chars"))
-
-
 @query("k16_structure_per_page")
 def _(p: Plan) -> DataFrame:
     found = P.repeated_signatures(P.signatures(p.web_page), ["page_id"])

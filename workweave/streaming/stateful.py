@@ -33,7 +33,8 @@ class Throttle:
     window: float = 600
     block: float = 600
 
-    state_schema = "count long, first double, until double"
+    # times of the failures that count, oldest first
+    state_schema = "failures array<double>"
 
     @property
     def memory(self) -> float:
@@ -41,15 +42,13 @@ class Throttle:
         return max(self.window, self.block)
 
     def __call__(self, state, now, success):
-        count, first, until = state or (0, now, 0.0)
-        if until > now:
-            return (count, first, until), "blocked"
+        failures = list(state[0]) if state else []
+        if len(failures) >= self.limit and now < failures[-1] + self.block:
+            return (failures,), "blocked"
         if success:
             return None, "ok"
-        if now - first > self.window:
-            count, first = 0, now
-        count += 1
-        return (count, first, now + self.block if count >= self.limit else 0.0), "failed"
+        recent = failures if failures and failures[0] >= now - self.window else []
+        return ([*recent, now],), "failed"
 
 
 @dataclass(frozen=True)
