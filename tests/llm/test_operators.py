@@ -176,3 +176,10 @@ def test_html_and_classifier(spark, docs, empty):
     assert len(found) == len(rows()) and all(0 <= r.score <= 1 for r in found)
     assert quality_model.classify(docs, labels.limit(0), held_out()).first().score == 0.5
     assert quality_model.classify(empty, labels, held_out()).count() == 0
+
+
+def test_ngram_near_copies_without_ids(spark):
+    words = prose(random.Random(2), 80).split()
+    near = " ".join([*words[:79], "other"])
+    few = spark.createDataFrame([(None, " ".join(words)), (7, near)], "doc_id long, text string")
+    assert [r.component_id for r in ngram_join.components(few).collect()] == [7, 7]

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from workweave.llm.components import resolve
-from workweave.llm.tables import batches_of, documents, save
+from workweave.llm.tables import batches_of, documents, early_semi_joins, save
 from workweave.llm.words import Words, mix, pieces, signed, unsigned
 
 WORDS = 5
@@ -152,11 +152,15 @@ def components(docs: DataFrame, width: int = WORDS) -> DataFrame:
             _prefixes(width, frequent, int(COUNTED * (1 << 64))),
             "key long, node long, size int, counted int, hot long")
         found = save(_candidates(found), "shared")
+    # one row of each node that has a candidate; a row without an id goes by its text
     needed = save(found.select("node").distinct().join(
-        rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node"), "needed")
-    with batches_of(docs, 2000):
-        texts = save(docs.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
-                     .select("doc_id", "text").mapInArrow(_texts, "node long, item string")
+        rows.where("n > 0").groupBy("node").agg(
+            F.min(F.coalesce("doc_id", "text_hash")).alias("row"), F.min("n").alias("n")),
+        "node"), "needed")
+    with batches_of(docs, 2000), early_semi_joins(docs):
+        texts = save(docs.withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
+                     .join(needed.where("n > 0").select("row"), "row", "left_semi")
+                     .select("text").mapInArrow(_texts, "node long, item string")
                      .join(needed.select("node"), "node", "left_semi")
                      .dropDuplicates(["node"]), "texts")
 

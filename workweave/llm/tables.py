@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,12 +33,33 @@ def documents(docs: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def batches_of(df: DataFrame, rows: int) -> Iterator[None]:
-    """Arrow batches of at most ``rows`` rows in what is written inside, to bound a task's memory."""
-    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
-    before = conf.get(name)
-    conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+def settings(df: DataFrame, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings for what is written inside."""
+    conf = df.sparkSession.conf
+    before = {name: conf.get(name) for name in values}
+    for name, value in values.items():
+        conf.set(name, value)
     try:
         yield
     finally:
-        conf.set(name, before)
+        for name, value in before.items():
+            conf.set(name, value)
+
+
+def batches_of(df: DataFrame, rows: int) -> AbstractContextManager[None]:
+    """Arrow batches of at most ``rows`` rows in what is written inside, to bound a task's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(df.sparkSession.conf.get(name))
+    return settings(df, {name: str(min(rows, before) if before > 0 else rows)})
+
+
+def early_semi_joins(df: DataFrame) -> AbstractContextManager[None]:
+    """Let Spark build a run-time Bloom filter (4 MB) of a written side of up to 256 MB, so that
+    texts without a partner are dropped before the shuffle of a join. A larger side or a full
+    filter costs that saving and no result."""
+    bloom = "spark.sql.optimizer.runtime.bloomFilter"
+    return settings(df, {f"{bloom}.enabled": "true",
+                         f"{bloom}.applicationSideScanSizeThreshold": "0",
+                         f"{bloom}.creationSideThreshold": "256MB",
+                         f"{bloom}.expectedNumItems": "2500000",
+                         f"{bloom}.numBits": str(1 << 25)})
