@@ -101,6 +101,24 @@ def test_html_keeps_the_article_alone():
     assert html_text.main_text("<p>The only block of a page without any frame at all.</p>", tree)
 
 
+def test_html_goes_on_after_tags_that_are_not_closed():
+    tree = html_text.trained()
+    text = "Three boats came in from the bay before noon and a fourth one came after it."
+    one, two = f"<p>{text}</p>", f"{text}\n\n{text}"
+    for tag in ('<svg class="i"/>', "<math />", "<button>Go", "<select><option>a", "<textarea>a",
+                "<object>", "<video>", "<canvas>"):
+        page = f"<article><div>{tag}</div>{one}{one}</article>"
+        assert html_text.main_text(page, tree) == two, tag
+    for head in ("<head><title>t</title><body>", "<head><meta charset=x><body class=a>",
+                 "<head><title>t</title>", "<head><script src=a /></head>"):
+        assert html_text.main_text(f"<html>{head}{one}{one}", tree) == two, head
+    assert html_text.main_text(f"<article><p>{text[:20]}<button>Go{one}</article>", tree).endswith(text)
+    for mark in ("no-sidebar", "content with-nav", "has_sidebar", "menu-open"):
+        assert html_text.main_text(f'<div class="{mark}">{one}{one}</div>', tree) == two, mark
+    assert html_text.main_text(f'<article>{one}{one}<div class="main-menu">{one}</div></article>',
+                               tree) == two
+
+
 def test_network_scores_every_byte_and_learns():
     rng = np.random.default_rng(0)
     good = [" ".join(rng.choice(["lake", "hill", "boat", "rain"], 150)) for _ in range(40)]

@@ -10,7 +10,8 @@ rest. Character references are decoded, white space inside a block becomes one s
 blocks are joined in page order by a blank line.
 
 Null and empty pages, and pages without a main block, give an empty text. Tags that are never
-closed end with the element around them; tags cut off at the end of a page are dropped. Other
+closed end with the element around them, a head at the first tag or text that cannot stand in it;
+an unclosed script or style reaches to the end of the page. Tags cut off there are dropped. Other
 columns are passed through untouched.
 """
 
@@ -36,21 +37,27 @@ BLOCK_TAGS = frozenset(
 SILENT_TAGS = ("script", "style", "noscript", "template", "textarea", "head", "svg", "iframe",
                "select", "button", "object", "canvas", "math", "audio", "video")
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
+HEAD_TAGS = frozenset("title meta link base style script noscript template".split())
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 ASIDE_WORDS = re.compile(
     r"\b(?:ads?|advert\w*|banner\w*|breadcrumb\w*|comment\w*|consent|cookie\w*|disqus\w*|foot(?:er)?|"
     r"head(?:er)?bar|masthead|menu\w*|modal|nav\w*|newsletter\w*|notice\w*|pagination|pager|popup|"
     r"promo\w*|related\w*|repl(?:y|ies)|respond|share\w*|sharing|side(?:bar)?|social\w*|sponsor\w*|"
     r"subscribe\w*|toolbar|widget\w*|alert\w*|login|signup|complementary|navigation|contentinfo)\b")
+#: Names that tell how a page is laid out, and not what an element holds.
+LAYOUT_WORDS = re.compile(r"(?:no|not|non|with|without|has|hide)-.*|.*-(?:open|opened|closed|collapsed|"
+                          r"hidden|enabled|disabled)")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"p": BLOCK_TAGS - {"html", "body"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]),
              "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]),
              "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]),
              "option": frozenset(["option"])}
 
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 _SILENT = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(" + "|".join(SILENT_TAGS)
-    + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z)|\Z)", re.S | re.I)
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style)\b(?:" + _ATTRIBUTES
+    + r">.*?</\1\s*>|" + _ATTRIBUTES + r"(?<=/)>|.*\Z)", re.S | re.I)
+_SAME = {name: re.compile(rf"<(/?){name}(?![a-zA-Z0-9:-])[^>]*>", re.I) for name in SILENT_TAGS}
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|"
                   r"<[!?/a-zA-Z][^<>]*\Z")
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -77,51 +84,69 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page that hold text, in page order."""
     page = _SILENT.sub(" ", page)
-    found, stack = [Block()], []  # of open elements: tag, article, aside, link
+    found, stack = [Block()], []  # of open elements: tag, article, aside, link, silent
 
     def turn() -> None:
-        top = stack[-1] if stack else ("", False, False, False)
+        top = stack[-1] if stack else ("", False, False, False, False)
         found.append(Block(heading=any(s[0] in HEADINGS for s in stack[-2:]),
                            article=top[1], aside=top[2]))
 
     def put(text: str) -> None:
-        if text:
+        if stack and stack[-1][0] == "head" and text.strip():
+            stack.pop()
+            turn()
+        if text and not (stack and stack[-1][4]):
             found[-1].parts.append(text)
             if stack and stack[-1][3]:
                 found[-1].linked.append(text)
 
     at = 0
-    for tag in _TAG.finditer(page):
+    while tag := _TAG.search(page, at):
         put(page[at: tag.start()])
         at = tag.end()
         name = (tag[2] or "").lower()
         if not name:
             continue
+        if not tag[1] and any(s[0] == "head" for s in stack) and (
+                name == "body" or stack[-1][0] == "head" and name not in HEAD_TAGS):
+            while stack.pop()[0] != "head":
+                pass
+            turn()
         if name == "br":
             put(" ")
         if name in VOID_TAGS:
-            if name == "hr":
+            if name == "hr" and not (stack and stack[-1][4]):
                 turn()
             continue
+        silent = bool(stack) and stack[-1][4]
         if tag[1]:
             if any(s[0] == name for s in stack):
                 while stack.pop()[0] != name:
                     pass
+                silent = bool(stack) and stack[-1][4]
         else:
+            closed = tag[3].endswith("/")
+            if name in _SAME and name != "head" and not closed:
+                end = _SAME[name].search(page, at)
+                if end and end[1]:  # nothing inside is text, whatever its tags
+                    at = end.end()
+                    put(" ")
+                    continue
             for i in range(len(stack) - 1, -1, -1):  # end tags that may be left out
                 if name in CLOSED_BY.get(stack[i][0], ()):
                     del stack[i:]
                     break
                 if stack[i][0] in BLOCK_TAGS:
                     break
-            _, article, aside, link = stack[-1] if stack else ("", False, False, False)
+            _, article, aside, link, silent = stack[-1] if stack else ("", False, False, False, False)
             marks = " ".join("".join(m) for m in _MARKS.findall(tag[3])).lower().replace("_", "-")
-            marked = bool(marks) and name not in ("html", "body") and bool(ASIDE_WORDS.search(marks))
+            marked = name not in ("html", "body") and any(
+                ASIDE_WORDS.search(m) and not LAYOUT_WORDS.fullmatch(m) for m in marks.split())
             inside = aside or name in ASIDE_TAGS or marked or (name == "header" and not article)
-            if not tag[3].endswith("/"):
+            if not closed:
                 stack.append((name, article or name in ("article", "main"), inside,
-                              link or name == "a"))
-        if name in BLOCK_TAGS:
+                              link or name == "a", silent or name in _SAME))
+        if name in BLOCK_TAGS and not silent:
             turn()
     put(page[at:])
     return [b for b in found if b.parts and b.close()]
