@@ -183,3 +183,28 @@ def test_ngram_near_copies_without_ids(spark):
     near = " ".join([*words[:79], "other"])
     few = spark.createDataFrame([(None, " ".join(words)), (7, near)], "doc_id long, text string")
     assert [r.component_id for r in ngram_join.components(few).collect()] == [7, 7]
+
+
+def test_passages_are_whole(spark):
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    embedded = [words(51 + 7 * i) for i in range(8)]
+    lines = [words(n) for n in (8, 14, 20, 30, 40)]
+    near = words(60)
+    texts = [words(40) + " " + p + " " + words(40) for p in embedded for _ in range(2)]
+    texts += [words(25) + "\n" + p + "\n" + words(25) for p in lines for _ in range(2)]
+    texts += [words(25) + "\n" + near, near.replace(near.split()[30], "other") + "\n" + words(25)]
+    texts += ["no no " * 30 + words(9), words(9) + "\n" + "no no " * 30]
+    found = passage_dedup.passages(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    gone = {}
+    for r in found:
+        gone.setdefault((r.doc_id, r.removed), []).append(texts[r.doc_id][r.start: r.end])
+    for i, p in enumerate(embedded + lines):
+        for [part] in (gone[2 * i, False], gone[2 * i + 1, True]):
+            # near paragraphs may go a few words beyond the equal ones
+            assert p in part and len(part.split()) <= len(p.split()) + 8
+    at = 2 * len(embedded + lines)
+    assert gone[at + 1, True] == [texts[at + 1].split("\n")[0]]
+    assert gone[at + 3, True] == [("no no " * 30).strip()]
+    assert len(gone) == 2 * len(embedded + lines) + 4
