@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm import brute
-from workweave.llm import decontaminate, html_text, packing, quality_model, trie
+from workweave.llm import decontaminate, html_text, packing, passage_dedup, quality_model, trie
 from workweave.llm.minhash import tune_bands
 from workweave.llm.tokens import Tokens
 from workweave.llm.words import Words
@@ -42,6 +42,22 @@ def test_words_part_at_ascii_white_space_and_fold_ascii():
 
 def test_bands_reach_the_recall():
     assert 1 - (1 - 0.8 ** 4) ** tune_bands(0.8, 0.995, 4) >= 0.995
+    rows, least = passage_dedup.ROWS, passage_dedup.PART / passage_dedup.WHOLE
+    assert 1 - (1 - least ** rows) ** tune_bands(least, passage_dedup.RECALL, rows) >= 0.995
+
+
+def test_bands_of_paragraphs_know_every_text():
+    words = [f"w{i}" for i in range(60)]
+    like = " ".join(words), " ".join([*words[:59], "other"])
+    texts = ["\n".join(like), like[0] + "\nmore", like[1] + "\nless"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3)), pa.array(texts)], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(passage_dedup._banded(10, 3)(iter([batch]))).to_pylist()
+    nodes = Words(pa.array(like)).text_hash().view(np.int64).tolist()
+    buckets = {}
+    for r in rows:
+        buckets.setdefault(r["bucket"], []).append((r["node"], r["origin"]))
+    both = [x for x in buckets.values() if {n for n, _ in x} >= set(nodes)]
+    assert both and all(len({o for _, o in x}) > 1 for x in both)
 
 
 def test_plan_is_best_fit_decreasing():
