@@ -100,6 +100,16 @@ def test_templates_match_with_other_values_in_consistent_slots():
     assert hits[3] == hits[4] == []
 
 
+def test_copies_match_whatever_their_slots_and_case():
+    items = ["What is 15 percent of 80?", "Add 3 kg 4 kg 5 kg 6 kg and 7 kg.", "Berlin 1990",
+             "Ask Anna Otto Maria and Karl where Rome Paris and Vienna lie on the map."]
+    table = decontaminate.Templates(list(range(4)), items)
+    texts = [f"He was asked {t} And so on." for t in items] + [t.lower() for t in items]
+    hits = table.hits(pa.array([*texts, "What is 20 percent of it?", "in Berlin since 1990"]))
+    assert [[x[0] for x in h] for h in hits] == [[0], [1], [2], [3]] * 2 + [[], []]
+    assert all(h[0][3] == 1 and h[0][4] for h in hits[:8])
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><div class="cookie-bar">We use
 cookies, all of them, thank you for that.</div><nav><a href=1>Home</a></nav><article><header><h1>Title
 &amp; more</h1></header><p>First with a <a href="x">link</a> and<br>more &eacute;&#x41; text to read.

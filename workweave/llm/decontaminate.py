@@ -4,12 +4,13 @@ Words are runs of ASCII letters, digits and all other characters beyond ASCII, w
 case. A word with a digit, or a number word, becomes the placeholder NUMBER; a unit becomes UNIT;
 a capitalised word that does not open a sentence becomes NAME. Windows of eight canonical words
 with at least five literal ones are looked up in a hash table of the windows of all benchmark
-items (an item of fewer words is one window). Where a document holds windows of an item near each
+items (an item of fewer words is one window), and beside them all windows of the plain words, so
+that copies are found whatever their case and however many of their words are slots. Where a document holds windows of an item near each
 other, the slots of these windows must be filled consistently: the same value of the item always
 by the same value of the document, and different ones by different ones. A document that covers
 at least 0.6 of an item's words in that way holds the item, verbatim or with other parameters.
 
-Null and empty texts hold nothing; items without a window are matched by nothing; items that
+Null and empty texts hold nothing; items without a word are matched by nothing; items that
 repeat are reported each. Other columns are ignored. The table of windows is sent to all tasks in
 parts of bounded size: a benchmark beyond the bound takes further passes over the documents.
 """
@@ -85,14 +86,16 @@ class Canonical:
             self.code[kind] = code
         self.literal = np.concatenate([[0], np.cumsum(~self.slot)])
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """First words of the windows of one text each that hold enough literals, and their hash."""
+    def windows(self, width: int, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the windows of one text each, and their hash: of the words as they are,
+        or with placeholders and then of those windows that hold enough literals."""
         start = np.arange(max(0, self.code.size - width + 1))
         owner = np.searchsorted(self.first, start, side="right") - 1
         fits = start + width <= self.first[owner + 1]
-        enough = self.literal[start + width] - self.literal[start] >= min(LITERAL, width)
-        start = start[fits & enough]
-        return start, run_hash(self.code, start, start + width)
+        if not plain:
+            fits &= self.literal[start + width] - self.literal[start] >= min(LITERAL, width)
+        start = start[fits]
+        return start, run_hash(self.hash if plain else self.code, start, start + width)
 
 
 class Templates:
@@ -101,28 +104,28 @@ class Templates:
     def __init__(self, ids: list[int], texts: list[str | None]):
         self.ids = ids
         self.items = [Canonical(pa.array([t], pa.string())) for t in texts]
-        at: dict[int, list[tuple[np.ndarray, int, np.ndarray]]] = defaultdict(list)
+        at: dict[tuple[int, bool], list[tuple[np.ndarray, int, np.ndarray]]] = defaultdict(list)
         for i, item in enumerate(self.items):
             width = min(WINDOW, item.code.size)
-            if width:
-                start, value = item.windows(width)
-                at[width].append((value, i, start))
+            for plain in (False, True) if width else ():
+                start, value = item.windows(width, plain)
+                at[width, plain].append((value, i, start))
         self.tables = {}
-        for width, found in at.items():
+        for kind, found in at.items():
             value = np.concatenate([v for v, _, _ in found])
             item = np.repeat([i for _, i, _ in found], [v.size for v, _, _ in found])
             start = np.concatenate([s for _, _, s in found])
             order = np.argsort(value, kind="stable")
             screen = np.zeros(1 << 20, dtype=bool)
             screen[(value & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.tables[width] = (value[order], item[order], start[order], screen)
+            self.tables[kind] = (value[order], item[order], start[order], screen)
 
     def hits(self, texts: pa.Array) -> list[list[tuple[int, int, int, float, bool]]]:
         """Per text its items: id, first word, number of words, share covered, whether verbatim."""
         doc = Canonical(texts)
-        matches: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
-        for width, (values, item, at, screen) in self.tables.items():
-            start, value = doc.windows(width)
+        matches: dict[tuple[int, int], list[tuple[int, int, int, bool]]] = defaultdict(list)
+        for (width, plain), (values, item, at, screen) in self.tables.items():
+            start, value = doc.windows(width, plain)
             near = screen[(value & np.uint64((1 << 20) - 1)).astype(np.int64)]
             start, value = start[near], value[near]
             low = np.searchsorted(values, value)
@@ -130,7 +133,7 @@ class Templates:
             for k in np.flatnonzero(high > low):
                 row = int(np.searchsorted(doc.first, start[k], side="right")) - 1
                 for j in range(low[k], high[k]):
-                    matches[row, int(item[j])].append((int(start[k]), int(at[j]), width))
+                    matches[row, int(item[j])].append((int(start[k]), int(at[j]), width, plain))
         found: list[list[tuple[int, int, int, float, bool]]] = [[] for _ in range(len(texts))]
         for (row, i), pairs in matches.items():
             best = self._best(doc, self.items[i], sorted(pairs))
@@ -140,7 +143,7 @@ class Templates:
         return [sorted(x, key=lambda hit: (hit[0] is None, hit[0])) for x in found]
 
     @staticmethod
-    def _best(doc: Canonical, item: Canonical, pairs: list[tuple[int, int, int]]):
+    def _best(doc: Canonical, item: Canonical, pairs: list[tuple[int, int, int, bool]]):
         """The stretch of the document that covers most of the item with consistent slots."""
         size, best = item.code.size, None
         reach, low = size + size // 2 + WINDOW, 0
@@ -153,10 +156,11 @@ class Templates:
             forward: dict[int, int] = {}
             backward: dict[int, int] = {}
             covered, same, end = set(), True, 0
-            for d, t, width in pairs[low: high + 1]:
+            # windows of equal words first: other values must fit them
+            for d, t, width, plain in sorted(pairs[low: high + 1], key=lambda pair: not pair[3]):
                 slots = [(int(item.hash[t + k]), int(doc.hash[d + k])) for k in range(width)
                          if item.slot[t + k]]
-                if all(forward.get(x, y) == y and backward.get(y, x) == x for x, y in slots):
+                if plain or all(forward.get(x, y) == y and backward.get(y, x) == x for x, y in slots):
                     forward.update(slots)
                     backward.update((y, x) for x, y in slots)
                     covered.update(range(t, t + width))
