@@ -73,3 +73,22 @@ def best_fit(sizes, length):
         else:
             rooms.append(length - size)
     return len(rooms)
+
+
+def periodic_runs(words):
+    """Every run by its definition: each period tried at each place, least period kept."""
+    found, n = set(), len(words)
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j - i + q >= max(6, 4 * q):
+                part = words[i: j + q]
+                least = next(p for p in range(1, q + 1)
+                             if all(x == y for x, y in zip(part, part[p:])))
+                if least == q:
+                    found.add((i, j - i + q, q))
+            i = max(j, i + 1)
+    return sorted(found, key=lambda r: (r[0], r[2]))

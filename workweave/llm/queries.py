@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workweave.llm import (decontaminate, html_text, license_scan, line_dedup, ngram_join, packing,
-                           passage_dedup, quality_model, quality_rules, url_filter)
+                           passage_dedup, periodic_runs, quality_model, quality_rules, url_filter)
 from workweave.llm.sql import STATEMENTS
 from workweave.llm.tables import table
 
@@ -96,3 +96,15 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its quality score."""
     return quality_model.classify(table(spark, folder, "documents"),
                                   table(spark, folder, "labels"), held_out())
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document, a tenth of them with a loop at the end, with digests of its periodic runs."""
+    found = periodic_runs.scan(periodic_runs.looped(table(spark, folder, "documents")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    listed = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length",
+        "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
