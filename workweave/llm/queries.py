@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workweave.llm import (decontaminate, html_text, license_scan, line_dedup, ngram_join, packing,
-                           passage_dedup, periodic_runs, quality_model, quality_rules, url_filter)
+                           passage_dedup, periodic_runs, quality_model, quality_rules, url_filter,
+                           whitening)
 from workweave.llm.sql import STATEMENTS
 from workweave.llm.tables import table
 
@@ -108,3 +109,16 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length",
         "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the first components, with the share that each of them explains."""
+    vectors = table(spark, folder, "embeddings")
+    fitted = whitening.fit(vectors)
+    share = F.array(*[F.lit(x) for x in fitted.explained]).cast("array<double>")
+    return (fitted.transform(vectors)
+            .select("vec_id", "n", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+            .select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
+                    F.get(share, F.col("at")).alias("explained"),
+                    F.lit(fitted.identity_error(vectors)).cast("double").alias("identity_error")))
