@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workweave.llm import (decontaminate, html_text, license_scan, line_dedup, ngram_join, packing,
-                           passage_dedup, periodic_runs, quality_model, quality_rules, url_filter,
-                           whitening)
+from workweave.llm import (bbit_minhash, decontaminate, html_text, license_scan, line_dedup,
+                           ngram_join, packing, passage_dedup, periodic_runs, quality_model,
+                           quality_rules, url_filter, whitening)
 from workweave.llm.sql import STATEMENTS
 from workweave.llm.tables import table
 
@@ -99,6 +99,12 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
                                   table(spark, folder, "labels"), held_out())
 
 
+@query
+def op11_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its component of near copies, and whether it stands for it."""
+    return bbit_minhash.near_copies(table(spark, folder, "documents"))
+
+
 @query
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Every document, a tenth of them with a loop at the end, with digests of its periodic runs."""

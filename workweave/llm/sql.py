@@ -45,6 +45,32 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.component_id, d.doc_
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least l USING (doc_id)
 """
 
+#: The same with shingles of two words and another threshold.
+STATEMENTS["op11_minhash_near_dedup"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) < 2 THEN words
+    ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END)
+    AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b
+  WHERE 100 * p.c >= 80 * (x.n + y.n - p.c)),
+walk(doc_id, reach) AS (
+  SELECT DISTINCT a, a FROM links
+  UNION
+  SELECT walk.doc_id, links.b FROM walk JOIN links ON links.a = walk.reach),
+least AS (SELECT doc_id, min(reach) AS component_id FROM walk GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id,
+  d.doc_id = coalesce(l.component_id, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least l USING (doc_id)
+"""
+
 #: Phrases by comparing word lists at every place; templates by counting words of every line.
 STATEMENTS["op3_license_scan"] = f"""
 WITH d AS (
