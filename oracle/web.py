@@ -256,6 +256,8 @@ STATEMENTS: dict[str, str] = {
     "k1_body_text": _(f"""SELECT page_id, 'text' AS kind, 0 AS pos, 'laenge=' || length(t) || chr(10) || 'text=' || t AS fields
       FROM (SELECT page_id, {vis()} AS t FROM pages) WHERE t <> ''"""),
     "k2_paragraphs": flat(paragraphs("pages")),
+    "k2_paragraphs_open": _("""SELECT p_partkey AS page_id, 'absatz' AS kind, unnest([0, 1, 2]) AS pos,
+        unnest(['text=' || p_name, 'text=' || p_type, 'text=' || p_brand]) AS fields FROM part"""),
     "k3_headings": flat(headings("web"), **W),
     "k4_links": flat(links("web"), **W),
     "k5_images": flat(IMAGES, prt=PART),
@@ -263,6 +265,13 @@ STATEMENTS: dict[str, str] = {
         'Merkmal=Merkmal' || chr(10) || 'spalte_2=' || chr(10) || 'tabelle=1' AS fields FROM prt
       UNION ALL SELECT k + 1000000000, 'tabellenzeile', 1,
         'Merkmal=Marke' || chr(10) || 'spalte_2=' || p_brand || chr(10) || 'tabelle=1' FROM prt""", prt=PART),
+    "k6_tables_nested": _("""SELECT p_partkey AS page_id, 'tabellenzeile' AS kind, unnest([0, 1, 2, 1000000]) AS pos,
+        unnest(['A=A' || chr(10) || 'B=B' || chr(10) || 'tabelle=1',
+          'A=' || p_container || chr(10) || 'B=' || p_partkey || ' x' || chr(10) || 'spalte_3=' || p_partkey || chr(10) || 'tabelle=1',
+          'A=' || p_partkey || chr(10) || 'tabelle=1', 'spalte_1=' || p_partkey || chr(10) || 'tabelle=2']) AS fields FROM part"""),
+    "k7_list_items_nested": _("""SELECT p_partkey AS page_id, 'listeneintrag' AS kind, unnest([0, 1, 2, 3]) AS pos,
+        unnest(['text=Gruppe ' || p_mfgr || ' ' || p_brand || ' ' || p_type, 'text=' || p_brand, 'text=' || p_type, 'text=Ende']) AS fields
+      FROM part"""),
     "k7_list_items": flat(texts("pages", "listeneintrag", "li")),
     "k8_emails": flat(both("email", X.EMAIL), **W),
     "k9_phones": flat(both("telefon", X.PHONE, 7), **W),
@@ -275,9 +284,8 @@ STATEMENTS: dict[str, str] = {
         FROM part) GROUP BY field"""),
     "k14_reduction_profile": _(f"""SELECT host, count(*) AS pages, CAST(sum(b) AS BIGINT) AS before, CAST(sum(a) AS BIGINT) AS after,
         round(1 - sum(a) / sum(b), 9) AS saved
-      FROM (SELECT host, b, CASE WHEN a > 12000 THEN 12000 + length('..<!-- ... ' || (a - 12000) || ' Zeichen gekürzt ... -->') ELSE a END AS a
-        FROM (SELECT {host('url')} AS host, length(html) AS b, length({_RED}) AS a
-          FROM (SELECT *, {sub('html', X.block_pattern(X.JUNK), "''")} AS w FROM pages))) GROUP BY host"""),
+      FROM (SELECT {host('url')} AS host, length(html) AS b, length({_RED}) AS a
+        FROM (SELECT *, {sub('html', X.block_pattern(X.JUNK), "''")} AS w FROM pages)) GROUP BY host"""),
     "k15_readable_text": _(f"SELECT page_id, {_READ} AS text FROM pages"),
     "k16_structure_per_page": _("""SELECT page_id, signature, count(*) AS n, min(pos) AS pos FROM sig GROUP BY ALL HAVING count(*) > 1""",
         **W, sig=SIG),
@@ -339,6 +347,9 @@ STATEMENTS: dict[str, str] = {
         'bild=https://' || host || '/img/' || k || '-' || i || '.png' || chr(10) || 'fehlt=' || chr(10) || 'name=' || name
         || chr(10) || 'preis=' || preis || chr(10) || 'ziel=https://' || host || '/katalog/details/' || k || '-' || i || '?v=1' AS fields
       FROM cards""", prt=PART, cards=_CARDS),
+    "k13_nested_records": _("""SELECT p_partkey AS page_id, 'datensatz' AS kind, unnest([0, 1]) AS pos,
+        unnest(['art=karte' || chr(10) || 'name=' || p_name || chr(10) || 'preis=' || p_partkey || ' €',
+          'art=karte klein' || chr(10) || 'name=Teil ' || p_size || chr(10) || 'preis=']) AS fields FROM part"""),
     "k17_learned_templates": _("""SELECT DISTINCT host, CASE WHEN p_brand LIKE '%1' THEN 2 ELSE 1 END AS rank,
         'article.karte.gross' AS container, 'mehr=a.mehr' || chr(10) || 'name=h2.name' || chr(10) || 'preis=span.preis' AS fields FROM prt
       UNION ALL SELECT DISTINCT host, 1, 'div.sep', 'x=span.x' FROM prt WHERE p_brand LIKE '%1'""", prt=PART),

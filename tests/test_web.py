@@ -118,7 +118,8 @@ def test_reduced_page(spark, shop):
     assert cut == f"{short[:75]}\n<!-- ... {len(short) - 100} Zeichen gekürzt ... -->\n{short[-25:]}"
     long_value = "<body><a href=\"" + "x" * 200 + "\">a = b c = d</a></body>"
     df = spark.createDataFrame([(long_value,)], "html string")
-    assert df.select(P.reduced_html(F.col("html"))).first()[0] == (
+    assert df.select(P.reduced_html(F.col("html"))).first()[0] == long_value
+    assert df.select(P.reduced_html(F.col("html"), value_chars=120)).first()[0] == (
         "<body><a href=\"" + "x" * 120 + "...\">a = b c = d</a></body>")
 
 
@@ -200,3 +201,75 @@ def test_request_words_ignore_punctuation(spark):
                                   "page_id long, pos int, text string, target string")
     for request in ("Preise, bitte", "Preise bitte"):
         assert L.relevant(found, request, limit=5).count() == 1
+
+
+NESTED = """<body><div class="c a"><div class="c b"><h2>in</h2></div><h2 class="t">out</h2></div>
+<div class="c"><b class="t">two</b><a href='/x?a=1&amp;b=2'>go</a></div></span>
+<ul><li>one<ul><li>one a<li>one b</ul><li>two<p>in two</li><li><table><tr><td><ul><li>deep</ul></table></ul>
+<table><tr><th>A<th>B<tr><td>1<td><table><tr><th>C</th></tr><tr><td>inner</td></tr></table>after
+<tr><td></td><td>2</td></tr></table>
+<p>first<b>bold<p>second<div>block</div>loose<p>third<table><tr><td><p>cell</table>
+<article><p>open</article><p>last</p></p></body>"""
+
+
+def test_elements_nest_and_end_by_themselves(spark):
+    page = spark.createDataFrame([(1, "https://h.example/", NESTED)], "page_id long, url string, html string")
+    one = lambda name: _fields(P.extract(page, [name]))
+    assert [f["text"] for f in one("lists")] == [
+        "one one a one b", "one a", "one b", "two in two", "deep", "deep"]
+    assert [f["text"] for f in one("paragraphs")] == [
+        "in two", "first bold", "second", "third", "cell", "open", "last"]
+    assert one("tables") == [
+        {"tabelle": "1", "spalte_1": "deep"},
+        {"tabelle": "2", "A": "A", "B": "B"},
+        {"tabelle": "2", "A": "1", "B": "C inner after", "C": "C", "spalte_4": "inner"},
+        {"tabelle": "2", "A": "C"}, {"tabelle": "2", "A": "inner"},
+        {"tabelle": "2", "A": "", "B": "2"},
+        {"tabelle": "3", "C": "C"}, {"tabelle": "3", "C": "inner"},
+        {"tabelle": "4", "spalte_1": "cell"}]
+
+
+def _template(spark, container, **fields):
+    return spark.createDataFrame([("h.example", container, fields)],
+                                 "host string, container string, fields map<string,string>")
+
+
+def test_containers_hold_what_nests_in_them(spark):
+    page = spark.createDataFrame([(1, "https://h.example/", NESTED)], "page_id long, url string, html string")
+    read = lambda *a, **k: _fields(T.apply_templates(page, _template(spark, *a, **k)))
+    assert read("div.c", kopf="h2", titel=".t", ziel="a@href") == [
+        {"kopf": "in", "titel": "out", "ziel": ""}, {"kopf": "in", "titel": "", "ziel": ""},
+        {"kopf": "", "titel": "two", "ziel": "https://h.example/x?a=1&b=2"}]
+    assert read("div.c", text="", art="@class")[0] == {"text": "in out", "art": "c a"}
+    assert read("div.b.c", text="") == [{"text": "in"}]
+    for bad in ("div > p", "ul li", "a:hover", "#x", "a[href]", "a, b", "*"):
+        with pytest.raises(Exception, match="not a flat selector"):
+            read("div.c", x=bad)
+        with pytest.raises(Exception, match="not a flat selector"):
+            read(bad, x="a")
+    with pytest.raises(Exception, match="no attribute"):
+        read("div@class", x="a")
+
+
+def test_templates_are_learned_from_all_pages(spark):
+    row = '<li class="r"><div class="w"><b class="n">x</b></div></li>'
+    pages = spark.createDataFrame([
+        (1, "http://a.example/1", '<p class="s"></p><p class="s"></p><p class="s"></p>'),
+        (2, "http://a.example/2", f"<ul>{row * 2}</ul>"), (3, "http://a.example/3", f"<ul>{row * 2}</ul>"),
+        (4, "http://b.example/1", '<div class="top"><b class="n">once</b></div>'),
+        (5, "http://b.example/2", '<div class="top"><b class="n">once</b></div>')],
+        "page_id long, url string, html string")
+    found = {(r.host, r.rank, r.container): r.fields for r in T.learn_templates(pages, 3).collect()}
+    # p.s holds nothing, div.top stands once on every page
+    assert found == {("a.example", 1, "li.r"): {"w": "div.w", "n": "b.n"}, ("a.example", 2, "div.w"): {"n": "b.n"}}
+
+
+def test_long_pages_are_folded_in_linear_time():
+    import time
+
+    from workweave.functions import markup as M
+    for text in ("<a x" * 60_000, "<div>" * 60_000, "<b>x " * 60_000, "<li>" * 60_000,
+                 "<p><i>" * 40_000, "</div>" * 60_000, "<td>" * 60_000):
+        t = time.time()
+        M.elements(text)
+        assert time.time() - t < 3, text[:9]

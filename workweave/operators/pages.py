@@ -1,8 +1,9 @@
 """Record tables from captured pages.
 
 Input is a page table ``(page_id, url, html)``. Every preset gives records
-``(page_id, url, kind, preset, pos, fields)`` with ``fields`` as a map of text. All work is
-regular expressions inside Catalyst, and any number of presets reads the pages once.
+``(page_id, url, kind, preset, pos, fields)`` with ``fields`` as a map of text. Work is regular
+expressions inside Catalyst, but for elements that nest or lack end tags (paragraphs, list items,
+tables), whose ends a fold over the tags finds. Any number of presets reads the pages once.
 """
 
 from __future__ import annotations
@@ -12,14 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from workweave.functions import markup as M
 from workweave.functions import text as X
 
-# Limits of the reduced page
-REDUCED_CHARS = 12_000
+# Shares of a reduced page that is cut in the middle
 HEAD_SHARE, TAIL_SHARE = 0.75, 0.25
 KEPT_ATTRIBUTES = ["class", "id", "href", "src", "type", "name", "itemprop", "role"]
 KEPT_CLASSES = 4
-KEPT_VALUE_CHARS = 120
 
 
 # -- presets as expressions ------------------------------------------------------------
@@ -30,6 +30,9 @@ PREPARED = {
     "seen": lambda: X.inner_text(F.col("clean")),
     "head": lambda: X.without(F.col("html"), ["script", "style"]),
     "uncommented": lambda: F.regexp_replace("html", "(?s)<!--.*?-->", " "),
+    "paragraph_parts": lambda: M.bodies(F.col("clean"), "p"),
+    "list_parts": lambda: M.bodies(F.col("clean"), "li"),
+    "table_parts": lambda: M.tables(F.col("clean")),
 }
 
 
@@ -49,9 +52,9 @@ def _fields(items: Column, names: dict[str, str]) -> Column:
         x for name, at in names.items() for x in (F.lit(name), e[at])]).alias("fields")))
 
 
-def _texts(markup: Column, pattern: str) -> Column:
-    """Non-empty inner texts of a pattern's first group, as field ``text``."""
-    found = _numbered(_parts(markup, pattern), lambda e: {"text": X.inner_text(e)})
+def _texts(bodies: Column) -> Column:
+    """Non-empty inner texts of elements, as field ``text``."""
+    found = _numbered(bodies, lambda e: {"text": X.inner_text(e)})
     return _fields(F.filter(found, lambda e: e.text != ""), {"text": "text"})
 
 
@@ -62,15 +65,6 @@ def _text_items() -> Column:
     return F.filter(F.array(one), lambda e: F.length(t) > 0)
 
 
-def _paragraph_items() -> Column:
-    """A paragraph ends at its end tag, the next paragraph or the end of the article."""
-    marked = F.regexp_replace("clean", r"(?is)<p(?:\s[^>]*)?>", "\u0001")
-    split = F.split(marked, "\u0001")
-    found = _numbered(F.slice(split, 2, F.size(split)), lambda e: {"text": X.inner_text(
-        F.regexp_extract(e, r"(?is)^(.*?)(?:</p|</article|\z)", 1))})
-    return _fields(F.filter(found, lambda e: e.text != ""), {"text": "text"})
-
-
 def _heading_items() -> Column:
     """By level, then position; one pass finds all levels."""
     pattern = r"(?is)<(h[1-6])(?:\s[^>]*)?>(.*?)</\1\s*>"
@@ -114,15 +108,13 @@ def _image_items() -> Column:
 
 def _table_items() -> Column:
     """Rows keyed by header or ``spalte_n``; header rows come out as rows too."""
-    def cells(row: Column) -> Column:
-        return F.transform(_parts(row, r"(?is)<t[dh](?:\s[^>]*)?>(.*?)</t[dh]\s*>"), X.inner_text)
+    def texts(parts: Column) -> Column:
+        return F.transform(parts, X.inner_text)
 
     def rows(table: Column, t: Column) -> Column:
-        heads = F.transform(_parts(table, r"(?is)<th(?:\s[^>]*)?>(.*?)</th\s*>"), X.inner_text)
-        return F.transform(
-            _parts(table, r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr\s*>"), lambda row, n: F.struct(
-                (t.cast("long") * 1_000_000 + n).alias("pos"), t.alias("t"), heads.alias("heads"),
-                cells(row).alias("cells")))
+        return F.transform(table.rows, lambda row, n: F.struct(
+            (t.cast("long") * 1_000_000 + n).alias("pos"), t.alias("t"),
+            texts(table.heads).alias("heads"), texts(row).alias("cells")))
 
     def fields(e: Column) -> Column:
         head = lambda i: F.coalesce(F.get(e.heads, i), F.lit(""))
@@ -135,16 +127,11 @@ def _table_items() -> Column:
         number = F.create_map(F.lit("tabelle"), (e.t + 1).cast("string"))
         return F.map_concat(number, F.map_from_entries(latest))
 
-    tables = _parts(F.col("clean"), r"(?is)<table(?:\s[^>]*)?>(.*?)</table\s*>")
-    found = F.flatten(F.transform(tables, rows))
+    found = F.flatten(F.transform("table_parts", rows))
     filled = F.filter(found, lambda e: F.exists(e.cells, lambda c: c != ""))
     return F.transform(filled, lambda e: F.struct(e.pos.alias("pos"), fields(e).alias("fields")))
 
 
-def _list_items() -> Column:
-    return _texts(F.col("clean"), r"(?is)<li(?:\s[^>]*)?>(.*?)</li\s*>")
-
-
 def _match_items(text: Column, pattern: str, min_digits: int = 0) -> Column:
     """Distinct matches of a pattern, in order of first appearance."""
     found = _numbered(F.array_distinct(_parts(text, pattern, 0)), lambda m: {
@@ -203,14 +190,15 @@ PRESETS: dict[str, tuple[str, list[str], Callable[[], Column]]] = {
     "headings": ("ueberschrift", ["clean"], _heading_items),
     "links": ("link", ["clean"], _link_items),
     "images": ("bild", ["clean"], _image_items),
-    "tables": ("tabellenzeile", ["clean"], _table_items),
-    "lists": ("listeneintrag", ["clean"], _list_items),
+    "tables": ("tabellenzeile", ["clean", "table_parts"], _table_items),
+    "lists": ("listeneintrag", ["clean", "list_parts"], lambda: _texts(F.col("list_parts"))),
     "emails": ("email", ["clean", "seen"], lambda: _match_items(F.col("seen"), X.EMAIL)),
     "phones": ("telefon", ["clean", "seen"], lambda: _match_items(F.col("seen"), X.PHONE, 7)),
     "prices": ("preis", ["clean", "seen"], lambda: _match_items(F.col("seen"), X.PRICE)),
     "meta": ("meta", ["head"], _meta_items),
     "jsonld": ("jsonld", ["uncommented"], _json_ld_items),
-    "paragraphs": ("absatz", ["clean"], _paragraph_items),
+    "paragraphs": ("absatz", ["clean", "paragraph_parts"],
+                   lambda: _texts(F.col("paragraph_parts"))),
 }
 
 
@@ -266,8 +254,10 @@ def readable(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
                         X.readable_text(F.col("html"), max_chars).alias("text"))
 
 
-def reduced_html(html: Column, max_chars: int = REDUCED_CHARS, keep_links: bool = True) -> Column:
-    """The frame of a page: junk and most attributes dropped, the middle cut out when long."""
+def reduced_html(html: Column, max_chars: int | None = None, keep_links: bool = True,
+                 value_chars: int | None = None) -> Column:
+    """The frame of a page: junk and most attributes dropped. On request the middle of a page
+    longer than ``max_chars`` and the rest of values longer than ``value_chars`` go, too."""
     whole = F.regexp_replace(html, X.block_pattern(X.JUNK), "")
     body = F.regexp_extract(whole, r"(?is)<body(?:\s[^>]*)?>.*", 0)
     text = F.when(body != "", F.regexp_replace(body, r"(?is)(</body\s*>).*", "$1")).otherwise(whole)
@@ -283,10 +273,12 @@ def reduced_html(html: Column, max_chars: int = REDUCED_CHARS, keep_links: bool
     text = F.regexp_replace(
         text, rf"""(?is)(\sclass\s*=\s*["'])((?:[^\s"']+\s+){{{KEPT_CLASSES - 1}}}[^\s"']+)"""
               r"""\s[^"'<>]*(["'])""", "$1$2$3")
-    text = F.regexp_replace(
-        text, rf'(?s)="([^"<>]{{{KEPT_VALUE_CHARS}}})[^"<>]+"', '="$1..."')
+    if value_chars is not None:
+        text = F.regexp_replace(text, rf'(?s)="([^"<>]{{{value_chars}}})[^"<>]+"', '="$1..."')
     text = F.regexp_replace(text, r"\n\s*\n+", "\n")
     text = F.regexp_replace(text, r">\s+<", "><")
+    if max_chars is None:
+        return text
     head, tail = int(max_chars * HEAD_SHARE), int(max_chars * TAIL_SHARE)
     cut = F.concat(
         F.substring(text, 1, head), F.lit("\n<!-- ... "),
@@ -295,7 +287,7 @@ def reduced_html(html: Column, max_chars: int = REDUCED_CHARS, keep_links: bool
     return F.when(F.length(text) > max_chars, cut).otherwise(text)
 
 
-def reduction_profile(pages: DataFrame, max_chars: int = REDUCED_CHARS) -> DataFrame:
+def reduction_profile(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Per host: characters before and after, and the share saved."""
     sized = pages.select(X.host(F.col("url")).alias("host"), F.length("html").alias("before"),
                          F.length(reduced_html(F.col("html"), max_chars)).alias("after"))

@@ -1,8 +1,9 @@
 """Extraction templates: applying, learning, judging and falling back.
 
 A template names a repeated container and its fields by flat selectors: ``tag``, ``.class``,
-``tag.class`` (several classes allowed), each optionally with ``@attribute``. Selectors are
-data; they become patterns inside the query, so one plan serves all sites.
+``tag.class`` (several classes allowed), each optionally with ``@attribute``; any other selector
+raises an error. Selectors are data, so one plan serves all sites. Elements nest, and may lack
+their end tags (``functions.markup``).
 """
 
 from __future__ import annotations
@@ -11,18 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from workweave.functions import markup as M
 from workweave.functions import text as X
 from workweave.operators import pages as P
 from workweave.operators import records as R
 from workweave.operators import sequences as S
 from workweave.session import broadcast_if_small, settle
 
-_ANY_TAG = "[a-z][a-z0-9]*"
 # A column empty in at least this share of rows fails the gate
 EMPTY_LIMIT = 1.0
-# How many repeated structures are considered
+# How many repeated structures a report lists
 LISTED_STRUCTURES = 40
-# A template with its patterns takes a few kilobytes
+# A template takes a few kilobytes
 BROADCAST_TEMPLATES = 20_000
 
 
@@ -41,106 +42,47 @@ def template_lines(lines: DataFrame) -> DataFrame:
         F.max_by("selector", "line_no").alias("selector"))
 
 
-def _extract(text: Column, pattern: Column, group: Column) -> Column:
-    """``regexp_extract`` with the pattern in a column."""
-    return F.call_function("regexp_extract", text, pattern, group)
-
-
-def _after_first(items: Column) -> Column:
-    return F.slice(items, 2, F.size(items))
-
-
-# -- selectors as patterns ---------------------------------------------------------
-def _node(selector: Column) -> Column:
-    return F.trim(F.substring_index(selector, "@", 1))
-
-
-def _wanted_attribute(selector: Column) -> Column:
-    return F.when(F.contains(selector, F.lit("@")), F.trim(F.substring_index(selector, "@", -1)))
-
-
-def _tag(node: Column) -> Column:
-    return F.lower(F.substring_index(node, ".", 1))
-
-
-def _start_tag(node: Column) -> Column:
-    """Pattern of a matching start tag; group 1 holds its attributes."""
-    tag = _tag(node)
-    classes = _after_first(F.split(node, r"\."))
-    demand = F.transform(classes, lambda c: F.concat(
-        F.lit(r"""(?=[^>]*\sclass\s*=\s*["']?(?:[^"'>]*\s)?\Q"""), c,
-        F.lit(r"""\E(?:[\s"'][^>]*)?>)""")))
-    return F.concat(F.lit("<"), F.when(tag == "", _ANY_TAG).otherwise(tag),
-                    F.array_join(demand, ""), F.lit(r"((?:\s[^>]*)?)>"))
-
-
-def _compiled(templates: DataFrame, extra: list[str]) -> DataFrame:
-    """Templates with their selectors as patterns, computed once per template."""
+# -- applying ----------------------------------------------------------------------------
+def _checked(templates: DataFrame, extra: list[str]) -> DataFrame:
+    """Templates with their selectors as a list; one that is not flat raises an error."""
     def reads(f: Column) -> Column:
-        node, wanted = _node(f.value), _wanted_attribute(f.value)
-        tag, start = _tag(node), _start_tag(node)
-        close = F.when(tag == "", "</").otherwise(F.concat(F.lit("</"), tag, F.lit(r"\s*>")))
-        return F.struct(
-            f.key.alias("key"), (node == "").alias("whole"), wanted.alias("wanted"),
-            F.concat(F.lit("(?is)"), start).alias("start"),
-            F.concat(F.lit("(?is)"), start, F.lit("(.*?)(?:"), close, F.lit(r"|\z)")).alias("body"),
-            F.concat(F.lit(r"(?is)\s"), wanted, F.lit(r"""\s*=\s*["']?([^"'>]*)""")).alias("attr"))
-
-    container = F.col("container")
-    return templates.select(
-        "host", *extra, (container == "").alias("whole_page"),
-        F.concat(F.lit("(?is)"), _start_tag(container)).alias("opens"),
-        F.concat(F.lit(r"(?is)^(.*?)(?:</"), _tag(container), F.lit(r"\s*>|\z)")).alias("closes"),
+        selector = F.coalesce(M.checked(f.value), F.lit(""))
+        wanted = F.when(F.contains(selector, F.lit("@")),
+                        F.trim(F.substring_index(selector, "@", -1)))
+        return F.struct(f.key.alias("key"), selector.alias("selector"), wanted.alias("wanted"))
+
+    container = F.coalesce("container", F.lit(""))
+    return templates.select("host", *extra, F.when(
+        ~F.contains(container, F.lit("@")), M.checked(container)).otherwise(F.raise_error(
+            F.concat(F.lit("a container has no attribute: "), container))).alias("container"),
         F.transform(F.map_entries("fields"), reads).alias("reads"))
 
 
-def _read(block: Column, r: Column, base: Column) -> Column:
-    """Text or attribute of the first match within a block."""
-    body = F.when(r.whole, block).otherwise(_extract(block, r.body, F.lit(2)))
-    value = X.decode(_extract(_extract(block, r.start, F.lit(1)), r.attr, F.lit(1)))
+def _value(raw: Column, r: Column, base: Column) -> Column:
+    """Text of markup, or an attribute; addresses are resolved."""
+    value = X.decode(raw)
     target = F.when(r.wanted.isin("href", "src") & (value != ""), X.resolve_url(base, value)
                     ).otherwise(value)
-    return F.when(r.wanted.isNotNull(), X.squeeze(target)).otherwise(X.inner_text(body))
-
-
-def _blocks(html: Column, opens: Column, closes: Column, whole_page: Column) -> Column:
-    """Content of every container, up to its first end tag; the whole page without one."""
-    parts = _after_first(F.split(F.regexp_replace(html, opens, F.lit("\u0001")), "\u0001"))
-    inner = F.transform(parts, lambda b: _extract(b, closes, F.lit(1)))
-    return F.when(whole_page, F.array(html)).otherwise(inner)
-
-
-def _cut_pages(pages: DataFrame, templates: DataFrame, extra: list[str]) -> DataFrame:
-    """Pages joined to their host's templates, with ``blocks``.
-
-    The template table is broadcast while it is small, so a site with very many pages
-    stays spread over the cluster.
-    """
-    table = broadcast_if_small(settle(_compiled(templates, extra)), limit=BROADCAST_TEMPLATES)
-    html = X.without(F.col("html"), X.UNSEEN)
-    return pages.select("page_id", "url", html.alias("html"), X.host(F.col("url")).alias("host")
-                        ).join(table, "host").select(
-        "page_id", "url", "host", *extra, "reads",
-        _blocks(F.col("html"), F.col("opens"), F.col("closes"), F.col("whole_page"))
-        .alias("blocks"))
+    return F.when(r.wanted.isNotNull(), X.squeeze(target)).otherwise(X.inner_text(raw))
 
 
 def apply_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
     """Records of every page by its host's template; all-empty records are dropped.
 
-    ``templates`` has ``host, container, fields`` and may carry ``rank``. A field is read
-    from all blocks of a page before the next, so its pattern is prepared once per page.
+    ``templates`` has ``host, container, fields`` and may carry ``rank``. The template table is
+    broadcast while it is small, so a site with very many pages stays spread over the cluster.
     """
     extra = [c for c in templates.columns if c not in ("host", "container", "fields")]
-    columns = F.transform("reads", lambda r: F.struct(r.key.alias("key"), F.transform(
-        "blocks", lambda b: _read(b, r, F.col("url"))).alias("values")))
-    read = _cut_pages(pages, templates, extra).select(
-        "page_id", "url", "host", *extra, columns.alias("columns"),
-        F.sequence(F.lit(0), F.size("blocks") - 1).alias("places"), F.size("blocks").alias("n")
-    ).filter("n > 0")
-    rows = read.select("page_id", "url", "host", *extra, "columns", F.explode("places").alias("pos"))
-    fields = F.map_from_entries(F.transform("columns", lambda c: F.struct(
-        c.key, F.get(c.values, F.col("pos")))))
+    table = broadcast_if_small(settle(_checked(templates, extra)), limit=BROADCAST_TEMPLATES)
+    html = X.without(F.col("html"), X.UNSEEN)
+    selectors = F.transform("reads", lambda r: r.selector)
+    rows = pages.select(
+        "page_id", "url", html.alias("html"), X.host(F.col("url")).alias("host")
+    ).join(table, "host").select(
+        "page_id", "url", "host", *extra, "reads",
+        F.posexplode(M.picked(F.col("html"), F.col("container"), selectors)).alias("pos", "raw"))
+    fields = F.map_from_entries(F.transform("reads", lambda r, i: F.struct(
+        r.key, _value(F.get("raw", i), r, F.col("url")))))
     found = rows.select("page_id", "url", F.lit("datensatz").alias("kind"),
                         F.lit(0).alias("preset"), F.col("pos").cast("long").alias("pos"), "host",
                         *extra, fields.alias("fields"))
@@ -148,56 +90,46 @@ def apply_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 # -- learning --------------------------------------------------------------------------
-def sample_pages(pages: DataFrame) -> DataFrame:
-    """The page with the lowest id of each host."""
-    lowest = pages.groupBy(X.host(F.col("url")).alias("host")).agg(
-        F.min("page_id").alias("page_id"))
-    return pages.join(lowest, "page_id")
-
-
 def learn_templates(pages: DataFrame, ranks: int = 1) -> DataFrame:
     """(host, rank, container, fields): the ``ranks`` best templates per host.
 
-    One sample page per host decides. Candidates are its most repeated signatures; fields
-    are the signatures that occur in at least half of the containers, named by their last
-    class. A candidate without fields is no template. The sample holds one page per host,
-    so all groups below stay small.
+    All pages of a host decide. Candidates are the signatures that repeat on a page, most frequent
+    first; fields are the signatures that stand in at least half of such elements, named by their
+    last class. A candidate without fields is no template. Pages are read once, and each is reduced
+    to one row for every two signatures of which one holds the other.
     """
-    sample = settle(sample_pages(pages).select("page_id", "url", "host", "html"))
-    hosts = sample.select("page_id", "host")
-    repeated = P.repeated_signatures(P.signatures(sample), ["page_id"])
-    order = W.partitionBy("page_id").orderBy(F.desc("n"), "first.pos")
-    ranked = (
-        repeated.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= LISTED_STRUCTURES)
-        .join(hosts, "page_id")
-        .select("page_id", "host", "rank", F.col("signature").alias("container"))
-    )
-    candidates = ranked.select("host", "rank", "container", F.create_map().cast(
-        "map<string,string>").alias("fields"))
-    cut = _cut_pages(sample.select("page_id", "url", "html"), candidates.withColumn(
-        "name", F.col("container")), ["rank", "name"])
-    blocks = cut.select("page_id", "url", "host", "rank", F.col("name").alias("container"),
-                        F.posexplode("blocks").alias("block_no", "html"))
-    total = blocks.groupBy("host", "rank", "container").agg(F.count("*").alias("blocks"))
-    inner = P.signatures(blocks.select(
-        F.struct("host", "rank", "container", "block_no").alias("page_id"), "url", "html"))
-    per_block = inner.select("page_id.*", "pos", "signature").groupBy(
-        "host", "rank", "container", "block_no", "signature").agg(F.min("pos").alias("pos"))
-    spread = per_block.groupBy("host", "rank", "container", "signature").agg(
-        F.count("*").alias("in_blocks"), F.min("pos").alias("pos"))
+    html = X.without(F.col("html"), X.JUNK)
+    boxes = pages.select(
+        "page_id", X.host(F.col("url")).alias("host"),
+        F.explode(M.structures(html, P.KEPT_CLASSES, X.JUNK)).alias("b")
+    ).select("page_id", "host", "b.*")
+    itself = F.struct(F.lit(None).cast("string").alias("signature"), F.col("n").alias("n"),
+                      F.lit(0).cast("long").alias("pos"))
+    counted = settle(
+        boxes.select("host", "container", F.struct("page_id", "pos").alias("at"),
+                     F.explode(F.concat(F.array(itself), "inside")).alias("i"))
+        .groupBy("host", "container", "i.signature").agg(
+            F.sum("i.n").alias("n"), F.max("i.n").alias("most"), F.min("i.pos").alias("pos"),
+            F.min("at").alias("first")))
+    repeated = counted.filter("signature is null and most > 1").select(
+        "host", "container", F.col("n").alias("boxes"), "first")
     name = F.element_at(F.split("signature", r"\."), -1)
+    usable = F.col("signature").rlike(M.SELECTOR) & ~F.col("signature").rlike(M.PSEUDO)
     fields = (
-        spread.join(total, ["host", "rank", "container"])
-        .filter(F.col("in_blocks") * 2 >= F.col("blocks"))
-        .groupBy("host", "rank", "container", name.alias("name"))
-        .agg(F.min_by("signature", F.struct("pos", "signature")).alias("signature"))
-        .groupBy("host", "rank", "container")
+        counted.filter(usable).select("host", "container", "signature", "n", "pos")
+        .join(repeated, ["host", "container"])
+        .filter(F.col("n") * 2 >= F.col("boxes"))
+        .groupBy("host", "container", name.alias("name"))
+        .agg(F.min_by("signature", F.struct("pos", "signature")).alias("signature"),
+             F.first("boxes").alias("boxes"), F.first("first").alias("first"))
+        .groupBy("host", "container")
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "signature"))))
-             .alias("fields"))
+             .alias("fields"), F.first("boxes").alias("boxes"), F.first("first").alias("first"))
+        .filter(F.col("container").rlike(M.SELECTOR) & ~F.col("container").rlike(M.PSEUDO))
     )
-    best = W.partitionBy("host").orderBy("rank")
-    return fields.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= ranks)
+    best = W.partitionBy("host").orderBy(F.desc("boxes"), "first")
+    return fields.withColumn("rank", F.row_number().over(best)).filter(
+        F.col("rank") <= ranks).select("host", "rank", "container", "fields")
 
 
 # -- judging -----------------------------------------------------------------------------

@@ -109,6 +109,11 @@ def _(p: Plan) -> DataFrame:
     return _flat(P.extract(p.page, ["paragraphs"]))
 
 
+@query("k2_paragraphs_open")
+def _(p: Plan) -> DataFrame:
+    return _flat(P.extract(p.nested_page, ["paragraphs"]))
+
+
 @query("k3_headings")
 def _(p: Plan) -> DataFrame:
     return _flat(P.extract(p.web_page, ["headings"]))
@@ -129,6 +134,16 @@ def _(p: Plan) -> DataFrame:
     return _flat(P.extract(p.shop_page, ["tables"]))
 
 
+@query("k6_tables_nested")
+def _(p: Plan) -> DataFrame:
+    return _flat(P.extract(p.nested_page, ["tables"]))
+
+
+@query("k7_list_items_nested")
+def _(p: Plan) -> DataFrame:
+    return _flat(P.extract(p.nested_page, ["lists"]))
+
+
 @query("k7_list_items")
 def _(p: Plan) -> DataFrame:
     return _flat(P.extract(p.page, ["lists"]))
@@ -326,6 +341,15 @@ def _(p: Plan) -> DataFrame:
     return _flat(T.apply_templates(p.shop_page, table))
 
 
+@query("k13_nested_records")
+def _(p: Plan) -> DataFrame:
+    fields = {"name": "h2.name", "preis": ".preis", "art": "@class"}
+    table = p.nested_page.sparkSession.createDataFrame(
+        [("nest.example", "div.karte", fields)],
+        "host string, container string, fields map<string,string>")
+    return _flat(T.apply_templates(p.nested_page, table))
+
+
 @query("k17_learned_templates")
 def _(p: Plan) -> DataFrame:
     return T.learn_templates(p.web_page, ranks=2).withColumn("fields", _text(F.col("fields")))

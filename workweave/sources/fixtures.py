@@ -322,6 +322,23 @@ class Plan:
             (key + 1_000_000_000).alias("page_id"),
             text("https://", site, "/katalog/", key).alias("url"), html.alias("html"))
 
+    @cached_property
+    def nested_page(self) -> DataFrame:
+        """A page per part on which cards, lists and tables hold others of their kind, and most
+        paragraphs, items, cells and rows have no end tag."""
+        html = F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in (
+            '<div class="karte"><div class="kopf"><h2 class="name">', F.col("p_name"),
+            '</h2></div><div class="karte klein"><h2 class="name">Teil ', F.col("p_size"),
+            '</h2></div><span class="preis">', F.col("p_partkey"), " €</span></div><ul><li>Gruppe ",
+            F.col("p_mfgr"), "<ul><li>", F.col("p_brand"), "<li>", F.col("p_type"),
+            "</ul><li>Ende</ul><table><tr><th>A<th>B<tr><td>", F.col("p_container"),
+            "<td><table><tr><td>", F.col("p_partkey"), "</td></tr></table>x</table><p>",
+            F.col("p_name"), "<p>", F.col("p_type"), "<div>dazwischen</div>lose<p>",
+            F.col("p_brand"))])
+        return spread(self.table("part"), "p_partkey").select(
+            F.col("p_partkey").alias("page_id"),
+            F.concat(F.lit("https://nest.example/"), "p_partkey").alias("url"), html.alias("html"))
+
     @cached_property
     def web_page(self) -> DataFrame:
         """Captured and catalogue pages together."""
