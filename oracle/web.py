@@ -267,10 +267,10 @@ STATEMENTS: dict[str, str] = {
         'Merkmal=Marke' || chr(10) || 'spalte_2=' || p_brand || chr(10) || 'tabelle=1' FROM prt""", prt=PART),
     "k6_tables_nested": _("""SELECT p_partkey AS page_id, 'tabellenzeile' AS kind, unnest([0, 1, 2, 1000000]) AS pos,
         unnest(['A=A' || chr(10) || 'B=B' || chr(10) || 'tabelle=1',
-          'A=' || p_container || chr(10) || 'B=' || p_partkey || ' x' || chr(10) || 'spalte_3=' || p_partkey || chr(10) || 'tabelle=1',
+          'A=' || p_brand || chr(10) || 'B=' || p_partkey || ' x' || chr(10) || 'spalte_3=' || p_partkey || chr(10) || 'tabelle=1',
           'A=' || p_partkey || chr(10) || 'tabelle=1', 'spalte_1=' || p_partkey || chr(10) || 'tabelle=2']) AS fields FROM part"""),
     "k7_list_items_nested": _("""SELECT p_partkey AS page_id, 'listeneintrag' AS kind, unnest([0, 1, 2, 3]) AS pos,
-        unnest(['text=Gruppe ' || p_mfgr || ' ' || p_brand || ' ' || p_type, 'text=' || p_brand, 'text=' || p_type, 'text=Ende']) AS fields
+        unnest(['text=Gruppe ' || p_size || ' ' || p_brand || ' ' || p_type, 'text=' || p_brand, 'text=' || p_type, 'text=Ende']) AS fields
       FROM part"""),
     "k7_list_items": flat(texts("pages", "listeneintrag", "li")),
     "k8_emails": flat(both("email", X.EMAIL), **W),

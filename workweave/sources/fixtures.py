@@ -330,8 +330,8 @@ class Plan:
             '<div class="karte"><div class="kopf"><h2 class="name">', F.col("p_name"),
             '</h2></div><div class="karte klein"><h2 class="name">Teil ', F.col("p_size"),
             '</h2></div><span class="preis">', F.col("p_partkey"), " €</span></div><ul><li>Gruppe ",
-            F.col("p_mfgr"), "<ul><li>", F.col("p_brand"), "<li>", F.col("p_type"),
-            "</ul><li>Ende</ul><table><tr><th>A<th>B<tr><td>", F.col("p_container"),
+            F.col("p_size"), "<ul><li>", F.col("p_brand"), "<li>", F.col("p_type"),
+            "</ul><li>Ende</ul><table><tr><th>A<th>B<tr><td>", F.col("p_brand"),
             "<td><table><tr><td>", F.col("p_partkey"), "</td></tr></table>x</table><p>",
             F.col("p_name"), "<p>", F.col("p_type"), "<div>dazwischen</div>lose<p>",
             F.col("p_brand"))])
