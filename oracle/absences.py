@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from oracle.ctes import CTES
 from oracle.ctes import statement as _
 
 # Text helpers of the report statements
@@ -49,8 +50,19 @@ _TIGHT = """SELECT dept_id, y, min(day) AS f, max(day) AS t, min(i) AS fi, count
             o.i - row_number() OVER (PARTITION BY o.dept_id, o.y ORDER BY o.i) AS island
           FROM occ o JOIN dept d ON d.dept_id = o.dept_id WHERE o.n = d.max_absent AND d.max_absent > 0)
     GROUP BY dept_id, y, island"""
-_PROP = """SELECT absence_id AS proposal_id, person_id, type, status, quota, s + 30 AS s, e + 30 AS e,
+_PROP = """SELECT absence_id AS proposal_id, person_id, type, status, quota,
+      s + CASE WHEN absence_id % 97 = 0 THEN 400 ELSE 30 END AS s, e + CASE WHEN absence_id % 97 = 0 THEN 400 ELSE 30 END AS e,
       half_start, half_end FROM absence"""
+_PROPDAY = """SELECT proposal_id, person_id,
+      CAST(unnest(generate_series(s, e, INTERVAL 1 DAY)) AS DATE) AS day FROM prop"""
+
+
+def _planning(sql: str) -> str:
+    """Years of stored entries and of those moved by up to 400 days."""
+    return sql.replace(CTES["years"], CTES["years"].replace(
+        "max(year(e))", "max(year(e + CASE WHEN absence_id % 97 = 0 THEN 400 ELSE 30 END))"))
+
+
 _LANES = """SELECT person_id, rn, absence_id, e, [e] AS ends, 1 AS lane
       FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY s, ord) AS rn FROM absence) WHERE rn = 1
     UNION ALL
@@ -143,7 +155,7 @@ STATEMENTS: dict[str, str] = {
         WHERE pd.person_id = a.person_id AND c.day BETWEEN a.s AND a.e) AS conflicted FROM absence a"""),
     "e7_entries_in_conflicts": _("""SELECT absence_id, person_id FROM absence
       WHERE absence_id IN (SELECT first.ord FROM confpeople)"""),
-    "e8_screening": _("""SELECT proposal_id, person_id, dept_id, any_value(max_absent) AS max_absent,
+    "e8_screening": _planning(_("""SELECT proposal_id, person_id, dept_id, any_value(max_absent) AS max_absent,
         max(cnt) AS worst, count(*) FILTER (WHERE cnt > max_absent) AS over_days,
         coalesce(CAST(min(day) FILTER (WHERE cnt > max_absent) AS VARCHAR), '') AS first_over,
         max(cnt) - any_value(max_absent) AS margin
@@ -154,9 +166,18 @@ STATEMENTS: dict[str, str] = {
           LEFT JOIN cal c ON c.day = pr.day AND c.workday
           LEFT JOIN occ o ON o.dept_id = pd.dept_id AND o.day = pr.day
           LEFT JOIN pday me ON me.person_id = pr.person_id AND me.day = pr.day)
-      GROUP BY proposal_id, person_id, dept_id""", prop=_PROP,
-        propday="""SELECT proposal_id, person_id,
-          CAST(unnest(generate_series(s, e, INTERVAL 1 DAY)) AS DATE) AS day FROM prop"""),
+      GROUP BY proposal_id, person_id, dept_id""", prop=_PROP, propday=_PROPDAY)),
+    "e8_screened_people": _planning(_("""SELECT v.proposal_id, v.dept_id, p.person_id AS other_id, count(*) AS days,
+        CAST(min(v.day) AS VARCHAR) AS first_day
+      FROM (SELECT pr.proposal_id, pr.person_id, pd.dept_id, pr.day
+          FROM propday pr JOIN pd ON pd.person_id = pr.person_id JOIN lim l ON l.dept_id = pd.dept_id
+            JOIN cal c ON c.day = pr.day AND c.workday
+            JOIN occ o ON o.dept_id = pd.dept_id AND o.day = pr.day
+            LEFT JOIN pday me ON me.person_id = pr.person_id AND me.day = pr.day
+          WHERE 1 + o.n - CASE WHEN me.day IS NULL THEN 0 ELSE 1 END > l.max_absent) v
+        JOIN pday p ON p.day = v.day AND p.person_id <> v.person_id
+        JOIN pd ON pd.person_id = p.person_id AND pd.dept_id = v.dept_id
+      GROUP BY ALL""", prop=_PROP, propday=_PROPDAY)),
     "e15_without_department": _("SELECT person_id, name FROM person WHERE person_id NOT IN (SELECT person_id FROM member)"),
     "e15_people_under": _("""SELECT person_id, name FROM person
       WHERE person_id IN (SELECT person_id FROM pd WHERE dept_id = 'R3')"""),
@@ -252,14 +273,14 @@ STATEMENTS: dict[str, str] = {
     "j10_half_day_rounding": _("SELECT c_custkey, floor(c_acctbal * 2 + 0.5) / 2 AS rounded FROM customer"),
     "j11_roll_forward": _("""SELECT y + 1 AS plan_year, person_id, name, role, entitlement,
         floor(greatest(0.0, remaining) * 2 + 0.5) / 2 AS carryover FROM acc"""),
-    "j12_after_request": _("""SELECT p.proposal_id, p.person_id, p.y AS year, p.workdays,
+    "j12_after_request": _planning(_("""SELECT p.proposal_id, p.person_id, p.y AS year, p.workdays,
         CASE WHEN p.quota THEN a.remaining + coalesce(o.workdays, 0)
             - CASE WHEN p.status = 'abgelehnt' THEN 0 ELSE p.workdays END ELSE a.remaining END AS rest_after,
         p.quota AND a.remaining + coalesce(o.workdays, 0)
             - CASE WHEN p.status = 'abgelehnt' THEN 0 ELSE p.workdays END < 0 AS overdraws, p.calendar_days
       FROM wdp2 p JOIN acc a ON a.person_id = p.person_id AND a.y = p.y
         LEFT JOIN wd o ON o.absence_id = p.proposal_id AND o.y = p.y AND o.quota AND o.status <> 'abgelehnt'""",
-        prop=_PROP, wdp=_WDP, wdp1=_WDP1, wdp2=_WDP2),
+        prop=_PROP, wdp=_WDP, wdp1=_WDP1, wdp2=_WDP2)),
     "b1_account_report": _(f"""SELECT a.y AS year, a.name AS "Person", coalesce(n.names, '') AS "Abteilung", a.role AS "Rolle",
         {_n('a.entitlement')} AS "Anspruch", {_n('a.carryover')} AS "Übertrag", {_n('a.total')} AS "Verfügbar",
         {_n('a.approved')} AS "Genehmigt", {_n('a.pending')} AS "Beantragt", {_n('a.remaining')} AS "Rest",

@@ -3,6 +3,7 @@ from collections import defaultdict
 from datetime import date, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from workweave.operators import calendar as C
 from workweave.operators import hierarchy as H
@@ -112,6 +113,49 @@ def test_screening_counts_other_people(spark, org, cal):
             assert got[i, d] == want, (i, d)
 
 
+def test_screening_names_the_others(spark, org):
+    tree, person, member, clo, pd = org
+    stored = spark.createDataFrame(_random_entries(11, 6, 70), ABSENCE)
+    asked = [(i, i % 6, date(2024, 1, 8) + timedelta(days=17 * i), date(2024, 1, 8) + timedelta(days=17 * i + i % 40))
+             for i in range(22)] + [(99, 0, date(2025, 3, 1), date(2026, 1, 9)), (98, 1, date(2024, 6, 8), date(2024, 6, 9)),
+                                    (97, 777, date(2024, 5, 6), date(2024, 5, 8))]
+    proposal = spark.createDataFrame(asked, "proposal_id int, person_id long, start date, end date")
+    cal = C.calendar(C.years_spanned(stored, proposal), ["DE-NW"])
+    works = {r.day for r in cal.filter("workday").collect()}
+    depts = {r.person_id: r.dept_ids for r in pd.collect()} | {777: ["__none__"]}
+    cap = {r.dept_id: r.max_absent for r in H.limits(tree).collect()}
+    entries = [r for r in stored.collect() if r.status != "abgelehnt" and r.type != "homeoffice"]
+    worst, others = {}, {}
+    for i, p, s, e in asked:
+        for d in depts[p]:
+            worst[i, d] = 0
+            for day in sorted(x for x in works if s <= x <= e):
+                away = {a.person_id for a in entries if a.start <= day <= a.end
+                        and a.person_id != p and d in depts.get(a.person_id, [])}
+                worst[i, d] = max(worst[i, d], len(away) + 1)
+                if len(away) + 1 > cap[d]:
+                    for o in away:
+                        others.setdefault((i, d, o), []).append(day)
+    got = O.screen(proposal, stored, pd, H.limits(tree), cal).collect()
+    assert {(r.proposal_id, r.dept_id): r.worst for r in got} == worst
+    got = O.screened_people(proposal, stored, pd, H.limits(tree), cal).collect()
+    assert others and {(r.proposal_id, r.dept_id, r.other_id): (r.days, r.first_day) for r in got} == {
+        k: (len(v), v[0]) for k, v in others.items()}
+    # a calendar that ends too early is an error, no proposal is lost
+    with pytest.raises(Exception, match="calendar lacks the year"):
+        O.screen(proposal, stored, pd, H.limits(tree), C.calendar(C.years_spanned(stored), ["DE-NW"])).collect()
+
+
+def test_screening_joins_by_equality(spark, org, cal):
+    tree, _, _, _, pd = org
+    stored = spark.createDataFrame(_random_entries(7, 6, 60), ABSENCE)
+    proposal = stored.select(F.col("absence_id").alias("proposal_id"), "person_id", "start", "end")
+    for found in (O.screen(proposal, stored, pd, H.limits(tree), cal),
+                  O.screened_people(proposal, stored, pd, H.limits(tree), cal)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_flagged_entries(spark, org, cal):
     tree, _, _, _, pd = org
     absence = spark.createDataFrame(_random_entries(3, 6, 50), ABSENCE)

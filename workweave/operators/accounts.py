@@ -12,16 +12,21 @@ from workweave.session import broadcast_if_small
 from workweave.sources.reference import APPROVED, PENDING, REJECTED, counting_types, quota_types
 
 
-def entry_workdays(absence: DataFrame, cal: DataFrame) -> DataFrame:
+def entry_workdays(absence: DataFrame, cal: DataFrame, every: bool = False) -> DataFrame:
     """Adds ``year`` and ``workdays``: one row per entry and calendar year it touches.
 
     The interval is clipped to the year. Half-day flags refer to the clipped first and last
     day and only take effect on workdays; a single day with both flags stays whole.
-    Two array lookups per row replace the expansion into days.
+    Two array lookups per row replace the expansion into days. Parts in years that the calendar
+    lacks are left out, or with ``every`` an error.
     """
-    parts = O._by_year(absence).join(F.broadcast(C.year_index(cal)), "year")
+    index = F.broadcast(C.year_index(cal))
+    parts = O._by_year(absence).join(index, "year", "left" if every else "inner")
     s, e = F.col("s"), F.col("e")
-    n = F.get("worked", e + 1) - F.get("worked", s)
+    worked = F.coalesce("worked", F.raise_error(F.concat(
+        F.lit("the calendar lacks the year "), F.col("year").cast("string")))
+    ) if every else F.col("worked")
+    n = F.get(worked, e + 1) - F.get(worked, s)
     half = F.lit(0.5)
     none = F.lit(0.0)
     less_start = F.when(F.col("half_start") & F.get("workday", s), half).otherwise(none)
@@ -161,9 +166,10 @@ def after_request(proposal: DataFrame, absence: DataFrame, account: DataFrame,
     """Remaining days if a proposal were taken, in the year it starts.
 
     A replaced entry is given back first. Proposals of types without allowance leave the
-    account as it is.
+    account as it is. Calendar and accounts must reach over all proposals; nothing is known of
+    what remains to a person without an account.
     """
-    asked = entry_workdays(proposal, cal).filter(F.col("year") == F.year("start"))
+    asked = entry_workdays(proposal, cal, every=True).filter(F.col("year") == F.year("start"))
     old = entry_workdays(absence, cal).filter(
         (F.col("status") != REJECTED) & F.col("type").isin(*quota_types())
     ).select(F.col("absence_id").alias("ignore_absence_id"), "year",
@@ -175,7 +181,7 @@ def after_request(proposal: DataFrame, absence: DataFrame, account: DataFrame,
     ).otherwise(F.col("remaining"))
     return (
         asked.join(old, ["ignore_absence_id", "year"], "left")
-        .join(account.select("person_id", "year", "remaining"), ["person_id", "year"])
+        .join(account.select("person_id", "year", "remaining"), ["person_id", "year"], "left")
         .select("proposal_id", "person_id", "year", "workdays", after.alias("rest_after"),
                 (quota & (after < 0)).alias("overdraws"),
                 D.days_between(F.col("start"), F.col("end")).alias("calendar_days"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,11 +16,12 @@ BRIDGE_MAX_COST = 4
 BRIDGE_MIN_RATIO = 2.2
 
 
-def years_spanned(intervals: DataFrame) -> DataFrame:
-    """Every year between the first start and the last end, as column ``year``."""
-    span = intervals.agg(
-        F.min(F.year("start")).alias("lo"), F.max(F.year("end")).alias("hi")
-    ).filter("lo is not null")
+def years_spanned(*intervals: DataFrame) -> DataFrame:
+    """Every year between the first start and the last end of all tables, as column ``year``."""
+    ends = [df.agg(F.min(F.year("start")).alias("lo"), F.max(F.year("end")).alias("hi"))
+            for df in intervals]
+    span = reduce(DataFrame.unionByName, ends).agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo is not null")
     return span.select(F.explode(F.sequence("lo", "hi")).alias("year"))
 
 

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from workweave.functions import dates as D
 from workweave.operators.calendar import year_index
 from workweave.session import broadcast_if_small, settle
-from workweave.sources.reference import REJECTED, counting_types, quota_types
+from workweave.sources.reference import NO_DEPARTMENT, REJECTED, counting_types, quota_types
 
 
 # A row with an array over the days of a year takes a few kilobytes
 BROADCAST_ARRAYS = 20_000
+# Workdays whose marks share one number
+BLOCK_DAYS = 32
 
 
 # -- entries -----------------------------------------------------------------
@@ -321,32 +323,106 @@ def flag_conflicted(absence: DataFrame, found: DataFrame, person_dept: DataFrame
         "conflicted", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
-def _in_workdays(intervals: DataFrame, cal: DataFrame) -> DataFrame:
+# -- screening -----------------------------------------------------------------
+def _in_workdays(intervals: DataFrame, cal: DataFrame, every: bool = False) -> DataFrame:
     """Split by year and add ``a`` and ``b``: first and last workday of the part, numbered
     from 0 within the year; ``b`` lies before ``a`` where the part has no workday.
+
+    Parts in years that the calendar lacks are left out, or with ``every`` an error.
     """
     index = F.broadcast(year_index(cal).select("year", "worked"))
-    return _by_year(intervals).join(index, "year").withColumns({
-        "a": F.get("worked", F.col("s")), "b": F.get("worked", F.col("e") + 1) - 1,
+    worked = F.col("worked")
+    if every:
+        worked = F.coalesce(worked, F.raise_error(F.concat(
+            F.lit("the calendar lacks the year "), F.col("year").cast("string"))))
+    return _by_year(intervals).join(index, "year", "left" if every else "inner").withColumns({
+        "a": F.get(worked, F.col("s")), "b": F.get(worked, F.col("e") + 1) - 1,
     }).drop("worked", "s", "e")
 
 
-def load_index(occ: DataFrame, dept: DataFrame, cal: DataFrame) -> DataFrame:
-    """(dept_id, year, load): people away on the year's workdays, one array per branch.
+def _bit(j: Column | int) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(j) if isinstance(j, int) else j)
+
+
+def _in_blocks(parts: DataFrame, name: str) -> DataFrame:
+    """Cut parts into blocks of ``BLOCK_DAYS`` workdays of a year; ``name`` has a bit for each of
+    its workdays. A part without workdays keeps one block with no bit set."""
+    some = F.col("b") >= F.col("a")
+    block = F.when(some, F.sequence(F.floor(F.col("a") / BLOCK_DAYS), F.floor(F.col("b") / BLOCK_DAYS))
+                   ).otherwise(F.array(F.lit(0).cast("long")))
+    first = F.greatest(F.col("a") - F.col("block") * BLOCK_DAYS, F.lit(0)).cast("int")
+    last = F.least(F.col("b") - F.col("block") * BLOCK_DAYS, F.lit(BLOCK_DAYS - 1)).cast("int")
+    days = F.when(some, _bit(last + 1) - _bit(first)).otherwise(F.lit(0).cast("long"))
+    return parts.withColumn("block", F.explode(block)).withColumn(name, days).drop("a", "b")
+
+
+def presence(absence: DataFrame, cal: DataFrame) -> DataFrame:
+    """(person_id, year, block, away): the workdays on which a person is away, as bits of blocks.
+
+    Overlapping entries fall together, and are combined before the shuffle.
+    """
+    parts = _in_workdays(countable(absence).select("person_id", "start", "end"), cal)
+    return _in_blocks(parts.filter("b >= a"), "away").groupBy("person_id", "year", "block").agg(
+        F.bit_or("away").alias("away"))
+
+
+def _screened(proposal: DataFrame, away: DataFrame, person_dept: DataFrame, limits: DataFrame,
+              cal: DataFrame) -> DataFrame:
+    """A row per proposal, branch of its person and block of workdays: the largest head count, and
+    as bits the workdays above the limit.
 
-    Every branch and year is listed, so a missing array cannot mean a missing branch.
+    Heads are counted for blocks on which anybody of the branch is away; others have none.
     """
-    lo, hi = (cal.agg(f("year")).scalar() for f in (F.min, F.max))
-    empty = dept.select("dept_id", F.explode(F.sequence(lo, hi)).alias("year")).join(
-        F.broadcast(cal.filter("workday").select("year", "i")), "year")
-    filled = (
-        occ.select("dept_id", "year", "i", "n")
-        .unionByName(empty.select("dept_id", "year", "i", F.lit(0).cast("long").alias("n")))
-        .groupBy("dept_id", "year", "i").agg(F.sum("n").alias("n"))
+    ones = [F.sum(F.shiftrightunsigned("away", j).bitwiseAND(1)) for j in range(BLOCK_DAYS)]
+    load = (
+        away.join(person_dept, "person_id")
+        .select(F.explode("dept_ids").alias("dept_id"), "year", "block", "away")
+        .groupBy("dept_id", "year", "block").agg(F.array(*ones).alias("load"))
+    )
+    asked = _in_blocks(_in_workdays(
+        proposal.select("proposal_id", "person_id", "start", "end"), cal, every=True), "asked")
+    branches = F.coalesce("dept_ids", F.array(F.lit(NO_DEPARTMENT)))
+    placed = (
+        asked.join(away.withColumnRenamed("away", "own"), ["person_id", "year", "block"], "left")
+        .join(person_dept, "person_id", "left")
+        .select("proposal_id", "person_id", "year", "block", "asked",
+                F.coalesce("own", F.lit(0).cast("long")).alias("own"),
+                F.explode(branches).alias("dept_id"))
+        .join(limits.select("dept_id", "max_absent"), "dept_id")
+        .join(broadcast_if_small(settle(load), limit=BROADCAST_ARRAYS),
+              ["dept_id", "year", "block"], "left")
+    )
+    places = F.array(*[F.lit(j) for j in range(BLOCK_DAYS)])
+
+    def has(days: str, j: Column) -> Column:
+        return F.col(days).bitwiseAND(_bit(j)) != 0
+
+    heads = F.transform(places, lambda j: F.when(
+        has("asked", j), 1 + F.coalesce(F.get("load", j), F.lit(0)) - has("own", j).cast("int")))
+    over = F.aggregate(
+        F.transform("heads", lambda n, j: F.when(n > F.col("max_absent"), _bit(j))),
+        F.lit(0).cast("long"), lambda acc, x: acc + F.coalesce(x, F.lit(0).cast("long")))
+    return placed.withColumn("heads", heads).select(
+        "proposal_id", "person_id", "dept_id", "max_absent", "year", "block",
+        F.coalesce(F.array_max("heads"), F.lit(0)).alias("worst"), over.alias("over"))
+
+
+def _first_day(days: str) -> Column:
+    """Year and number of the first workday among the bits of a block."""
+    x = F.col(days)
+    place = F.bit_count(x.bitwiseAND(-x) - 1)
+    return F.when(x != 0, F.struct("year", (F.col("block") * BLOCK_DAYS + place).alias("k")))
+
+
+def _dated(found: DataFrame, cal: DataFrame, first: str, name: str) -> DataFrame:
+    """Replace year and number of a workday by its date."""
+    numbered = F.broadcast(cal.filter("workday").join(
+        year_index(cal).select("year", "worked"), "year"
+    ).select("year", F.get("worked", F.col("i")).cast("long").alias("k"), F.col("day").alias(name)))
+    return (
+        found.select("*", F.col(f"{first}.year").alias("year"), F.col(f"{first}.k").alias("k"))
+        .join(numbered, ["year", "k"], "left").drop("year", "k", first)
     )
-    lists = filled.groupBy("dept_id", "year").agg(
-        F.array_sort(F.collect_list(F.struct("i", "n"))).alias("l"))
-    return lists.select("dept_id", "year", F.transform("l", lambda x: x.n).alias("load"))
 
 
 def screen(proposal: DataFrame, absence: DataFrame, person_dept: DataFrame, limits: DataFrame,
@@ -354,56 +430,44 @@ def screen(proposal: DataFrame, absence: DataFrame, person_dept: DataFrame, limi
     """What-if check of proposed intervals, per department of the person.
 
     ``worst`` is the largest head count on any workday including the person, ``over_days``
-    the number of workdays above the limit, ``first_over`` the first of them.
+    the number of workdays above the limit, ``first_over`` the first of them. The calendar must
+    reach over all proposals; beyond the stored entries nobody else is away.
 
     The count of other people equals the branch occupancy less the person's own presence,
     so no list of people is formed; a replaced entry only ever belongs to the same person.
-    Days are never rows: a proposal takes its slice of its branches' load arrays and looks
-    at its person's merged intervals, all numbered in workdays. The grouping leaves out the
-    person on purpose, so that the join on a person with very many proposals may be split
-    at run time.
+    Proposals and presence meet block by block, by equality of branch, year and block.
     """
-    index = broadcast_if_small(
-        settle(load_index(occupancy(absence, person_dept, cal), limits, cal)
-               .join(limits.select("dept_id", "max_absent"), "dept_id")),
-        limit=BROADCAST_ARRAYS)
-    own = (
-        _in_workdays(merged_absences(countable(absence)), cal).filter("b >= a")
-        .groupBy("person_id").agg(F.collect_list(F.struct("year", "a", "b")).alias("own"))
-    )
-    people = person_dept.join(own, "person_id", "left")
-    meets = F.filter("own", lambda x: (x.year == F.col("year")) & (x.a <= F.col("b"))
-                     & (x.b >= F.col("a")))
-    placed = (
-        _in_workdays(proposal.select("proposal_id", "person_id", "start", "end"), cal)
-        .join(people, "person_id")
-        .select("proposal_id", "person_id", "year", "a", "b",
-                F.coalesce(meets, F.array().cast(own.schema["own"].dataType)).alias("own"),
-                F.explode("dept_ids").alias("dept_id"))
-        .join(index, ["dept_id", "year"])
-    )
-    asked = F.slice("load", F.col("a") + 1, F.col("b") - F.col("a") + 1)
-    counts = F.transform(asked, lambda n, j: n + 1 - F.exists(
-        "own", lambda x: (x.a <= F.col("a") + j) & (x.b >= F.col("a") + j)).cast("int"))
-    counted = placed.select("proposal_id", "person_id", "dept_id", "year", "a", "max_absent",
-                            counts.alias("counts"))
-    over = F.filter(F.transform("counts", lambda n, j: F.when(
-        n > F.col("max_absent"), F.col("a") + j)), lambda k: k.isNotNull())
-    judged = counted.select(
-        "proposal_id", "person_id", "dept_id", "max_absent",
-        F.coalesce(F.array_max("counts"), F.lit(0)).alias("worst"), F.size(over).alias("n"),
-        F.when(F.size(over) > 0, F.struct("year", F.array_min(over).alias("k"))).alias("first"))
-    found = judged.groupBy("proposal_id", "dept_id").agg(
+    pieces = _screened(proposal, settle(presence(absence, cal)), person_dept, limits, cal)
+    found = pieces.groupBy("proposal_id", "dept_id").agg(
         F.first("person_id").alias("person_id"), F.first("max_absent").alias("max_absent"),
-        F.max("worst").alias("worst"), F.sum("n").alias("over_days"), F.min("first").alias("f"))
-    numbered = F.broadcast(cal.filter("workday").join(
-        year_index(cal).select("year", "worked"), "year"
-    ).select("year", F.get("worked", F.col("i")).alias("k"), F.col("day").alias("first_over")))
-    return (
-        found.select("*", F.col("f.year").alias("year"), F.col("f.k").alias("k"))
-        .join(numbered, ["year", "k"], "left").drop("year", "k", "f")
-        .withColumn("margin", F.col("worst") - F.col("max_absent"))
+        F.max("worst").alias("worst"), F.sum(F.bit_count("over")).alias("over_days"),
+        F.min(_first_day("over")).alias("f"))
+    return _dated(found, cal, "f", "first_over").withColumn(
+        "margin", F.col("worst") - F.col("max_absent"))
+
+
+def screened_people(proposal: DataFrame, absence: DataFrame, person_dept: DataFrame,
+                    limits: DataFrame, cal: DataFrame) -> DataFrame:
+    """(proposal_id, dept_id, other_id, days, first_day): who else is away on the workdays on which
+    a proposal would exceed a limit, on how many of them, and on which first.
+
+    Only blocks with such a workday look for people. Both sides of that join are plain rows, so
+    that a branch of very many people may be split at run time.
+    """
+    away = settle(presence(absence, cal))
+    over = _screened(proposal, away, person_dept, limits, cal).filter("over <> 0").select(
+        "proposal_id", "person_id", "dept_id", "year", "block", "over")
+    people = away.join(person_dept, "person_id").select(
+        F.col("person_id").alias("other_id"), F.explode("dept_ids").alias("dept_id"), "year",
+        "block", "away")
+    met = (
+        over.join(people, ["dept_id", "year", "block"])
+        .filter(F.col("person_id") != F.col("other_id"))
+        .withColumn("both", F.col("over").bitwiseAND(F.col("away"))).filter("both <> 0")
     )
+    found = met.groupBy("proposal_id", "dept_id", "other_id").agg(
+        F.sum(F.bit_count("both")).alias("days"), F.min(_first_day("both")).alias("f"))
+    return _dated(found, cal, "f", "first_day")
 
 
 # -- figures -------------------------------------------------------------------

@@ -221,12 +221,19 @@ def _(p: Plan) -> DataFrame:
 
 @query("e8_screening")
 def _(p: Plan) -> DataFrame:
-    found = O.screen(p.proposal, p.absence, p.person_dept, p.limits, p.calendar)
+    found = O.screen(p.proposal, p.absence, p.person_dept, p.limits, p.planning_calendar)
     return found.withColumn(
         "first_over", F.coalesce(F.col("first_over").cast("string"), F.lit(""))
     ).orderBy(F.desc("margin"), "proposal_id", "dept_id")
 
 
+@query("e8_screened_people")
+def _(p: Plan) -> DataFrame:
+    return O.screened_people(
+        p.proposal, p.absence, p.person_dept, p.limits, p.planning_calendar
+    ).withColumn("first_day", F.col("first_day").cast("string"))
+
+
 @query("e15_without_department")
 def _(p: Plan) -> DataFrame:
     return H.without_department(p.person, p.member).select("person_id", "name")
@@ -434,7 +441,9 @@ def _(p: Plan) -> DataFrame:
 
 @query("j12_after_request")
 def _(p: Plan) -> DataFrame:
-    return A.after_request(p.proposal, p.absence, _accounts(p), p.calendar)
+    cal = p.planning_calendar
+    account = A.accounts(p.person, p.absence, cal, p.planning_years)
+    return A.after_request(p.proposal, p.absence, account, cal)
 
 
 # -- reports -------------------------------------------------------------------------
