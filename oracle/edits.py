@@ -31,9 +31,41 @@ _YJ = """SELECT i.id, i.yr, yb.id IS NOT NULL AS ib, ym.id IS NOT NULL AS im, yt
     yb.bal AS bb, ym.bal AS mb, yt.bal AS tb, c.name
   FROM (SELECT id, yr FROM yb UNION SELECT id, yr FROM ym UNION SELECT id, yr FROM yt) i JOIN c ON c.id = i.id
     LEFT JOIN yb ON yb.id = i.id LEFT JOIN ym ON ym.id = i.id LEFT JOIN yt ON yt.id = i.id"""
-_YV = """SELECT yr, CASE WHEN bool_or(ib) AND NOT bool_or(im) THEN 'drop'
-    WHEN bool_or(ib) AND NOT bool_or(it) AND bool_and(ib = im AND mb IS NOT DISTINCT FROM bb) THEN 'drop'
-    WHEN NOT bool_or(im) THEN 'theirs' WHEN NOT bool_or(it) THEN 'mine' ELSE 'rows' END AS verdict FROM yj GROUP BY yr"""
+_YH = """SELECT yr, yr < 2010 AS hb, yr NOT IN (1993, 2014) AS hm, yr NOT IN (1995, 1999, 2010) AS ht,
+    yr % 5 = 0 AS lb, yr % 5 = 0 OR yr % 7 = 0 AS lm, yr % 3 = 0 AS lt FROM (SELECT 1990 + n_nationkey AS yr FROM nation)"""
+_YV = """SELECT *, CASE WHEN hb AND NOT hm THEN 'drop' WHEN hb AND NOT ht AND lb = lm AND same THEN 'drop'
+    WHEN NOT hm THEN 'theirs' WHEN NOT ht THEN 'mine' ELSE 'rows' END AS verdict
+  FROM (SELECT h.*, coalesce((SELECT bool_and(ib = im AND mb IS NOT DISTINCT FROM bb) FROM yj WHERE yj.yr = h.yr), true) AS same
+    FROM yh h) WHERE hb OR hm OR ht"""
+
+# one list of people and one list of their departments per list, an edit at a time
+_ORD = """SELECT c_nationkey AS l, list(c_custkey ORDER BY c_custkey) AS ps, list(CASE WHEN c_custkey % 4 = 0 THEN CAST([] AS VARCHAR[])
+    WHEN c_custkey % 4 = 1 AND c_custkey % 5 <> c_custkey % 3 THEN ['D' || (c_custkey % 5), 'D' || (c_custkey % 3)]
+    ELSE ['D' || (c_custkey % 5)] END ORDER BY c_custkey) AS ds FROM customer GROUP BY c_nationkey"""
+_EDIT = """SELECT *, row_number() OVER (PARTITION BY l ORDER BY seq) AS n FROM (
+    SELECT CASE WHEN e.event_id % 41 = 0 THEN (c.c_nationkey + 1) % 25 ELSE c.c_nationkey END AS l, e.event_id AS seq,
+      CASE e.event_id % 5 WHEN 0 THEN 'assign' WHEN 1 THEN 'unassign' ELSE 'move' END AS op, c.c_custkey AS p,
+      CASE WHEN e.event_id % 6 <> 0 THEN 'D' || ((e.event_id // 3) % 5) END AS f,
+      CASE WHEN e.event_id % 8 <> 0 THEN 'D' || ((e.event_id // 11) % 5) END AS t,
+      CASE WHEN e.event_id % 3 = 0 THEN c.c_custkey + 25 * (e.event_id % 9) END AS b
+    FROM events e JOIN customer c ON c.c_custkey = e.event_id * 7 % (SELECT max(c_custkey) FROM customer) + 1)"""
+_REPLAY = """SELECT l, CAST(0 AS BIGINT) AS n, ps, ds FROM ord
+    UNION ALL
+    SELECT l, n, CASE WHEN op = 'move' AND i > 0 THEN list_concat(list_append(p0[1:ins], p), p0[ins + 1:]) ELSE ps END,
+      CASE WHEN i = 0 THEN ds WHEN op = 'move' THEN list_concat(list_append(d0[1:ins], own), d0[ins + 1:])
+        WHEN op = 'assign' AND t IS NOT NULL AND NOT list_contains(ds[i], t) THEN list_concat(list_append(ds[1:i - 1], list_append(ds[i], t)), ds[i + 1:])
+        WHEN op = 'unassign' AND f IS NOT NULL THEN list_concat(list_append(ds[1:i - 1], list_filter(ds[i], lambda x: x <> f)), ds[i + 1:])
+        ELSE ds END
+    FROM (SELECT *, CASE WHEN b IS NOT NULL THEN CASE WHEN list_contains(p0, b) THEN list_position(p0, b) - 1 ELSE len(p0) END
+        ELSE coalesce(list_max(list_filter(range(1, len(p0) + 1),
+          lambda k: CASE WHEN t IS NULL THEN len(d0[k]) = 0 ELSE list_contains(d0[k], t) END)), len(p0)) END AS ins
+      FROM (SELECT *, list_concat(ps[1:i - 1], ps[i + 1:]) AS p0, list_concat(ds[1:i - 1], ds[i + 1:]) AS d0,
+          CASE WHEN t IS NOT NULL AND NOT list_contains(left_, t) THEN list_append(left_, t) ELSE left_ END AS own
+        FROM (SELECT *, CASE WHEN i > 0 THEN list_filter(ds[i], lambda x: f IS NULL OR x <> f) END AS left_
+          FROM (SELECT r.l, e.n, r.ps, r.ds, e.op, e.p, e.f, e.t, e.b,
+              CASE WHEN list_contains(r.ps, e.p) THEN list_position(r.ps, e.p) ELSE 0 END AS i
+            FROM replay r JOIN edit e ON e.l = r.l AND e.n = r.n + 1))))"""
+_LAST = "SELECT l, arg_max(ps, n) AS ps, arg_max(ds, n) AS ds FROM replay GROUP BY l"
 
 _CHG = """SELECT user_id * 2 AS person_id, event_id AS seq,
     CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'delete' ELSE 'update' END AS op,
@@ -89,7 +121,10 @@ STATEMENTS: dict[str, str] = {
             WHEN im AND NOT it AND NOT ib THEN 'mine' WHEN im AND NOT it THEN CASE WHEN mb <> bb THEN 'mine' ELSE 'gone' END
             WHEN ib AND mb = bb THEN 'theirs' ELSE 'mine' END END AS side
         FROM yj j JOIN yv v ON v.yr = j.yr) WHERE side <> 'gone'""",
-        **_V, yb=_YB, ym=_YM, yt=_YT, yj=_YJ, yv=_YV),
+        **_V, yb=_YB, ym=_YM, yt=_YT, yj=_YJ, yh=_YH, yv=_YV),
+    "j15_year_verdicts": _("""SELECT yr AS year, verdict, CASE verdict WHEN 'drop' THEN CASE WHEN ht THEN lt END WHEN 'mine' THEN lm
+        WHEN 'rows' THEN CASE WHEN NOT hb OR lm <> lb THEN lm ELSE lt END ELSE lt END AS locked FROM yv""",
+        **_V, yb=_YB, ym=_YM, yt=_YT, yj=_YJ, yh=_YH, yv=_YV),
     "j16_true_conflicts": _("""SELECT id, CASE WHEN NOT im THEN 'deleted here' WHEN NOT it THEN 'deleted there'
         WHEN NOT ib THEN 'added twice' ELSE 'changed twice' END AS kind FROM j
       WHERE mb IS DISTINCT FROM bb AND tb IS DISTINCT FROM bb AND mb IS DISTINCT FROM tb""", **_V, j=_J),
@@ -103,6 +138,9 @@ STATEMENTS: dict[str, str] = {
       FROM live GROUP BY person_id
       HAVING bool_or(seq = -1) OR person_id IN (SELECT person_id FROM reset WHERE op = 'add')""",
         chg=_CHG, reset=_RESET, alive=_ALL, live=_LIVE),
+    "j17_ordered_people": _("""SELECT l AS list_id, unnest(range(len(ps))) AS pos, unnest(ps) AS person_id,
+        unnest(list_transform(ds, lambda d: array_to_string(d, ','))) AS dept_ids FROM last_""",
+        ord=_ORD, edit=_EDIT, replay=_REPLAY, last_=_LAST),
     "j17_accepted_parents": _("""SELECT x.dept_id, x.new_parent, m.members FROM (
         SELECT 'N' || n_nationkey AS dept_id, 'N' || ((n_nationkey + 5) % 25) AS new_parent FROM nation
         UNION ALL SELECT 'R' || (n_nationkey % 4), 'N' || n_nationkey FROM nation) x

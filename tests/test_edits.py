@@ -56,7 +56,8 @@ def test_settings_and_years(spark):
     base = spark.createDataFrame([(1, 1, "x"), (2, 1, "x"), (3, 1, "x"), (3, 2, "x")], y)
     mine = spark.createDataFrame([(2, 1, "x"), (3, 1, "m"), (3, 2, "x"), (5, 1, "m")], y)
     theirs = spark.createDataFrame([(1, 1, "t"), (3, 1, "x"), (3, 2, "t"), (6, 1, "t")], y)
-    rows = {(r.year, r.id): r.v for r in M.merge_years(base, mine, theirs, "year", ["id"]).collect()}
+    held = [v.select("year").distinct() for v in (base, mine, theirs)]
+    rows = {(r.year, r.id): r.v for r in M.merge_years(base, mine, theirs, "year", ["id"], held).collect()}
     assert rows == {(3, 1): "m", (3, 2): "t", (5, 1): "m", (6, 1): "t"}
 
 
@@ -195,3 +196,69 @@ def test_a_year_without_rows_is_not_a_deleted_year(spark):
     assert [(r.id, r.v) for r in merged.collect()] == [(2, "b")]
     gone = M.merge_years(base, mine, theirs, "year", ["id"], years=(held, held.limit(0), held))
     assert gone.count() == 0
+
+
+def test_flags_of_years(spark):
+    flags = lambda **f: spark.createDataFrame(
+        [(int(y[1:]), v) for y, v in f.items()], "year int, locked boolean")
+    rows = lambda *r: spark.createDataFrame(list(r), "year int, id int, v string")
+    none = rows()
+    got = M.year_verdicts(rows((6, 1, "a")), rows((6, 1, "a"), (8, 1, "n")), none, "year", ["id"], (
+        flags(y1=False, y2=True, y3=False, y4=True, y5=False, y6=False),
+        flags(y1=True, y2=True, y3=False, y5=True, y6=False, y7=True),
+        flags(y1=False, y2=False, y4=False, y9=True)))
+    assert {r.year: (r.verdict, r.locked) for r in got.collect()} == {
+        1: ("rows", True), 2: ("rows", False), 3: ("drop", None), 4: ("drop", False),
+        5: ("mine", True), 6: ("drop", None), 7: ("mine", True), 8: ("mine", None), 9: ("theirs", True)}
+
+
+def _edited(people, edits):
+    """The list after every edit, one after the other."""
+    people = [(p, list(d)) for p, d in people]
+    for _, op, p, f, t, before in edits:
+        at = next((i for i, x in enumerate(people) if x[0] == p), None)
+        if at is None:
+            continue
+        depts = people[at][1]
+        if op == "assign":
+            if t is not None and t not in depts:
+                depts.append(t)
+        elif op == "unassign":
+            people[at] = (p, [d for d in depts if d != f])
+        else:
+            del people[at]
+            depts = [d for d in depts if d != f]
+            depts += [t] if t is not None and t not in depts else []
+            if before is not None:
+                spot = next((i for i, x in enumerate(people) if x[0] == before), len(people))
+            else:
+                spot = max((i + 1 for i, x in enumerate(people) if (t in x[1] if t is not None else not x[1])),
+                           default=len(people))
+            people.insert(spot, (p, depts))
+    return people
+
+
+PEOPLE = "list_id int, ord int, person_id int, dept_ids array<string>"
+EDITS = "list_id int, seq int, op string, person_id int, from_dept string, to_dept string, before_id int"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ordered_edits_match_a_list(spark, seed, monkeypatch):
+    from workweave.operators import ordering as O
+    if seed % 2:
+        monkeypatch.setattr(O, "GAP", 4)  # places run out and are dealt anew
+    rnd = random.Random(seed)
+    people, edits, want = [], [], {}
+    for l in range(4):
+        mine = [(p, rnd.sample("ABC", rnd.randrange(3))) for p in rnd.sample(range(20), 12)] if l else []
+        batch = [(s, rnd.choice(["assign", "unassign", "move", "move", "move"]), rnd.randrange(20),
+                  rnd.choice(["A", "B", "C", None]), rnd.choice(["A", "B", "C", None]),
+                  rnd.choice([None, None, rnd.randrange(22)])) for s in range(120)]
+        people += [(l, i, *x) for i, x in enumerate(mine)]
+        edits += [(l, *e) for e in batch]
+        want |= {(l, i): (p, d) for i, (p, d) in enumerate(_edited(mine, batch))}
+    people.append((9, 0, 1, None))  # a list without edits, a person without departments
+    want[9, 0] = (1, [])
+    rnd.shuffle(edits)
+    got = O.replayed(spark.createDataFrame(people, PEOPLE).repartition(3), spark.createDataFrame(edits, EDITS))
+    assert {(r.list_id, r.pos): (r.person_id, r.dept_ids) for r in got.collect()} == want

@@ -99,29 +99,51 @@ def merge_settings(base: DataFrame, mine: DataFrame, theirs: DataFrame, key: str
         key, "_row.*", F.when(changed, "mine").otherwise("theirs").alias("taken_from"))
 
 
-def merge_years(base: DataFrame, mine: DataFrame, theirs: DataFrame, year: str,
-                keys: list[str], order: str | None = None,
-                years: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Merge with year-level rules first: a year deleted here goes; one deleted there goes
-    if unchanged here; one known to a single side is taken whole; else rows are merged.
-
-    ``years`` lists the years that base, mine and theirs hold. A year that is held but has no
-    rows is not deleted: its rows are merged. Without it a year is held where it has rows.
+def _held(rows: DataFrame, years: DataFrame, year: str) -> DataFrame:
+    """The years of one side with their flags; a year with rows is held even if not listed."""
+    listed = years.withColumn("_held", F.lit(True))
+    return listed.unionByName(
+        rows.select(year).distinct().join(years.select(year), year, "left_anti")
+        .withColumn("_held", F.lit(True)), allowMissingColumns=True)
+
+
+def year_verdicts(base: DataFrame, mine: DataFrame, theirs: DataFrame, year: str,
+                  keys: list[str], years: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """(year, verdict, flags...): what becomes of every year that a side holds.
+
+    A year deleted here goes; one deleted there goes if nothing of it changed here; one known to
+    a single side is taken whole; else its rows are merged (``drop``, ``mine``, ``theirs`` or
+    ``rows``). ``years`` lists the years of base, mine and theirs, since a year may be held without
+    a row, and may carry flags such as ``locked``: where rows are merged, a flag changed here wins.
     """
-    rows = aligned(base, mine, theirs, [year, *keys], order)
-    verdicts = rows.groupBy(year).agg(
-        F.count("b").alias("nb"), F.count("m").alias("nm"), F.count("t").alias("nt"),
-        F.bool_and(_same("m", "b")).alias("unchanged"))
-    for side, held in zip(("nb", "nm", "nt"), years or (), strict=False):
-        marked = held.select(year).distinct().withColumn("held", F.lit(1))
-        verdicts = verdicts.join(marked, year, "left").withColumn(
-            side, F.greatest(side, F.coalesce("held", F.lit(0)))).drop("held")
-    in_b, in_m, in_t = F.col("nb") > 0, F.col("nm") > 0, F.col("nt") > 0
+    rows = aligned(base, mine, theirs, [year, *keys])
+    untouched = rows.groupBy(year).agg(F.bool_and(_same("m", "b")).alias("_untouched"))
+    held = aligned(*[_held(r, y, year) for r, y in zip((base, mine, theirs), years, strict=True)],
+                   [year]).join(untouched, year, "left")
+    in_b, in_m, in_t = (F.col(c).isNotNull() for c in "bmt")
+    unchanged = F.coalesce("_untouched", F.lit(True)) & _same("m", "b")
     verdict = (
-        F.when(in_b & ~in_m, "drop").when(in_b & ~in_t & F.col("unchanged"), "drop")
+        F.when(in_b & ~in_m, "drop").when(in_b & ~in_t & unchanged, "drop")
         .when(~in_m, "theirs").when(~in_t, "mine").otherwise("rows")
     )
-    small = broadcast_if_small(settle(verdicts.select(year, verdict.alias("verdict"))))
+    flags = [c for c in years[1].columns if c != year]
+
+    def flag(c: str) -> Column:
+        here, there = F.col(f"m.{c}"), F.col(f"t.{c}")
+        changed = ~here.eqNullSafe(F.col(f"b.{c}"))
+        return F.when(F.col("verdict") == "mine", here).when(
+            (F.col("verdict") == "rows") & changed, here).otherwise(there).alias(c)
+
+    return held.withColumn("verdict", verdict).select(year, "verdict", *[flag(c) for c in flags])
+
+
+def merge_years(base: DataFrame, mine: DataFrame, theirs: DataFrame, year: str,
+                keys: list[str], years: tuple[DataFrame, DataFrame, DataFrame],
+                order: str | None = None) -> DataFrame:
+    """Merge with the rules for years (``year_verdicts``) before those for rows."""
+    verdicts = year_verdicts(base, mine, theirs, year, keys, years).select(year, "verdict")
+    small = broadcast_if_small(settle(verdicts))
+    rows = aligned(base, mine, theirs, [year, *keys], order)
     whole = F.col("verdict")
     row = (
         F.when(whole == "rows", row_verdict())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from workweave.operators import merge as M
+from workweave.operators import ordering as O
 from workweave.operators import revlog as V
 from workweave.plans.registry import query
 from workweave.sources import plan_document as P
@@ -89,18 +90,17 @@ def _(p: Plan) -> DataFrame:
 
 @query("j15_merge_years")
 def _(p: Plan) -> DataFrame:
-    nation = p.table("customer").select(
-        F.col("c_custkey").alias("id"), (F.col("c_nationkey") + 1990).alias("year"))
-    base, mine, theirs = (v.join(nation, "id") for v in p.versions)
-    year = F.col("year")
-    base = base.filter(year < 2010)
-    untouched = base.filter(year == 1999)
-    mine = mine.filter(~year.isin(1993, 1994, 1999, 2014)).unionByName(untouched)
-    theirs = theirs.filter(~year.isin(1995, 1996, 1999, 2010))
-    return M.merge_years(base, mine, theirs, "year", ["id"]).select(
+    rows, held = p.year_versions
+    return M.merge_years(*rows, "year", ["id"], held).select(
         "year", "id", "name", "balance", "taken_from")
 
 
+@query("j15_year_verdicts")
+def _(p: Plan) -> DataFrame:
+    rows, held = p.year_versions
+    return M.year_verdicts(*rows, "year", ["id"], held)
+
+
 @query("j16_true_conflicts")
 def _(p: Plan) -> DataFrame:
     return M.true_conflicts(*p.versions, ["id"])
@@ -142,6 +142,12 @@ def _(p: Plan) -> DataFrame:
     return M.apply_changes(table, changes, "person_id")
 
 
+@query("j17_ordered_people")
+def _(p: Plan) -> DataFrame:
+    return O.replayed(p.ordered_people, p.ordered_edits).select(
+        "list_id", "pos", "person_id", F.array_join("dept_ids", ",").alias("dept_ids"))
+
+
 @query("j17_accepted_parents")
 def _(p: Plan) -> DataFrame:
     n = p.table("nation")

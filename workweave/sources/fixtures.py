@@ -181,6 +181,57 @@ class Plan:
         ).withColumn("balance", bump(3000, 5000, 2.0))
         return base, mine, theirs
 
+    @cached_property
+    def year_versions(self) -> tuple[tuple[DataFrame, ...], tuple[DataFrame, ...]]:
+        """Rows and years of base, mine and theirs. Here 1993 is deleted and 1994 emptied, there
+        1995 and 1999 are deleted and 1996 emptied; 1999 is as it was. Years can be locked."""
+        nation = self.table("customer").select(
+            F.col("c_custkey").alias("id"), (F.col("c_nationkey") + 1990).alias("year"))
+        base, mine, theirs = (v.join(nation, "id") for v in self.versions)
+        year = F.col("year")
+        base = base.filter(year < 2010)
+        mine = mine.filter(~year.isin(1993, 1994, 1999, 2014)).unionByName(
+            base.filter(year == 1999))
+        theirs = theirs.filter(~year.isin(1995, 1996, 1999, 2010))
+        every = self.table("nation").select((F.col("n_nationkey") + 1990).alias("year"))
+        held = (
+            every.filter(year < 2010).withColumn("locked", year % 5 == 0),
+            every.filter(~year.isin(1993, 2014)).withColumn(
+                "locked", (year % 5 == 0) | (year % 7 == 0)),
+            every.filter(~year.isin(1995, 1999, 2010)).withColumn("locked", year % 3 == 0))
+        return (base, mine, theirs), held
+
+    @cached_property
+    def ordered_people(self) -> DataFrame:
+        """(list_id, ord, person_id, dept_ids): the people of a nation as one list, each in up to
+        two of five departments."""
+        c = self.table("customer")
+        key = F.col("c_custkey")
+        first, second = (F.concat(F.lit("D"), (key % n).cast("string")) for n in (5, 3))
+        depts = F.when(key % 4 == 0, F.array().cast("array<string>")).when(
+            (key % 4 == 1) & (first != second), F.array(first, second)).otherwise(F.array(first))
+        return c.select(F.col("c_nationkey").alias("list_id"), key.alias("ord"),
+                        key.alias("person_id"), depts.alias("dept_ids"))
+
+    @cached_property
+    def ordered_edits(self) -> DataFrame:
+        """(list_id, seq, op, person_id, from_dept, to_dept, before_id): one edit per event, some of
+        people who are not in the list, or without a department or a person to stand before."""
+        key, people = F.col("event_id"), self.table("customer").agg(F.max("c_custkey")).scalar()
+        customer = self.table("customer").select(
+            F.col("c_custkey").alias("person_id"), F.col("c_nationkey").alias("list_id"))
+        dept = lambda n, none: F.when(key % none != 0, F.concat(
+            F.lit("D"), (F.floor(key / n) % 5).cast("string")))
+        edits = self.table("events").select(
+            key.alias("seq"),
+            F.when(key % 5 == 0, "assign").when(key % 5 == 1, "unassign").otherwise("move").alias("op"),
+            (key * 7 % people + 1).alias("person_id"), dept(3, 6).alias("from_dept"),
+            dept(11, 8).alias("to_dept"),
+            F.when(key % 3 == 0, key * 7 % people + 1 + 25 * (key % 9)).alias("before_id"))
+        return edits.join(customer, "person_id").select(
+            F.when(F.col("seq") % 41 == 0, (F.col("list_id") + 1) % 25).otherwise(F.col("list_id"))
+            .alias("list_id"), "seq", "op", "person_id", "from_dept", "to_dept", "before_id")
+
     # -- logs --------------------------------------------------------------
     @cached_property
     def revision(self) -> DataFrame:
