@@ -121,7 +121,16 @@ STATEMENTS: dict[str, str] = {
         any_value(day(last_day(s))) AS days_in_month,
         any_value(CASE WHEN day(last_day(make_date(year(s), 2, 1))) = 29 THEN 366 ELSE 365 END) AS days_in_year,
         count(*) AS starts FROM absence GROUP BY date_trunc('month', s)"""),
-    "d8_workdays": _("SELECT absence_id, y AS year, workdays FROM allwd", allwd=_ALLWD),
+    # workdays up to a day, counted once; a part of a year is the difference of two such counts
+    "d8_workdays": _("""SELECT w.absence_id, w.y AS year,
+        CASE WHEN w.n = 0 THEN 0.0 ELSE greatest(0, w.n - CASE WHEN a.half_start AND w.first_works THEN 0.5 ELSE 0 END
+          - CASE WHEN a.half_end AND w.ce <> w.cs AND w.last_works THEN 0.5 ELSE 0 END
+          + CASE WHEN a.half_start AND a.half_end AND w.cs = w.ce THEN 0.5 ELSE 0 END) END::DOUBLE AS workdays
+      FROM (SELECT p.absence_id, p.y, p.cs, p.ce, l.upto - f.upto + CAST(f.workday AS INTEGER) AS n,
+          f.workday AS first_works, l.workday AS last_works
+        FROM wd0 p JOIN upto f ON f.day = p.cs JOIN upto l ON l.day = p.ce) w
+        JOIN absence a ON a.absence_id = w.absence_id""",
+        upto="""MATERIALIZED SELECT day, workday, sum(CAST(workday AS INTEGER)) OVER (ORDER BY day) AS upto FROM cal"""),
     "d8_workdays_by_days": _("SELECT absence_id, y AS year, workdays FROM wd"),
     "d9_calendar_days": _("SELECT absence_id, e - s + 1 AS days FROM absence"),
     "d10_german_texts": _(f"""SELECT a.absence_id, w.y AS year, {_d('a.s')} AS "from",

@@ -146,11 +146,16 @@ def _needed(text: str, found: list[str]) -> None:
 
 
 def statement(body: str, **local: str) -> str:
-    """``body`` preceded by the common expressions it mentions, then the ``local`` ones."""
+    """``body`` preceded by the common expressions it mentions, then the ``local`` ones.
+
+    A local one that starts with ``MATERIALIZED`` is computed once, however often it is read.
+    """
     found: list[str] = []
     _needed(body + " " + " ".join(local.values()), found)
     ctes = [f"{n} AS (\n      {CTES[n]})" for n in CTES if n in found]
-    ctes += [f"{n} AS (\n      {sql})" for n, sql in local.items()]
+    once = "MATERIALIZED "
+    ctes += [f"{n} AS {once}(\n      {sql[len(once):]})" if sql.startswith(once)
+             else f"{n} AS (\n      {sql})" for n, sql in local.items()]
     if not ctes:
         return body
     return "WITH RECURSIVE " + ",\n  ".join(ctes) + "\n" + body

@@ -42,7 +42,7 @@ _YV = """SELECT *, CASE WHEN hb AND NOT hm THEN 'drop' WHEN hb AND NOT ht AND lb
 _ORD = """SELECT c_nationkey AS l, list(c_custkey ORDER BY c_custkey) AS ps, list(CASE WHEN c_custkey % 4 = 0 THEN CAST([] AS VARCHAR[])
     WHEN c_custkey % 4 = 1 AND c_custkey % 5 <> c_custkey % 3 THEN ['D' || (c_custkey % 5), 'D' || (c_custkey % 3)]
     ELSE ['D' || (c_custkey % 5)] END ORDER BY c_custkey) AS ds FROM customer GROUP BY c_nationkey"""
-_EDIT = """SELECT *, row_number() OVER (PARTITION BY l ORDER BY seq) AS n FROM (
+_EDIT = """MATERIALIZED SELECT *, row_number() OVER (PARTITION BY l ORDER BY seq) AS n FROM (
     SELECT CASE WHEN e.event_id % 41 = 0 THEN (c.c_nationkey + 1) % 25 ELSE c.c_nationkey END AS l, e.event_id AS seq,
       CASE e.event_id % 5 WHEN 0 THEN 'assign' WHEN 1 THEN 'unassign' ELSE 'move' END AS op, c.c_custkey AS p,
       CASE WHEN e.event_id % 6 <> 0 THEN 'D' || ((e.event_id // 3) % 5) END AS f,
