@@ -379,6 +379,10 @@ STATEMENTS: dict[str, str] = {
     "e10_robots": _(f"""SELECT page_id, CASE WHEN starts_with(h, 'm.') THEN NOT starts_with(path, '/de/')
         ELSE starts_with(path, '/fr/7') OR NOT starts_with(path, '/fr/') END AS allowed
       FROM (SELECT page_id, {host('url')} AS h, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS path FROM pages)"""),
+    "e10_robots_agents": _(f"""SELECT agent, page_id, CASE WHEN starts_with(h, 'm.') THEN agent <> 'other' AND NOT starts_with(path, '/de/')
+        ELSE agent = 'fetcher' AND (starts_with(path, '/fr/7') OR NOT starts_with(path, '/fr/')) END AS allowed
+      FROM (SELECT page_id, {host('url')} AS h, regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1) AS path FROM pages),
+        (SELECT unnest(['fetcher', 'other', 'nobody-else']) AS agent)"""),
     "e11_unseen_links": _(f"""SELECT target, f.page_id, f.pos FROM (
         SELECT target, min({{'page_id': page_id, 'pos': pos}}) AS f FROM targets
         WHERE target NOT IN (SELECT {norm('url')} FROM web) GROUP BY target)""", **W, anc=anchors("web"), targets=TARGETS),

@@ -170,12 +170,53 @@ def test_expansion_matches_a_queue(spark):
         assert [(r.page, r.depth) for r in got] == pages, limit
 
 
-def test_robots_and_links(spark, shop):
-    rules = spark.createDataFrame([("shop.example", 1, "/liste/a", True), ("shop.example", 2, "/liste", False)],
-                                  "host string, rule_ord int, prefix string, allow boolean")
-    pages = shop.unionByName(spark.createDataFrame([
-        (2, "https://shop.example/liste/b", ""), (3, "https://x.example/liste", "")], shop.schema))
-    assert {r.page_id: r.allowed for r in L.allowed(pages, rules).collect()} == {1: True, 2: False, 3: True}
+ROBOTS = """Disallow: /lost
+User-agent: one
+User-agent: Two
+
+User-agent: Two
+Allow: /a/b
+# still the same block
+Disallow: /a
+Disallow: /caf%C3%A9
+Crawl-delay: 3
+User-agent: three
+Disallow:
+   
+Disallow: /late
+
+User-agent: five
+Crawl-delay: 1
+
+User-agent: *
+Disallow: /x*y
+Disallow: /q?a=1
+Allow: /all
+Disallow: *
+
+User-agent: *
+Allow: /
+
+User-agent: four"""
+
+
+def test_robots_follow_the_standard_parser(spark):
+    from urllib.robotparser import RobotFileParser
+    urls = ["https://h.example" + p for p in (
+        "", "/", "/a", "/a/b/c", "/ab", "/caf%C3%A9/x", "/caf%c3%a9", "/café", "/lost", "/x*y", "/xzy", "/q?a=1",
+        "/q", "/all/1", "/100%", "/a+b", "/*", "/late")] + ["https://other.example/a"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = L.robots_rules(spark.createDataFrame([("h.example", ROBOTS)], "host string, text string"))
+    plain = RobotFileParser()
+    plain.parse(ROBOTS.splitlines())
+    for agent in ("Two/1.0", "one", "three", "four", "five", "unknown", "TWOfold"):
+        got = {r.url: r.allowed for r in L.allowed(pages, rules, agent).collect()}
+        assert got == {u: "other" in u or plain.can_fetch(agent, u) for u in urls}, agent
+    plan = L.allowed(pages, rules, "two")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "StartsWith" not in plan
+
+
+def test_followable_links(spark, shop):
     targets = [r.target for r in L.followable(shop).orderBy("pos").collect()]
     assert targets == ["https://shop.example", "https://shop.example/liste/p/1"]
     assert L.followable(shop, same_host=False, containing="other").count() == 1

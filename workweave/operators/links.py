@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,21 +37,98 @@ def followable(pages: DataFrame, same_host: bool = True, containing: str = "") -
     ).select("page_id", "m.pos", "target", "m.text")
 
 
-def allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds ``allowed``: the first matching rule of the host decides, none means yes.
+# -- robots --------------------------------------------------------------------------------
+def _unquoted(path: Column) -> Column:
+    """Without percent encoding, so that paths and rules compare however they are written."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
 
-    ``rules`` has ``host, rule_ord, prefix, allow``.
+
+def robots_rules(texts: DataFrame) -> DataFrame:
+    """(host, block, kind, value, allow, ord) from ``texts(host, text)``: the ``agent``, ``rule``
+    and ``pace`` lines of every file, numbered, with the block that they belong to.
+
+    A block is a run of user agents and the rules behind it. It ends at an empty line and where a
+    user agent follows a rule; rules outside of blocks and other lines count for nothing. A rule's
+    path is no pattern.
+    """
+    def line(x: Column, i: Column) -> Column:
+        text = F.trim(F.substring_index(x, "#", 1))
+        name = F.lower(F.trim(F.substring_index(text, ":", 1)))
+        known = F.contains(text, F.lit(":"))
+        kind = (F.when(known & (name == "user-agent"), "agent")
+                .when(known & name.isin("allow", "disallow"), "rule")
+                .when(known & name.isin("crawl-delay", "request-rate"), "pace")
+                .when(x == "", "blank"))
+        value = F.trim(F.substr(text, F.instr(text, ":") + 1))
+        return F.struct(kind.alias("kind"), value.alias("value"),
+                        ((name == "allow") | (value == "")).alias("allow"), i.alias("ord"))
+
+    lines = F.filter(F.transform(F.split(F.col("text"), r"\r\n|\r|\n"), line),
+                     lambda x: x.kind.isNotNull())
+    # mode: 0 outside of a block, 1 behind user agents, 2 behind rules
+    start = F.struct(F.lit(0).alias("block"), F.lit(0).alias("mode"),
+                     F.array().cast("array<int>").alias("blocks"))
+
+    def step(acc: Column, x: Column) -> Column:
+        opens = (x.kind == "agent") & (acc["mode"] != 1)
+        block = acc["block"] + opens.cast("int")
+        mode = F.when(x.kind == "blank", 0).when(x.kind == "agent", 1).when(
+            acc["mode"] != 0, 2).otherwise(0)
+        return F.struct(block.alias("block"), mode.alias("mode"), F.concat(
+            acc["blocks"], F.array(F.when(mode != 0, block))).alias("blocks"))
+
+    return (
+        texts.select("host", lines.alias("lines"))
+        .select("host", F.explode(F.arrays_zip(
+            "lines", F.aggregate("lines", start, step, lambda acc: acc["blocks"]).alias("block")))
+            .alias("z"))
+        .select("host", "z.block", "z.lines.kind", "z.lines.value", "z.lines.allow", "z.lines.ord")
+        .filter("block is not null")
+    )
+
+
+def rules_for(rules: DataFrame, agent: str) -> DataFrame:
+    """(host, ord, prefix, allow): the rules of each host that hold for a user agent.
+
+    The first block with rules that names a part of the agent's name, else the first for ``*``.
+    """
+    name = agent.split("/")[0].lower()
+    value = F.lower("value")
+    blocks = rules.groupBy("host", "block").agg(
+        F.bool_or((F.col("kind") == "agent") & F.contains(F.lit(name), value)).alias("named"),
+        F.bool_or((F.col("kind") == "agent") & (value == "*")).alias("any"),
+        F.bool_or(F.col("kind") != "agent").alias("ruled")).filter("ruled")
+    chosen = blocks.groupBy("host").agg(F.coalesce(
+        F.min(F.when(F.col("named") & ~F.col("any"), F.col("block"))),
+        F.min(F.when(F.col("any"), F.col("block")))).alias("block"))
+    return rules.filter("kind = 'rule'").join(chosen, ["host", "block"]).select(
+        "host", "ord", _unquoted(F.col("value")).alias("prefix"), "allow")
+
+
+def allowed(pages: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
+    """Adds ``allowed``: of the rules that hold for the agent the first whose path the page's path
+    begins with decides; none means yes.
+
+    ``rules`` comes from ``robots_rules``. A path is cut to the lengths that rules of its host have,
+    and these beginnings meet the rules by equality, so a host of many rules costs no comparison
+    of each page with each of them.
     """
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1)
-    table = broadcast_if_small(settle(rules))
+    first = settle(rules_for(rules, agent).groupBy("host", "prefix").agg(
+        F.min(F.struct("ord", "allow")).alias("rule")))
+    lengths = first.groupBy("host").agg(F.collect_set(F.length("prefix")).alias("lengths"))
     placed = pages.select("page_id", X.host(F.col("url")).alias("host"),
-                          F.when(path == "", "/").otherwise(path).alias("path"))
-    first = (
-        placed.join(table, "host").filter(F.startswith("path", F.col("prefix")))
-        .groupBy("page_id").agg(F.min_by("allow", "rule_ord").alias("allow"))
+                          _unquoted(F.when(path == "", "/").otherwise(path)).alias("path"))
+    beginnings = (
+        placed.join(broadcast_if_small(settle(lengths)), "host")
+        .select("page_id", "host", "path", F.explode(F.filter(
+            "lengths", lambda n: n <= F.length("path"))).alias("n"))
+        .select("page_id", "host", F.expr("left(path, n)").alias("prefix"))
     )
-    return pages.join(first, "page_id", "left").withColumn(
-        "allowed", F.coalesce("allow", F.lit(True))).drop("allow")
+    decided = beginnings.join(broadcast_if_small(first), ["host", "prefix"]).groupBy(
+        "page_id").agg(F.min("rule").alias("rule"))
+    return pages.join(decided, "page_id", "left").withColumn(
+        "allowed", F.coalesce("rule.allow", F.lit(True))).drop("rule")
 
 
 def unseen(links: DataFrame, pages: DataFrame) -> DataFrame:

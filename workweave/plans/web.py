@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -395,7 +397,16 @@ def _(p: Plan) -> DataFrame:
 
 @query("e10_robots")
 def _(p: Plan) -> DataFrame:
-    return L.allowed(p.page, p.robots_rule).select("page_id", "allowed")
+    rules = L.robots_rules(p.robots_text)
+    return L.allowed(p.page, rules, "Fetcher/2.0 (+x)").select("page_id", "allowed")
+
+
+@query("e10_robots_agents")
+def _(p: Plan) -> DataFrame:
+    rules = L.robots_rules(p.robots_text)
+    return reduce(DataFrame.unionByName, [
+        L.allowed(p.page, rules, agent).select(F.lit(agent).alias("agent"), "page_id", "allowed")
+        for agent in ("fetcher", "other", "nobody-else")])
 
 
 @query("e11_unseen_links")

@@ -416,18 +416,17 @@ class Plan:
             "src", ((F.col("src") * 7 + F.col("link_pos")) % F.col("n")).alias("dst"), "link_pos")
 
     @cached_property
-    def robots_rule(self) -> DataFrame:
-        """Mobile hosts forbid ``/de/``, all others ``/fr/`` except ``/fr/7``."""
+    def robots_text(self) -> DataFrame:
+        """(host, text): mobile hosts forbid ``/de/``, and all to one agent; all others forbid all
+        but to an agent that may fetch what is not below ``/fr/``, and ``/fr/7``."""
         mobile = F.col("host").startswith("m.")
-        no = F.struct(F.lit(1).alias("rule_ord"), F.lit("/de/").alias("prefix"),
-                      F.lit(False).alias("allow"))
-        yes = F.struct(F.lit(1).alias("rule_ord"), F.lit("/fr/7").alias("prefix"),
-                       F.lit(True).alias("allow"))
-        rest = F.struct(F.lit(2).alias("rule_ord"), F.lit("/fr/").alias("prefix"),
-                        F.lit(False).alias("allow"))
         hosts = self.table("pages").select(host(F.col("url")).alias("host")).distinct()
-        return hosts.select("host", F.explode(
-            F.when(mobile, F.array(no)).otherwise(F.array(yes, rest))).alias("r")).select("host", "r.*")
+        return hosts.select("host", F.when(mobile, F.lit(
+            "Disallow: /outside\n# all\nUser-agent: other # one\ndisallow: /\n\nUser-agent: *\n"
+            "Disallow: /%64e/\nSitemap: /x.xml\n")).otherwise(F.lit(
+                "User-Agent: nobody-else\r\n\r\nUser-agent: strange\r\nUser-agent: Fetch\r\n"
+                "Allow: /fr/7\r\nDisallow: /fr/\r\nUser-agent: *\r\nDisallow: /\r\n"))
+            .alias("text"))
 
     @cached_property
     def stored_job(self) -> DataFrame:
