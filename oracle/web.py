@@ -213,12 +213,19 @@ TARGETS = f"""SELECT page_id, target, min(pos) AS pos, arg_min(text, pos) AS tex
     WHERE NOT regexp_matches({strip('href')}, '^(?:mailto:|tel:|javascript:|#)'))
   WHERE regexp_matches(target, '^https?://') AND {host('target')} = {host('url')} GROUP BY page_id, target"""
 
-_EDGE = """SELECT page_id AS src, k AS link_pos, (page_id * 7 + k) % (SELECT max(page_id) + 1 FROM pages) AS dst
-  FROM pages, range(1, 4) t(k)"""
-_WALK = f"""SELECT min(page_id) AS page, 0 AS depth, [CAST(min(page_id) AS BIGINT)] AS path FROM pages GROUP BY {host('url')}
-  UNION ALL SELECT e.dst, w.depth + 1, list_append(w.path, e.link_pos) FROM walk w JOIN edge e ON e.src = w.page WHERE w.depth < 4"""
-_FOUND = """SELECT page, m.depth AS depth, row_number() OVER (ORDER BY m) AS rn
-  FROM (SELECT page, min({'depth': depth, 'path': path}) AS m FROM walk GROUP BY page)"""
+# links of pages that were fetched, then one level after the other with all that was found before
+_EDGE = f"""MATERIALIZED SELECT h.page_id AS src, min([0, 2, 5][k]) AS link_pos, d.dst FROM pages h, range(1, 4) t(k)
+    JOIN (SELECT page_id, min(page_id) OVER (PARTITION BY {norm('url')}) AS dst FROM pages) d
+      ON d.page_id = (h.page_id * 7 + k) % (SELECT max(page_id) + 1 FROM pages)
+  WHERE h.page_id % 13 <> 0 AND h.page_id % 17 <> 0 AND h.page_id % 19 <> 0 GROUP BY ALL"""
+_WALK = """SELECT 0 AS depth, list(page_id ORDER BY page_id) AS found, list(page_id) AS seen FROM pages WHERE page_id % 50 = 7
+  UNION ALL
+  SELECT any_value(depth) + 1, list(dst ORDER BY k), list_concat(any_value(seen), list(dst)) FROM (
+    SELECT f.depth, f.seen, e.dst, min({'a': f.place, 'b': e.link_pos}) AS k
+    FROM (SELECT depth, seen, unnest(found) AS src, unnest(range(len(found))) AS place FROM walk) f JOIN edge e ON e.src = f.src
+    WHERE NOT list_contains(f.seen, e.dst) GROUP BY ALL) HAVING count(*) > 0"""
+_FOUND = """SELECT page, depth, row_number() OVER (ORDER BY depth, place) AS rn
+  FROM (SELECT depth, unnest(found) AS page, unnest(range(len(found))) AS place FROM walk)"""
 
 _FOLDER = f"regexp_extract({first('url', X.URL_PARTS, 3)}, '^.*/')"
 _ROOT = f"{first('url', X.URL_PARTS, 1)} || '://' || {host('url')}"
@@ -386,6 +393,7 @@ STATEMENTS: dict[str, str] = {
     "e11_unseen_links": _(f"""SELECT target, f.page_id, f.pos FROM (
         SELECT target, min({{'page_id': page_id, 'pos': pos}}) AS f FROM targets
         WHERE target NOT IN (SELECT {norm('url')} FROM web) GROUP BY target)""", **W, anc=anchors("web"), targets=TARGETS),
+    "k19_link_graph": _("SELECT src, dst, link_pos FROM edge", edge=_EDGE),
     "k19_link_expansion": _("SELECT page, depth FROM reached", edge=_EDGE, walk=_WALK, reached=_FOUND),
     "h12_page_limit": _("SELECT page, depth FROM reached WHERE rn <= 100", edge=_EDGE, walk=_WALK, reached=_FOUND),
     "k23_relevant_links": _(f"""SELECT host, rank, page_id, pos, target, score FROM (

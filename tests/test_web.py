@@ -149,25 +149,54 @@ def test_records(spark):
     assert got[5:8] == ["-", "A", "b"] and set(got[8:]) == {"", None}
 
 
+def _queue(seeds, links, limit=None, max_depth=None):
+    """First in, first out; ``links`` gives the targets of a page in order."""
+    queue, seen, pages = [(s, 0) for s in seeds], set(seeds), []
+    while queue and (limit is None or len(pages) < limit):
+        page, depth = queue.pop(0)
+        pages.append((page, depth))
+        for dst in links(page) if max_depth is None or depth < max_depth else []:
+            if dst not in seen:
+                seen.add(dst)
+                queue.append((dst, depth + 1))
+    return pages
+
+
 def test_expansion_matches_a_queue(spark):
     rnd = random.Random(3)
     edges = [(s, rnd.randrange(60), k) for s in range(60) for k in range(4)]
     edges += [(s, 7, 9) for s in range(60)]  # a page linked from everywhere
     df = spark.createDataFrame(edges, "src long, dst long, link_pos int")
     start = spark.createDataFrame([(0, 0), (5, 1)], "page long, ord long")
-    for limit in (1, 2, 9, 30, 1000):
-        queue, seen = [(0, 0), (5, 0)], [0, 5]
-        pages = []
-        while queue and len(pages) < limit:
-            page, depth = queue.pop(0)
-            pages.append((page, depth))
-            if depth < 3:
-                for _, dst, _ in sorted((e for e in edges if e[0] == page), key=lambda e: e[2]):
-                    if dst not in seen:
-                        seen.append(dst)
-                        queue.append((dst, depth + 1))
-        got = L.expand(start, df, 3, limit).orderBy("ord").collect()
-        assert [(r.page, r.depth) for r in got] == pages, limit
+    links = lambda p: [d for _, d, _ in sorted((e for e in edges if e[0] == p), key=lambda e: e[2])]
+    for limit, deepest in ((1, 3), (2, 3), (9, None), (30, 3), (None, 3), (None, None)):
+        got = L.expand(start, df, deepest, limit).orderBy("ord").collect()
+        assert [(r.page, r.depth) for r in got] == _queue([0, 5], links, limit, deepest), (limit, deepest)
+
+
+def test_expansion_ends_by_itself(spark, monkeypatch):
+    monkeypatch.setattr(L, "LEVELS_TOGETHER", 3)
+    chain = spark.createDataFrame([(i, i + 1, 0) for i in range(9)] + [(9, 2, 0), (50, 51, 0)],
+                                  "src long, dst long, link_pos int")
+    start = spark.createDataFrame([(0, 0)], "page long, ord long")
+    got = L.expand(start, chain).orderBy("ord").collect()
+    assert [(r.page, r.depth) for r in got] == [(i, i) for i in range(10)]
+    assert L.expand(start.limit(0), chain).count() == 0
+
+
+def test_links_between_pages(spark):
+    pages = spark.createDataFrame([
+        (1, "https://a.example/x/", '<a href="y#p">1</a><a href="mailto:q@a.example">2</a><a href="/x/y/">3</a>'
+            '<a href="https://b.example">4</a><a href="gone">5</a>'),
+        (2, "https://a.example/x/y", '<a href="/x#f">back</a>'), (3, "b.example/", '<a href="https://a.example/x">a</a>'),
+        (4, "https://a.example/x/y#again", "")], "page_id long, url string, html string")
+    fetches = spark.createDataFrame([(1, 200, ""), (2, 404, ""), (3, 200, ""), (4, 200, "x")],
+                                    "page_id long, status int, error string")
+    edges = lambda *a: {tuple(r) for r in L.link_graph(pages, *a).collect()}
+    assert edges() == {(1, 2, 0), (2, 1, 0)}
+    assert edges(None, False) == {(1, 2, 0), (1, 3, 3), (2, 1, 0), (3, 1, 0)}
+    # a page that failed is reached and leads nowhere
+    assert edges(fetches, False) == {(1, 2, 0), (1, 3, 3), (3, 1, 0)}
 
 
 ROBOTS = """Disallow: /lost

@@ -13,6 +13,10 @@ from workweave.operators import pages as P
 from workweave.session import broadcast_if_small, settle
 
 
+# Levels of an expansion after which their tables become one
+LEVELS_TOGETHER = 16
+
+
 def seeds(lines: DataFrame) -> DataFrame:
     """(ord, url): trimmed, blank lines dropped, normalised, first occurrence kept."""
     url = X.normalise_url(F.col("line"))
@@ -138,6 +142,20 @@ def unseen(links: DataFrame, pages: DataFrame) -> DataFrame:
     return first.join(known, "target", "left_anti").select("target", "m.page_id", "m.pos")
 
 
+def link_graph(pages: DataFrame, fetches: DataFrame | None = None, same_host: bool = True
+               ) -> DataFrame:
+    """(src, dst, link_pos): the followable links of pages to pages of the table, by their
+    normalised URLs (of several pages with one URL the lowest id). With ``fetches`` only pages
+    that were fetched successfully have links.
+    """
+    read = pages if fetches is None else pages.join(
+        P.successful(fetches).select("page_id"), "page_id", "left_semi")
+    known = pages.groupBy(X.normalise_url(F.col("url")).alias("target")).agg(
+        F.min("page_id").alias("dst"))
+    return followable(read, same_host).join(known, "target").select(
+        F.col("page_id").alias("src"), "dst", F.col("pos").alias("link_pos"))
+
+
 def _first_rows(ordered: DataFrame, n: int) -> DataFrame:
     """The first ``n`` rows by rising ``id``, whose upper bits are the sort partition.
 
@@ -152,31 +170,33 @@ def _first_rows(ordered: DataFrame, n: int) -> DataFrame:
         rank < n).select("page", "id")
 
 
-def expand(start: DataFrame, edges: DataFrame, max_depth: int, max_pages: int) -> DataFrame:
-    """(page, depth, ord): breadth-first from the seeds in discovery order.
+def expand(start: DataFrame, edges: DataFrame, max_depth: int | None = None,
+           max_pages: int | None = None) -> DataFrame:
+    """(page, depth, ord): breadth-first from the seeds in discovery order, the order of a queue.
 
-    ``start`` has ``page, ord``; ``edges`` has ``src, dst, link_pos``. One round per level:
-    targets are reduced to their earliest link before the shuffle, so a page linked from
-    everywhere does not gather its links in one task. Every level is checkpointed, and the
-    page limit takes the prefix of the discovery order.
+    ``start`` has ``page, ord``; ``edges`` has ``src, dst, link_pos``. One round per level, until
+    a level is empty: targets are reduced to their earliest link before the shuffle, so a page
+    linked from everywhere does not gather its links in one task. Every level is checkpointed. A
+    page limit takes the prefix of the discovery order. ``ord`` sorts by depth, then place.
     """
-    def in_order(df: DataFrame, depth: int, room: int) -> tuple[DataFrame, int]:
+    def in_order(df: DataFrame, depth: int, room: int | None) -> tuple[DataFrame, int]:
         # ids rise with the global sort order; the checkpoint fixes them
         ordered = settle(df.orderBy("key").select(
             "page", F.monotonically_increasing_id().alias("id")))
         found = ordered.count()
-        if found > room:
-            ordered, found = _first_rows(ordered, room), room
-        level = F.lit(depth).cast("long") * 2**56
-        return settle(ordered.select("page", F.lit(depth).alias("depth"),
-                                     (level + F.col("id")).alias("ord"))), found
+        if room is not None and found > room:
+            ordered, found = settle(_first_rows(ordered, room)), room
+        return ordered.select("page", F.lit(depth).alias("depth"),
+                              F.struct(F.lit(depth).alias("depth"), "id").alias("ord")), found
 
     first = start.groupBy("page").agg(F.min(F.struct(F.col("ord"), F.lit(0))).alias("key"))
     frontier, found = in_order(first, 0, max_pages)
-    seen, room = frontier, max_pages - found
-    for depth in range(1, max_depth + 1):
-        if room <= 0 or not found:
+    seen, room, depth = frontier, max_pages, 0
+    while found and (max_depth is None or depth < max_depth):
+        room = None if room is None else room - found
+        if room == 0:
             break
+        depth += 1
         step = frontier.select(F.col("page").alias("src"), "ord")
         targets = (
             edges.join(broadcast_if_small(step), "src")
@@ -185,8 +205,9 @@ def expand(start: DataFrame, edges: DataFrame, max_depth: int, max_pages: int) -
             .join(seen.select("page"), "page", "left_anti")
         )
         frontier, found = in_order(targets, depth, room)
-        room -= found
         seen = seen.unionByName(frontier)
+        if depth % LEVELS_TOGETHER == 0:
+            seen = settle(seen)
     return seen
 
 

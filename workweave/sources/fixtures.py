@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from workweave.functions.text import host
 from workweave.operators import calendar as C
 from workweave.operators import hierarchy as H
+from workweave.operators import links as L
 from workweave.session import broadcast_if_small, settle, spread
 from workweave.sources.reference import ABSENCE_TYPES, STATUSES, TASK_STATES
 
@@ -406,14 +407,33 @@ class Plan:
         """Captured and catalogue pages together."""
         return self.page.unionByName(self.shop_page)
 
+    @cached_property
+    def site_page(self) -> DataFrame:
+        """The captured pages with links to three others each, whose ids follow by arithmetic.
+
+        Links come with fragments, slashes and spaces, twice, and among others that lead nowhere.
+        """
+        pages = self.table("pages").select("page_id", "url")
+        n = pages.agg(F.max("page_id") + 1).scalar()
+        hops = pages.select("page_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("hop"))
+        targets = (
+            hops.select("page_id", "hop", ((F.col("page_id") * 7 + F.col("hop")) % n).alias("to"))
+            .join(pages.select(F.col("page_id").alias("to"), F.col("url").alias("target")), "to")
+            .groupBy("page_id").agg(*[F.max(F.when(F.col("hop") == i, F.col("target"))).alias(f"t{i}")
+                                      for i in (1, 2, 3)])
+        )
+        html = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in (
+            '<p><a href="', F.col("t1"), '#teil">eins</a> <a href="mailto:x@y.example">Post</a>'
+            '<a href="', F.col("t2"), '//">zwei</a><a href="https://unknown.example/',
+            F.col("page_id").cast("string"), '">fort</a><a href="', F.col("t2"),
+            '">noch einmal</a><a href=" ', F.col("t3"), ' ">drei</a>')])
+        return pages.join(targets, "page_id").select("page_id", "url", html.alias("html"))
+
     @cached_property
     def edge(self) -> DataFrame:
-        """Three links per page, by arithmetic on its id."""
-        n = self.table("pages").agg(F.max("page_id") + 1).scalar()
-        hop = F.explode(F.sequence(F.lit(1), F.lit(3)))
-        return self.table("pages").select(
-            F.col("page_id").alias("src"), hop.alias("link_pos"), n.alias("n")).select(
-            "src", ((F.col("src") * 7 + F.col("link_pos")) % F.col("n")).alias("dst"), "link_pos")
+        """The links of the site's pages that were fetched."""
+        return self._shared("edge", lambda: settle(
+            L.link_graph(self.site_page, self.job_page, same_host=False)))
 
     @cached_property
     def robots_text(self) -> DataFrame:
