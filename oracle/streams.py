@@ -49,6 +49,8 @@ STATEMENTS: dict[str, str] = {
     "s4_throttle_stream": _THROTTLE,
     "s5_expiring_cache": _CACHE,
     "s5_expiring_cache_stream": _CACHE,
+    # the events come as one batch, before whose end nothing expires
+    "s5_first_asked": _("SELECT user_id, event_type, 1 AS misses FROM events GROUP BY ALL"),
     "s6_running_usage": _("""SELECT user_id, round(sum(value), 4) AS spent, count(*) AS calls FROM events
       GROUP BY user_id HAVING count(*) >= 60"""),
     "s7_progress": _("""SELECT user_id, count(*) AS done, count(*) FILTER (WHERE event_type = 'error') AS errors

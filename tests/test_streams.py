@@ -82,15 +82,70 @@ def test_latest_state_over_batches(spark, tmp_path):
         "t": "PASS", "u0": "PENDING", "u1": "DISPATCHED", "u2": "PASS"}
 
 
-def test_revision_feed_merges_each_batch(spark, tmp_path):
-    base = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x")], "k int, v string")
-    mine = spark.createDataFrame([(1, "mine"), (2, "x")], "k int, v string")
-    for i, (k, v) in enumerate([(1, "t1"), (2, "t2"), (3, "t3"), (4, "t4")]):
-        spark.createDataFrame([(k, v, i)], "k int, v string, rev int").coalesce(1).write.mode(
-            "append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("k int, v string, rev int").parquet(str(tmp_path / "in"))
+def _written(spark, path, rows, schema):
+    """One file per row, in this order."""
+    for r in rows:
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(path)
+
+
+@pytest.mark.parametrize("files", [1, 3, 100])
+def test_revision_feed_over_batches(spark, tmp_path, files):
+    base = spark.createDataFrame([(1, "x", 1), (2, "x", None), (3, "x", 3), (5, "x", 5), (6, "x", 6)], "k int, v string, n int")
+    mine = spark.createDataFrame([(1, "mine", 1), (2, "x", None), (5, "x", 5), (6, "own", 6), (7, "new", 7)],
+                                 "k int, v string, n int")
+    feed = [(1, "t1", 1, 1), (2, "t2", 2, 2), (3, "t3", 3, 3), (4, "t4", 4, 4), (2, "t5", None, 6), (3, "t6", 3, 7),
+            (2, "late", 9, 5), (1, "t8", 8, 8), (4, "t9", 9, 9)]
+    schema = "k int, v string, n int, rev int"
+    _written(spark, str(tmp_path / "in"), feed, schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(str(tmp_path / "in"))
     got = feeds.follow_revisions(stream, base, mine, ["k"], "rev", "f")
-    assert {r.k: r.v for r in got.collect()} == {1: "mine", 2: "t2", 4: "t4"}
+    assert got.columns == ["k", "v", "n"]
+    assert {r.k: (r.v, r.n) for r in got.collect()} == {
+        1: ("mine", 1), 2: ("t5", None), 4: ("t9", 9), 5: ("x", 5), 6: ("own", 6), 7: ("new", 7)}
+
+
+def test_views_read_few_runs(spark, tmp_path):
+    rows = [(f"k{i % 3}", i) for i in range(11)]
+    _written(spark, str(tmp_path / "in"), rows, "k string, n int")
+    stream = spark.readStream.schema("k string, n int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = feeds.running_totals(stream, "k", {"n": F.sum("n"), "c": F.count("*")}, "totals")
+    want = {}
+    for k, n in rows:
+        want[k] = (want.get(k, (0, 0))[0] + n, want.get(k, (0, 0))[1] + 1)
+    assert {r.k: (r.n, r.c) for r in got.collect()} == want
+    # eleven batches are a run of eight, of two and of one; older runs are gone but for one batch's
+    runs = {f.split("/rows/")[1].split("/")[0] for f in got.inputFiles()}
+    assert runs == {"0-7", "8-9", "10-10"}
+    root = next(iter(got.inputFiles())).removeprefix("file://").split("/rows/")[0]
+    import os
+    assert set(os.listdir(f"{root}/rows")) == {"0-7", "8-9", "10-10"}
+
+
+def test_runs_of_a_binary_counter():
+    assert runner._runs(0) == [] and runner._runs(1) == [(0, 0)]
+    assert runner._runs(6) == [(0, 3), (4, 5)]
+    for n in range(1, 200):
+        runs = runner._runs(n)
+        assert runs[0][0] == 0 and runs[-1][1] == n - 1
+        assert all(a[1] + 1 == b[0] for a, b in zip(runs, runs[1:]))
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path, monkeypatch):
+    """A batch that is run again, as after a lost driver, finds all it needs."""
+    seen = []
+
+    def twice(stream, label, handle, mode="append"):
+        root = str(tmp_path / "twice")
+        for number in range(7):
+            df = spark.createDataFrame([("a", number), (f"b{number % 2}", number)], "k string, n int")
+            handle(df, number, root)
+            handle(df, number, root)
+            seen.append(number)
+        return root
+
+    monkeypatch.setattr(runner, "each_batch", twice)
+    view = runner.latest_updates(spark.createDataFrame([], "k string, n int"), "x", ["k"])
+    assert seen and {r.k: r.n for r in view.collect()} == {"a": 6, "b0": 6, "b1": 5}
 
 
 def test_bursts_in_batch(spark):

@@ -60,6 +60,7 @@ def _(p: Plan) -> DataFrame:
 
 @query("s2_closed_bursts")
 def _(p: Plan) -> DataFrame:
+    # bursts that the watermark has not passed at the end of the stream are still open, not lost
     e = _events(p).select("user_id", "ts", F.col("event_id").alias("seq"), "props")
     return _stamps(S.closed_bursts(e, "user_id", "props", GAP, DELAY, "bursts"))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructType
 
-from workweave.operators import merge as M
-from workweave.streaming.runner import each_batch, latest_updates, to_table
+from workweave.streaming.runner import latest_updates, rocksdb_state, to_table
 
 
 def latest_state(events: DataFrame, keys: list[str], order: str, value: str, label: str) -> DataFrame:
@@ -46,59 +50,75 @@ def first_asked(events: DataFrame, keys: list[str], delay: str, label: str) -> D
     return to_table(fresh, label)
 
 
-def _state(root: str, before: int) -> str:
-    return f"{root}/state/version={before}"
+class _Rebase(StatefulProcessor):
+    """One row of a copy: what the store last said of it, and what stands here.
+
+    Rows are JSON texts; null where a side has no such row. ``at`` is the order of the last
+    revision, so that one which comes late changes nothing.
+    """
+
+    def init(self, handle) -> None:
+        self.row = handle.getValueState("row", "at long, there string, here string")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        first = initialState.iloc[0]
+        self.row.update((-(1 << 62), _text(first["there"]), _text(first["here"])))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # the revisions of one key in a micro-batch, whose size the source's rate limit bounds
+        pdf = pd.concat(list(rows)).sort_values("at")
+        at, there, here = self.row.get() if self.row.exists() else (-(1 << 62), None, None)
+        for when, new in zip(pdf["at"], pdf["there"], strict=True):
+            if when > at:
+                if here is None:
+                    here = new if there is None else None
+                elif here == there:
+                    here = new
+                at, there = int(when), new
+        self.row.update((at, there, here))
+        yield pd.DataFrame([(*key, here)])
+
+    def close(self) -> None:
+        pass
+
+
+def _text(value) -> str | None:
+    return value if isinstance(value, str) else None
 
 
 def follow_revisions(stream: DataFrame, base: DataFrame, mine: DataFrame, keys: list[str],
                      order: str, label: str) -> DataFrame:
     """Apply a feed of row revisions to a local copy with unsent edits.
 
-    Each micro-batch forms the store's new state (newest revision per key over the common
-    state), merges it three ways with the local copy and writes the result as the next
-    version, which both sides then share. Versions carry the batch number, so a repeated
-    batch rewrites its own version and nothing is applied twice.
+    Every revision becomes the common state of its row, over which the unsent edit is kept: a row
+    edited here stays as it is, one deleted here stays deleted, all others follow the store. The
+    common and the local version of each row are keyed state, begun with ``base`` and ``mine``, so
+    a batch costs what its own rows cost, and the result is the same however the feed is cut into
+    batches. A revision older than one that was applied changes nothing.
     """
-    spark = stream.sparkSession
     columns = [c for c in mine.columns if c not in keys]
-
-    def apply(batch: DataFrame, number: int, root: str) -> None:
-        if number == 0:
-            common, local = base, mine
-        else:
-            common = local = spark.read.parquet(_state(root, number - 1))
-        newest = batch.groupBy(*keys).agg(
-            F.max_by(F.struct(*columns), order).alias("v")).select(*keys, "v.*")
-        theirs = common.join(newest, keys, "left_anti").select(*keys, *columns).unionByName(newest)
-        merged = M.merge_rows(common.select(*keys, *columns), local.select(*keys, *columns),
-                              theirs, keys)
-        merged.select(*keys, *columns).write.mode("overwrite").parquet(_state(root, number))
-
-    root = each_batch(stream, label, apply)
-    versions = spark.read.parquet(f"{root}/state")
-    last = versions.agg(F.max("version")).scalar()
-    return versions.filter(F.col("version") == last).drop("version")
+    row = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    feed = stream.select(*keys, F.col(order).cast("long").alias("at"), row.alias("there"))
+    start = base.select(*keys, row.alias("there")).join(
+        mine.select(*keys, row.alias("here")), keys, "full")
+    types = [f"{k} {mine.schema[k].dataType.simpleString()}" for k in keys]
+    with rocksdb_state(stream.sparkSession):
+        changed = latest_updates(feed.groupBy(*keys).transformWithStateInPandas(
+            statefulProcessor=_Rebase(), outputStructType=", ".join([*types, "here string"]),
+            outputMode="update", timeMode="none", initialState=start.groupBy(*keys)), label, keys)
+    payload = StructType([mine.schema[c] for c in columns])
+    touched = changed.filter("here is not null").select(
+        *keys, F.from_json("here", payload).alias("v")).select(*keys, "v.*")
+    return mine.select(*keys, *columns).join(changed.select(*keys), keys, "left_anti").unionByName(
+        touched)
 
 
 def offline_queue(stream: DataFrame, keys: list[str], order: str, label: str) -> DataFrame:
     """Edits that arrive late and out of order are merged, never dropped.
 
-    No watermark: every batch is folded into the stored newest-per-key state by ``order``.
+    No watermark: the newest edit per key by ``order`` is keyed state that no time ends.
     """
-    spark = stream.sparkSession
     columns = [c for c in stream.columns if c not in keys]
-
-    def fold(df: DataFrame) -> DataFrame:
-        return df.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("v")).select(
-            *keys, "v.*")
-
-    def apply(batch: DataFrame, number: int, root: str) -> None:
-        rows = batch
-        if number > 0:
-            rows = rows.unionByName(spark.read.parquet(_state(root, number - 1)))
-        fold(rows).write.mode("overwrite").parquet(_state(root, number))
-
-    root = each_batch(stream, label, apply)
-    versions = spark.read.parquet(f"{root}/state")
-    last = versions.agg(F.max("version")).scalar()
-    return versions.filter(F.col("version") == last).drop("version")
+    newest = stream.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("v")).select(
+        *keys, "v.*")
+    return latest_updates(newest, label, keys)
