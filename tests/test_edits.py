@@ -262,3 +262,39 @@ def test_ordered_edits_match_a_list(spark, seed, monkeypatch):
     rnd.shuffle(edits)
     got = O.replayed(spark.createDataFrame(people, PEOPLE).repartition(3), spark.createDataFrame(edits, EDITS))
     assert {(r.list_id, r.pos): (r.person_id, r.dept_ids) for r in got.collect()} == want
+
+
+def _walked(depts):
+    """Parents after a walk up from each department, in stored order."""
+    rows = [{"id": d.get("id") or f"d{i}", "up": d.get("parentId") or None} for i, d in enumerate(depts)]
+    known = {r["id"] for r in rows}
+    for r in rows:
+        if r["up"] not in known:
+            r["up"] = None
+    for r in rows:
+        seen, at = {r["id"]}, r
+        while at["up"]:
+            if at["up"] in seen:
+                r["up"] = None
+                break
+            seen.add(at["up"])
+            at = next(x for x in rows if x["id"] == at["up"])
+    return [(r["id"], r["up"]) for r in rows]
+
+
+def test_department_trees_are_repaired_in_order(spark):
+    import json
+    rnd = random.Random(12)
+    docs = []
+    for k in range(150):
+        n = rnd.randrange(9)
+        names = [rnd.choice("ABCDEF") if k % 3 == 0 else f"N{i}" for i in range(n)]
+        docs.append([{"id": None if rnd.random() < 0.1 else names[i],
+                      "parentId": rnd.choice([None, "", "gone", *names, f"d{i}"])} for i in range(n)])
+    plans = spark.createDataFrame(
+        [(str(k), json.dumps({"years": {"2024": {"departments": d}}})) for k, d in enumerate(docs)],
+        "plan_id string, data string")
+    got = {}
+    for r in P.clean_departments(P.years(P.parse_plans(plans))).orderBy("ord").collect():
+        got.setdefault(int(r.plan_id), []).append((r.dept_id, r.parent_id))
+    assert got == {k: _walked(d) for k, d in enumerate(docs) if d}

@@ -7,11 +7,14 @@ import pytest
 from workweave.operators import accounts as A
 from workweave.operators import pages as P
 from workweave.plans import registry
+from workweave.sources import plan_document as D
 from workweave.sources.fixtures import Plan
 
 QUERIES = registry()
 CORE = ["f1_occupancy", "g1_conflict_people", "e8_screening", "f3_accounts", "j13_merge", "j17_apply_changes",
-        "k21_preset_job", "k13_repeated_records", "e12_cache_lookup", "g13_attempts", "e6_conflicted_entries"]
+        "e8_screened_people", "c1_clean_departments", "e12_cache_lookup", "g13_attempts", "e6_conflicted_entries"]
+# elements are found by a fold over tags, in Arrow batches; all else stays in the JVM
+FOLDED = ["k21_preset_job", "k13_repeated_records", "k6_tables_nested"]
 
 
 def _plan(df) -> str:
@@ -25,6 +28,20 @@ def test_no_cross_joins_and_no_python(spark, small, name):
         assert unwanted not in plan
 
 
+@pytest.mark.parametrize("name", FOLDED)
+def test_tags_are_folded_in_arrow_batches(spark, small, name):
+    plan = _plan(QUERIES[name](spark, small))
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "InPandas", "MapInArrow"):
+        assert unwanted not in plan
+    assert "ArrowEvalPython" in plan
+
+
+def test_plan_documents_are_cleaned_in_their_row(spark):
+    data = spark.createDataFrame([("a", '{"years": {"2024": {"departments": [{"id": "x"}]}}}')], "plan_id string, data string")
+    plan = _plan(D.clean_departments(D.years(D.parse_plans(data))))
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_workdays_need_no_shuffle(spark, small):
     p = Plan(spark, small)
     p.calendar  # settled beforehand

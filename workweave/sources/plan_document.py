@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workweave.operators import hierarchy as H
-from workweave.session import settle
 from workweave.sources.reference import (
     ABSENCE_TYPES, APPROVED, DEFAULT_ENTITLEMENT, DEFAULT_LIMIT, STATUSES,
 )
@@ -75,40 +73,49 @@ def _department_ids() -> Column:
         F.nullif(d["id"], F.lit("")), F.concat(F.lit("d"), i.cast("string"))))
 
 
+def _repaired(above: Column, own: Column) -> Column:
+    """Places of parents (-1 for none) without cycles, by a fold in stored order.
+
+    ``above[i]`` is the place of a department's parent and ``own[i]`` that of the first department
+    with its id. A department from which the way up meets itself, or never ends, loses its parent;
+    those behind it see that.
+    """
+    def loops(up: Column, i: Column) -> Column:
+        # as many steps as there are departments; -1 is the top, -2 a way that came back
+        end = F.aggregate(up, F.get(up, i), lambda at, _: F.when(at < 0, at).when(
+            at == F.get(own, i), F.lit(-2)).otherwise(F.get(up, at)))
+        return end != -1
+
+    def step(up: Column, i: Column) -> Column:
+        return F.when(loops(up, i), F.transform(
+            up, lambda x, j: F.when(j == i, F.lit(-1)).otherwise(x))).otherwise(up)
+
+    return F.aggregate(F.transform(above, lambda _, i: i), above, step)
+
+
 def clean_departments(year: DataFrame) -> DataFrame:
     """Defaults filled; unknown parents and cycles removed.
 
-    Where every parent is stored before its children there can be no cycle, and a look at
-    the own document row is enough. Only the other documents go through the repair.
+    All of it happens inside the document's own row: nothing is shuffled or written. Where every
+    parent is stored before its children there can be no cycle, and nothing is folded.
     """
-    listed = year.withColumn("known", _department_ids())
-    tangled = F.exists(
-        F.transform("d.departments", lambda d, i: F.array_position(
-            F.col("known"), F.coalesce(d["parentId"], F.lit(""))) > i),
-        lambda x: x)
-    marked = listed.withColumns({"tangled": F.coalesce(tangled, F.lit(False)),
-                                 "doc": F.monotonically_increasing_id()})
-    rows = marked.select("plan_id", "plan_year", "known", "tangled", "doc",
-                         F.posexplode("d.departments").alias("ord", "r")).select(
-        "plan_id", "plan_year", "known", "tangled", "doc", "ord", "r.*")
-    place = F.array_position("known", F.coalesce("parentId", F.lit("")))
-    named = rows.select(
-        "plan_id", "plan_year", "ord", _own_id("d").alias("dept_id"),
-        F.when(place > 0, F.col("parentId")).alias("parent_id"),
-        _filled(F.col("name"), UNNAMED["department"]).alias("name"),
-        F.coalesce("maxAbsent", F.lit(DEFAULT_LIMIT)).alias("max_absent"), "tangled",
-        F.struct("doc", F.col("ord").cast("long").alias("place")).alias("node"),
-        F.when(place > 0, F.struct("doc", (place - 1).alias("place"))).alias("above"))
-    named = settle(named)  # parsed once, read several times; fixes the document numbers
-
-    edges = named.filter("tangled").select("ord", F.col("node").alias("dept_id"),
-                                           F.col("above").alias("parent_id"))
-    cut = H.repair_parents(edges).filter("parent_id is null").select(
-        F.col("dept_id").alias("node"), F.lit(True).alias("cut"))
-    parent = F.when(F.col("cut").isNull(), F.col("parent_id"))
-    repaired = named.filter("tangled").join(cut, "node", "left").withColumn("parent_id", parent)
-    columns = ["plan_id", "plan_year", "ord", "dept_id", "parent_id", "name", "max_absent"]
-    return named.filter(~F.col("tangled")).select(columns).unionByName(repaired.select(columns))
+    def place(of: Column) -> Column:
+        return (F.array_position("known", F.coalesce(of, F.lit(""))) - 1).cast("int")
+
+    listed = year.withColumn("known", _department_ids()).withColumns({
+        "above": F.transform("d.departments", lambda d: place(d["parentId"])),
+        "own": F.transform("known", place)})
+    tangled = F.exists(F.transform("above", lambda a, i: a >= F.get("own", i)), lambda x: x)
+    return (
+        listed.withColumn("above", F.when(tangled, _repaired(F.col("above"), F.col("own")))
+                          .otherwise(F.col("above")))
+        .select("plan_id", "plan_year", "known", "above",
+                F.posexplode("d.departments").alias("ord", "r"))
+        .select("plan_id", "plan_year", "ord", F.get("known", "ord").alias("dept_id"),
+                F.when(F.get("above", "ord") >= 0, F.col("r.parentId")).alias("parent_id"),
+                _filled(F.col("r.name"), UNNAMED["department"]).alias("name"),
+                F.coalesce("r.maxAbsent", F.lit(DEFAULT_LIMIT)).alias("max_absent"))
+    )
 
 
 def clean_people(year: DataFrame) -> DataFrame:
