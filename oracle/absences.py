@@ -254,7 +254,7 @@ STATEMENTS: dict[str, str] = {
     "g5_week_buckets": _(f"""SELECT y AS year, CAST(day AS VARCHAR) AS day, iso_week, bucket, bucket_week, {_e('day')}
       FROM bkw""", bk=_BUCKET, bkw=_BUCKETW),
     "g6_lanes": _("SELECT absence_id, person_id, lane - 1 AS lane FROM lanes", lanes=_LANES),
-    "g6_lane_counts": _("SELECT person_id, least(3, max(lane)) AS lanes FROM lanes GROUP BY person_id", lanes=_LANES),
+    "g6_lane_counts": _("SELECT person_id, max(lane) AS lanes FROM lanes GROUP BY person_id", lanes=_LANES),
     "g12_shown_on_top": _("""SELECT person_id, CAST(day AS VARCHAR) AS day, absence_id, entries
       FROM (SELECT person_id, day, absence_id, count(*) OVER (PARTITION BY person_id, day) AS entries,
           row_number() OVER (PARTITION BY person_id, day ORDER BY s DESC, ord DESC) AS rn FROM absday) WHERE rn = 1"""),
