@@ -304,7 +304,7 @@ STATEMENTS: dict[str, str] = {
       ORDER BY w.y, a.s, a.ord""", nm=_NAMES.format(" | "), allwd=_ALLWD),
     "b3_conflict_report": _(f"""SELECT c.dept_name AS "Abteilung", {_d('c.f')} AS "Von", {_d('c.t')} AS "Bis",
         c.workdays AS "Arbeitstage", c.peak AS "Gleichzeitig abwesend", c.max_absent AS "Erlaubt",
-        c.over AS "Überschreitung", '' AS "Teil",
+        c.over AS "Überschreitung", 1 AS "Teil",
         (SELECT string_agg(p.name, ', ' ORDER BY k.first) FROM confpeople k JOIN person p ON p.person_id = k.person_id
           WHERE k.dept_id = c.dept_id AND k.f = c.f) AS "Betroffene Personen"
       FROM conf c"""),

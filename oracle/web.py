@@ -186,7 +186,7 @@ def flat(sql: str, **ctes: str) -> str:
 
 def job(src: str, presets: list[str]) -> str:
     build = {"headings": headings, "links": links, "paragraphs": paragraphs, "meta": meta,
-             "lists": lambda s: texts(s, "listeneintrag", "li"),
+             "images": lambda s: IMAGES, "lists": lambda s: texts(s, "listeneintrag", "li"),
              "emails": lambda s: matches(s, "email", X.EMAIL, vis()),
              "prices": lambda s: matches(s, "preis", X.PRICE, vis())}
     return " UNION ALL ".join(f"SELECT *, {n} AS preset FROM ({build[p](src)})" for n, p in enumerate(presets))
@@ -330,8 +330,9 @@ STATEMENTS: dict[str, str] = {
       ORDER BY page_id, preset, pos LIMIT 60""", job=job("pages", ["links", "lists"])),
     "b4_record_table": _("""SELECT kind AS typ, url AS quelle, CASE kind WHEN 'ueberschrift' THEN vs[1] ELSE '' END AS ebene,
         CASE kind WHEN 'ueberschrift' THEN vs[2] WHEN 'link' THEN vs[1] ELSE '' END AS text,
-        CASE kind WHEN 'link' THEN vs[2] ELSE '' END AS url, CASE kind WHEN 'meta' THEN vs[1] ELSE '' END AS feld,
-        CASE kind WHEN 'meta' THEN vs[2] ELSE '' END AS wert FROM job""", **W, job=job("web", ["headings", "links", "meta"])),
+        CASE kind WHEN 'link' THEN vs[2] WHEN 'bild' THEN vs[3] ELSE '' END AS url, CASE kind WHEN 'meta' THEN vs[1] ELSE '' END AS feld,
+        CASE kind WHEN 'meta' THEN vs[2] ELSE '' END AS wert, CASE kind WHEN 'bild' THEN vs[1] ELSE '' END AS alt,
+        CASE kind WHEN 'bild' THEN vs[2] ELSE '' END AS titel FROM job""", **W, job=job("web", ["headings", "links", "meta", "images"])),
     "e14_records_to_pages": _("""SELECT page_id, count(*) AS rows FROM (
         SELECT CASE WHEN i.pos = 0 THEN (SELECT min(page_id) FROM pages) ELSE p.page_id END AS page_id
         FROM items i LEFT JOIN pages p ON p.url = i.url AND i.pos <> 0) GROUP BY page_id""",

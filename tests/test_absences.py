@@ -69,6 +69,7 @@ def test_weekend_splits_a_conflict_and_first_entry_is_named(spark, org, cal):
     parts = reports.conflict_rows(found, O.conflict_people(found, absence, pd), person, 1)
     assert parts.count() == 2 * whole.count()
     assert {r["Betroffene Personen"] for r in parts.collect()} == {"P0", "P1"}
+    assert {r.Teil for r in parts.collect()} == {1, 2} and {r.Teil for r in whole.collect()} == {1}
 
 
 def _random_entries(seed, people, n):
@@ -236,3 +237,21 @@ def test_report_files(spark, tmp_path):
     reports.write_report(rows, str(tmp_path / "r"))
     file = next((tmp_path / "r" / "year=2024").glob("*.csv"))
     assert file.read_bytes().decode() == 'Person;Rest\r\n"Ä; b";10,5\r\n'
+
+
+def test_calendar_files_are_whole(spark, tmp_path):
+    event = "BEGIN:VEVENT\r\nSUMMARY:" + "ä€x" * 60 + "\r\nEND:VEVENT"
+    events = spark.createDataFrame([(2024, i, event) for i in range(9)] + [(2025, 9, "BEGIN:VEVENT\r\nEND:VEVENT")],
+                                   "year int, absence_id int, event string")
+    reports.write_calendars(events, str(tmp_path / "c"), files_per_year=3)
+    seen = 0
+    for file in (tmp_path / "c").glob("year=*/file=*/*.txt"):
+        text = file.read_bytes().decode()
+        year = file.parent.parent.name[5:]
+        assert text.startswith("BEGIN:VCALENDAR\r\nVERSION:2.0\r\n") and text.endswith("END:VEVENT\r\nEND:VCALENDAR\r\n")
+        assert f"X-WR-CALNAME:Abwesenheiten {year}\r\n" in text
+        assert all(len(line.encode()) <= 75 for line in text.split("\r\n"))
+        whole = text.replace("\r\n ", "")
+        assert whole.count("BEGIN:VCALENDAR") == 1
+        seen += whole.count(event) if year == "2024" else whole.count("BEGIN:VEVENT")
+    assert seen == 10

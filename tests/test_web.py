@@ -343,3 +343,20 @@ def test_long_pages_are_folded_in_linear_time():
         t = time.time()
         M.elements(text)
         assert time.time() - t < 3, text[:9]
+
+
+def test_files_hold_every_column(spark, tmp_path):
+    from workweave.sinks import tables
+    rows = [(1, "u1", "k", 0, 0, {"a": "1", "b": "x, \"y\""}), (2, "u2", "k", 0, 0, {"b": "", "f": "zwei\nZeilen"}),
+            (2, "u2", "j", 0, 1, {"sechs": "6", "a": " "})]
+    df = spark.createDataFrame(rows, "page_id long, url string, kind string, preset int, pos long, "
+                                     "fields map<string,string>").repartition(2)
+    tables.write_csv(df, str(tmp_path / "csv"))
+    back = tables.read_csv(spark, str(tmp_path / "csv"))
+    assert back.columns == ["typ", "quelle", "a", "b", "f", "sechs"]
+    assert sorted(tuple(r) for r in back.collect()) == [
+        ("j", "u2", " ", "", "", "6"), ("k", "u1", "1", 'x, "y"', "", ""), ("k", "u2", "", "", "zwei\nZeilen", "")]
+    # the files one after the other are a table for any reader
+    import csv
+    text = "".join(f.read_text() for f in sorted((tmp_path / "csv").glob("part-*")))
+    assert [r["sechs"] for r in csv.DictReader(text.splitlines(keepends=True)) if r["typ"] == "j"] == ["6"]

@@ -24,6 +24,14 @@ def column_union(records: DataFrame) -> DataFrame:
         F.min(F.struct("page_id", "preset", "pos", "at")).alias("first"))
 
 
+def ordered_columns(records: DataFrame) -> DataFrame:
+    """(columns): one row with all columns in first-seen order, the kind and the source ahead."""
+    listed = column_union(records).agg(F.array_sort(F.collect_list(
+        F.struct("first", "column"))).alias("l"))
+    return listed.select(F.concat(F.array(F.lit("typ"), F.lit(SOURCE)),
+                                  F.transform("l", lambda x: x["column"])).alias("columns"))
+
+
 def column_names(records: DataFrame) -> list[str]:
     """Column names in first-seen order (one row per distinct column reaches the driver)."""
     return [r["column"] for r in column_union(records).orderBy("first").collect()]
@@ -34,7 +42,10 @@ def sorted_columns(records: DataFrame) -> DataFrame:
 
 
 def as_table(records: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One text column per field; missing values are empty."""
+    """One text column per field of any record; missing values are empty.
+
+    A table's columns are known to the driver; ``csv_lines`` of the writers needs no list.
+    """
     names = columns or column_names(records)
     values = [F.coalesce(F.element_at("fields", F.lit(n)), F.lit("")).alias(n) for n in names]
     return records.select(F.col("kind").alias("typ"), F.col("url").alias(SOURCE), *values)

@@ -7,23 +7,23 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from workweave.operators import accounts as A
+from workweave.operators import hierarchy as H
 from workweave.operators import pages as P
 from workweave.plans.registry import query
 from workweave.session import scratch_path
+from workweave.sinks import reports
 from workweave.sinks import tables as T
 from workweave.sources.fixtures import Plan
 
-COLUMNS = ["ebene", "text", "url", "feld", "wert"]
-
-
 def _records(p: Plan) -> DataFrame:
-    return P.extract(p.web_page, ["headings", "links", "meta"])
+    return P.extract(p.web_page, ["headings", "links", "meta", "images"])
 
 
 @query("b4_csv_files")
 def _(p: Plan) -> DataFrame:
     path = scratch_path(p.spark, "csv")
-    T.write_csv(_records(p), path, COLUMNS)
+    T.write_csv(_records(p), path)
     return T.read_csv(p.spark, path)
 
 
@@ -47,9 +47,26 @@ def _(p: Plan) -> DataFrame:
 @query("b7_saved_tables")
 def _(p: Plan) -> DataFrame:
     path = scratch_path(p.spark, "tables")
-    rows, _info = T.save_tables(_records(p), path, {"auftrag": "alle Seiten"}, COLUMNS, "web_")
+    rows, _info = T.save_tables(_records(p), path, {"auftrag": "alle Seiten"}, "web_")
     return p.spark.table(rows).groupBy("typ", "feld").agg(
-        F.count("*").alias("rows"), F.sum(F.length("text")).alias("characters"))
+        F.count("*").alias("rows"), F.sum(F.length("text")).alias("characters"),
+        F.sum(F.length("alt")).alias("described"))
+
+
+@query("b8_calendar_files")
+def _(p: Plan) -> DataFrame:
+    names = H.departments_by_person_order(p.member, p.tree)
+    path = scratch_path(p.spark, "calendars")
+    reports.write_calendars(reports.calendar_events(
+        A.entry_workdays(p.absence, p.calendar), p.person, names), path)
+    whole = p.spark.read.text(path, wholetext=True)
+    lines = F.split("value", "\r\n")
+    return whole.select(
+        "year", F.get(lines, F.lit(0)).alias("head"), F.element_at(lines, -2).alias("end"),
+        F.get(lines, F.lit(5)).alias("name"),
+        F.size(F.filter(lines, lambda x: x == "BEGIN:VEVENT")).alias("events"),
+        F.size(F.filter(lines, lambda x: F.octet_length(x) > 75)).alias("too_long"),
+        F.length(F.replace("value", F.lit("\r\n "), F.lit(""))).alias("characters"))
 
 
 @query("b9_daily_backups")

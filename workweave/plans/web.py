@@ -299,8 +299,7 @@ def _(p: Plan) -> DataFrame:
 
 @query("b4_record_table")
 def _(p: Plan) -> DataFrame:
-    return R.as_table(P.extract(p.web_page, ["headings", "links", "meta"]),
-                      ["ebene", "text", "url", "feld", "wert"])
+    return R.as_table(P.extract(p.web_page, ["headings", "links", "meta", "images"]))
 
 
 @query("e14_records_to_pages")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workweave.functions import dates as D
+from workweave.operators import sequences as S
 from workweave.sources.reference import (
     ABSENCE_TYPES, PENDING, REJECTED, STATUSES, label_of,
 )
@@ -56,29 +57,26 @@ def entry_rows(entry: DataFrame, person: DataFrame, names: DataFrame) -> DataFra
 
 def conflict_rows(found: DataFrame, people: DataFrame, person: DataFrame,
                   names_per_row: int = NAMES_PER_ROW) -> DataFrame:
-    """One row per period with its people's names in order of first day and stored order.
+    """A row per period and ``names_per_row`` of its people, named in order of first day and stored
+    order; ``Teil`` numbers the rows of a period from 1.
 
-    A period with more people than fit one cell continues in further rows: its names are
-    split by first day and by blocks of stored order, so ``Teil`` keeps the order and no
-    cell grows without bound.
+    People are numbered by running counts over blocks of days, so no task gathers a period of very
+    many people and no cell grows without bound.
     """
     key = ["dept_id", "period"]
-    size = people.groupBy(*key).agg(F.count("*").alias("size"))
-    fits = F.col("size") <= names_per_row
+    numbered = S.running_sums(people.select(*key, "person_id", "day", "ord"), key, ["day", "ord"],
+                              F.unix_date("day"), {"place": F.lit(1)})
     named = (
-        people.join(person.select("person_id", "name"), "person_id").join(size, key)
-        .withColumn("part_day", F.when(~fits, F.col("day")))
-        .withColumn("part_block", F.when(~fits, F.floor(F.col("ord") / names_per_row)))
-        .groupBy(*key, "part_day", "part_block")
-        .agg(F.array_sort(F.collect_list(F.struct("day", "ord", "name"))).alias("l"))
+        numbered.join(person.select("person_id", "name"), "person_id")
+        .withColumn("part", F.floor((F.col("place") - 1) / names_per_row) + 1)
+        .groupBy(*key, "part")
+        .agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("l"))
     )
-    part = F.when(F.col("part_day").isNull(), "").otherwise(
-        F.concat_ws(":", F.col("part_day").cast("string"), F.col("part_block").cast("string")))
     return found.withColumn("period", F.col("from")).join(named, key).select(
         F.col("dept_name").alias("Abteilung"), D.german_date(F.col("from")).alias("Von"),
         D.german_date(F.col("to")).alias("Bis"), F.col("workdays").alias("Arbeitstage"),
         F.col("peak").alias("Gleichzeitig abwesend"), F.col("max_absent").alias("Erlaubt"),
-        F.col("over").alias("Überschreitung"), part.alias("Teil"),
+        F.col("over").alias("Überschreitung"), F.col("part").alias("Teil"),
         F.array_join(F.transform("l", lambda x: x["name"]), ", ").alias("Betroffene Personen"),
     )
 
@@ -130,8 +128,41 @@ def write_report(rows: DataFrame, path: str) -> None:
     writer.option("header", True).option("quoteAll", False).option("escape", '"').csv(path)
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """Event blocks as text, one folder per year; header and trailer are added on joining."""
-    events.select("year", F.col("event").alias("value")).write.mode("overwrite").partitionBy(
-        "year").option("lineSep", "\r\n").text(path)
+def folded(line: Column) -> Column:
+    """A calendar line of at most 75 octets, continued in lines that begin with a blank."""
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("octets"))
 
+    def step(acc: Column, char: Column) -> Column:
+        size = F.octet_length(char)
+        fits = acc["octets"] + size <= 75
+        return F.struct(
+            F.concat(acc["text"], F.when(fits, "").otherwise("\r\n "), char).alias("text"),
+            F.when(fits, acc["octets"] + size).otherwise(size + 1).alias("octets"))
+
+    chars = F.filter(F.split(line, ""), lambda c: c != "")
+    return F.when(F.octet_length(line) <= 75, line).otherwise(
+        F.aggregate(chars, start, step, lambda acc: acc["text"]))
+
+
+def write_calendars(events: DataFrame, path: str, files_per_year: int = 1) -> None:
+    """Calendar files (``BEGIN:VCALENDAR`` to ``END:VCALENDAR``), a folder per year and number.
+
+    A year's events are dealt out over ``files_per_year`` files by their id, each a calendar of its
+    own. Head and end come as rows around the events, so a file is written as its rows pass by.
+    """
+    lines = F.array_join(F.transform(F.split("event", "\r\n"), folded), "\r\n")
+    dealt = events.select(
+        "year", F.pmod(F.xxhash64("absence_id"), F.lit(files_per_year)).alias("file"),
+        F.lit(1).alias("part"), "absence_id", lines.alias("value"))
+    files = dealt.select("year", "file").distinct()
+    head = F.concat_ws("\r\n", *map(F.lit, (
+        "BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//workweave//DE", "CALSCALE:GREGORIAN",
+        "METHOD:PUBLISH")), F.concat(F.lit("X-WR-CALNAME:Abwesenheiten "), F.col("year").cast("string")))
+    frame = files.select("year", "file", F.explode(F.array(
+        F.struct(F.lit(0).alias("part"), head.alias("value")),
+        F.struct(F.lit(2).alias("part"), F.lit("END:VCALENDAR").alias("value")))).alias("f")
+    ).select("year", "file", "f.*")
+    rows = dealt.unionByName(frame, allowMissingColumns=True).repartition("year", "file")
+    rows.sortWithinPartitions("year", "file", "part", "absence_id").select(
+        "year", "file", "value").write.mode("overwrite").partitionBy("year", "file").option(
+        "lineSep", "\r\n").text(path)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from workweave.operators import records as R
 from workweave.operators import revlog as V
@@ -17,16 +18,42 @@ def ragged_json(records: DataFrame) -> DataFrame:
     return records.select(F.to_json(F.map_concat(head, F.col("fields"))).alias("value"))
 
 
-def write_csv(records: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """Comma-separated files with a header; the columns are the union in first-seen order."""
-    R.as_table(records, columns).write.mode("overwrite").option("header", True).option(
-        "escape", '"').option("emptyValue", "").csv(path)
+def _csv_line(cells: Column) -> Column:
+    """A line of comma-separated cells, quoted where they hold a comma, a quote or a line break."""
+    return F.array_join(F.transform(cells, lambda c: F.when(
+        c.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    ).otherwise(c)), ",")
+
+
+def csv_lines(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(value): the header line, and a line per record with a cell for every column of any record.
+
+    The columns are a first pass over the records, and meet each record as one value of the query:
+    there is no list of them in the program, and the records are not shuffled.
+    """
+    header = R.ordered_columns(records)
+    every = F.map_concat(F.create_map(F.lit("typ"), "kind", F.lit(R.SOURCE), "url"),
+                         F.map_filter("fields", lambda k, _: ~k.isin("typ", R.SOURCE)))
+    cells = F.transform("columns", lambda c: F.coalesce(F.element_at("cells", c), F.lit("")))
+    lines = records.select(every.alias("cells")).withColumn("columns", header.scalar())
+    return header.select(_csv_line(F.col("columns")).alias("value")), lines.select(
+        _csv_line(cells).alias("value"))
+
+
+def write_csv(records: DataFrame, path: str) -> None:
+    """Comma-separated files with the union of all columns in first-seen order. The first file
+    holds the header alone, so the files in the order of their names are one table."""
+    header, lines = csv_lines(records)
+    header.coalesce(1).unionByName(lines).write.mode("overwrite").text(path)
 
 
 def read_csv(spark, path: str) -> DataFrame:
-    table = spark.read.option("header", True).option("multiLine", True).option(
-        "escape", '"').csv(path)
-    return table.fillna("")
+    """What ``write_csv`` wrote; all columns are text."""
+    names = spark.read.option("multiLine", True).option("escape", '"').csv(
+        f"{path}/part-00000-*").first()
+    schema = StructType([StructField(n, StringType()) for n in names])
+    table = spark.read.schema(schema).option("multiLine", True).option("escape", '"').csv(path)
+    return table.fillna("").filter(F.col(names[0]) != names[0])
 
 
 def write_json_lines(records: DataFrame, path: str) -> None:
@@ -47,13 +74,13 @@ def write_json(records: DataFrame, path: str, meta: dict[str, str], made: dateti
     ).write.mode("overwrite").json(f"{path}/kopf")
 
 
-def save_tables(records: DataFrame, path: str, meta: dict[str, str],
-                columns: list[str] | None = None, prefix: str = "") -> tuple[str, str]:
+def save_tables(records: DataFrame, path: str, meta: dict[str, str], prefix: str = ""
+                ) -> tuple[str, str]:
     """Replace the tables ``ergebnisse`` and ``info``; all columns are text."""
     spark = records.sparkSession
     names = (f"{prefix}ergebnisse", f"{prefix}info")
     info = spark.createDataFrame(list(meta.items()), "feld string, wert string")
-    for name, rows in zip(names, (R.as_table(records, columns), info)):
+    for name, rows in zip(names, (R.as_table(records), info), strict=True):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         rows.write.mode("overwrite").option("path", f"{path}/{name}").saveAsTable(name)
     return names
