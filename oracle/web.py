@@ -259,7 +259,9 @@ STATEMENTS: dict[str, str] = {
       FROM pages, (SELECT unnest(['../a/./b?x=../y', '?q=1', '#teil', '//other.example/z', 'mailto:a@b.example',
         'rel/path/..', 'https://c.example/../d', '/x/../../y/.', '', './']) AS href)"""),
     "j4_values_as_text": _("""SELECT vec_id, CAST(label AS VARCHAR) AS label, '[' || vec_id || ',' || label || ']' AS nested,
-        CASE WHEN label > 2 THEN CAST(label AS VARCHAR) ELSE '' END AS gap FROM embeddings"""),
+        CASE WHEN label > 2 THEN CAST(label AS VARCHAR) ELSE '' END AS gap,
+        '[' || array_to_string(list_transform(embedding, lambda x: CAST(floor(x * 1000) AS BIGINT)), ',') || ']' AS thousandths
+      FROM embeddings"""),
     "k1_body_text": _(f"""SELECT page_id, 'text' AS kind, 0 AS pos, 'laenge=' || length(t) || chr(10) || 'text=' || t AS fields
       FROM (SELECT page_id, {vis()} AS t FROM pages) WHERE t <> ''"""),
     "k2_paragraphs": flat(paragraphs("pages")),

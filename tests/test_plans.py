@@ -73,3 +73,17 @@ def test_equal_records_are_combined_before_the_shuffle(spark, small):
     plan = _plan(QUERIES["i2_distinct_records"](spark, small))
     above, _, below = plan.partition("Exchange hashpartitioning")
     assert "partial_min_by" in below and "partial_min_by" not in above
+
+
+@pytest.mark.parametrize("name", ["f14_empty_shares", "k18_quality_gate", "c14_remove_records", "h11_summary_sample"])
+def test_pages_are_parsed_once(spark, small, name):
+    plan = _plan(QUERIES[name](spark, small))
+    markup = [s for s in re.findall(r"ReadSchema: (struct<[^>]*>)", plan) if "html" in s]
+    assert len(markup) <= 1 and plan.count("ArrowEvalPython") <= 2
+
+
+def test_records_are_counted_before_the_shuffle(spark, small):
+    plan = _plan(QUERIES["f12_job_summary"](spark, small))
+    generated = plan.index("Generate")
+    shuffled = plan.rindex("Exchange hashpartitioning(page_id", 0, generated)
+    assert "partial_count" in plan[shuffled:generated]

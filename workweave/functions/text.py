@@ -5,6 +5,7 @@ Patterns avoid look-around wherever possible, so that they mean the same in othe
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -39,6 +40,11 @@ URL_PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)"
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """Collapse white space and trim."""
     return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
@@ -64,10 +70,13 @@ def decode(text: Column) -> Column:
         rest = F.substr(part, F.length(name) + 2)
         return F.when(known.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(known, rest))
 
-    parts = F.split(text, _REFERENCE)
-    joined = F.concat(F.get(parts, F.lit(0)), F.array_join(
-        F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), resolved), ""))
-    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+    def joined(parts: Column) -> Column:
+        # what stands before the first reference, then the references with what follows them
+        return F.array_join(F.transform(
+            parts, lambda p, i: F.when(i == 0, p).otherwise(resolved(p))), "")
+
+    return let(text, lambda t: F.when(
+        F.contains(t, F.lit("&")), joined(F.split(t, _REFERENCE))).otherwise(t))
 
 
 def block_pattern(tags: list[str]) -> str:
@@ -149,6 +158,10 @@ def _without_dots(path: Column) -> Column:
 
 def resolve_url(base: Column, href: Column) -> Column:
     """Absolute form of a link found on page ``base``."""
+    return let(base, lambda b: let(href, lambda h: _resolved(b, h)))
+
+
+def _resolved(base: Column, href: Column) -> Column:
     scheme = F.regexp_extract(base, URL_PARTS, 1)
     root = F.concat(scheme, F.lit("://"), F.regexp_extract(base, URL_PARTS, 2))
     path = F.regexp_extract(base, URL_PARTS, 3)

@@ -335,11 +335,13 @@ def successful(fetches: DataFrame) -> DataFrame:
 
 
 def job_summary(fetches: DataFrame, records: DataFrame) -> DataFrame:
-    """Per job: pages, successes, errors, records and duration."""
+    """Per job: pages, successes, errors, records and duration.
+
+    Records are counted per page before anything is shuffled.
+    """
     ok = (F.col("error") == "") & F.col("status").between(200, 299)
-    pages = fetches.groupBy("job_id").agg(
+    counted = records.groupBy("page_id").agg(F.count("*").alias("rows"))
+    return fetches.join(counted, "page_id", "left").groupBy("job_id").agg(
         F.count("*").alias("pages"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("errors"),
-        F.round(F.sum("elapsed"), 2).alias("duration"))
-    rows = records.join(fetches.select("page_id", "job_id"), "page_id").groupBy("job_id").agg(
-        F.count("*").alias("rows"))
-    return pages.join(rows, "job_id", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+        F.round(F.sum("elapsed"), 2).alias("duration"),
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"))

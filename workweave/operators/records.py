@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workweave.functions import text as X
+from workweave.session import settle
 
 SOURCE = "quelle"
 
@@ -100,16 +101,26 @@ def stringify(value: Column, data_type: str) -> Column:
 
 
 def head_sample(records: DataFrame, order: list[str], n: int = 60) -> DataFrame:
-    """The first ``n`` records and how many are left out."""
-    total = records.agg(F.count("*")).scalar()
-    return records.withColumn("_total", total).orderBy(*order).limit(n).withColumn(
+    """The first ``n`` records and how many are left out; the records are computed once."""
+    kept = settle(records)
+    total = kept.agg(F.count("*")).scalar()
+    return kept.withColumn("_total", total).orderBy(*order).limit(n).withColumn(
         "left_out", F.greatest(F.lit(0), F.col("_total") - n)).drop("_total")
 
 
+def without_chosen(records: DataFrame, chosen: Column) -> DataFrame:
+    """Records without the chosen ones, by page and place: what a list of ticked rows removes."""
+    kept = settle(records)
+    ticked = kept.filter(chosen).select("page_id", "preset", "pos")
+    return kept.join(ticked, ["page_id", "preset", "pos"], "left_anti")
+
+
 def attach_to_pages(pages: DataFrame, records: DataFrame) -> DataFrame:
     """(page_id, record...): records by their source; those of unknown source go to the
     page with the lowest id."""
-    own = records.drop("page_id").join(pages.select("page_id", "url"), "url")
-    lost = records.drop("page_id").join(pages.select("url"), "url", "left_anti")
+    known = pages.select("url", F.col("page_id").alias("_page"))
     first = pages.agg(F.min("page_id")).scalar()
-    return own.unionByName(lost.withColumn("page_id", first))
+    return (
+        records.drop("page_id").join(known, "url", "left")
+        .withColumn("page_id", F.coalesce("_page", first)).drop("_page")
+    )

@@ -133,26 +133,41 @@ def learn_templates(pages: DataFrame, ranks: int = 1) -> DataFrame:
 
 
 # -- judging -----------------------------------------------------------------------------
+def _filled(records: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, column, n, filled, total): per column in how many records it is present and not
+    blank, and how many records there are; a column of null stands for the records themselves.
+
+    One pass over the records: they are counted beside their columns, before the shuffle.
+    """
+    itself = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"))
+    counted = (
+        records.select(*keys, F.explode(F.concat(F.array(itself), F.map_entries("fields"))).alias("f"))
+        .groupBy(*keys, F.col("f.key").alias("column"))
+        .agg(F.count("*").alias("n"), F.count_if(X.strip_space(F.col("f.value")) != "").alias("filled"))
+    )
+    return counted.withColumn("total", F.max(F.when(F.col("column").isNull(), F.col("n"))).over(
+        W.partitionBy(*keys)))
+
+
+def _empty() -> Column:
+    return F.bround(1 - F.col("filled") / F.col("total"), 2)
+
+
 def empty_shares(records: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, column, empty): share of records in which a column is missing or blank."""
-    total = records.groupBy(*keys).agg(F.count("*").alias("n"))
-    filled = (
-        records.select(*keys, F.explode("fields").alias("column", "value"))
-        .groupBy(*keys, "column")
-        .agg(F.count_if(X.strip_space(F.col("value")) != "").alias("filled"))
-    )
-    return filled.join(total, keys).select(
-        *keys, "column", F.bround(1 - F.col("filled") / F.col("n"), 2).alias("empty"))
+    return _filled(records, keys).filter("column is not null").select(
+        *keys, "column", _empty().alias("empty"))
 
 
 def verdicts(records: DataFrame, groups: DataFrame, keys: list[str],
              empty_limit: float = EMPTY_LIMIT) -> DataFrame:
     """PASS or FIX per group: there are records and no column is empty throughout."""
-    judged = empty_shares(records, keys).groupBy(*keys).agg(F.max("empty").alias("worst"))
-    rows = records.groupBy(*keys).agg(F.count("*").alias("rows"))
+    judged = _filled(records, keys).groupBy(*keys).agg(
+        F.first("total").alias("rows"),
+        F.max(F.when(F.col("column").isNotNull(), _empty())).alias("worst"))
     verdict = F.when(F.col("rows").isNull() | (F.col("worst") >= empty_limit), "FIX").otherwise("PASS")
     return (
-        groups.select(*keys).distinct().join(rows, keys, "left").join(judged, keys, "left")
+        groups.select(*keys).distinct().join(judged, keys, "left")
         .select(*keys, F.coalesce("rows", F.lit(0)).alias("rows"),
                 F.coalesce("worst", F.lit(0.0)).alias("worst"), verdict.alias("verdict"))
     )

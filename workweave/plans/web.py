@@ -94,10 +94,11 @@ def _(p: Plan) -> DataFrame:
 def _(p: Plan) -> DataFrame:
     e = p.table("embeddings").select("vec_id", "label", F.array(
         F.col("vec_id"), F.col("label").cast("long")).alias("nested"),
-        F.when(F.col("label") > 2, F.col("label")).alias("gap"))
+        F.when(F.col("label") > 2, F.col("label")).alias("gap"),
+        F.transform("embedding", lambda x: F.floor(x * 1000)).alias("thousandths"))
     types = dict(e.dtypes)
     return e.select("vec_id", *[R.stringify(F.col(c), types[c]).alias(c)
-                                for c in ("label", "nested", "gap")])
+                                for c in ("label", "nested", "gap", "thousandths")])
 
 
 # -- presets ------------------------------------------------------------------------------
@@ -270,9 +271,8 @@ def _(p: Plan) -> DataFrame:
 
 @query("c14_remove_records")
 def _(p: Plan) -> DataFrame:
-    items = P.extract(p.page, ["lists"])
-    chosen = items.filter(F.length(F.element_at("fields", F.lit("text"))) < 4).select("page_id", "pos")
-    return _flat(items.join(chosen, ["page_id", "pos"], "left_anti"))
+    short = F.length(F.element_at("fields", F.lit("text"))) < 4
+    return _flat(R.without_chosen(P.extract(p.page, ["lists"]), short))
 
 
 @query("h4_mixed_sort")
