@@ -192,11 +192,13 @@ def _candidates(found: DataFrame) -> DataFrame:
               .withColumn("bucket", F.coalesce("hot", "key")))
     size = F.col("size").cast("long")
     prefix = size - F.ceil(size * F.lit(NUMERATOR) / F.lit(DENOMINATOR)) + 1
-    # tokens marked -1 are in the prefix whatever the others are; they sort apart
-    part = ("node", F.col("counted") < 0)
+    # tokens marked -1 are in the prefix whatever the others are; they sort apart, by a column, so
+    # that both windows find the rows dealt out alike
+    part = ("node", "late")
     place = F.row_number().over(Window.partitionBy(*part).orderBy("df", "bucket"))
     alone = F.col("counted") - F.count("*").over(Window.partitionBy(*part))
-    return (shared.withColumn("place", place).withColumn("alone", alone)
+    return (shared.withColumn("late", F.col("counted") < 0)
+            .withColumn("place", place).withColumn("alone", alone)
             .where((F.col("counted") < 0)
                    | (F.col("place") <= F.least(prefix, F.col("counted")) - F.col("alone")))
             .select("bucket", "node", "size"))
