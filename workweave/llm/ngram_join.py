@@ -32,6 +32,8 @@ NUMERATOR, DENOMINATOR = 75, 100
 COUNTED = 0.4
 #: A shingle in more than one of so many documents is frequent; it is put last in the order.
 FREQUENT = 1000
+#: Tells the row of a document itself from those of its shingles.
+OWN_ROW = np.uint64(0x5851F42D4C957F2D)
 #: Frequent shingles told to all tasks, at most; the less frequent of them may as well be counted.
 MOST_FREQUENT = 200_000
 
@@ -75,8 +77,9 @@ def _profile(width: int, share: int) -> Callable:
 
 def _prefixes(width: int, frequent: np.ndarray, counted: int) -> Callable:
     """Shingles by which a document may be found: all in the counted part and, where these are too
-    few for its prefix, the next ones of the order, marked by ``counted = -1``. A frequent one
-    stands in ``hot``."""
+    few for its prefix, the next ones of the order, which are ``late``. A frequent one stands in
+    ``hot``. A document's ``size`` and the number of its ``counted`` shingles travel once, in a row
+    of a key of its own, which is neither late nor not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,7 +87,7 @@ def _prefixes(width: int, frequent: np.ndarray, counted: int) -> Callable:
             for piece in pieces(batch, "text"):
                 words = Words(piece.column("text"))
                 nodes = words.text_hash()
-                tokens, owner, sizes, part, hot = [], [], [], [], []
+                tokens, owner, sizes, part, hot, late = [], [], [], [], [], []
                 for node, found in zip(nodes, words.shingles(width), strict=True):
                     if found.size == 0 or node in seen:
                         continue
@@ -94,23 +97,28 @@ def _prefixes(width: int, frequent: np.ndarray, counted: int) -> Callable:
                     cut = int(np.searchsorted(rare, np.uint64(counted)))
                     lack = max(0, prefix_length(found.size) - cut)
                     take = min(rare.size, cut + lack)
-                    late = common[: max(0, lack - (rare.size - cut))]
-                    n = take + late.size
-                    tokens += [rare[:take], late]
-                    owner.append(np.full(n, node, dtype=np.uint64))
-                    sizes.append(np.full(n, found.size, dtype=np.int32))
-                    mark = np.full(n, -1, dtype=np.int32)
-                    mark[:cut] = cut
-                    part.append(mark)
-                    hot.append(np.arange(n) >= take)
+                    more = common[: max(0, lack - (rare.size - cut))]
+                    n = take + more.size
+                    tokens += [rare[:take], more, mix(np.array([node ^ OWN_ROW]))]
+                    owner.append(np.full(n + 1, node, dtype=np.uint64))
+                    sizes.append(found.size)
+                    part.append(cut)
+                    hot.append(np.arange(n + 1) >= take)
+                    hot[-1][n] = False
+                    late.append(np.arange(n + 1) >= cut)
                 if owner:
                     token, node = np.concatenate(tokens), np.concatenate(owner)
-                    warm = np.concatenate(hot)
+                    warm, after = np.concatenate(hot), np.concatenate(late)
+                    own = np.zeros(token.size, dtype=bool)
+                    own[np.cumsum([x.size for x in owner]) - 1] = True
+                    place = np.cumsum(own) - own
                     yield pa.RecordBatch.from_arrays([
                         pa.array(signed(np.where(warm, mix(token ^ mix(node)), token))),
-                        pa.array(signed(node)), pa.array(np.concatenate(sizes)),
-                        pa.array(np.concatenate(part)), pa.array(signed(token), mask=~warm)],
-                        names=["key", "node", "size", "counted", "hot"])
+                        pa.array(signed(node)), pa.array(after, mask=own),
+                        pa.array(np.array(sizes, np.int32)[place], mask=~own),
+                        pa.array(np.array(part, np.int32)[place], mask=~own),
+                        pa.array(signed(token), mask=~warm)],
+                        names=["key", "node", "late", "size", "counted", "hot"])
 
     return run
 
@@ -150,7 +158,7 @@ def components(docs: DataFrame, width: int = WORDS) -> DataFrame:
     with batches_of(docs, 2000):
         found = docs.mapInArrow(
             _prefixes(width, frequent, int(COUNTED * (1 << 64))),
-            "key long, node long, size int, counted int, hot long")
+            "key long, node long, late boolean, size int, counted int, hot long")
         found = save(_candidates(found), "shared")
     # one row of each node that has a candidate; a row without an id goes by its text
     needed = save(found.select("node").distinct().join(
@@ -187,21 +195,20 @@ def _candidates(found: DataFrame) -> DataFrame:
     shared = (found.withColumn("df", F.count("*").over(token))
               .withColumn("low", F.min("node").over(token))
               .withColumn("high", F.max("node").over(token))
-              .where("hot is not null or low < high")
+              .where("hot is not null or low < high or late is null")
               .dropDuplicates(["key", "node"])
               .withColumn("bucket", F.coalesce("hot", "key")))
-    size = F.col("size").cast("long")
-    prefix = size - F.ceil(size * F.lit(NUMERATOR) / F.lit(DENOMINATOR)) + 1
-    # tokens marked -1 are in the prefix whatever the others are; they sort apart, by a column, so
-    # that both windows find the rows dealt out alike
-    part = ("node", "late")
-    place = F.row_number().over(Window.partitionBy(*part).orderBy("df", "bucket"))
-    alone = F.col("counted") - F.count("*").over(Window.partitionBy(*part))
-    return (shared.withColumn("late", F.col("counted") < 0)
-            .withColumn("place", place).withColumn("alone", alone)
-            .where((F.col("counted") < 0)
-                   | (F.col("place") <= F.least(prefix, F.col("counted")) - F.col("alone")))
-            .select("bucket", "node", "size"))
+    # all rows of a node meet once; late ones are in the prefix whatever the others are
+    own = Window.partitionBy("node")
+    part = Window.partitionBy("node", "late")
+    size = F.max("size").over(own)
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(NUMERATOR) / F.lit(DENOMINATOR)) + 1
+    return (shared.withColumn("n", size.cast("long")).withColumn("all", F.max("counted").over(own))
+            .withColumn("alone", F.col("all") - F.count("*").over(part))
+            .withColumn("place", F.row_number().over(part.orderBy("df", "bucket")))
+            .where("late is not null")
+            .where(F.col("late") | (F.col("place") <= F.least(prefix, F.col("all")) - F.col("alone")))
+            .select("bucket", "node", F.col("n").cast("int").alias("size")))
 
 
 def one_each(docs: DataFrame, width: int = WORDS) -> DataFrame:
