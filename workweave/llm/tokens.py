@@ -55,7 +55,8 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        # names that the tokenizer knows as one token wherever they stand, cut out before words
+        self.names = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.classes = _classes()
         self._forget()
 
@@ -133,23 +134,26 @@ class Tokens:
         full = np.flatnonzero(np.diff(at))
         if full.size:
             most[full] = np.maximum.reduceat(codes, at[:-1][full])
+        whole = most >= PLAIN
+        for name in self.names:
+            whole |= np.array([name in t for t in strings], dtype=bool)
         odd = {int(i): [*self.model.encode(strings[i], add_special_tokens=False).ids, end]
-               for i in np.flatnonzero(most >= PLAIN)}
+               for i in np.flatnonzero(whole)}
         if odd:  # what goes whole is taken out of the common run
-            keep = np.repeat(most < PLAIN, np.diff(at))
+            keep = np.repeat(~whole, np.diff(at))
             codes = codes[keep]
-            at = np.concatenate([[0], np.cumsum(np.where(most < PLAIN, np.diff(at), 0))])
+            at = np.concatenate([[0], np.cumsum(np.where(whole, 0, np.diff(at)))])
         starts, ends = self.split(codes, at)
         ids, size = self._encode_words(codes, starts, ends)
         reach = np.concatenate([[0], np.cumsum(size)])
         cuts = reach[np.searchsorted(starts, at)]
         count = np.diff(cuts) + 1
-        for i, whole in odd.items():
-            count[i] = len(whole)
+        for i, found in odd.items():
+            count[i] = len(found)
         first = np.concatenate([[0], np.cumsum(count)])
         out = np.full(int(first[-1]), end, dtype=np.uint32)
         plain = np.arange(ids.size) + np.repeat(first[:-1] - cuts[:-1], np.diff(cuts))
         out[plain] = ids
-        for i, whole in odd.items():
-            out[first[i]: first[i + 1]] = whole
+        for i, found in odd.items():
+            out[first[i]: first[i + 1]] = found
         return out, first
