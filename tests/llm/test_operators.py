@@ -93,6 +93,16 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contamination(docs, items.limit(0)).count() == 0
 
 
+def test_short_items_are_whole_sentences(spark):
+    items = spark.createDataFrame([(1, "Yes"), (2, "True or false"), (3, "What is 15 percent of 80?")],
+                                  "item_id long, text string")
+    texts = ["well yes we went home", "Is it so? Yes. We left", "yes", "it is true or false to say", "a\ntrue or FALSE\nb",
+             "Say what is 15 percent of 80 now", "Answer: What is 15 percent of 80? Well", "y" * 9, None, ""]
+    found = decontaminate.contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items)
+    assert {(r.doc_id, r.item_id, r.verbatim) for r in found.collect()} == {
+        (1, 1, True), (2, 1, True), (4, 2, True), (6, 3, True)}
+
+
 def test_packing(docs, empty):
     for length in (2048, 64):
         found = packing.pack(docs, tokenizer(), length).collect()

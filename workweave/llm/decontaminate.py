@@ -5,13 +5,15 @@ case. A word with a digit, or a number word, becomes the placeholder NUMBER; a u
 a capitalised word that does not open a sentence becomes NAME. Windows of eight canonical words
 with at least five literal ones are looked up in a hash table of the windows of all benchmark
 items (an item of fewer words is one window), and beside them all windows of the plain words, so
-that copies are found whatever their case and however many of their words are slots. Where a document holds windows of an item near each
+that copies are found whatever their case and however many of their words are slots. An item of
+fewer than five words without a number counts only where it is a whole sentence or line. Where a document holds windows of an item near each
 other, the slots of these windows must be filled consistently: the same value of the item always
 by the same value of the document, and different ones by different ones. A document that covers
 at least 0.6 of an item's words in that way holds the item, verbatim or with other parameters.
 
 Null and empty texts hold nothing; items without a word are matched by nothing; items that
-repeat are reported each. Other columns are ignored. The table of windows is sent to all tasks in
+repeat are reported each, and of stretches that cover equally much of an item the first counts.
+Other columns are ignored. The table of windows is sent to all tasks in
 parts of bounded size: a benchmark beyond the bound takes further passes over the documents.
 """
 
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from workweave.llm.words import Words, mix, pieces, run_hash
 
 WINDOW, LITERAL, COVERED = 8, 5, 0.6
+#: An item of so many words, or with a number, counts wherever it stands.
+TELLING = 5
 #: Characters of benchmark text whose windows go to the tasks at once.
 PART_CHARS = 16_000_000
 
@@ -79,6 +83,7 @@ class Canonical:
         if starts.size > 1:
             opens[1:] = _between(_STOP[data], ends[:-1], starts[1:])
         opens[self.first[:-1][self.first[:-1] < starts.size]] = True
+        self.opens = np.append(opens, True)
         name = capital & ~opens & ~number & ~unit
         self.slot = number | unit | name
         self.code = words.hash.copy()
@@ -104,6 +109,8 @@ class Templates:
     def __init__(self, ids: list[int], texts: list[str | None]):
         self.ids = ids
         self.items = [Canonical(pa.array([t], pa.string())) for t in texts]
+        # a short item without a number is found by chance in the middle of a sentence
+        self.telling = [x.code.size >= TELLING or bool((x.code == _NUMBER).any()) for x in self.items]
         at: dict[tuple[int, bool], list[tuple[np.ndarray, int, np.ndarray]]] = defaultdict(list)
         for i, item in enumerate(self.items):
             width = min(WINDOW, item.code.size)
@@ -132,7 +139,10 @@ class Templates:
             high = np.searchsorted(values, value, side="right")
             for k in np.flatnonzero(high > low):
                 row = int(np.searchsorted(doc.first, start[k], side="right")) - 1
+                whole = doc.opens[start[k]] and doc.opens[start[k] + width]
                 for j in range(low[k], high[k]):
+                    if not (whole or self.telling[item[j]]):
+                        continue
                     matches[row, int(item[j])].append((int(start[k]), int(at[j]), width, plain))
         found: list[list[tuple[int, int, int, float, bool]]] = [[] for _ in range(len(texts))]
         for (row, i), pairs in matches.items():
