@@ -1,8 +1,19 @@
-"""Small hand-labelled pages: a block whose text holds MAIN is main text, any other is not."""
+"""Labelled pages: a block whose text holds MAIN is main text, any other is not.
+
+A dozen pages are written out. The others are layouts filled with invented words of varying number:
+marks (classes, ids and elements that usually hold no main text) that are right, marks that mislead,
+and blocks without any mark that only their links and neighbours tell apart.
+"""
+
+from __future__ import annotations
+
+from random import Random
 
 MAIN = "§"
+#: Pages made of each layout.
+EACH = 14
 
-PAGES = (
+WRITTEN = (
     """<html><head><title>Harbour report</title></head><body><nav><ul><li><a href="/">Home</a></li>
     <li><a href="/n">News</a></li><li><a href="/a">About us</a></li></ul></nav>
     <div class="ad">Buy two lamps and get the third one free this week only.</div>
@@ -61,3 +72,97 @@ PAGES = (
     shore and a chapel on the only island, to which the priest comes once a year.§</p>""",
     """<body><main><p>Notes§</p><p>Sugar, flour, two eggs.§</p></main></body>""",
 )
+
+_WORDS = ("stone river early under morning window paper never between garden letter winter small "
+          "carry silver across mountain evening answer bridge little village harbour question "
+          "summer before animal colour corner distance forest great kitchen market people").split()
+# Marks that are right for parts beside the main text, and some that are not for it
+BESIDE = ("ad", "advert-box", "sidebar", "newsletter", "related", "cookie-notice", "promo", "footer",
+          "social-links", "site-banner", "login")
+MISLEADING = ("content right-sidebar", "post related-work", "promotion", "social-policy",
+              "share-price", "article-with-comments", "alerts-free", "category-social",
+              "page sidebar-left", "story promo-free", "news-alerts", "commented")
+
+
+class _Writer:
+    def __init__(self, seed: int):
+        self.rng = Random(seed)
+
+    def words(self, low: int, high: int) -> str:
+        return " ".join(self.rng.choices(_WORDS, k=self.rng.randint(low, high)))
+
+    def links(self, low: int, high: int, tag: str = "li") -> str:
+        return "".join(f"<{tag}><a href='x'>{self.words(1, 4)}</a></{tag}>"
+                       for _ in range(self.rng.randint(low, high)))
+
+    def main(self, low: int = 2, high: int = 6, tag: str = "") -> str:
+        """Paragraphs of main text, short ones among them, and now and then a heading. Within an
+        element of a name for main text they may end with a short one."""
+        parts = [f"<p>{self.words(12, 60)}{MAIN}</p>"]
+        for _ in range(self.rng.randint(low, high) - 1):
+            parts.append(self.rng.choice((
+                f"<p>{self.words(12, 60)}{MAIN}</p>", f"<p>{self.words(8, 30)}{MAIN}</p>",
+                f"<p>{self.words(1, 5)}{MAIN}</p>",
+                f"<p>{self.words(5, 20)} <a href='y'>{self.words(1, 4)}</a> {self.words(3, 9)}{MAIN}</p>",
+                f"<h2>{self.words(1, 5)}{MAIN}</h2><p>{self.words(10, 40)}{MAIN}</p>")))
+        head = self.rng.choice(("", f"<h1>{self.words(2, 8)}{MAIN}</h1>"))
+        end = self.words(*self.rng.choice(((1, 2), (1, 6), (10, 40)) if tag in ("article", "main") else ((10, 40),)))
+        text = head + "".join(parts) + f"<p>{end}{MAIN}</p>"
+        return f"<{tag}>{text}</{tag}>" if tag else text
+
+    def beside(self) -> str:
+        mark = self.rng.choice(BESIDE)
+        kind = self.rng.choice(("class", "id"))
+        return f"<div {kind}='{mark}'>{self.rng.choice(('', '<p>'))}{self.words(3, 25)}</div>"
+
+    def frame(self, inside: str) -> str:
+        """With a menu and an end, marked or not."""
+        menu = self.rng.choice((f"<nav><ul>{self.links(3, 8)}</ul></nav>", f"<ul>{self.links(3, 8)}</ul>",
+                                f"<div class='menu'>{self.links(3, 6, 'span')}</div>", ""))
+        end = self.rng.choice((f"<footer>{self.words(2, 25)}</footer>", "",
+                               f"<p><a href='a'>{self.words(1, 1)}</a> | <a href='b'>{self.words(1, 1)}</a></p>"))
+        return f"<body>{menu}{inside}{end}</body>"
+
+    def pages(self) -> list[str]:
+        mark = self.rng.choice(MISLEADING)
+        box = self.rng.choice(("div", "section", "article", "main"))
+        named = f"<{box} {self.rng.choice(('class', 'id'))}='{mark}'>"
+        comments = "".join(f"<article class='comment'><p>{self.words(2, 40)}</p></article>"
+                           for _ in range(self.rng.randint(1, 5)))
+        return [
+            self.frame(f"{self.beside()}{self.main(tag='article')}"),
+            self.frame(f"{self.main(tag='main')}<aside><h3>{self.words(1, 3)}</h3><ul>"
+                       f"{self.links(2, 5)}</ul><p>{self.words(5, 25)}</p></aside>"),
+            self.frame(f"<header><p>{self.words(2, 9)}</p></header><div>{self.main()}</div>{self.beside()}"),
+            self.frame(f"{named}{self.main()}</{box}>"),
+            self.frame(f"{named}{self.main(4, 8)}{self.beside()}</{box}>"),
+            self.frame(f"{named}{self.main(5, 9)}</{box}><aside><p>{self.words(20, 60)}</p></aside>"
+                       f"{self.beside()}"),
+            self.frame(f"{self.main(5, 9, 'article')}<div id='comments'>"
+                       f"<p>{self.words(2, 40)}</p><div><p>{self.words(10, 60)}</p></div></div>"),
+            self.frame(f"<article><p>{self.words(6, 14)}{MAIN}</p><p>{self.words(6, 14)}{MAIN}</p></article>"
+                       f"<section class='comments'><article class='comment'><p>{self.words(2, 14)}</p>"
+                       f"</article></section>{self.beside()}"),
+            self.frame(f"{self.beside()}<main><p>{self.words(10, 25)}{MAIN}</p></main>"
+                       f"<div class='comment-list'><p>{self.words(2, 12)}</p></div>"),
+            self.frame(f"<div><p>{self.words(8, 14)}{MAIN}</p><p>{self.words(8, 14)}{MAIN}</p></div>"
+                       f"<form><p>{self.words(3, 9)}</p></form>{self.beside()}"),
+            f"{named}<p>{self.words(2, 9)}{MAIN}</p><p>{self.words(2, 9)}{MAIN}</p></{box}>",
+            self.frame(f"<form action='z'>{self.main()}</form>"),
+            self.frame(f"{self.main(tag='article')}<form><p>{self.words(5, 25)}</p></form>"),
+            self.frame(f"{self.main(4, 8, 'article')}<section class='comments'>"
+                       f"<h2>{self.words(1, 2)}</h2>{comments}</section>"),
+            self.frame(f"<article>{self.main(3, 7)}<div class='share'>{self.links(1, 3, 'p')}</div>"
+                       f"<div class='related'><p>{self.words(5, 25)}</p></div></article>"),
+            self.frame(f"<div>{self.main(3, 7)}</div><ul>{self.links(4, 8)}</ul>"
+                       f"<p>{self.words(2, 4)}</p><ul>{self.links(2, 5)}</ul>"),
+            self.frame(f"<div><p>{self.words(15, 40)}{MAIN}</p><p><a href='r'>{self.words(4, 9)}{MAIN}</a></p>"
+                       f"<p>{self.words(15, 40)}{MAIN}</p></div>"),
+            f"<body><ul>{self.links(4, 9)}</ul></body>",
+            f"<body><nav>{self.links(2, 6, 'p')}</nav><footer>{self.words(3, 25)}</footer></body>",
+            f"<body><table><tr>{self.links(2, 5, 'td')}</tr></table>{self.main()}</body>",
+            f"<p>{self.words(3, 9)}{MAIN}</p><p>{self.words(3, 20)}{MAIN}</p>",
+        ]
+
+
+PAGES = (*WRITTEN, *(page for seed in range(EACH) for page in _Writer(seed).pages()))

@@ -2,23 +2,25 @@
 
 A page is cut into blocks at block-level tags; inline tags leave no mark, and a line break counts
 as white space. A block knows its words, the share of them inside links, the same of the blocks
-before and after it, whether it is a heading, whether it stands in an article, and whether it
-stands in a part that is marked as no main text (menu, header, footer, sidebar, form, or by the
-words of a class, id or role). Scripts, styles, comments and the head hold no blocks. A CART tree,
-trained on the blocks of the small labelled pages in ``html_labels``, tells main text from the
-rest. Character references are decoded, white space inside a block becomes one space, and the main
+before and after it, whether it is a heading, and whether it stands in an article. An element may
+be marked as no main text, by its kind (menu, header, footer, sidebar, form) or by the words of a
+class, id or role. Such a mark decides nothing by itself: a block knows how far the nearest marked
+element is, and how much of the page that holds and leaves. Scripts, styles, comments and the head
+hold no blocks. A CART tree, trained on the blocks of the labelled pages in ``html_labels``, tells
+main text from the rest. Character references are decoded, white space inside a block becomes one space, and the main
 blocks are joined in page order by a blank line.
 
 Null and empty pages, and pages without a main block, give an empty text. Tags that are never
 closed end with the element around them, a head at the first tag or text that cannot stand in it;
-an unclosed script or style reaches to the end of the page. Tags cut off there are dropped. Other
-columns are passed through untouched.
+an unclosed script or style reaches to the end of the page. Tags cut off there are dropped. Every
+row gives one, whether ids and urls are null or repeat; other columns than these are left out.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -53,17 +55,44 @@ CLOSED_BY = {"p": BLOCK_TAGS - {"html", "body"}, "li": frozenset(["li"]), "dt":
              "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]),
              "option": frozenset(["option"])}
 
-_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: What may end by the start of another element.
+_ENDERS = frozenset().union(*CLOSED_BY.values())
+
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+"
 _SILENT = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style)\b(?:" + _ATTRIBUTES
     + r">.*?</\1\s*>|" + _ATTRIBUTES + r"(?<=/)>|.*\Z)", re.S | re.I)
-_SAME = {name: re.compile(rf"<(/?){name}(?![a-zA-Z0-9:-])[^>]*>", re.I) for name in SILENT_TAGS}
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|"
-                  r"<[!?/a-zA-Z][^<>]*\Z")
+_SAME = {name: re.compile(rf"<(/?){name}(?![a-zA-Z0-9:-])[^<>]*>", re.I) for name in SILENT_TAGS}
+# Outside of quotes a tag holds no other tag's start, so each try ends before the next one.
+_NAME = r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)"
+_TAG = re.compile(_NAME + r"((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|" + _NAME + r"([^<>]*)>|"
+                  r"<[!?/][^<>]*>|<[!?/a-zA-Z][^<>]*\Z")
 _MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after",
-            "heading", "article", "aside")
+            "heading", "article", "mark", "mark_tag", "mark_main", "mark_share", "mark_rest")
+
+
+@dataclass
+class Mark:
+    """An element that a name, or its kind, marks as no main text: the blocks ``start`` to ``end``
+    stand in it."""
+
+    depth: int
+    tag: bool
+    start: int
+    end: int = -1
+
+
+@dataclass
+class Open:
+    """An open element, with what holds for blocks in it."""
+
+    name: str
+    main: int = 0  # depth of the innermost article or main element, from 1
+    mark: Mark | None = None
+    link: bool = False
+    silent: bool = False
 
 
 @dataclass
@@ -71,8 +100,10 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
     heading: bool = False
-    article: bool = False
-    aside: bool = False
+    main: int = 0
+    mark: Mark | None = None
+    distance: int = 0
+    place: int = 0
     text: str = ""
 
     def close(self) -> str:
@@ -81,88 +112,130 @@ class Block:
         return self.text
 
 
+def _marked(attributes: str) -> bool:
+    marks = " ".join("".join(m) for m in _MARKS.findall(attributes)).lower().replace("_", "-")
+    return any(ASIDE_WORDS.search(m) and not LAYOUT_WORDS.fullmatch(m) for m in marks.split())
+
+
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page that hold text, in page order."""
+    """The blocks of a page that hold text, in page order. The time is in proportion to the page."""
     page = _SILENT.sub(" ", page)
-    found, stack = [Block()], []  # of open elements: tag, article, aside, link, silent
+    found, stack, names = [Block()], [], Counter()
+    outside = Open("")
+
+    def top() -> Open:
+        return stack[-1] if stack else outside
 
     def turn() -> None:
-        top = stack[-1] if stack else ("", False, False, False, False)
-        found.append(Block(heading=any(s[0] in HEADINGS for s in stack[-2:]),
-                           article=top[1], aside=top[2]))
+        t = top()
+        found.append(Block(heading=any(s.name in HEADINGS for s in stack[-2:]), main=t.main, mark=t.mark,
+                           distance=len(stack) - t.mark.depth if t.mark else 0))
+
+    def pop() -> str:
+        e = stack.pop()
+        names[e.name] -= 1
+        if e.mark and e.mark.depth == len(stack) + 1:
+            e.mark.end = len(found)
+        return e.name
 
     def put(text: str) -> None:
-        if stack and stack[-1][0] == "head" and text.strip():
-            stack.pop()
+        if stack and stack[-1].name == "head" and text.strip():
+            pop()
             turn()
-        if text and not (stack and stack[-1][4]):
+        if text and not top().silent:
             found[-1].parts.append(text)
-            if stack and stack[-1][3]:
+            if top().link:
                 found[-1].linked.append(text)
 
     at = 0
     while tag := _TAG.search(page, at):
         put(page[at: tag.start()])
         at = tag.end()
-        name = (tag[2] or "").lower()
+        ends, name, attributes = tag[1] or tag[4], (tag[2] or tag[5] or "").lower(), tag[3] or tag[6] or ""
         if not name:
             continue
-        if not tag[1] and any(s[0] == "head" for s in stack) and (
-                name == "body" or stack[-1][0] == "head" and name not in HEAD_TAGS):
-            while stack.pop()[0] != "head":
+        if not ends and names["head"] and (
+                name == "body" or stack[-1].name == "head" and name not in HEAD_TAGS):
+            while pop() != "head":
                 pass
             turn()
         if name == "br":
             put(" ")
         if name in VOID_TAGS:
-            if name == "hr" and not (stack and stack[-1][4]):
+            if name == "hr" and not top().silent:
                 turn()
             continue
-        silent = bool(stack) and stack[-1][4]
-        if tag[1]:
-            if any(s[0] == name for s in stack):
-                while stack.pop()[0] != name:
+        silent = top().silent
+        if ends:
+            if names[name]:
+                while pop() != name:
                     pass
-                silent = bool(stack) and stack[-1][4]
+                silent = top().silent
         else:
-            closed = tag[3].endswith("/")
+            closed = attributes.endswith("/")
             if name in _SAME and name != "head" and not closed:
                 end = _SAME[name].search(page, at)
                 if end and end[1]:  # nothing inside is text, whatever its tags
                     at = end.end()
                     put(" ")
                     continue
-            for i in range(len(stack) - 1, -1, -1):  # end tags that may be left out
-                if name in CLOSED_BY.get(stack[i][0], ()):
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK_TAGS:
-                    break
-            _, article, aside, link, silent = stack[-1] if stack else ("", False, False, False, False)
-            marks = " ".join("".join(m) for m in _MARKS.findall(tag[3])).lower().replace("_", "-")
-            marked = name not in ("html", "body") and any(
-                ASIDE_WORDS.search(m) and not LAYOUT_WORDS.fullmatch(m) for m in marks.split())
-            inside = aside or name in ASIDE_TAGS or marked or (name == "header" and not article)
+            if name in _ENDERS:
+                for i in range(len(stack) - 1, -1, -1):  # end tags that may be left out
+                    if name in CLOSED_BY.get(stack[i].name, ()):
+                        while len(stack) > i:
+                            pop()
+                        break
+                    if stack[i].name in BLOCK_TAGS:
+                        break
+            t = top()
+            silent = t.silent
             if not closed:
-                stack.append((name, article or name in ("article", "main"), inside,
-                              link or name == "a", silent or name in _SAME))
+                depth = len(stack) + 1
+                kind = name in ASIDE_TAGS or (name == "header" and not t.main)
+                start = len(found) if name in BLOCK_TAGS else len(found) - 1
+                own = (Mark(depth, kind and name != "form", start)
+                       if kind or name not in ("html", "body") and _marked(attributes) else None)
+                stack.append(Open(name, depth if name in ("article", "main") else t.main,
+                                  own or t.mark, t.link or name == "a", silent or name in _SAME))
+                names[name] += 1
         if name in BLOCK_TAGS and not silent:
             turn()
     put(page[at:])
+    while stack:
+        pop()
+    for i, b in enumerate(found):
+        b.place = i
     return [b for b in found if b.parts and b.close()]
 
 
 def features(found: list[Block], texts: list[str]) -> np.ndarray:
-    """One row of FEATURES per block; words are counted up to 50, as more tell nothing."""
+    """One row of FEATURES per block; words are counted up to 50, as more tell nothing.
+
+    ``mark`` tells how near the nearest marked element is (1 for the block's own, 0 for none),
+    ``mark_tag`` whether its kind marks it, ``mark_main`` whether an article or main element is it
+    or lies between, ``mark_share`` the share of the page's words without links that it holds, and
+    ``mark_rest`` how many such words stand outside of it.
+    """
     words = np.array([len(t.split()) for t in texts], dtype=float)
     linked = np.array([len("".join(b.linked).split()) for b in found], dtype=float)
     density = np.minimum(1.0, linked / np.maximum(words, 1))
+    free = np.zeros(1 + max([b.place for b in found] + [b.mark.end for b in found if b.mark], default=0))
+    free[[b.place for b in found]] = np.maximum(words - linked, 0)
+    reach = np.concatenate([[0.0], np.cumsum(free)])
+    total = reach[-1]
+    marks = np.zeros((len(found), 5))
+    for i, b in enumerate(found):
+        if b.mark:
+            inside = reach[b.mark.end] - reach[b.mark.start]
+            marks[i] = (1 / (1 + b.distance), b.mark.tag, b.main >= b.mark.depth,
+                        inside / max(total, 1.0), min(total - inside, 50))
     words = np.minimum(words, 50)
     before = lambda x: np.concatenate([[0.0], x[:-1]])
     after = lambda x: np.concatenate([x[1:], [0.0]])
-    return np.stack([words, density, before(words), before(density), after(words), after(density),
-                     *(np.array([getattr(b, k) for b in found], dtype=float)
-                       for k in ("heading", "article", "aside"))], axis=1)
+    return np.column_stack([
+        words, density, before(words), before(density), after(words), after(density),
+        np.array([b.heading for b in found], dtype=float), np.array([b.main > 0 for b in found], dtype=float),
+        marks])
 
 
 @dataclass
@@ -184,7 +257,7 @@ class Tree:
         return out
 
 
-def grow(rows: np.ndarray, main: np.ndarray, depth: int = 5) -> Tree:
+def grow(rows: np.ndarray, main: np.ndarray, depth: int = 9) -> Tree:
     """CART: the split that leaves the least Gini impurity, while it lessens it."""
     tree = Tree(float(main.mean()) if main.size else 0.0)
     gini = lambda y: 2 * y.size * y.mean() * (1 - y.mean()) if y.size else 0.0
