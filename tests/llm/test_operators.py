@@ -100,7 +100,7 @@ def test_short_items_are_whole_sentences(spark):
              "Say what is 15 percent of 80 now", "Answer: What is 15 percent of 80? Well", "y" * 9, None, ""]
     found = decontaminate.contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), items)
     assert {(r.doc_id, r.item_id, r.verbatim) for r in found.collect()} == {
-        (1, 1, True), (2, 1, True), (4, 2, True), (6, 3, True)}
+        (1, 1, True), (2, 1, True), (4, 2, True), (5, 3, True), (6, 3, True)}
 
 
 def test_packing(docs, empty):
