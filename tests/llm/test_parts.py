@@ -167,3 +167,16 @@ def test_binomial_tail_sums_as_it_should():
     n, k, p = 40, 2, 0.05
     want = sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k + 1))
     assert abs(want - 0.6767359) < 1e-6  # the value test_operators asks of Spark
+
+
+def test_tables_on_the_way_are_removed(spark):
+    import os
+
+    from workweave.llm.tables import passing, save
+    with passing(spark.range(1), "end"):
+        step = save(spark.range(5), "step")
+        with passing(spark.range(1)):
+            inner = save(step, "inner")
+        end = save(step, "end")
+    exists = [os.path.exists(df.inputFiles()[0].removeprefix("file://")) for df in (step, inner, end)]
+    assert exists == [False, False, True] and end.count() == 5

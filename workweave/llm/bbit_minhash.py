@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from workweave.llm.components import connected
 from workweave.llm.minhash import tune_bands
-from workweave.llm.tables import batches_of, documents, early_semi_joins, save
+from workweave.llm.tables import batches_of, documents, early_semi_joins, passing, save
 from workweave.llm.words import Words, mix, pieces, run_hash, signed, unsigned
 
 WIDTH = 2
@@ -310,25 +310,26 @@ def near_copies(docs: DataFrame) -> DataFrame:
     docs = documents(docs).select("doc_id", "text",
                                   F.coalesce("doc_id", F.xxhash64("text")).alias("row"))
     fields = ", ".join(f"{c} long" for c in ("doc_id", "row", "node", "n", *_SIGNATURE, *_KEYS))
-    with batches_of(docs, 2000):
-        marked = save(docs.mapInArrow(_signatures, fields), "signatures")
-    rows = marked.select("doc_id", "node", "n")
-    nodes = save(marked.where(f"{_SIGNATURE[0]} is not null").groupBy("node").agg(
-        F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", *_SIGNATURE, *_KEYS)]),
-        "nodes")
-    buckets = _shared(nodes)
-    needed = save(nodes.join(buckets.select("node").distinct(), "node", "left_semi")
-                  .select("node", "row", "n", *_SIGNATURE), "needed")
-    with batches_of(docs, 2000), early_semi_joins(docs):
-        texts = save(docs.join(needed.where("n > 0").select("row"), "row", "left_semi")
-                     .select("text").mapInArrow(_texts, "node long, item string")
-                     .join(needed.select("node"), "node", "left_semi")
-                     .dropDuplicates(["node"]), "texts")
-    labels = _labels(buckets, needed.drop("row"), texts)
-    rooted = save(rows.join(labels, "node", "left").select(
-        "doc_id", "n", F.coalesce("root", "node").alias("root")), "rooted")
-    least = save(rooted.where("n > 0").groupBy("root")
-                 .agg(F.min("doc_id").alias("component_id")), "least")
+    with passing(docs, "rooted", "least"):
+        with batches_of(docs, 2000):
+            marked = save(docs.mapInArrow(_signatures, fields), "signatures")
+        rows = marked.select("doc_id", "node", "n")
+        nodes = save(marked.where(f"{_SIGNATURE[0]} is not null").groupBy("node").agg(
+            F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", *_SIGNATURE, *_KEYS)]),
+            "nodes")
+        buckets = _shared(nodes)
+        needed = save(nodes.join(buckets.select("node").distinct(), "node", "left_semi")
+                      .select("node", "row", "n", *_SIGNATURE), "needed")
+        with batches_of(docs, 2000), early_semi_joins(docs):
+            texts = save(docs.join(needed.where("n > 0").select("row"), "row", "left_semi")
+                         .select("text").mapInArrow(_texts, "node long, item string")
+                         .join(needed.select("node"), "node", "left_semi")
+                         .dropDuplicates(["node"]), "texts")
+        labels = _labels(buckets, needed.drop("row"), texts)
+        rooted = save(rows.join(labels, "node", "left").select(
+            "doc_id", "n", F.coalesce("root", "node").alias("root")), "rooted")
+        least = save(rooted.where("n > 0").groupBy("root")
+                     .agg(F.min("doc_id").alias("component_id")), "least")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rooted.join(least, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),

@@ -6,8 +6,8 @@ a capitalised word that does not open a sentence becomes NAME. Windows of eight
 with at least five literal ones are looked up in a hash table of the windows of all benchmark
 items (an item of fewer words is one window), and beside them all windows of the plain words, so
 that copies are found whatever their case and however many of their words are slots. An item of
-fewer than five words without a number counts only where it is a whole sentence or line. Where a document holds windows of an item near each
-other, the slots of these windows must be filled consistently: the same value of the item always
+fewer than five words without a number counts only where it is a whole sentence or line. Where a
+document holds windows of an item near each other, the slots of these windows must be filled consistently: the same value of the item always
 by the same value of the document, and different ones by different ones. A document that covers
 at least 0.6 of an item's words in that way holds the item, verbatim or with other parameters.
 

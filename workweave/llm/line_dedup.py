@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from workweave.llm.components import resolve
 from workweave.llm.minhash import bands, colliding, tune_bands
-from workweave.llm.tables import batches_of, documents, save
+from workweave.llm.tables import batches_of, documents, passing, save
 from workweave.llm.words import pieces, run_hash, signed, window_hash
 
 SHINGLE = 9
@@ -149,11 +149,11 @@ def components(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 def rewritten(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """``docs`` with ``text`` less the lines that another one stands for, ``__n_lines`` (that hold
     text) and ``__n_removed``."""
-    found = components(docs, recall)
-    removed = save(found.groupBy("doc_id", "text_hash").agg(
-        F.collect_set(F.when(~F.col("kept"), F.col("line"))).alias("__lines"),
-        F.countDistinct("line").alias("__n_lines")), "removed").withColumnsRenamed(
-        {"doc_id": "__doc", "text_hash": "__hash"})
+    with passing(docs, "removed"):
+        removed = save(components(docs, recall).groupBy("doc_id", "text_hash").agg(
+            F.collect_set(F.when(~F.col("kept"), F.col("line"))).alias("__lines"),
+            F.countDistinct("line").alias("__n_lines")), "removed").withColumnsRenamed(
+            {"doc_id": "__doc", "text_hash": "__hash"})
     text = F.col("text").cast("string")
     joined = docs.join(removed, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc"))
                        & (F.xxhash64(text) == F.col("__hash")), "left")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from workweave.llm.components import resolve
-from workweave.llm.tables import batches_of, documents, early_semi_joins, save
+from workweave.llm.tables import batches_of, documents, early_semi_joins, passing, save
 from workweave.llm.words import Words, mix, pieces, signed, unsigned
 
 WORDS = 5
@@ -144,39 +144,40 @@ def components(docs: DataFrame, width: int = WORDS) -> DataFrame:
     ``component_id`` is the least ``doc_id`` that links reach, the row's own included.
     """
     docs = documents(docs)
-    with batches_of(docs, 2000):
-        profile = save(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
-            _profile(width, FREQUENT),
-            "doc_id long, text_hash long, node long, n long, frequent boolean"), "profile")
-    rows = profile.where("not frequent").select("doc_id", "text_hash", "node", "n")
-    total = rows.count()
-    # any set serves as the frequent one, so cutting it at a size for all tasks changes no link
-    often = (profile.where("frequent").groupBy("node").agg(F.sum("n").alias("n"))
-             .where(F.col("n") * FREQUENT >= F.lit(total)).where("n >= 8")
-             .orderBy(F.desc("n"), "node").limit(MOST_FREQUENT).select("node"))
-    frequent = np.sort(unsigned(np.array([r.node for r in often.collect()], dtype=np.int64)))
-    with batches_of(docs, 2000):
-        found = docs.mapInArrow(
-            _prefixes(width, frequent, int(COUNTED * (1 << 64))),
-            "key long, node long, late boolean, size int, counted int, hot long")
-        found = save(_candidates(found), "shared")
-    # one row of each node that has a candidate; a row without an id goes by its text
-    needed = save(found.select("node").distinct().join(
-        rows.where("n > 0").groupBy("node").agg(
-            F.min(F.coalesce("doc_id", "text_hash")).alias("row"), F.min("n").alias("n")),
-        "node"), "needed")
-    with batches_of(docs, 2000), early_semi_joins(docs):
-        texts = save(docs.withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
-                     .join(needed.where("n > 0").select("row"), "row", "left_semi")
-                     .select("text").mapInArrow(_texts, "node long, item string")
-                     .join(needed.select("node"), "node", "left_semi")
-                     .dropDuplicates(["node"]), "texts")
-
-    labels = resolve(found, texts, shingle_sets(width), NUMERATOR, DENOMINATOR)
-    rooted = save(rows.join(labels, "node", "left").select(
-        "doc_id", "text_hash", "n", F.coalesce("root", "node").alias("root")), "rooted")
-    least = save(rooted.where("n > 0").groupBy("root")
-                 .agg(F.min("doc_id").alias("component_id")), "least")
+    with passing(docs, "rooted", "least"):
+        with batches_of(docs, 2000):
+            profile = save(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+                _profile(width, FREQUENT),
+                "doc_id long, text_hash long, node long, n long, frequent boolean"), "profile")
+        rows = profile.where("not frequent").select("doc_id", "text_hash", "node", "n")
+        total = rows.count()
+        # any set serves as the frequent one, so cutting it at a size for all tasks changes no link
+        often = (profile.where("frequent").groupBy("node").agg(F.sum("n").alias("n"))
+                 .where(F.col("n") * FREQUENT >= F.lit(total)).where("n >= 8")
+                 .orderBy(F.desc("n"), "node").limit(MOST_FREQUENT).select("node"))
+        frequent = np.sort(unsigned(np.array([r.node for r in often.collect()], dtype=np.int64)))
+        with batches_of(docs, 2000):
+            found = docs.mapInArrow(
+                _prefixes(width, frequent, int(COUNTED * (1 << 64))),
+                "key long, node long, late boolean, size int, counted int, hot long")
+            found = save(_candidates(found), "shared")
+        # one row of each node that has a candidate; a row without an id goes by its text
+        needed = save(found.select("node").distinct().join(
+            rows.where("n > 0").groupBy("node").agg(
+                F.min(F.coalesce("doc_id", "text_hash")).alias("row"), F.min("n").alias("n")),
+            "node"), "needed")
+        with batches_of(docs, 2000), early_semi_joins(docs):
+            texts = save(docs.withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
+                         .join(needed.where("n > 0").select("row"), "row", "left_semi")
+                         .select("text").mapInArrow(_texts, "node long, item string")
+                         .join(needed.select("node"), "node", "left_semi")
+                         .dropDuplicates(["node"]), "texts")
+
+        labels = resolve(found, texts, shingle_sets(width), NUMERATOR, DENOMINATOR)
+        rooted = save(rows.join(labels, "node", "left").select(
+            "doc_id", "text_hash", "n", F.coalesce("root", "node").alias("root")), "rooted")
+        least = save(rooted.where("n > 0").groupBy("root")
+                     .agg(F.min("doc_id").alias("component_id")), "least")
     return rooted.join(least, "root", "left").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
@@ -213,7 +214,10 @@ def _candidates(found: DataFrame) -> DataFrame:
 
 def one_each(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """The rows of ``docs`` less those whose component has a member of lower ``doc_id``."""
-    late = components(docs, width).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(save(late, "late"), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc"))
+    with passing(docs, "late"):
+        late = save(components(docs, width)
+                    .where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+                    .select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"))
+                    .distinct(), "late")
+    return docs.join(late, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc"))
                      & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash")), "left_anti")

@@ -11,17 +11,40 @@ from pyspark.sql import functions as F
 from workweave.session import scratch_path
 
 
+#: For each block of ``passing`` that is open, the tables saved in it.
+_PASSING: list[list[tuple[str, str]]] = []
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it from there.
 
     A lost executor then costs the reading of a file, and each table is computed once. The files
-    stay until the folder is cleaned.
+    stay until the folder is cleaned, or the block of ``passing`` around ends.
     """
     path = scratch_path(df.sparkSession, f"llm-{label}")
     df.write.parquet(path)
+    for made in _PASSING:
+        made.append((label, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(df: DataFrame, *kept: str) -> Iterator[None]:
+    """Tables saved inside are steps on the way to those with the labels ``kept``: they are removed
+    at the end, when all that is read later has been written."""
+    made: list[tuple[str, str]] = []
+    _PASSING.append(made)
+    try:
+        yield
+    finally:
+        _PASSING.pop()
+        spark = df.sparkSession
+        for label, path in made:
+            if label not in kept:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
