@@ -127,6 +127,19 @@ def test_budget_stops_after_the_crossing_call(spark):
     assert sum(allowed(max_usd=0.0, max_calls=0)) == 8
 
 
+def test_exactly_half_of_a_budget_is_not_more_than_half(spark):
+    spent = [("half", 0.001), ("half", 0.004), ("edge", 0.0085), ("more", 0.004999999), ("over", 0.02)]
+    spent += [("tenths", 0.0005)] * 17
+    calls = spark.createDataFrame([(r, 1, 1, c) for r, c in spent],
+                                  "run_id string, input_tokens int, output_tokens int, cost double")
+    got = U.budget_left(U.totals(calls, ["run_id"]), max_usd=0.01, max_calls=6).collect()
+    assert {r.run_id: (r.level, r.usd_left) for r in got} == {
+        "half": ("warn", 0.005), "edge": ("error", 0.0015), "tenths": ("error", 0.0015),
+        "more": ("ok", 0.005000001), "over": ("error", 0.0)}
+    free = U.budget_left(U.totals(calls, ["run_id"]), max_usd=0, max_calls=6).collect()
+    assert {r.level for r in free} == {"error"}
+
+
 def test_cache_lookup_matches_brute_force(spark):
     from datetime import datetime, timedelta
 

@@ -10,7 +10,7 @@ from workweave.sources import reference as R
 
 
 # Token prices have two decimals per million tokens, so nine decimals are exact
-MONEY = "decimal(18,9)"
+MONEY, SUM = "decimal(18,9)", "decimal(28,9)"
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -30,10 +30,11 @@ def priced(calls: DataFrame) -> DataFrame:
 
 
 def totals(calls: DataFrame, keys: list[str]) -> DataFrame:
-    """Usage per key: tokens, calls and cost, combined before the shuffle."""
+    """Usage per key: tokens, calls and cost, combined before the shuffle. Money is added as
+    decimals, so a total does not depend on how the sum was split up."""
     return calls.groupBy(*keys).agg(
         F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
-        F.count("*").alias("calls"), F.sum("cost").alias("cost"))
+        F.count("*").alias("calls"), F.sum(F.col("cost").cast(MONEY)).cast("double").alias("cost"))
 
 
 def admitted(calls: DataFrame, max_usd: float = R.MAX_RUN_USD,
@@ -55,13 +56,19 @@ def admitted(calls: DataFrame, max_usd: float = R.MAX_RUN_USD,
 
 def budget_left(usage: DataFrame, max_usd: float = R.MAX_RUN_USD,
                 max_calls: int = R.MAX_RUN_CALLS) -> DataFrame:
-    """Remaining money and calls of each run with a warning level."""
-    left = F.greatest(F.lit(0.0), F.lit(max_usd) - F.col("cost"))
-    share = left / F.lit(max_usd) if max_usd else F.lit(0.0)
+    """Remaining money and calls of each run with a warning level: ok while more than half of the
+    money is left, warn while more than 15 % is. Shares are taken of decimals, so exactly half is
+    not more than half."""
+    money = F.lit(max_usd).cast(SUM)
+    left = F.greatest(F.lit(0).cast(SUM), money - F.col("cost").cast(SUM))
+
+    def more_than(percent: int) -> Column:
+        return (left * 100 > money * percent) & F.lit(max_usd > 0)
+
     return usage.select(
-        "*", left.alias("usd_left"),
+        "*", left.cast("double").alias("usd_left"),
         F.greatest(F.lit(0), F.lit(max_calls) - F.col("calls")).alias("calls_left"),
-        F.when(share > 0.5, "ok").when(share > 0.15, "warn").otherwise("error").alias("level"))
+        F.when(more_than(50), "ok").when(more_than(15), "warn").otherwise("error").alias("level"))
 
 
 def avoided(runs: DataFrame) -> DataFrame:
