@@ -239,6 +239,26 @@ def test_report_files(spark, tmp_path):
     assert file.read_bytes().decode() == 'Person;Rest\r\n"Ä; b";10,5\r\n'
 
 
+def test_calendar_files_are_read_in_pieces(spark, tmp_path):
+    event = "BEGIN:VEVENT\r\nSUMMARY:" + "ä€x" * 60 + "\r\nEND:VEVENT"
+    events = spark.createDataFrame([(2024, i, event) for i in range(400)] + [(2025, 9, "BEGIN:VEVENT\r\nEND:VEVENT")],
+                                   "year int, absence_id int, event string")
+    reports.write_calendars(events, str(tmp_path / "c"))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "9000")
+    try:
+        found = reports.calendar_figures(spark, str(tmp_path / "c"))
+        assert "wholeText" not in found._jdf.queryExecution().toString()
+        got = {r.year: r for r in found.collect()}
+    finally:
+        spark.conf.set(key, before)
+    for year, n in ((2024, 400), (2025, 1)):
+        text = "".join(f.read_bytes().decode() for f in (tmp_path / "c" / f"year={year}").glob("*/*.txt"))
+        assert tuple(got[year]) == (year, "BEGIN:VCALENDAR", "END:VCALENDAR", f"X-WR-CALNAME:Abwesenheiten {year}",
+                                    n, 0, len(text.replace("\r\n ", "")))
+
+
 def test_calendar_files_are_whole(spark, tmp_path):
     event = "BEGIN:VEVENT\r\nSUMMARY:" + "ä€x" * 60 + "\r\nEND:VEVENT"
     events = spark.createDataFrame([(2024, i, event) for i in range(9)] + [(2025, 9, "BEGIN:VEVENT\r\nEND:VEVENT")],

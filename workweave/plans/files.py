@@ -59,14 +59,9 @@ def _(p: Plan) -> DataFrame:
     path = scratch_path(p.spark, "calendars")
     reports.write_calendars(reports.calendar_events(
         A.entry_workdays(p.absence, p.calendar), p.person, names), path)
-    whole = p.spark.read.text(path, wholetext=True)
-    lines = F.split("value", "\r\n")
-    return whole.select(
-        "year", F.get(lines, F.lit(0)).alias("head"), F.element_at(lines, -2).alias("end"),
-        F.get(lines, F.lit(5)).alias("name"),
-        F.size(F.filter(lines, lambda x: x == "BEGIN:VEVENT")).alias("events"),
-        F.size(F.filter(lines, lambda x: F.octet_length(x) > 75)).alias("too_long"),
-        F.length(F.replace("value", F.lit("\r\n "), F.lit(""))).alias("characters"))
+    return reports.calendar_figures(p.spark, path).select(
+        "year", "head", "end", "name", F.col("events").cast("int").alias("events"),
+        F.col("too_long").cast("int").alias("too_long"), "characters")
 
 
 @query("b9_daily_backups")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from workweave.functions import dates as D
@@ -166,3 +166,22 @@ def write_calendars(events: DataFrame, path: str, files_per_year: int = 1) -> No
     rows.sortWithinPartitions("year", "file", "part", "absence_id").select(
         "year", "file", "value").write.mode("overwrite").partitionBy("year", "file").option(
         "lineSep", "\r\n").text(path)
+
+
+def calendar_figures(spark: SparkSession, path: str) -> DataFrame:
+    """Per year of what ``write_calendars`` wrote, for one file a year: first and last line, the
+    calendar's name, the number of events and of lines beyond 75 octets, and the characters with
+    folded lines joined. A file is read line by line in pieces, so its length does not matter.
+    """
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"),
+                  F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.option("lineSep", "\r\n").text(path).select("year", "value", at.alias("at"))
+    value, name = F.col("value"), F.lit("X-WR-CALNAME:")
+    ends = F.length("value") + F.when(value.startswith(" "), -1).otherwise(2)
+    # the collected name makes this a hash aggregate, where texts alone would have lines sorted
+    return lines.groupBy("year").agg(
+        F.min_by("value", "at").alias("head"), F.max_by("value", "at").alias("end"),
+        F.array_min(F.collect_set(F.when(value.startswith(name), value))).alias("name"),
+        F.count_if(value == "BEGIN:VEVENT").alias("events"),
+        F.count_if(F.octet_length("value") > 75).alias("too_long"),
+        F.sum(ends).alias("characters"))
