@@ -157,6 +157,25 @@ def test_screening_joins_by_equality(spark, org, cal):
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_screened_pairs_are_done_as_they_are_joined(spark, org):
+    tree, _, _, _, pd = org
+    # everybody is away all year: each two people meet, by days in one block, two or many
+    stored = spark.createDataFrame([(i, i, i % 6, "urlaub", "genehmigt", date(2023, 1, 1), date(2024, 12, 31), False, False, "")
+                                    for i in range(6)], ABSENCE)
+    cal = C.calendar(C.years_spanned(stored), ["DE-NW"])
+    works = sorted(r.day for r in cal.filter("workday").collect())
+    asked = [(n * 1000 + i, i % 6, works[i], works[i + n - 1]) for n in (1, 20, 32, 33, 64, 90) for i in range(30, 260, 7)]
+    proposal = spark.createDataFrame(asked, "proposal_id int, person_id long, start date, end date")
+    found = O.screened_people(proposal, stored, pd, H.limits(tree).withColumn("max_absent", F.lit(0)), cal)
+    days = {(i, s, sum(s <= d <= e for d in works)) for i, _, s, e in asked}
+    got = found.collect()
+    assert {(r.proposal_id, r.first_day, r.days) for r in got} == days
+    assert len(got) == len({(r.proposal_id, r.dept_id, r.other_id) for r in got}) > len(asked)
+    # only pairs of proposals over many blocks are shuffled, in one aggregate of two steps
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Union" in plan and plan.count("Aggregate(keys=[proposal_id") <= 2
+
+
 def test_flagged_entries(spark, org, cal):
     tree, _, _, _, pd = org
     absence = spark.createDataFrame(_random_entries(3, 6, 50), ABSENCE)
