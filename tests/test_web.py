@@ -360,3 +360,23 @@ def test_files_hold_every_column(spark, tmp_path):
     import csv
     text = "".join(f.read_text() for f in sorted((tmp_path / "csv").glob("part-*")))
     assert [r["sechs"] for r in csv.DictReader(text.splitlines(keepends=True)) if r["typ"] == "j"] == ["6"]
+
+
+def test_records_are_extracted_once_for_a_table(spark, tmp_path):
+    from workweave.sinks import tables
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("map<string,string>")
+    def made(n):
+        seen.add(1)
+        return {f"c{n % 3}": str(n)}
+
+    records = spark.range(30).select(
+        F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("k").alias("kind"), F.lit(0).alias("preset"),
+        F.col("id").alias("pos"), made.asNondeterministic()("id").alias("fields"))
+    table = R.as_table(records)
+    assert table.columns == ["typ", "quelle", "c0", "c1", "c2"] and table.count() == 30
+    assert seen.value == 30
+    tables.write_csv(records, str(tmp_path / "csv"))
+    assert tables.read_csv(spark, str(tmp_path / "csv")).count() == 30
+    assert seen.value == 60

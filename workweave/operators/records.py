@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from workweave.functions import text as X
-from workweave.session import settle
+from workweave.session import settle, written
 
 SOURCE = "quelle"
 
@@ -45,8 +45,11 @@ def sorted_columns(records: DataFrame) -> DataFrame:
 def as_table(records: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One text column per field of any record; missing values are empty.
 
-    A table's columns are known to the driver; ``csv_lines`` of the writers needs no list.
+    A table's columns are known to the driver; ``csv_lines`` of the writers needs no list. Records
+    that are asked for their columns first are written out, so that pages are read once.
     """
+    if columns is None:
+        records = written(records, "records")
     names = columns or column_names(records)
     values = [F.coalesce(F.element_at("fields", F.lit(n)), F.lit("")).alias(n) for n in names]
     return records.select(F.col("kind").alias("typ"), F.col("url").alias(SOURCE), *values)

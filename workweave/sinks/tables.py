@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from workweave.operators import records as R
 from workweave.operators import revlog as V
+from workweave.session import written
 
 
 def ragged_json(records: DataFrame) -> DataFrame:
@@ -42,8 +43,9 @@ def csv_lines(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def write_csv(records: DataFrame, path: str) -> None:
     """Comma-separated files with the union of all columns in first-seen order. The first file
-    holds the header alone, so the files in the order of their names are one table."""
-    header, lines = csv_lines(records)
+    holds the header alone, so the files in the order of their names are one table. Records are
+    written out ahead, as header and lines read them three times."""
+    header, lines = csv_lines(written(records, "records"))
     header.coalesce(1).unionByName(lines).write.mode("overwrite").text(path)
 
 
