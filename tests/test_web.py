@@ -380,3 +380,28 @@ def test_records_are_extracted_once_for_a_table(spark, tmp_path):
     tables.write_csv(records, str(tmp_path / "csv"))
     assert tables.read_csv(spark, str(tmp_path / "csv")).count() == 30
     assert seen.value == 60
+
+
+def test_pages_are_folded_once_for_all_elements(spark, monkeypatch):
+    from workweave.functions import markup as M
+    html = "<ul><li>a<LI class=x>b</ul><link href=x><p>c<pre>d</pre>"
+    page = spark.createDataFrame([(1, "u", html), (2, "u", None), (3, "u", "<pre>x<link>")] * 100,
+                                 "page_id long, url string, html string").coalesce(1)
+    both = P.extract(page, ["lists", "paragraphs"])
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("run(") <= 2
+    for n in (1, 64, 1000):
+        monkeypatch.setattr(M, "HELD", n)
+        assert sorted(r.fields["text"] for r in both.collect()) == ["a"] * 100 + ["b"] * 100 + ["c"] * 100
+    assert both.groupBy("kind").count().orderBy("kind").collect() == [("absatz", 100), ("listeneintrag", 200)]
+
+
+def test_addresses_and_attributes_as_before(spark):
+    texts = ["a@b.cc+d@e.ff x@y.zz", "..@a.bb", "no mail+at@all", "a.b-c+d@e_f.gg-h, @x.yy", "x@y.z", "a@b@c.dd", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", F.regexp_extract_all("t", F.lit(X.EMAIL), F.lit(0)).alias("a"),
+                       F.regexp_extract_all("t", F.lit(X.EMAIL_RUNS), F.lit(0)).alias("b")).collect():
+        assert r.a == r.b, r.t
+    tags = [' src="a\'b\'" x', " src='\"q\"'", " src = bare y", ' src=""', " data-src=no", ' SRC="x&amp;y"', " src=\"open"]
+    got = spark.createDataFrame([(t,) for t in tags], "t string").select(X.attribute(F.col("t"), "src")).collect()
+    assert [r[0] for r in got] == ["a'b'", '"q"', "bare", "", "", "x&y", ""]
