@@ -154,3 +154,39 @@ def test_bursts_in_batch(spark):
         "ts", F.col("ts").cast("timestamp"))
     got = feeds.bursts(df, "client", "data", "5 minutes").orderBy("start").collect()
     assert [(r.edits, r.data) for r in got] == [(3, "p2"), (2, "p4")]
+
+
+def test_a_key_asks_for_its_state_once(spark):
+    import pandas as pd
+
+    from workweave.streaming import stateful
+
+    class Value:
+        held, calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def exists(self):
+            self.calls.append("exists")
+            return self.held is not None
+
+        def update(self, new):
+            self.calls.append("update")
+            self.held = new
+
+        def clear(self):
+            self.calls.append("clear")
+            self.held = None
+
+    step = stateful._Processor(stateful.ExpiringCache(hours=1), ["user"])
+    step.state = state = Value()
+
+    def ask(*rows):
+        parts = [pd.DataFrame([("u", *r, True)], columns=["user", "at", "seq", "success"]) for r in rows]
+        return [tuple(r) for out in step.handleInputRows(("u",), iter(parts), None) for r in out.itertuples(index=False)]
+
+    assert ask((50.0, 2), (0.0, 1)) == [("u", 1, "miss"), ("u", 2, "hit")]
+    assert ask((60.0, 3)) == [("u", 3, "hit")]
+    assert state.calls == ["get", "update", "get"]

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,18 +121,24 @@ class _Processor(StatefulProcessor):
         self.state = handle.getValueState("state", self.rule.state_schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # the rows of one micro-batch, whose size the source's rate limit bounds
-        pdf = pd.concat(list(rows)).sort_values(["at", "seq"])
-        state = tuple(self.state.get()) if self.state.exists() else None
+        # the rows of one micro-batch, whose size the source's rate limit bounds; most keys have
+        # few, so a key is handled as plain arrays and asks for its state once
+        parts = list(rows)
+        at, seq, success = (np.concatenate([p[c].to_numpy() for p in parts])
+                            for c in ("at", "seq", "success"))
+        order = np.lexsort((seq, at))
+        before = self.state.get()
+        state = before
         outcomes = []
-        for at, success in zip(pdf["at"], pdf["success"]):
-            state, outcome = self.rule(state, float(at), bool(success))
+        for now, well in zip(at[order].tolist(), success[order].tolist()):
+            state, outcome = self.rule(state, float(now), bool(well))
             outcomes.append(outcome)
         if state is None:
-            self.state.clear()
-        else:
+            if before is not None:
+                self.state.clear()
+        elif state != before:
             self.state.update(state)
-        yield pdf[self.keys].assign(seq=pdf["seq"], outcome=outcomes)
+        yield pd.DataFrame({**dict(zip(self.keys, key)), "seq": seq[order], "outcome": outcomes})
 
     def close(self) -> None:
         pass
