@@ -195,6 +195,22 @@ def test_ngram_near_copies_without_ids(spark):
     assert [r.component_id for r in ngram_join.components(few).collect()] == [7, 7]
 
 
+def test_passages_lose_no_link(spark):
+    """Lines of 8 words beside the same with one more (4 of 5 shingles), and lines of 18 words that
+    differ in the last two (12 of 16, the threshold itself)."""
+    rng = random.Random(12)
+    words = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    texts = []
+    for i in range(600):
+        line = words(8 if i % 3 == 0 else 16)
+        texts += [line, f"{line} {words(1)}"] if i % 3 == 0 else [
+            f"{line} {words(2)}", f"{line} {words(2)}"]
+    found = passage_dedup.passages(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.kept_by, r.n_words) for r in found} == {
+        (i, i - i % 2, len(t.split())) for i, t in enumerate(texts)}
+
+
 def test_passages_are_whole(spark):
     rng = random.Random(11)
     words = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))

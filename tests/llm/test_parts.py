@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tests.llm import brute
-from workweave.llm import decontaminate, html_text, packing, passage_dedup, quality_model, trie
+from workweave.llm import components, decontaminate, html_text, packing, passage_dedup, quality_model, trie
 from workweave.llm.minhash import tune_bands
 from workweave.llm.tokens import Tokens
 from workweave.llm.words import Words
@@ -33,6 +33,18 @@ def test_trie_join_finds_what_comparing_all_finds():
         assert sorted(trie.join(stored, queries, 75, 100)) == want
 
 
+def test_pairs_meet_where_comparing_all_says_so(monkeypatch):
+    monkeypatch.setattr(components, "LOOKUPS", 50)
+    rng = random.Random(3)
+    for _ in range(60):
+        base = [rng.sample(range(60), rng.randint(1, 24)) for _ in range(3)]
+        sets = [{*rng.choice(base), *rng.sample(range(70), rng.randint(0, 5))} for _ in range(20)] + [set()]
+        a, b = (x.ravel() for x in np.indices((21, 21)))
+        got = components.meet([np.array(sorted(s), dtype=np.uint64) for s in sets], a, b, 75, 100)
+        assert got.tolist() == [bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])
+                                for i, j in zip(a, b, strict=True)]
+
+
 def test_words_part_at_ascii_white_space_and_fold_ascii():
     words = Words(pa.array(["A b\tc\xa0d", None, "", "É a"]))
     assert words.counts.tolist() == [3, 0, 0, 2]

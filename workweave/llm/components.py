@@ -19,6 +19,8 @@ from workweave.llm.tables import batches_of, save
 
 #: Nodes in a block of the last comparison, on average.
 BLOCK = 256
+#: Shingles of pairs that are looked up at a time.
+LOOKUPS = 1 << 21
 
 
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +68,31 @@ def connected(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _pairs(sets: Callable, part: int, whole: int) -> Callable:
+def meet(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, part: int, whole: int
+         ) -> np.ndarray:
+    """For each pair of places in ``sets``, whether the two sets link."""
+    size = np.array([x.size for x in sets], dtype=np.int64)
+    first = np.cumsum(size) - size
+    _, rank = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+    held = np.sort(np.repeat(np.arange(size.size), size) << 32 | rank)
+    few, many = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+    # a set without tokens links with nothing
+    close = np.flatnonzero((few > 0) & (whole * few >= part * many))
+    less = np.where(size[a] <= size[b], a, b)[close]
+    more = np.where(size[a] <= size[b], b, a)[close]
+    both = np.zeros(a.size, dtype=np.int64)
+    cuts = np.searchsorted(np.cumsum(size[less]), np.arange(LOOKUPS, size[less].sum(), LOOKUPS))
+    for x, y in zip(np.append(0, cuts), np.append(cuts, close.size), strict=True):
+        n = size[less[x:y]]
+        of = np.repeat(np.arange(n.size), n)
+        at = first[less[x:y]][of] + np.arange(of.size) - (np.cumsum(n) - n)[of]
+        asked = more[x:y][of] << 32 | rank[at]
+        found = np.minimum(np.searchsorted(held, asked), held.size - 1)
+        both[close[x:y]] = np.bincount(of[held[found] == asked], minlength=n.size)
+    return (both > 0) & (whole * both >= part * (size[a] + size[b] - both))
+
+
+def _pairs(sets: Callable, part: int, whole: int, direct: int) -> Callable:
     """Of pairs with both items, those that link; pairs with the same ``a`` are joined together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,46 +102,68 @@ def _pairs(sets: Callable, part: int, whole: int) -> Callable:
             queries = sets(batch.column("item_a").take(pa.array(first)))
             stored = sets(batch.column("item_b"))
             keep: list[int] = []
+            if direct:
+                keep = np.flatnonzero(meet([*queries, *stored], group,
+                                           first.size + np.arange(a.size), part, whole)).tolist()
+                group = group[:0]
             for g, rows in enumerate(np.split(np.argsort(group, kind="stable"),
                                               np.cumsum(np.bincount(group))[:-1])):
-                hits = trie.join([stored[r] for r in rows], [queries[g]], part, whole)
-                keep += [int(rows[s]) for _, s in hits]
+                if rows.size:
+                    hits = trie.join([stored[r] for r in rows], [queries[g]], part, whole)
+                    keep += [int(rows[s]) for _, s in hits]
             yield batch.select(["label_a", "label_b"]).take(pa.array(sorted(keep), pa.int64()))
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The rows of each ``group, x, y`` of a sorted partition, whole; one such block at a time is
-    held beside the batch."""
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The rows of each ``group, x, y`` of a sorted partition, whole: as many of such blocks as a
+    batch ends, and where each begins. One block at a time is held beside the batch."""
     rest: pa.Table | None = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         rows = rows if rest is None else pa.concat_tables([rest, rows])
         key = np.stack([rows.column(k).to_numpy() for k in ("group", "x", "y")], axis=1)
         cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        edges = [0, *cuts.tolist()]
-        for a, b in zip(edges, edges[1:], strict=False):
-            yield rows.slice(a, b - a)
-        rest = rows.slice(edges[-1])
+        if cuts.size:
+            yield rows.slice(0, cuts[-1]), np.append(0, cuts[:-1])
+            rows = rows.slice(cuts[-1])
+        rest = rows
     if rest is not None and rest.num_rows:
-        yield rest
+        yield rest, np.zeros(1, dtype=np.int64)
 
 
-def _blocks(sets: Callable, part: int, whole: int) -> Callable:
-    """Links between the queries and the stored items of each pair of blocks."""
+def _blocks(sets: Callable, part: int, whole: int, direct: int) -> Callable:
+    """Links between the queries and the stored items of each pair of blocks: of up to ``direct``
+    pairs by looking up their tokens, of more by tries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _runs(batches):
-            block = block.combine_chunks()
-            asks = block.column("query").to_numpy().astype(bool)
-            label = block.column("label").to_numpy()
-            every = sets(block.column("item").combine_chunks())
-            q, s = np.flatnonzero(asks), np.flatnonzero(~asks)
-            hits = trie.join([every[r] for r in s], [every[r] for r in q], part, whole)
-            pairs = np.array(hits, dtype=np.int64).reshape(-1, 2)
-            a, b = label[q[pairs[:, 0]]], label[s[pairs[:, 1]]]
-            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])],
+        for rows, starts in _runs(batches):
+            rows = rows.combine_chunks()
+            asks = rows.column("query").to_numpy().astype(bool)
+            label = rows.column("label").to_numpy()
+            every = sets(rows.column("item").combine_chunks())
+            block = np.repeat(np.arange(starts.size), np.diff(np.append(starts, asks.size)))
+            asked = np.bincount(block[asks], minlength=starts.size)
+            kept = np.bincount(block[~asks], minlength=starts.size)
+            small = asked * kept <= direct
+            q, s = np.flatnonzero(asks & small[block]), np.flatnonzero(~asks)
+            times = kept[block[q]]
+            a = np.repeat(q, times)
+            b = s[(np.cumsum(kept) - kept)[block[a]] + np.arange(a.size)
+                  - np.repeat(np.cumsum(times) - times, times)]
+            a, b = a[label[a] != label[b]], b[label[a] != label[b]]
+            linked = meet(every, a, b, part, whole)
+            found = [np.stack([a[linked], b[linked]], axis=1)]
+            for i in np.flatnonzero(~small):
+                at = np.arange(starts[i], starts[i] + asked[i] + kept[i])
+                q, s = at[asks[at]], at[~asks[at]]
+                hits = trie.join([every[r] for r in s], [every[r] for r in q], part, whole)
+                pairs = np.array(hits, dtype=np.int64).reshape(-1, 2)
+                found.append(np.stack([q[pairs[:, 0]], s[pairs[:, 1]]], axis=1))
+            pairs = label[np.concatenate(found)]
+            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])],
                                              names=["label_a", "label_b"])
 
     return run
@@ -128,14 +176,15 @@ def _relabel(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]
                        .select("node", F.coalesce("new", "root").alias("root")), "labels")
 
 
-def resolve(buckets: DataFrame, items: DataFrame, sets: Callable, part: int, whole: int
-            ) -> DataFrame:
+def resolve(buckets: DataFrame, items: DataFrame, sets: Callable, part: int, whole: int,
+            direct: int = 0) -> DataFrame:
     """``node, root`` of the nodes in ``buckets(bucket, node, size)``.
 
     ``items(node, item)`` holds texts, of which ``sets`` makes a list of sorted distinct tokens.
     Two nodes link when ``whole * intersection >= part * union``; those that share a bucket are
     compared unless links already put them into one component (or ``size``, where it is not null,
-    rules it out), so the components are those of all links inside buckets.
+    rules it out), so the components are those of all links inside buckets. Tries compare them; with
+``direct``, they do so only in blocks of more pairs than that, as a trie of few items is dear.
 
     A bucket of like nodes costs a multiple of its size and not its square. First each node meets
     the pivot that stands in most buckets, then four others. What then still carries different
@@ -179,7 +228,7 @@ def resolve(buckets: DataFrame, items: DataFrame, sets: Callable, part: int, who
         b = items.select(F.col("node").alias("b"), F.col("item").alias("item_b"))
         with batches_of(items, 512):
             links = save(pairs.join(b, "b").join(a, "a").mapInArrow(
-                _pairs(sets, part, whole), "label_a long, label_b long"), "links")
+                _pairs(sets, part, whole, direct), "label_a long, label_b long"), "links")
         moved, labels = _relabel(labels, links)
         rows = save(rows.join(moved, rows.label == moved.old, "left").select(
             "bucket", "node", "size", F.coalesce("new", "label").alias("label"), "rank"), "rows")
@@ -213,6 +262,6 @@ def resolve(buckets: DataFrame, items: DataFrame, sets: Callable, part: int, who
     blocks = (save(queries.union(stored), "blocks").join(items, "node")
               .repartition("group", "x", "y").sortWithinPartitions("group", "x", "y"))
     with batches_of(items, 2000):
-        links = save(blocks.mapInArrow(_blocks(sets, part, whole), "label_a long, label_b long"),
+        links = save(blocks.mapInArrow(_blocks(sets, part, whole, direct), "label_a long, label_b long"),
                      "links")
     return _relabel(labels, links)[1]

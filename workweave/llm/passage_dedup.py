@@ -6,8 +6,14 @@ anchor on are a paragraph. Of any 51 equal words one paragraph at least lies ins
 place in each copy. Beside these, the lines of a text and the blocks between its blank lines are
 paragraphs of their own, whole, from 6 words on. Words are those between ASCII white space, with
 A-Z in lower case. MinHash bands propose pairs of paragraphs, the exact Jaccard similarity of
-their 5-word shingles decides (0.75 or more), and components join what links. Paragraphs with
-fewer than 10 distinct shingles (short ones, or a word or two over and over) join equal ones only.
+their 5-word shingles decides (0.75 or more), and components join what links.
+
+Bands alone miss a pair now and then, so what they leave is proposed by shingles: under any order
+that holds everywhere, two paragraphs that link share one of the first ``n - ceil(0.75 n) + 1`` of
+both. First come the shingles of a fixed part of the hash space that one text alone holds, then the
+others of that part, rarest first, then the rest. Paragraphs whose first shingles all stand in one
+text alone link with no other text; neither bands nor shingles of them are sent. So every link
+between different texts is found but for 64-bit hashes; links inside one text alone are not sought.
 
 A component in two documents or more is a repeat. The document with the least ``doc_id`` keeps it
 and the others lose it; repeats within one document alone are left. From the ends of what repeats,
@@ -19,6 +25,7 @@ are one document; a row with a null ``doc_id`` never keeps a passage. Other colu
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +35,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from workweave.llm.components import resolve
-from workweave.llm.minhash import bands, colliding, tune_bands
+from workweave.llm.minhash import bands, tune_bands
 from workweave.llm.ngram_join import shingle_sets
-from workweave.llm.tables import batches_of, documents, save
+from workweave.llm.tables import batches_of, documents, early_semi_joins, passing, save
 from workweave.llm.words import Words, mix, pieces, run_hash, signed, unsigned
 
-WIDTH, RUN, LENGTH, DISTINCT = 5, 27, 24, 10
+WIDTH, RUN, LENGTH = 5, 27, 24
 #: Words of the shortest line or block that is a paragraph.
 SHORT = WIDTH + 1
 #: Equal words beyond the last paragraph they hold; more would hold another one.
 REACH = RUN + LENGTH - 1
 PART, WHOLE = 75, 100
 RECALL, ROWS = 0.995, 3
+#: Part of the hash space whose shingles are all told, so that one text alone is known to hold them.
+COUNTED = np.uint64(int(0.4 * (1 << 64)))
+#: Lengths of the runs beyond an end that are compared at a time; most ends go on for a few words.
+STRETCHES = (1, 1), (2, 8), (9, 20), (21, REACH)
+#: Pairs of two blocks of paragraphs that are compared without a trie.
+DIRECT = 4096
 #: Paragraphs at most so many words apart belong to one passage.
 GAP = 4
 
@@ -100,27 +113,32 @@ class Paragraphs:
         """Start and end of each paragraph in the code points of its text."""
         return points(self.words, self.row, self.at, self.to)
 
-    def sets(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of these paragraphs those with enough distinct shingles, their shingles end to end
-        (repeats included), and where each begins."""
-        which = which[self.to[which] - self.at[which] - WIDTH + 1 >= DISTINCT]
+    def sets(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of these paragraphs end to end, repeats included, and where each begins."""
+        at, group, starts = self._windows(which)
+        return self.every[at], starts
+
+    def ranked(self, which: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The distinct shingles of these paragraphs by their ``rank`` (one for each window):
+        paragraph, rank and place of each, and the number of each paragraph."""
+        at, group, _ = self._windows(which)
+        both = np.sort(group << 32 | rank[at])
+        both = both[np.append(True, both[1:] != both[:-1])[: both.size]]
+        group = both >> 32
+        size = np.bincount(group, minlength=which.size)
+        place = np.arange(both.size) - (np.cumsum(size) - size)[group]
+        return group, both & 0xFFFFFFFF, place, size
+
+    def _windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = self.to[which] - self.at[which] - WIDTH + 1
-        values, group, starts = self._shingles(which, size)
-        order = np.lexsort((values, group))
-        ranked, owner = values[order], group[order]
-        new = np.ones(ranked.size, dtype=bool)
-        new[1:] = (ranked[1:] != ranked[:-1]) | (owner[1:] != owner[:-1])
-        keep = np.bincount(owner[new], minlength=which.size) >= DISTINCT
-        if not keep.all():
-            which, size = which[keep], size[keep]
-            values, group, starts = self._shingles(which, size)
-        return which, values, starts
-
-    def _shingles(self, which: np.ndarray, size: np.ndarray):
         starts = np.cumsum(size) - size
         group = np.repeat(np.arange(which.size), size)
-        inside = np.arange(group.size) - starts[group]
-        return self.every[self.at[which][group] + inside], group, starts
+        return self.at[which][group] + np.arange(group.size) - starts[group], group, starts
+
+
+def reached(size: np.ndarray, part: int, whole: int) -> np.ndarray:
+    """So many first shingles of a set meet those of a partner that shares ``part`` of ``whole``."""
+    return size + (-size * part) // whole + 1
 
 
 def points(words: Words, row: np.ndarray, at: np.ndarray, to: np.ndarray
@@ -145,7 +163,59 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "text_hash", "word", "stop", "start", "end", "node"])
 
 
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text the shingles by which its paragraphs may be found."""
+    for batch in batches:
+        seen = np.zeros(0, dtype=np.int64)
+        for piece in pieces(batch, "text"):
+            found = Paragraphs(piece.column("text"))
+            text = piece.column("text_hash").to_numpy()
+            values, rank = np.unique(found.every, return_inverse=True)
+            group, rank, place, size = found.ranked(np.arange(found.at.size), rank)
+            told = (values[rank] < COUNTED) | (place < reached(size, PART, WHOLE)[group])
+            both = np.unique(found.row[group[told]] << 32 | rank[told])
+            row = both >> 32
+            _, first = np.unique(text, return_index=True)
+            new = np.zeros(text.size, dtype=bool)
+            new[first] = ~np.isin(text[first], seen)  # equal texts of a batch tell once
+            seen = np.concatenate([seen, text[new]])
+            both, row = both[new[row]], row[new[row]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(values[both & 0xFFFFFFFF])), pa.array(text[row])],
+                names=["token", "text_hash"])
+
+
+def _order(found: Paragraphs, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window its rank in the order of shingles; by rank the shingle, and whether other
+    texts hold it, as ``known`` tells of each text."""
+    row = np.repeat(np.arange(len(known)), found.words.counts).astype(np.uint64)
+    _, first, inverse = np.unique(mix(found.every ^ mix(row + np.uint64(1))),
+                                  return_index=True, return_inverse=True)
+    value, row = found.every[first], row[first]
+    tokens = known.flatten()
+    of = pc.list_parent_indices(known).to_numpy().astype(np.uint64)
+    keys = mix(unsigned(tokens.field(0).to_numpy()) ^ mix(of + np.uint64(1)))
+    ranks = np.argsort(keys)
+    keys, count = keys[ranks], tokens.field(1).to_numpy()[ranks]
+    own = mix(value ^ mix(row + np.uint64(1)))
+    at = np.minimum(np.searchsorted(keys, own), max(keys.size - 1, 0))
+    shared = keys[at] == own if keys.size else np.zeros(own.size, dtype=bool)
+    counted = value < COUNTED
+    rarity = np.where(counted & shared, count[at], 0) if keys.size else np.zeros(own.size, np.int64)
+    order = np.lexsort((value, rarity, np.where(counted, shared, 2)))
+    rank = np.empty(order.size, dtype=np.int64)
+    rank[order] = np.arange(order.size)
+    return rank[inverse], value[order], shared[order]
+
+
 def _banded(count: int, rows: int) -> Callable:
+    """Band keys of each paragraph. Where ``known`` has the shingles that a text shares with others,
+    paragraphs that may link with them: their band keys, and their first shingles as buckets too.
+
+    Of two that link, the shared shingle is among yet fewer first ones of the smaller set, those
+    that ``leads`` tells.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
@@ -156,16 +226,30 @@ def _banded(count: int, rows: int) -> Callable:
                 new[1:] = found.node[order][1:] != found.node[order][:-1]
                 # the least and the greatest text of each node tell whether it has a second one
                 low, high = order[new], order[np.append(new[1:], True)[: new.size]]
-                which, values, starts = found.sets(low)
-                kept = np.isin(low, which)
-                keys = bands(values, starts, count, rows)
-                node, a, b = found.node[which], text[low[kept]], text[high[kept]]
-                twice = a != b
+                token, leads = np.zeros(0, np.uint64), np.zeros(0, dtype=bool)
+                if "known" in piece.schema.names:
+                    rank, value, shared = _order(found, piece.column("known"))
+                    group, rank, place, size = found.ranked(low, rank)
+                    sent = shared[rank] & (place < reached(size, PART, WHOLE)[group])
+                    group, place, token = group[sent], place[sent], value[rank[sent]]
+                    leads = place < reached(size, 2 * PART, PART + WHOLE)[group]
+                    live, group = np.unique(group, return_inverse=True)
+                    low, high, size = low[live], high[live], size[live]
+                else:
+                    group, size = np.zeros(0, np.int64), found.to[low] - found.at[low] - WIDTH + 1
+                keys = bands(*found.sets(low), count, rows)
+                node, a, b = found.node[low], text[low], text[high]
+                twice = np.flatnonzero(a != b)
+                of = np.concatenate([np.repeat(np.arange(low.size), count),
+                                     np.repeat(twice, count), group])
+                origin = [np.repeat(a, count), np.repeat(b[twice], count),
+                          signed(node[group])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate([keys, keys[twice]]).ravel())),
-                     pa.array(signed(np.repeat(np.concatenate([node, node[twice]]), count))),
-                     pa.array(np.repeat(np.concatenate([a, b[twice]]), count))],
-                    names=["bucket", "node", "origin"])
+                    [pa.array(signed(np.concatenate([keys.ravel(), keys[twice].ravel(), token]))),
+                     pa.array(signed(node[of])), pa.array(np.concatenate(origin)),
+                     pa.array(size[of].astype(np.int32)),
+                     pa.array(np.concatenate([np.ones(of.size - token.size, dtype=bool), leads]))],
+                    names=["bucket", "node", "origin", "size", "leads"])
 
     return run
 
@@ -182,28 +266,28 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(signed(nodes)), pa.array(texts, pa.string())], names=["node", "item"])
 
 
-def _contexts(reach: int) -> Callable:
-    """Of each asked end the runs of 1, 2, ... ``reach`` words beyond it; equal runs beside
+def _contexts(least: int, most: int) -> Callable:
+    """Of each asked end the runs of ``least`` to ``most`` words beyond it; equal runs beside
     paragraphs of one component have the same key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                yield _runs(piece, reach)
+                yield _runs(piece, least, most)
 
     return run
 
 
-def _runs(piece: pa.RecordBatch, reach: int) -> pa.RecordBatch:
+def _runs(piece: pa.RecordBatch, least: int, most: int) -> pa.RecordBatch:
     words, asks = Words(piece.column("text")), piece.column("asks")
     row = pc.list_parent_indices(asks).to_numpy().astype(np.int64)
     place, right, root, edged = (asks.flatten().field(i).to_numpy(zero_copy_only=False)
                           for i in range(4))
     edge = words.first[row] + place
     room = np.where(right, words.first[row + 1] - edge, place)
-    size = np.clip(room, 0, reach)
+    size = np.clip(room, least - 1, most) - least + 1
     of = np.repeat(np.arange(row.size), size)
-    k = np.arange(of.size) - np.repeat(np.cumsum(size) - size, size) + 1
+    k = np.arange(of.size) - np.repeat(np.cumsum(size) - size, size) + least
     at = np.where(right[of], edge[of], edge[of] - k)
     start, end = points(words, row[of], at, at + k)
     key = mix(run_hash(words.hash, at, at + k) ^ mix(unsigned(root))[of]
@@ -226,30 +310,19 @@ def passages(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     ``kept_by`` is the least ``doc_id`` that keeps a part of it.
     """
     docs = documents(docs).withColumn("text_hash", F.xxhash64("text"))
-    with batches_of(docs, 2000):
-        found = save(docs.mapInArrow(
-            _occurrences, "doc_id long, text_hash long, word int, stop int, start int, end int, "
-            "node long"), "paragraphs")
-        count = tune_bands(PART / WHOLE, recall, ROWS)
-        # paragraphs of one text overlap and often collide; a bucket of one text tells nothing
-        buckets = save(colliding(docs.mapInArrow(
-            _banded(count, ROWS), "bucket long, node long, origin long")), "bands")
-        # the document of a paragraph brings its text: one row each, however often it is copied
-        open_nodes = save(buckets.select("node").distinct(), "open")
-        where = save(found.join(open_nodes, "node", "left_semi").groupBy("node")
-                     .agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "where")
-        items = save(docs.join(where, "doc_id", "left_semi").select("doc_id", "text")
-                     .mapInArrow(_items, "node long, item string")
-                     .join(open_nodes, "node", "left_semi").dropDuplicates(["node"]), "items")
-    labels = resolve(buckets, items, shingle_sets(WIDTH), PART, WHOLE)
-    rooted = (found.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-              .drop("node"))
-    repeats = save(rooted.groupBy("root").agg(F.min("doc_id").alias("kept_by"),
-                                              F.max("doc_id").alias("high"))
-                   .where("kept_by < high").select("root", "kept_by"), "repeats")
-    removed = ~F.col("doc_id").eqNullSafe(F.col("kept_by"))
-    marked = save(rooted.join(repeats, "root").withColumn("removed", removed), "marked")
-    every = marked.drop("root").unionByName(_beyond(docs, marked).withColumn("removed", removed))
+    with passing(docs, "spans"):
+        with batches_of(docs, 2000):
+            found = save(docs.mapInArrow(
+                _occurrences, "doc_id long, text_hash long, word int, stop int, start int, "
+                "end int, node long"), "paragraphs")
+        rooted = (found.join(_labels(docs, found, recall), "node", "left")
+                  .withColumn("root", F.coalesce("root", "node")).drop("node"))
+        repeats = save(rooted.groupBy("root").agg(F.min("doc_id").alias("kept_by"),
+                                                  F.max("doc_id").alias("high"))
+                       .where("kept_by < high").select("root", "kept_by"), "repeats")
+        marked = save(rooted.join(repeats, "root"), "marked")
+        every = save(marked.drop("root").unionByName(_beyond(docs, marked)), "spans")
+    every = every.withColumn("removed", ~F.col("doc_id").eqNullSafe(F.col("kept_by")))
     return (_joined(every, "removed")
             .groupBy("doc_id", "text_hash", "removed", "passage").agg(
                 F.min("word").alias("first_word"),
@@ -259,6 +332,51 @@ def passages(docs: DataFrame, recall: float = RECALL) -> DataFrame:
             .select("doc_id", "first_word", "n_words", "start", "end", "kept_by", "removed"))
 
 
+def _labels(docs: DataFrame, found: DataFrame, recall: float) -> DataFrame:
+    """``node, root`` of the paragraphs that some bucket holds beside another one."""
+    with passing(docs, "labels"):
+        # one row each of the texts that share a shingle with another one
+        one = Window.partitionBy("token")
+        with batches_of(docs, 2000):
+            told = docs.mapInArrow(_told, "token long, text_hash long")
+            known = save(told.withColumn("n", F.count("*").over(one))
+                         .withColumn("low", F.min("text_hash").over(one))
+                         .withColumn("high", F.max("text_hash").over(one)).where("low < high")
+                         .groupBy("text_hash")
+                         .agg(F.collect_set(F.struct("token", "n")).alias("known")), "known")
+        rows = save(found.groupBy("text_hash").agg(F.min("doc_id").alias("row"))
+                    .withColumnRenamed("text_hash", "row_hash"), "texts")
+        known = known.join(rows, F.col("text_hash") == F.col("row_hash")).select(
+            "row", "row_hash", "known")
+        count = tune_bands(PART / WHOLE, recall, ROWS)
+        with batches_of(docs, 500):
+            texts = docs.join(known, F.col("doc_id").eqNullSafe(F.col("row"))
+                              & (F.col("text_hash") == F.col("row_hash")))
+            buckets = save(_colliding(texts.select("text", "known").mapInArrow(
+                _banded(count, ROWS), "bucket long, node long, origin long, size int, "
+                "leads boolean")), "bands")
+        # the document of a paragraph brings its text: one row each, however often it is copied
+        open_nodes = save(buckets.select("node").distinct(), "open")
+        where = save(found.join(open_nodes, "node", "left_semi").groupBy("node")
+                     .agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "where")
+        with batches_of(docs, 2000):
+            items = save(docs.join(where, docs.doc_id.eqNullSafe(where.doc_id), "left_semi")
+                         .select("doc_id", "text").mapInArrow(_items, "node long, item string")
+                         .join(open_nodes, "node", "left_semi").dropDuplicates(["node"]), "items")
+        return resolve(buckets, items, shingle_sets(WIDTH), PART, WHOLE, DIRECT)
+
+
+def _colliding(rows: DataFrame) -> DataFrame:
+    """The buckets with nodes of two origins or more, each node once; rows that do not lead stay
+    only beside a smaller set that does."""
+    one = Window.partitionBy("bucket")
+    spread = [F.min(c).over(one) < F.max(c).over(one) for c in ("node", "origin")]
+    least = F.min(F.when(F.col("leads"), F.col("size"))).over(one)
+    return (rows.withColumn("spread", spread[0] & spread[1]).withColumn("least", least)
+            .where("spread and (leads or size > least)").dropDuplicates(["bucket", "node"])
+            .select("bucket", "node", "size"))
+
+
 def _joined(spans: DataFrame, *by: str) -> DataFrame:
     """``spans`` with the number of the ``passage`` that they belong to in their text."""
     one = Window.partitionBy("doc_id", "text_hash", *by).orderBy("word", "stop")
@@ -287,10 +405,14 @@ def _beyond(docs: DataFrame, marked: DataFrame) -> DataFrame:
             F.col("stop").alias("place"), F.lit(True).alias("right"), F.col("root").alias("root"),
             F.col("right").alias("edge")))), lambda x: x.isNotNull())
     asks = edges.join(ends, "root").select("doc_id", "text_hash", F.explode(sides).alias("ask"))
-    # most ends go on in no other document, which one word beyond them tells
-    first = _asked(docs, asks, 1)
-    asks = _shared(first).select("doc_id", "text_hash", F.struct("place", "right", "root", "edge").alias("ask"))
-    found = _shared(_asked(docs, asks, REACH))
+    # most ends go on in no other document, or for a few words, which the shorter runs tell
+    parts = []
+    for least, most in STRETCHES:
+        runs = _shared(_asked(docs, asks, least, most))
+        parts.append(runs.drop("root", "edge", "key", "high"))
+        asks = runs.where(F.col("stop") - F.col("word") == most).select(
+            "doc_id", "text_hash", F.struct("place", "right", "root", "edge").alias("ask"))
+    found = reduce(DataFrame.union, parts)
     own = F.col("doc_id").eqNullSafe(F.col("kept_by"))
     # runs from one end lie in each other: the longest of those that go, and of those that stay
     return (found.groupBy("doc_id", "text_hash", "place", "right", own.alias("own"))
@@ -300,7 +422,7 @@ def _beyond(docs: DataFrame, marked: DataFrame) -> DataFrame:
             .drop("place", "right", "own"))
 
 
-def _asked(docs: DataFrame, asks: DataFrame, reach: int) -> DataFrame:
+def _asked(docs: DataFrame, asks: DataFrame, least: int, most: int) -> DataFrame:
     """The runs beyond the ends in ``asks(doc_id, text_hash, ask)``."""
     asks = save(asks.groupBy("doc_id", "text_hash").agg(F.collect_set("ask").alias("asks")), "asks")
     texts = docs.alias("d").join(asks.alias("a"), F.col("d.doc_id").eqNullSafe(F.col("a.doc_id"))
@@ -308,7 +430,7 @@ def _asked(docs: DataFrame, asks: DataFrame, reach: int) -> DataFrame:
         "d.doc_id", "d.text_hash", "text", "asks")
     with batches_of(docs, 2000):
         return save(texts.mapInArrow(
-            _contexts(reach), "doc_id long, text_hash long, place int, right boolean, root long, "
+            _contexts(least, most), "doc_id long, text_hash long, place int, right boolean, root long, "
             "edge boolean, word int, stop int, start int, end int, key long"), "runs")
 
 
