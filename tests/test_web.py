@@ -9,6 +9,7 @@ from workweave.operators import links as L
 from workweave.operators import pages as P
 from workweave.operators import records as R
 from workweave.operators import templates as T
+from workweave.session import spread
 
 HTML = """<!DOCTYPE html><html><head><title> Laden &amp; Mehr </title>
 <meta name="description" content="Gute  Ware"><meta property="og:type" content="shop">
@@ -405,3 +406,23 @@ def test_addresses_and_attributes_as_before(spark):
     tags = [' src="a\'b\'" x', " src='\"q\"'", " src = bare y", ' src=""', " data-src=no", ' SRC="x&amp;y"', " src=\"open"]
     got = spark.createDataFrame([(t,) for t in tags], "t string").select(X.attribute(F.col("t"), "src")).collect()
     assert [r[0] for r in got] == ["a'b'", '"q"', "bare", "", "", "x&y", ""]
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    """A file of one row group has many splits, of which one holds all rows."""
+    name, path = "spark.sql.files.maxPartitionBytes", str(tmp_path / "one.parquet")
+    spark.range(20_000).selectExpr("id", "sha2(string(id), 256) AS html").coalesce(1).write.parquet(path)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "16k")
+    try:
+        pages = spark.read.parquet(path)
+        cores = spark.sparkContext.defaultParallelism
+        assert pages.rdd.getNumPartitions() >= cores
+        dealt = spread(pages, "id")
+        most = dealt.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert most <= 6_000 and dealt.distinct().count() == 20_000
+        even = spark.range(0, 8_000, 1, 4 * cores)
+        assert spread(even, "id") is even
+        assert spread(spark.range(0, 0, 1, 4 * cores), "id").count() == 0
+    finally:
+        spark.conf.set(name, before)
