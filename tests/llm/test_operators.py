@@ -9,6 +9,7 @@ from tests.llm import brute
 from workweave.llm import (decontaminate, html_text, license_scan, line_dedup, ngram_join, packing,
                            passage_dedup, quality_model, quality_rules, url_filter)
 from workweave.llm.queries import held_out, tokenizer
+from workweave.llm.tables import removing_shuffles
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, node long, "
           "bucket string, label int, line int, n int, word string, item string")
@@ -211,6 +212,17 @@ def test_passages_lose_no_link(spark):
         (i, i - i % 2, len(t.split())) for i, t in enumerate(texts)}
 
 
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(f.getName().startswith("shuffle") for f in
+                       spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()))
+    before, was = held(), spark.conf.get(name)
+    with removing_shuffles(spark.range(1)):
+        spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().write.parquet(str(tmp_path / "x"))
+    assert held() <= before and spark.conf.get(name) == was
+
+
 def test_passages_are_whole(spark):
     rng = random.Random(11)
     words = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))

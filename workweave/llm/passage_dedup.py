@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 from workweave.llm.components import resolve
 from workweave.llm.minhash import bands, tune_bands
 from workweave.llm.ngram_join import shingle_sets
-from workweave.llm.tables import batches_of, documents, early_semi_joins, passing, save
+from workweave.llm.tables import batches_of, documents, passing, removing_shuffles, save
 from workweave.llm.words import Words, mix, pieces, run_hash, signed, unsigned
 
 WIDTH, RUN, LENGTH = 5, 27, 24
@@ -310,7 +310,7 @@ def passages(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     ``kept_by`` is the least ``doc_id`` that keeps a part of it.
     """
     docs = documents(docs).withColumn("text_hash", F.xxhash64("text"))
-    with passing(docs, "spans"):
+    with removing_shuffles(docs), passing(docs, "spans"):
         with batches_of(docs, 2000):
             found = save(docs.mapInArrow(
                 _occurrences, "doc_id long, text_hash long, word int, stop int, start int, "

@@ -76,6 +76,12 @@ def batches_of(df: DataFrame, rows: int) -> AbstractContextManager[None]:
     return settings(df, {name: str(min(rows, before) if before > 0 else rows)})
 
 
+def removing_shuffles(df: DataFrame) -> AbstractContextManager[None]:
+    """Let Spark remove the shuffle files of each table written inside once it is written; else they
+    stay until the driver's memory is collected."""
+    return settings(df, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
 def early_semi_joins(df: DataFrame) -> AbstractContextManager[None]:
     """Let Spark build a run-time Bloom filter (4 MB) of a written side of up to 256 MB, so that
     texts without a partner are dropped before the shuffle of a join. A larger side or a full
