@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,10 @@ import pytest
 from tests.llm import brute
 from workweave.llm import components, decontaminate, html_text, packing, passage_dedup, quality_model, trie
 from workweave.llm.minhash import tune_bands
+from workweave.llm.ngram_join import shingle_sets
 from workweave.llm.tokens import Tokens
 from workweave.llm.words import Words
+from workweave.session import checkpoint_dir
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -45,6 +48,53 @@ def test_pairs_meet_where_comparing_all_says_so(monkeypatch):
                                 for i, j in zip(a, b, strict=True)]
 
 
+def test_sketches_rule_out_no_pair_that_links():
+    rng = random.Random(4)
+    for size in (3, 20, 90, 400):
+        base = [rng.sample(range(1 << 60), size) for _ in range(4)]
+        sets = [np.array(sorted({*rng.choice(base)[rng.randint(0, size // 4):],
+                                 *rng.sample(range(1 << 60), rng.randint(0, size // 8))}), dtype=np.uint64)
+                for _ in range(40)] + [np.zeros(0, np.uint64)]
+        a, b = (x.ravel() for x in np.indices((41, 41)))
+        for part in (75, 80):
+            close = components.Sketched(sets, part, 100).close(a, b)
+            links = components.meet(sets, a, b, part, 100)
+            assert close[links].all() and links.any() and not close.all()
+
+
+def test_pairs_of_small_buckets_by_sketches(spark):
+    """Sets of 20 beside one with 2 other tokens, in one bucket with strangers; a larger bucket."""
+    rng = random.Random(6)
+    sets = []
+    for _ in range(5):
+        one = rng.sample(range(1 << 60), 22)
+        sets += [one[:20], one[2:]]
+    tokens = np.array([x for s in sets for x in s], dtype=np.uint64)
+    marks = components.sketches(tokens, np.arange(0, tokens.size, 20)).view(np.int64).tolist()
+    rows = [(1, i, 20, None if i % 3 else marks[i]) for i in range(10)]
+    rows += [(2, i, 20, marks[i]) for i in range(0, 10, 3)] + [(4, i, 20, marks[i]) for i in (1, 2)]
+    rows += [(5, i, 20, marks[i]) for i in (4, 5, 7, 8)] + [(3, i, 20, None) for i in range(11)]
+    pairs, many = components.few(spark.createDataFrame(
+        rows, "bucket long, node long, size int, sketch long"), 10, 75, 100)
+    found = {(r.a, r.b) for r in pairs.collect()}
+    assert found >= {(i, i + 1) for i in range(0, 10, 2)} and len(found) < 20
+    assert {(r.bucket, r.node) for r in many.collect()} == {(3, i) for i in range(11)}
+
+
+def test_steps_of_a_resolution_are_removed(spark):
+    texts = [" ".join(f"w{i * 30 + k}" for k in range(20)) for i in range(4)]
+    texts += [t + " more" for t in texts]
+    items = spark.createDataFrame(list(enumerate(texts)), "node long, item string")
+    buckets = items.selectExpr("node % 4 as bucket", "node", "cast(null as long) as size")
+    folder = Path(checkpoint_dir(spark).removeprefix("file:")) / "workweave"
+    left = lambda: {p.name for p in folder.glob("llm-*") if p.name.split("-")[1] in
+                    ("pivots", "pairs", "mixed", "best")}
+    before = left()
+    roots = {r.node: r.root for r in components.resolve(buckets, items, shingle_sets(5), 75, 100).collect()}
+    assert all(roots[i] == roots[i + 4] for i in range(4)) and len(set(roots.values())) == 4
+    assert left() == before
+
+
 def test_words_part_at_ascii_white_space_and_fold_ascii():
     words = Words(pa.array(["A b\tc\xa0d", None, "", "É a"]))
     assert words.counts.tolist() == [3, 0, 0, 2]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from workweave.llm import trie
-from workweave.llm.tables import batches_of, save
+from workweave.llm.tables import batches_of, passing, save
 
 #: Nodes in a block of the last comparison, on average.
 BLOCK = 256
@@ -92,6 +92,46 @@ def meet(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, part: int, whole:
     return (both > 0) & (whole * both >= part * (size[a] + size[b] - both))
 
 
+def sketches(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit sketch of each set of distinct tokens that begins at ``starts``: each token turns
+    one bit over. Two sketches differ in no more bits than tokens that only one of the sets holds."""
+    if not starts.size:
+        return np.zeros(0, dtype=np.uint64)
+    return np.bitwise_xor.reduceat(np.uint64(1) << (values & np.uint64(63)), starts)
+
+
+class Sketched:
+    """Sets with sketches of as many words as their size asks for, to rule pairs out unseen: two
+    that link differ in at most ``(whole - part) / (whole + part)`` of the sum of their sizes."""
+
+    def __init__(self, sets: list[np.ndarray], part: int, whole: int):
+        self.part, self.whole = part, whole
+        self.size = np.array([x.size for x in sets], dtype=np.int64)
+        every = np.concatenate([*sets, np.zeros(0, np.uint64)])
+        mean = every.size // max(1, len(sets))
+        self.words = next((w for w in (1, 4) if mean < 32 * w), 16)
+        owner = np.repeat(np.arange(len(sets)), self.size)
+        word = (every >> np.uint64(6)).astype(np.int64) % self.words
+        cell = owner * self.words + word
+        bit = np.uint64(1) << (every & np.uint64(63))
+        order = np.argsort(cell, kind="stable")
+        cell, bit = cell[order], bit[order]
+        opens = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: cell.size])
+        self.sketch = np.zeros(len(sets) * self.words, dtype=np.uint64)
+        if opens.size:
+            self.sketch[cell[opens]] = np.bitwise_xor.reduceat(bit, opens)
+        self.sketch = self.sketch.reshape(len(sets), self.words)
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the sets at ``a`` and ``b`` may link."""
+        small, large = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
+        bits = np.zeros(np.broadcast(a, b).shape, dtype=np.int64)
+        for word in self.sketch.T:
+            bits += np.bitwise_count(word[a] ^ word[b])
+        return ((small > 0) & (self.whole * small >= self.part * large)
+                & ((self.whole + self.part) * bits <= (self.whole - self.part) * (small + large)))
+
+
 def _pairs(sets: Callable, part: int, whole: int, direct: int) -> Callable:
     """Of pairs with both items, those that link; pairs with the same ``a`` are joined together."""
 
@@ -103,8 +143,9 @@ def _pairs(sets: Callable, part: int, whole: int, direct: int) -> Callable:
             stored = sets(batch.column("item_b"))
             keep: list[int] = []
             if direct:
-                keep = np.flatnonzero(meet([*queries, *stored], group,
-                                           first.size + np.arange(a.size), part, whole)).tolist()
+                every, at = [*queries, *stored], first.size + np.arange(a.size)
+                close = np.flatnonzero(Sketched(every, part, whole).close(group, at))
+                keep = close[meet(every, group[close], at[close], part, whole)].tolist()
                 group = group[:0]
             for g, rows in enumerate(np.split(np.argsort(group, kind="stable"),
                                               np.cumsum(np.bincount(group))[:-1])):
@@ -135,7 +176,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndar
 
 def _blocks(sets: Callable, part: int, whole: int, direct: int) -> Callable:
     """Links between the queries and the stored items of each pair of blocks: of up to ``direct``
-    pairs by looking up their tokens, of more by tries."""
+    pairs, or as many that their sketches leave, by looking up their tokens, of more by tries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in _runs(batches):
@@ -152,15 +193,25 @@ def _blocks(sets: Callable, part: int, whole: int, direct: int) -> Callable:
             a = np.repeat(q, times)
             b = s[(np.cumsum(kept) - kept)[block[a]] + np.arange(a.size)
                   - np.repeat(np.cumsum(times) - times, times)]
-            a, b = a[label[a] != label[b]], b[label[a] != label[b]]
-            linked = meet(every, a, b, part, whole)
-            found = [np.stack([a[linked], b[linked]], axis=1)]
+            sketched = Sketched(every, part, whole)
+            close = (label[a] != label[b]) & sketched.close(a, b)
+            a, b = [a[close]], [b[close]]
+            found = []
             for i in np.flatnonzero(~small):
                 at = np.arange(starts[i], starts[i] + asked[i] + kept[i])
                 q, s = at[asks[at]], at[~asks[at]]
+                x, y = np.nonzero(sketched.close(q[:, None], s) & (label[q][:, None] != label[s])
+                                  ) if direct else (None, None)
+                if direct and x.size <= direct:
+                    a.append(q[x])
+                    b.append(s[y])
+                    continue
                 hits = trie.join([every[r] for r in s], [every[r] for r in q], part, whole)
                 pairs = np.array(hits, dtype=np.int64).reshape(-1, 2)
                 found.append(np.stack([q[pairs[:, 0]], s[pairs[:, 1]]], axis=1))
+            a, b = np.concatenate(a), np.concatenate(b)
+            linked = meet(every, a, b, part, whole)
+            found.append(np.stack([a[linked], b[linked]], axis=1))
             pairs = label[np.concatenate(found)]
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])],
@@ -176,6 +227,51 @@ def _relabel(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]
                        .select("node", F.coalesce("new", "root").alias("root")), "labels")
 
 
+def linked(pairs: DataFrame, items: DataFrame, sets: Callable, part: int, whole: int, direct: int
+           ) -> DataFrame:
+    """``label_a, label_b`` of the ``pairs(a, b, label_a, label_b)`` whose items link."""
+    a = items.select(F.col("node").alias("a"), F.col("item").alias("item_a"))
+    b = items.select(F.col("node").alias("b"), F.col("item").alias("item_b"))
+    with batches_of(items, 512):
+        return save(pairs.join(b, "b").join(a, "a").mapInArrow(
+            _pairs(sets, part, whole, direct), "label_a long, label_b long"), "links")
+
+
+def _once(buckets: DataFrame) -> DataFrame:
+    """``bucket, n`` of the buckets with ``n`` nodes, two or more; those with the same nodes count
+    once."""
+    sign = buckets.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("s"),
+        F.min("node").alias("low"), F.max("node").alias("high"),
+        (F.count("sketch") if "sketch" in buckets.columns else F.lit(0)).alias("told")
+        ).where("low < high")
+    return save(sign.groupBy("n", "s", "low").agg(F.max_by("bucket", "told").alias("bucket"))
+                .select("bucket", "n"), "once")
+
+
+def few(buckets: DataFrame, most: int, part: int, whole: int) -> tuple[DataFrame, DataFrame]:
+    """``a, b, label_a, label_b`` for every two nodes in a bucket of up to ``most`` nodes that may
+    link, and the larger buckets.
+
+    ``buckets(bucket, node, size, sketch)`` tells the ``sketch`` of a node in one of its rows at
+    least. Two sets that link differ in at most ``(whole - part) / (whole + part)`` of the sum of
+    their sizes; where the sketches differ in more bits than that, they don't.
+    """
+    rows = save(buckets.join(_once(buckets), "bucket"), "buckets")
+    known = save(rows.groupBy("node").agg(F.max("sketch").alias("known")), "sketches")
+    small = save(rows.where(F.col("n") <= most).join(known, "node").select(
+        "bucket", "node", "size", "known"), "few")
+    a, b = small.alias("a"), small.alias("b")
+    size = F.col("a.size") + F.col("b.size")
+    close = ((whole * F.least("a.size", "b.size") >= part * F.greatest("a.size", "b.size"))
+             & F.coalesce((whole + part) * F.bit_count(F.col("a.known").bitwiseXOR(F.col("b.known")))
+                          <= (whole - part) * size, F.lit(True)))
+    pairs = save(a.join(b, "bucket").where((F.col("a.node") < F.col("b.node")) & close).select(
+        F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct(), "pairs")
+    return (pairs.select("a", "b", F.col("a").alias("label_a"), F.col("b").alias("label_b")),
+            rows.where(F.col("n") > most).select("bucket", "node", "size"))
+
+
 def resolve(buckets: DataFrame, items: DataFrame, sets: Callable, part: int, whole: int,
             direct: int = 0) -> DataFrame:
     """``node, root`` of the nodes in ``buckets(bucket, node, size)``.
@@ -194,13 +290,7 @@ def resolve(buckets: DataFrame, items: DataFrame, sets: Callable, part: int, who
     both sides of it are then plain shuffles, of which Spark can split a hot key.
     """
     named = buckets.select("bucket", "node", "size")
-    sign = named.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("s"),
-        F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    # buckets with the same nodes count once
-    once = save(sign.groupBy("n", "s", "low").agg(F.min("bucket").alias("bucket"))
-                .select("bucket"), "once")
-    rows = save(named.join(once, "bucket", "left_semi"), "buckets")
+    rows = save(named.join(_once(named), "bucket", "left_semi"), "buckets")
     weight = save(rows.groupBy("node").agg(F.count("*").alias("weight")), "weight")
     # spreads ties, and tells nodes of equal weight apart
     rank = F.col("weight") * F.lit(1 << 31) + F.pmod(F.xxhash64("node"), F.lit(1 << 31))
@@ -209,36 +299,33 @@ def resolve(buckets: DataFrame, items: DataFrame, sets: Callable, part: int, who
     labels = weight.select("node", F.col("node").alias("root"))
 
     for turn, pivots in enumerate((1, 4)):
-        slots = rows.withColumn("slot", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(pivots)))
-        best = save(slots.groupBy("bucket", "slot").agg(F.max("rank").alias("rank")), "best")
-        chosen = save(slots.join(best, ["bucket", "slot", "rank"], "left_semi").select(
-            "bucket", F.col("node").alias("a"), F.col("size").alias("size_a"),
-            F.col("label").alias("label_a"), F.col("rank").alias("rank_a")), "pivots")
-        close = F.coalesce(whole * F.least("size", "size_a") >= part * F.greatest("size", "size_a"),
-                           F.lit(True))
-        order = F.desc("rank_a") if turn == 0 else F.xxhash64("a", F.lit(turn))
-        pairs = save(rows.join(chosen, "bucket")
-                     .where((F.col("label") != F.col("label_a")) & close)
-                     .select("a", F.col("node").alias("b"), "label_a",
-                             F.col("label").alias("label_b"), "rank_a").distinct()
-                     .withColumn("place", F.row_number().over(
-                         Window.partitionBy("b").orderBy(order)))
-                     .where(F.col("place") <= pivots).drop("place", "rank_a"), "pairs")
-        a = items.select(F.col("node").alias("a"), F.col("item").alias("item_a"))
-        b = items.select(F.col("node").alias("b"), F.col("item").alias("item_b"))
-        with batches_of(items, 512):
-            links = save(pairs.join(b, "b").join(a, "a").mapInArrow(
-                _pairs(sets, part, whole, direct), "label_a long, label_b long"), "links")
-        moved, labels = _relabel(labels, links)
-        rows = save(rows.join(moved, rows.label == moved.old, "left").select(
-            "bucket", "node", "size", F.coalesce("new", "label").alias("label"), "rank"), "rows")
-        mixed = save(rows.groupBy("bucket")
-                     .agg(F.min("label").alias("low"), F.max("label").alias("high"))
-                     .where("low < high").select("bucket"), "mixed")
-        rows = save(rows.join(mixed, "bucket", "left_semi"), "live")
-        # what is settled needs no text any more
-        items = save(items.join(save(rows.select("node").distinct(), "open"), "node", "left_semi"),
-                     "items")
+        with passing(rows, "labels", "live", "items"):
+            slots = rows.withColumn("slot", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(pivots)))
+            best = save(slots.groupBy("bucket", "slot").agg(F.max("rank").alias("rank")), "best")
+            chosen = save(slots.join(best, ["bucket", "slot", "rank"], "left_semi").select(
+                "bucket", F.col("node").alias("a"), F.col("size").alias("size_a"),
+                F.col("label").alias("label_a"), F.col("rank").alias("rank_a")), "pivots")
+            close = F.coalesce(whole * F.least("size", "size_a") >= part * F.greatest("size", "size_a"),
+                               F.lit(True))
+            order = F.desc("rank_a") if turn == 0 else F.xxhash64("a", F.lit(turn))
+            pairs = save(rows.join(chosen, "bucket")
+                         .where((F.col("label") != F.col("label_a")) & close)
+                         .select("a", F.col("node").alias("b"), "label_a",
+                                 F.col("label").alias("label_b"), "rank_a").distinct()
+                         .withColumn("place", F.row_number().over(
+                             Window.partitionBy("b").orderBy(order)))
+                         .where(F.col("place") <= pivots).drop("place", "rank_a"), "pairs")
+            links = linked(pairs, items, sets, part, whole, direct)
+            moved, labels = _relabel(labels, links)
+            rows = save(rows.join(moved, rows.label == moved.old, "left").select(
+                "bucket", "node", "size", F.coalesce("new", "label").alias("label"), "rank"), "rows")
+            mixed = save(rows.groupBy("bucket")
+                         .agg(F.min("label").alias("low"), F.max("label").alias("high"))
+                         .where("low < high").select("bucket"), "mixed")
+            rows = save(rows.join(mixed, "bucket", "left_semi"), "live")
+            # what is settled needs no text any more
+            items = save(items.join(save(rows.select("node").distinct(), "open"), "node", "left_semi"),
+                         "items")
 
     held = save(labels.groupBy("root").agg(F.count("*").alias("held"))
                 .select(F.col("root").alias("label"), "held"), "held")

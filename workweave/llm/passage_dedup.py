@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from workweave.llm.components import resolve
+from workweave.llm.components import connected, few, linked, resolve, sketches
 from workweave.llm.minhash import bands, tune_bands
 from workweave.llm.ngram_join import shingle_sets
 from workweave.llm.tables import batches_of, documents, passing, removing_shuffles, save
@@ -53,17 +53,28 @@ COUNTED = np.uint64(int(0.4 * (1 << 64)))
 STRETCHES = (1, 1), (2, 8), (9, 20), (21, REACH)
 #: Pairs of two blocks of paragraphs that are compared without a trie.
 DIRECT = 4096
+#: Nodes of a bucket whose pairs are all listed.
+FEW = 32
+#: Kinds of rows in buckets: a band key, and a first shingle that a smaller set is found by or not.
+BAND, LEAD, FOLLOW = 2, 1, 0
 #: Paragraphs at most so many words apart belong to one passage.
 GAP = 4
 
 
-def anchors(shingles: np.ndarray) -> np.ndarray:
-    """Positions of the least value in each run of RUN (the first of equal ones)."""
-    if shingles.size <= RUN:
-        return np.array([int(np.argmin(shingles))]) if shingles.size else np.zeros(0, np.int64)
-    runs = np.lib.stride_tricks.sliding_window_view(shingles, RUN)
-    at = runs.argmin(axis=1) + np.arange(runs.shape[0])
-    return at[np.concatenate([[True], at[1:] != at[:-1]])]
+def anchors(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Positions of the least value, by its upper 32 bits, in each run of RUN between a start and
+    its end (the first of equal ones); of fewer values in all of them."""
+    place = np.uint64(0xFFFFFFFF)
+    least = keys = (shingles & ~place) | np.arange(shingles.size, dtype=np.uint64)
+    for step in (1, 2, 4, 8, RUN - 16):  # runs of 2, 4, 8, 16 and RUN values
+        least = np.minimum(least[:-step], least[step:])
+    full = ends - starts >= RUN
+    inside = np.zeros(least.size + 1, dtype=np.int64)
+    inside[starts[full]] += 1
+    inside[ends[full] - RUN + 1] -= 1
+    short = [keys[a:b].min() for a, b in zip(starts[~full], ends[~full], strict=True) if a < b]
+    at = np.concatenate([least[np.cumsum(inside[:-1]) > 0], np.array(short, dtype=np.uint64)])
+    return np.unique((at & place).astype(np.int64))
 
 
 def _own(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -95,17 +106,13 @@ class Paragraphs:
     def __init__(self, texts: pa.Array):
         self.words = words = Words(texts)
         self.every = every = words.windows(WIDTH)
-        first = [np.zeros(0, np.int64)]
-        for i in range(len(texts)):
-            a, b = words.first[i], words.first[i + 1]
-            if b - a >= LENGTH:
-                at = anchors(every[a: b - WIDTH + 1])
-                first.append(at[at + LENGTH <= b - a] + a)
-        cut = np.concatenate(first)
+        long = np.flatnonzero(words.counts >= LENGTH)
+        a, b = words.first[long], words.first[long + 1]
+        cut = anchors(every, a, b - WIDTH + 1)
+        cut = cut[cut + LENGTH <= b[np.searchsorted(a, cut, side="right") - 1]]
         at, to = _own(words)
-        spans = np.unique(np.stack([np.concatenate([cut, at]),
-                                    np.concatenate([cut + LENGTH, to])], axis=1), axis=0)
-        self.at, self.to = spans[:, 0], spans[:, 1]
+        spans = np.unique(np.concatenate([cut, at]) << 32 | np.concatenate([cut + LENGTH, to]))
+        self.at, self.to = spans >> 32, spans & 0xFFFFFFFF
         self.row = np.searchsorted(words.first, self.at, side="right") - 1
         self.node = run_hash(words.hash, self.at, self.to)
 
@@ -213,7 +220,8 @@ def _banded(count: int, rows: int) -> Callable:
     paragraphs that may link with them: their band keys, and their first shingles as buckets too.
 
     Of two that link, the shared shingle is among yet fewer first ones of the smaller set, those
-    that ``leads`` tells.
+    of the kind LEAD. ``origin`` is the text of a band key, and the sketch beside a shingle, which
+    two texts hold anyway.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,13 +234,16 @@ def _banded(count: int, rows: int) -> Callable:
                 new[1:] = found.node[order][1:] != found.node[order][:-1]
                 # the least and the greatest text of each node tell whether it has a second one
                 low, high = order[new], order[np.append(new[1:], True)[: new.size]]
-                token, leads = np.zeros(0, np.uint64), np.zeros(0, dtype=bool)
+                token = sketch = np.zeros(0, np.uint64)
+                leads = np.zeros(0, dtype=bool)
                 if "known" in piece.schema.names:
                     rank, value, shared = _order(found, piece.column("known"))
                     group, rank, place, size = found.ranked(low, rank)
+                    sketch = sketches(value[rank], np.cumsum(size) - size)
                     sent = shared[rank] & (place < reached(size, PART, WHOLE)[group])
                     group, place, token = group[sent], place[sent], value[rank[sent]]
                     leads = place < reached(size, 2 * PART, PART + WHOLE)[group]
+                    sketch = sketch[group]
                     live, group = np.unique(group, return_inverse=True)
                     low, high, size = low[live], high[live], size[live]
                 else:
@@ -243,22 +254,26 @@ def _banded(count: int, rows: int) -> Callable:
                 of = np.concatenate([np.repeat(np.arange(low.size), count),
                                      np.repeat(twice, count), group])
                 origin = [np.repeat(a, count), np.repeat(b[twice], count),
-                          signed(node[group])]
+                          signed(sketch)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(np.concatenate([keys.ravel(), keys[twice].ravel(), token]))),
                      pa.array(signed(node[of])), pa.array(np.concatenate(origin)),
                      pa.array(size[of].astype(np.int32)),
-                     pa.array(np.concatenate([np.ones(of.size - token.size, dtype=bool), leads]))],
-                    names=["bucket", "node", "origin", "size", "leads"])
+                     pa.array(np.concatenate([np.full(of.size - token.size, BAND, dtype=np.int8),
+                                              np.where(leads, LEAD, FOLLOW).astype(np.int8)]))],
+                    names=["bucket", "node", "origin", "size", "kind"])
 
     return run
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of the paragraphs that are ``wanted`` of each document."""
     for batch in batches:
         for piece in pieces(batch, "text"):
             found = Paragraphs(piece.column("text"))
             nodes, new = np.unique(found.node, return_index=True)
+            asked = np.isin(nodes, unsigned(piece.column("wanted").flatten().to_numpy()))
+            nodes, new = nodes[asked], new[asked]
             words, data = found.words, found.words.data.tobytes()
             texts = [data[a:b].decode() for a, b in zip(
                 words.starts[found.at[new]], words.ends[found.to[new] - 1], strict=True)]
@@ -311,16 +326,18 @@ def passages(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """
     docs = documents(docs).withColumn("text_hash", F.xxhash64("text"))
     with removing_shuffles(docs), passing(docs, "spans"):
-        with batches_of(docs, 2000):
-            found = save(docs.mapInArrow(
-                _occurrences, "doc_id long, text_hash long, word int, stop int, start int, "
-                "end int, node long"), "paragraphs")
-        rooted = (found.join(_labels(docs, found, recall), "node", "left")
-                  .withColumn("root", F.coalesce("root", "node")).drop("node"))
-        repeats = save(rooted.groupBy("root").agg(F.min("doc_id").alias("kept_by"),
-                                                  F.max("doc_id").alias("high"))
-                       .where("kept_by < high").select("root", "kept_by"), "repeats")
-        marked = save(rooted.join(repeats, "root"), "marked")
+        with passing(docs, "marked"):
+            buckets = _buckets(docs, recall)
+            with batches_of(docs, 2000):
+                found = save(docs.mapInArrow(
+                    _occurrences, "doc_id long, text_hash long, word int, stop int, start int, "
+                    "end int, node long"), "paragraphs")
+            rooted = (found.join(_labels(docs, found, buckets), "node", "left")
+                      .withColumn("root", F.coalesce("root", "node")).drop("node"))
+            repeats = save(rooted.groupBy("root").agg(F.min("doc_id").alias("kept_by"),
+                                                      F.max("doc_id").alias("high"))
+                           .where("kept_by < high").select("root", "kept_by"), "repeats")
+            marked = save(rooted.join(repeats, "root"), "marked")
         every = save(marked.drop("root").unionByName(_beyond(docs, marked)), "spans")
     every = every.withColumn("removed", ~F.col("doc_id").eqNullSafe(F.col("kept_by")))
     return (_joined(every, "removed")
@@ -332,19 +349,19 @@ def passages(docs: DataFrame, recall: float = RECALL) -> DataFrame:
             .select("doc_id", "first_word", "n_words", "start", "end", "kept_by", "removed"))
 
 
-def _labels(docs: DataFrame, found: DataFrame, recall: float) -> DataFrame:
-    """``node, root`` of the paragraphs that some bucket holds beside another one."""
-    with passing(docs, "labels"):
+def _buckets(docs: DataFrame, recall: float) -> DataFrame:
+    """``bucket, node, size, sketch`` of the paragraphs that may link with one of another text."""
+    with passing(docs, "bands"):
         # one row each of the texts that share a shingle with another one
-        one = Window.partitionBy("token")
         with batches_of(docs, 2000):
-            told = docs.mapInArrow(_told, "token long, text_hash long")
-            known = save(told.withColumn("n", F.count("*").over(one))
-                         .withColumn("low", F.min("text_hash").over(one))
-                         .withColumn("high", F.max("text_hash").over(one)).where("low < high")
-                         .groupBy("text_hash")
+            told = docs.mapInArrow(_told, "token long, text_hash long").repartition("token")
+            shared = told.groupBy("token").agg(
+                F.count("*").alias("n"), F.min("text_hash").alias("low"),
+                F.max("text_hash").alias("high")).where("low < high").select("token", "n")
+            known = save(beside(told, shared, "token").groupBy("text_hash")
                          .agg(F.collect_set(F.struct("token", "n")).alias("known")), "known")
-        rows = save(found.groupBy("text_hash").agg(F.min("doc_id").alias("row"))
+        rows = save(docs.where("text is not null").groupBy("text_hash")
+                    .agg(F.min("doc_id").alias("row"))
                     .withColumnRenamed("text_hash", "row_hash"), "texts")
         known = known.join(rows, F.col("text_hash") == F.col("row_hash")).select(
             "row", "row_hash", "known")
@@ -352,29 +369,51 @@ def _labels(docs: DataFrame, found: DataFrame, recall: float) -> DataFrame:
         with batches_of(docs, 500):
             texts = docs.join(known, F.col("doc_id").eqNullSafe(F.col("row"))
                               & (F.col("text_hash") == F.col("row_hash")))
-            buckets = save(_colliding(texts.select("text", "known").mapInArrow(
+            return save(_colliding(texts.select("text", "known").mapInArrow(
                 _banded(count, ROWS), "bucket long, node long, origin long, size int, "
-                "leads boolean")), "bands")
-        # the document of a paragraph brings its text: one row each, however often it is copied
-        open_nodes = save(buckets.select("node").distinct(), "open")
+                "kind byte")), "bands")
+
+
+def _labels(docs: DataFrame, found: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``node, root`` of the paragraphs that link with another one."""
+    with passing(docs, "labels"):
+        pairs, many = few(buckets, FEW, PART, WHOLE)
+        open_nodes = save(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+                          .union(many.select("node")).distinct(), "open")
+        # the document of a paragraph brings its text, and no other paragraph's
         where = save(found.join(open_nodes, "node", "left_semi").groupBy("node")
-                     .agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "where")
+                     .agg(F.min("doc_id").alias("holder"))
+                     .groupBy("holder").agg(F.collect_set("node").alias("wanted")), "where")
         with batches_of(docs, 2000):
-            items = save(docs.join(where, docs.doc_id.eqNullSafe(where.doc_id), "left_semi")
-                         .select("doc_id", "text").mapInArrow(_items, "node long, item string")
-                         .join(open_nodes, "node", "left_semi").dropDuplicates(["node"]), "items")
-        return resolve(buckets, items, shingle_sets(WIDTH), PART, WHOLE, DIRECT)
+            items = save(docs.join(where, F.col("doc_id").eqNullSafe(F.col("holder")))
+                         .select("text", "wanted").mapInArrow(_items, "node long, item string")
+                         .dropDuplicates(["node"]), "items")
+        sets = shingle_sets(WIDTH)
+        links = linked(pairs, items, sets, PART, WHOLE, DIRECT).toDF("a", "b")
+        if not many.isEmpty():
+            links = links.union(resolve(many, items, sets, PART, WHOLE, DIRECT).select("root", "node"))
+        return save(connected(links), "labels")
 
 
 def _colliding(rows: DataFrame) -> DataFrame:
-    """The buckets with nodes of two origins or more, each node once; rows that do not lead stay
-    only beside a smaller set that does."""
-    one = Window.partitionBy("bucket")
-    spread = [F.min(c).over(one) < F.max(c).over(one) for c in ("node", "origin")]
-    least = F.min(F.when(F.col("leads"), F.col("size"))).over(one)
-    return (rows.withColumn("spread", spread[0] & spread[1]).withColumn("least", least)
-            .where("spread and (leads or size > least)").dropDuplicates(["bucket", "node"])
-            .select("bucket", "node", "size"))
+    """The buckets with nodes of two texts or more, each node once, and its sketch beside a shingle;
+    rows that do not lead stay only beside a smaller set that does."""
+    rows = rows.repartition("bucket")
+    spread = [F.min(c) < F.max(c) for c in ("node", "origin")]
+    groups = rows.groupBy("bucket").agg(
+        spread[0].alias("nodes"), spread[1].alias("texts"),
+        F.min(F.when(F.col("kind") != FOLLOW, F.col("size"))).alias("least")).where("nodes")
+    return (beside(rows, groups, "bucket").where((F.col("kind") != BAND) | F.col("texts"))
+            .where((F.col("kind") != FOLLOW) | (F.col("size") > F.col("least")))
+            .dropDuplicates(["bucket", "node"])
+            .select("bucket", "node", "size",
+                    F.when(F.col("kind") != BAND, F.col("origin")).alias("sketch")))
+
+
+def beside(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``rows``, dealt by ``key``, joined with the few ``groups`` of them that are left. Most rows
+    stand alone: their groups are told without sorting, and the rows are dealt once."""
+    return rows.join(groups.hint("shuffle_hash"), key)
 
 
 def _joined(spans: DataFrame, *by: str) -> DataFrame:
@@ -408,7 +447,8 @@ def _beyond(docs: DataFrame, marked: DataFrame) -> DataFrame:
     # most ends go on in no other document, or for a few words, which the shorter runs tell
     parts = []
     for least, most in STRETCHES:
-        runs = _shared(_asked(docs, asks, least, most))
+        with passing(docs, "matched"):
+            runs = save(_shared(_asked(docs, asks, least, most)), "matched")
         parts.append(runs.drop("root", "edge", "key", "high"))
         asks = runs.where(F.col("stop") - F.col("word") == most).select(
             "doc_id", "text_hash", F.struct("place", "right", "root", "edge").alias("ask"))

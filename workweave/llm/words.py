@@ -19,7 +19,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 #: Bytes of text handled at a time inside a task; one longer text is a piece of its own.
-PIECE = 1 << 21
+PIECE = 1 << 18
 
 _P = 0x9E3779B97F4A7C15
 _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
