@@ -8,9 +8,10 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import brute
-from workweave.llm import components, decontaminate, html_text, packing, passage_dedup, quality_model, trie
+from workweave.llm import blocks, components, decontaminate, html_text, packing, passage_dedup, quality_model, trie
 from workweave.llm.minhash import tune_bands
 from workweave.llm.ngram_join import shingle_sets
 from workweave.llm.tokens import Tokens
@@ -242,3 +243,60 @@ def test_tables_on_the_way_are_removed(spark):
         end = save(step, "end")
     exists = [os.path.exists(df.inputFiles()[0].removeprefix("file://")) for df in (step, inner, end)]
     assert exists == [False, False, True] and end.count() == 5
+
+
+def test_blocks_bring_all_rows_of_a_key_together(spark):
+    rows = spark.range(0, 5000, 1, 7).select(
+        (F.col("id") % 900 * 7919 - 9).alias("key"), F.col("id").alias("n"))
+    flat = lambda batches: batches
+    made = blocks.blocks(rows, flat, 16, "key", ["key", "n"])
+    assert made.count() <= 7 * 16  # a row for each task and part, not one for each key
+
+    def sums(batches):
+        for key, n in blocks.gathered(batches, key=np.int64, n=np.int64):
+            key, n = blocks.met(key, n)
+            at = np.flatnonzero(blocks.opens(key))
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(np.add.reduceat(n, at))],
+                                             names=["key", "n"])
+
+    got = blocks.dealt(made).mapInArrow(sums, "key long, n long").collect()
+    want = Counter()
+    for i in range(5000):
+        want[i % 900 * 7919 - 9] += i
+    assert len(got) == 900 and {r.key: r.n for r in got} == want
+    assert blocks.parts(spark.createDataFrame([(None,)], "text string")) == blocks.PARTS
+
+
+def test_likely_pairs_are_those_of_the_plain_form(spark):
+    """Buckets of up to FEW nodes by numpy, against every two nodes compared in Spark."""
+    rng = np.random.default_rng(9)
+    sketch, size = rng.integers(0, 1 << 63, 400), rng.integers(10, 30, 400)
+    sketch[200:] = sketch[:200] ^ (1 << rng.integers(0, 62, 200))
+    size[200:] = size[:200]
+    rows = [(b, int(n)) for b in range(300) for n in
+            {*rng.integers(0, 200, rng.integers(1, 20)), *rng.integers(0, 400, 2 + 38 * (b % 9 == 0))}]
+    rows += [(b, n + 200) for b, n in rows if n < 200 and b % 9]
+    key, node = (np.array(x) for x in zip(*sorted(set(rows)), strict=True))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(key), pa.array(node), pa.array(sketch[node]),
+         pa.array(size[node] << 2 | passage_dedup.LEAD)], names=["bucket", "node", "mark", "more"])
+    made = blocks.packed(lambda batches: batches, 1, "bucket")(iter([batch]))
+    got = pa.Table.from_batches(passage_dedup._likely(made)).to_pylist()
+    pairs, many = components.few(spark.createDataFrame(
+        [(int(b), int(n), int(size[n]), int(sketch[n])) for b, n in zip(key, node, strict=True)],
+        "bucket long, node long, size int, sketch long"), passage_dedup.FEW, 75, 100)
+    found = sorted((r["a"], r["b"]) for r in got if r["bucket"] is None)
+    assert found == sorted((r.a, r.b) for r in pairs.collect()) and len(found) > 100
+    assert ({(r["bucket"], r["a"], r["size"]) for r in got if r["bucket"] is not None}
+            == {(r.bucket, r.node, r.size) for r in many.collect()} != set())
+
+
+def test_passages_of_rows_without_ids_and_of_equal_rows(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    one, two, alone = words(60), words(60), words(60)
+    rows = [(5, one), (5, one), (None, one), (None, one), (3, words(9) + "\n" + one),  # 3 keeps it
+            (None, two), (7, two), (None, alone), (None, alone), (9, alone + " x"), (9, alone + " y")]
+    found = passage_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.first_word, r.n_words, r.kept_by, r.removed) for r in found) == [
+        (0, 0, 60, 3, True), (3, 9, 60, 3, False), (5, 0, 60, 3, True)]
