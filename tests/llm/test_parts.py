@@ -300,3 +300,27 @@ def test_passages_of_rows_without_ids_and_of_equal_rows(spark):
     found = passage_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.first_word, r.n_words, r.kept_by, r.removed) for r in found) == [
         (0, 0, 60, 3, True), (3, 9, 60, 3, False), (5, 0, 60, 3, True)]
+
+
+def test_large_blocks_bring_items_to_fewer_tasks(spark, monkeypatch):
+    """Unlike nodes of one bucket meet in blocks: the same components, with fewer copies."""
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(10 ** 6)}" for _ in range(24)] for _ in range(700)]
+    texts = [" ".join(b) for b in base] + [" ".join(b[:23] + ["other"]) for b in base[::7]]
+    items = spark.createDataFrame(list(enumerate(texts)), "node long, item string")
+    buckets = items.selectExpr("cast(1 as long) as bucket", "node", "20 as size")
+    save, copies = components.save, []
+
+    def counted(df, label):
+        if label == "blocks":
+            copies.append(df.count())
+        return save(df, label)
+
+    monkeypatch.setattr(components, "save", counted)
+    monkeypatch.setattr(components, "LOOKUPS", 1 << 12)
+    found = [{(r.node, r.root) for r in components.resolve(
+        buckets, items, shingle_sets(5), 75, 100, passage_dedup.DIRECT, block).collect()}
+        for block in (components.BLOCK, passage_dedup.TOGETHER)]
+    roots = dict(found[0])
+    assert found[0] == found[1] and all(roots[i * 7] == roots[700 + i] for i in range(100))
+    assert len(set(roots.values())) == 700 and copies[1] * 2 < copies[0]

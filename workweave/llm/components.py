@@ -176,7 +176,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndar
 
 def _blocks(sets: Callable, part: int, whole: int, direct: int) -> Callable:
     """Links between the queries and the stored items of each pair of blocks: of up to ``direct``
-    pairs, or as many that their sketches leave, by looking up their tokens, of more by tries."""
+    pairs, or such a part that their sketches leave, by looking up their tokens, of more by tries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in _runs(batches):
@@ -200,11 +200,14 @@ def _blocks(sets: Callable, part: int, whole: int, direct: int) -> Callable:
             for i in np.flatnonzero(~small):
                 at = np.arange(starts[i], starts[i] + asked[i] + kept[i])
                 q, s = at[asks[at]], at[~asks[at]]
-                x, y = np.nonzero(sketched.close(q[:, None], s) & (label[q][:, None] != label[s])
-                                  ) if direct else (None, None)
-                if direct and x.size <= direct:
-                    a.append(q[x])
-                    b.append(s[y])
+                close = [np.nonzero(sketched.close(x[:, None], s) & (label[x][:, None] != label[s]))
+                         for x in np.array_split(q, -(-q.size * s.size // LOOKUPS))] if direct else []
+                # as many in a hundred pairs as in a block of BLOCK by BLOCK items
+                if direct and sum(x.size for x, _ in close) <= direct * max(
+                        1, q.size * s.size // BLOCK ** 2):
+                    for part_of, (x, y) in zip(np.array_split(q, len(close)), close, strict=True):
+                        a.append(part_of[x])
+                        b.append(s[y])
                     continue
                 hits = trie.join([every[r] for r in s], [every[r] for r in q], part, whole)
                 pairs = np.array(hits, dtype=np.int64).reshape(-1, 2)
@@ -273,14 +276,15 @@ def few(buckets: DataFrame, most: int, part: int, whole: int) -> tuple[DataFrame
 
 
 def resolve(buckets: DataFrame, items: DataFrame, sets: Callable, part: int, whole: int,
-            direct: int = 0) -> DataFrame:
+            direct: int = 0, block: int = BLOCK) -> DataFrame:
     """``node, root`` of the nodes in ``buckets(bucket, node, size)``.
 
     ``items(node, item)`` holds texts, of which ``sets`` makes a list of sorted distinct tokens.
     Two nodes link when ``whole * intersection >= part * union``; those that share a bucket are
     compared unless links already put them into one component (or ``size``, where it is not null,
     rules it out), so the components are those of all links inside buckets. Tries compare them; with
-``direct``, they do so only in blocks of more pairs than that, as a trie of few items is dear.
+    ``direct``, they do so only in blocks of more pairs than that, as a trie of few items is dear. An
+    item is sent to as many tasks as its group has blocks of ``block`` items on average.
 
     A bucket of like nodes costs a multiple of its size and not its square. First each node meets
     the pivot that stands in most buckets, then four others. What then still carries different
@@ -335,8 +339,8 @@ def resolve(buckets: DataFrame, items: DataFrame, sets: Callable, part: int, who
     members = save(rows.join(largest, "bucket").select("group", "node", "label",
                                                        asks.alias("query")).distinct(), "members")
     sizes = save(members.groupBy("group").agg(
-        F.ceil(F.count_if("query") / BLOCK).cast("int").alias("asked"),
-        F.ceil(F.count("*") / BLOCK).cast("int").alias("kept")), "sizes")
+        F.ceil(F.count_if("query") / block).cast("int").alias("asked"),
+        F.ceil(F.count("*") / block).cast("int").alias("kept")), "sizes")
     dealt = members.join(sizes, "group")
     own = F.xxhash64("node")
     queries = dealt.where("query").select(

@@ -54,6 +54,8 @@ COUNTED = np.uint64(int(0.4 * (1 << 64)))
 STRETCHES = (1, 1), (2, 8), (9, 20), (21, REACH)
 #: Pairs of two blocks of paragraphs that are compared without a trie.
 DIRECT = 4096
+#: Paragraphs in a block of the last comparison, on average; they are short, so many fit a task.
+TOGETHER = 2048
 #: Nodes of a bucket whose pairs are all listed.
 FEW = 32
 #: The lower half of 64 bits.
@@ -686,7 +688,8 @@ def _labels(docs: DataFrame, buckets: DataFrame, count: int) -> tuple[DataFrame,
         sets = shingle_sets(WIDTH)
         links = linked(pairs, items, sets, PART, WHOLE, DIRECT).toDF("a", "b")
         if not many.isEmpty():
-            links = links.union(resolve(many, items, sets, PART, WHOLE, DIRECT).select("root", "node"))
+            links = links.union(resolve(many, items, sets, PART, WHOLE, DIRECT, TOGETHER)
+                                .select("root", "node"))
         return nodes, save(connected(links), "labels")
 
 
