@@ -258,7 +258,8 @@ def few(buckets: DataFrame, most: int, part: int, whole: int) -> tuple[DataFrame
 
     ``buckets(bucket, node, size, sketch)`` tells the ``sketch`` of a node in one of its rows at
     least. Two sets that link differ in at most ``(whole - part) / (whole + part)`` of the sum of
-    their sizes; where the sketches differ in more bits than that, they don't.
+    their sizes; where the sketches differ in more bits than that, they don't. This is the plain form,
+    by which tests tell that ``passage_dedup`` lists the same pairs in its tasks.
     """
     rows = save(buckets.join(_once(buckets), "bucket"), "buckets")
     known = save(rows.groupBy("node").agg(F.max("sketch").alias("known")), "sketches")
